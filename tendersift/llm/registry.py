@@ -6,6 +6,11 @@ import importlib
 
 _MODULES = {
     "op1_ngram_jaccard_join": "ngram_join",
+    "op4_quality_classifier": "quality",
+    "op6_toxicity": "toxicity",
+    "op7_benchmark_decontamination": "decontamination",
+    "op8_pii": "pii",
+    "op10_bpe": "bpe",
 }
 
 
