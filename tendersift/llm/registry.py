@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-import importlib
+import corpus_pipeline
+from tendersift.llm import bpe, decontamination, html_text, licenses, ngram_join, pii, quality, secrets, toxicity, transport_stream
 
 _MODULES = {
-    "op1_ngram_jaccard_join": "ngram_join",
-    "op4_quality_classifier": "quality",
-    "op6_toxicity": "toxicity",
-    "op7_benchmark_decontamination": "decontamination",
-    "op8_pii": "pii",
-    "op10_bpe": "bpe",
+    "op1_ngram_jaccard_join": ngram_join,
+    "op2_media_columns": transport_stream,
+    "op3_html_extraction": html_text,
+    "op4_quality_classifier": quality,
+    "op5_secret_scan": secrets,
+    "op6_toxicity": toxicity,
+    "op7_benchmark_decontamination": decontamination,
+    "op8_pii": pii,
+    "op9_license_scan": licenses,
+    "op10_bpe": bpe,
 }
 
 
 def queries() -> dict:
     """name -> function(spark, sf_dir)."""
-    return {name: importlib.import_module(f"{__package__}.{module}").query for name, module in _MODULES.items()}
+    return {name: module.query for name, module in _MODULES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(importlib.import_module(f"{__package__}.{module}"), "ORACLE_SQL", None) for name, module in _MODULES.items()}
-    return {name: sql for name, sql in found.items() if sql}
+    return {name: module.ORACLE_SQL for name, module in _MODULES.items() if hasattr(module, "ORACLE_SQL")}
