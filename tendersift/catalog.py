@@ -5,17 +5,81 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tendersift.operators import amount, award_change, competition, competition_evidence, identity, lifecycle, peers, vendor
+from tendersift.plans import statements as sql
+from tendersift.sources.canonical import canonical
+from tendersift.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def plain(df: DataFrame, digits: int = sql.R) -> DataFrame:
+    """Doubles rounded, decimals as doubles, dates and lists as text, integers as long: what two engines can agree on."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(name)
+        if kind == "double":
+            c = F.round(c, digits)
+        elif kind.startswith("decimal"):
+            c = c.cast("double")
+        elif kind == "date":
+            c = c.cast("string")
+        elif kind == "array<string>":
+            c = F.array_join(c, ",")
+        out.append(c.alias(name))
+    return df.select(*out)
+
+
+def _on(operator: Callable[[DataFrame], DataFrame], raw: bool = False, digits: int = sql.R) -> Query:
+    return lambda spark, sf_dir: plain(operator(stored(canonical(spark, sf_dir, raw), "canonical")), digits)
+
+
+_CANONICAL = (
+    "transaction_id award_id modification_number award_type_code recipient_name recipient_uei recipient_legacy_id parent_recipient_uei action_date action_obligation"
+    " award_total_obligation awarding_agency_code awarding_subtier_agency_code psc_code naics_code extent_competed_description number_of_offers_received"
+    " solicitation_procedure_description other_than_full_and_open_description"
+).split()
+_EVIDENCE = "transaction_id extent_kind procedure_kind authority_kind offer_kind process_competitive sources_restricted procedure_competitive conflicts notes missing_core".split()
+
+
+def _peer_keys(df: DataFrame) -> DataFrame:
+    return peers.with_keys(df, peers.AMOUNT, ["transaction_id"]).select("transaction_id", "ordinal", "level", "peer_key")
+
+
+def _no_reasons(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.endswith("__reason")])
+
+
+_ALL: dict[str, tuple[Query, str | None]] = {
+    "canonical_rows": (_on(lambda df: df.select(*_CANONICAL), digits=2), sql.CANONICAL),
+    "c1_lifecycle": (_on(lambda df: lifecycle.with_lifecycle(df).groupBy("lifecycle", "modification").agg(F.count("*").alias("n")), raw=True), sql.LIFECYCLE),
+    "c3_vendor_identity": (_on(lambda df: identity.with_vendor(df).select("transaction_id", "vendor_key", "parent_key", "parent_matches_entity")), sql.IDENTITY),
+    "c6_peer_keys": (_on(_peer_keys), sql.PEER_KEYS),
+    "c10_competition_evidence": (_on(lambda df: competition_evidence.with_evidence(df).select(*_EVIDENCE)), sql.COMPETITION_EVIDENCE),
+    "c19_competition_features": (_on(lambda df: _no_reasons(competition_evidence.transaction_features(df))), sql.COMPETITION_FEATURES),
+    "e1_peer_group_counts": (_on(lambda df: peers.group_counts(df, peers.AMOUNT)), sql.GROUP_COUNTS),
+    "d1_first_sufficient_level": (_on(lambda df: amount.resolved(amount.keyed_amounts(df)).select("transaction_id", "level", "peer_key", "members")), sql.FIRST_LEVEL),
+    "amount_features": (_on(amount.features), sql.AMOUNT),
+    "e3_vendor_markets": (_on(vendor.market_measures), sql.VENDOR_MARKETS),
+    "vendor_features": (_on(vendor.features), sql.VENDOR_FEATURES),
+    "e8_vendor_activity": (_on(vendor.activity), sql.VENDOR_ACTIVITY),
+    "e10_competition_markets": (_on(competition.market_measures), sql.COMPETITION_MARKETS),
+    "competition_context_features": (_on(competition.features), sql.COMPETITION_CONTEXT),
+    "e14_award_change_activity": (_on(award_change.activity, raw=True), sql.CHANGE_ACTIVITY),
+    "award_change_features": (_on(award_change.features, raw=True), sql.CHANGE_FEATURES),
+}
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    """Each transaction's amount against its peers."""
+    return queries()["amount_features"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: statement for name, (_, statement) in _ALL.items() if statement}
