@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendersift.operators import amount, award_change, competition, competition_evidence, identity, lifecycle, peers, vendor
+from tendersift.operators import amount, award_change, competition, competition_evidence, detectors, identity, lifecycle, peers, quality, review, vendor
 from tendersift.plans import statements as sql
 from tendersift.sources.canonical import canonical
 from tendersift.storage import stored
@@ -52,6 +52,60 @@ def _no_reasons(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.endswith("__reason")])
 
 
+_FEATURES = ["amount", "offers", "total"]
+
+
+def _matrix(df: DataFrame) -> DataFrame:
+    """Three features of every transaction; missing values become the median."""
+    raw = df.select("transaction_id", "award_id", F.col("action_obligation").cast("double").alias("amount"), F.col("number_of_offers_received").cast("double").alias("offers"), F.col("award_total_obligation").cast("double").alias("total"))
+    middle = raw.agg(F.percentile("offers", F.lit(0.5)), F.percentile("total", F.lit(0.5))).first()
+    return stored(raw.fillna({"offers": middle[0], "total": middle[1]}), "matrix")
+
+
+def _tail(df: DataFrame) -> DataFrame:
+    matrix = _matrix(df)
+    return stored(detectors.tail_scores(matrix, matrix, _FEATURES).withColumn("score", F.round("score", sql.R)), "tail")
+
+
+def _calibrated(df: DataFrame) -> DataFrame:
+    scores = _tail(df)
+    return detectors.calibrated(scores, scores)
+
+
+def _top(ties: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: review.top_n(_tail(df).select("transaction_id", "award_id", "score"), 100, ties)
+
+
+def _truth(df: DataFrame) -> DataFrame:
+    truth = F.when(F.col("award_total_obligation").isNull(), None).when(F.col("action_obligation") < 0, 1).otherwise(0)
+    return df.select("transaction_id", truth.alias("truth"))
+
+
+def _spearman(df: DataFrame) -> DataFrame:
+    matrix = _matrix(df)
+    return detectors.spearman(matrix.withColumnRenamed("amount", "mid"), matrix.withColumnRenamed("total", "mid"))
+
+
+def _runs(df: DataFrame) -> dict[str, DataFrame]:
+    """The ensemble of the tail detector with each of two isolation forests."""
+    matrix = _matrix(df)
+    ready = stored(detectors.preprocessed(matrix, detectors.fit_preprocessor(matrix, _FEATURES)), "preprocessed")
+    tail = stored(detectors.calibrated(*[detectors.tail_scores(ready, ready, _FEATURES)] * 2), "tail-calibrated")
+    out = {}
+    for seed in (11, 29):
+        forest = detectors.fit_forest(ready, _FEATURES, trees=32, seed=seed)
+        scores = stored(detectors.forest_scores(ready, forest, _FEATURES), "forest")
+        out[f"forest{seed}"] = stored(detectors.ensemble({"tail": tail, "forest": detectors.calibrated(scores, scores)}, {"tail": 0.5, "forest": 0.5}), "ensemble")
+    return out
+
+
+def _review_queue(df: DataFrame) -> DataFrame:
+    """The first forest is the primary run; the second only tells how stable the scores are."""
+    runs = _runs(df)
+    queue = review.top_n(review.scored(runs["forest11"]), 100, "deterministic_identity")
+    return queue.join(detectors.stability(runs).withColumnRenamed("median", "stability_median"), ["transaction_id", "award_id"])
+
+
 _ALL: dict[str, tuple[Query, str | None]] = {
     "canonical_rows": (_on(lambda df: df.select(*_CANONICAL), digits=2), sql.CANONICAL),
     "c1_lifecycle": (_on(lambda df: lifecycle.with_lifecycle(df).groupBy("lifecycle", "modification").agg(F.count("*").alias("n")), raw=True), sql.LIFECYCLE),
@@ -68,6 +122,16 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "e10_competition_markets": (_on(competition.market_measures), sql.COMPETITION_MARKETS),
     "competition_context_features": (_on(competition.features), sql.COMPETITION_CONTEXT),
     "e14_award_change_activity": (_on(award_change.activity, raw=True), sql.CHANGE_ACTIVITY),
+    "quality_profile": (_on(quality.profile), sql.QUALITY_PROFILE),
+    "quality_gate": (_on(lambda df: quality.gate(stored(quality.profile(df), "profile"))), sql.QUALITY_GATE),
+    "j10_tail_scores": (_on(_tail), sql.TAIL),
+    "j12_calibrated_scores": (_on(_calibrated), sql.CALIBRATED),
+    "g2_top_n_include": (_on(_top("include_boundary_ties")), sql.top_n(100, "include_boundary_ties")),
+    "g2_top_n_exclude": (_on(_top("exclude_boundary_ties")), sql.top_n(100, "exclude_boundary_ties")),
+    "g2_top_n_identity": (_on(_top("deterministic_identity")), sql.top_n(100, "deterministic_identity")),
+    "e26_labeled_evaluation": (_on(lambda df: review.evaluation(_tail(df), _truth(df))), sql.EVALUATION),
+    "f11_spearman": (_on(_spearman), sql.SPEARMAN),
+    "review_queue": (_on(_review_queue), None),
     "award_change_features": (_on(award_change.features, raw=True), sql.CHANGE_FEATURES),
 }
 

@@ -258,3 +258,60 @@ SELECT a.award_id, level, {", ".join(f"round({x}, {R}) AS award_change_{n}" for
   CASE WHEN a.base_actions > 1 THEN 'award_change_reference_ambiguous_multiple_base_actions' WHEN a.base_actions = 0 THEN 'award_change_reference_missing_or_no_observed_base_action' WHEN level IS NULL THEN 'no_supported_award_change_market' END AS reason
 FROM act a LEFT JOIN pick p ON a.award_id = p.award_id LEFT JOIN o ON a.award_id = o.award_id AND p.award_id IS NOT NULL LEFT JOIN wide ON a.award_id = wide.id"""
 )
+
+_FIELDS = ("award_id", "transaction_id", "modification_number", "award_type_code", "recipient_name", "recipient_uei", "recipient_legacy_id", "parent_recipient_uei", "action_date", "action_obligation", "award_total_obligation", "awarding_agency_code", "awarding_agency_name", "awarding_subtier_agency_code", "awarding_subtier_agency_name", "psc_code", "naics_code", "extent_competed_code", "extent_competed_description", "number_of_offers_received", "solicitation_procedure_code", "solicitation_procedure_description", "other_than_full_and_open_code", "other_than_full_and_open_description")
+_EXTENT, _OFFERS, _OTHER, _PROC = "extent_competed_description IS NOT NULL", "number_of_offers_received IS NOT NULL", "other_than_full_and_open_description IS NOT NULL", "solicitation_procedure_description IS NOT NULL"
+_CONTEXTS = {"vendor_identity": "coalesce(recipient_uei, recipient_legacy_id, recipient_name) IS NOT NULL", "procurement_category": "coalesce(psc_code, naics_code) IS NOT NULL", "awarding_agency": "coalesce(awarding_agency_code, awarding_agency_name) IS NOT NULL", "competition_extent": _EXTENT, "competition_offers": _OFFERS, "competition_other_than_full_and_open": _OTHER, "competition_solicitation_procedure": _PROC, "competition_any": f"({_EXTENT}) OR ({_OFFERS}) OR ({_OTHER}) OR ({_PROC})", "competition_core_pair": f"({_EXTENT}) AND ({_OFFERS})"}
+_MODES = {
+    "vendor": "CASE WHEN recipient_uei IS NOT NULL THEN 'uei' WHEN recipient_legacy_id IS NOT NULL THEN 'legacy_identifier' WHEN recipient_name IS NOT NULL THEN 'name_only' ELSE 'missing' END",
+    "category": "CASE WHEN psc_code IS NOT NULL AND naics_code IS NOT NULL THEN 'psc_and_naics' WHEN psc_code IS NOT NULL THEN 'psc_only' WHEN naics_code IS NOT NULL THEN 'naics_only' ELSE 'missing' END",
+    "agency": "CASE WHEN awarding_agency_code IS NOT NULL AND awarding_agency_name IS NOT NULL THEN 'code_and_name' WHEN awarding_agency_code IS NOT NULL THEN 'code_only' WHEN awarding_agency_name IS NOT NULL THEN 'name_only' ELSE 'missing' END",
+    "competition_core": f"CASE WHEN {_EXTENT} AND {_OFFERS} THEN 'extent_and_offers' WHEN {_EXTENT} THEN 'extent_only' WHEN {_OFFERS} THEN 'offers_only' ELSE 'missing' END",
+    "obligation_sign": "CASE WHEN action_obligation > 0 THEN 'positive' WHEN action_obligation < 0 THEN 'negative' ELSE 'zero' END",
+    "missing_pattern": f"concat_ws(',', CASE WHEN NOT ({_CONTEXTS['vendor_identity']}) THEN 'vendor_identity' END, CASE WHEN NOT ({_CONTEXTS['procurement_category']}) THEN 'category' END, CASE WHEN NOT ({_CONTEXTS['awarding_agency']}) THEN 'awarding_agency' END, CASE WHEN extent_competed_code IS NULL THEN 'extent_competed_code' END, CASE WHEN number_of_offers_received IS NULL THEN 'number_of_offers_received' END)",
+    "source": "source_name",
+    "source_schema": "source_schema",
+    "action_fiscal_year": "CAST(year(action_date) + CASE WHEN month(action_date) >= 10 THEN 1 ELSE 0 END AS VARCHAR)",
+}
+_PROFILE = "prof AS (" + " UNION ALL ".join(
+    ["SELECT 'population' AS section, 'all' AS name, count(*) AS n FROM canon"]
+    + [f"SELECT 'field', '{f}', count({f}) FROM canon" for f in _FIELDS]
+    + [f"SELECT 'context', '{k}', count(*) FILTER ({x}) FROM canon" for k, x in _CONTEXTS.items()]
+    + [f"SELECT '{k}', name, count(*) FROM (SELECT {x} AS name FROM canon) GROUP BY name" for k, x in _MODES.items()]
+) + ")"
+QUALITY_PROFILE = with_(canon(), _PROFILE) + "SELECT section, name, n FROM prof"
+QUALITY_GATE = with_(canon(), _PROFILE) + f"""SELECT rule, section, name, round(observed, {R}) AS observed, passed, severity, CASE max(CASE WHEN passed THEN 0 WHEN severity = 'block' THEN 2 ELSE 1 END) OVER () WHEN 0 THEN 'ready' WHEN 1 THEN 'degraded' ELSE 'blocked' END AS status
+FROM (SELECT rule, section, name, observed, observed >= least AND observed <= most AS passed, severity FROM (SELECT r.*, coalesce(n, 0) / CASE WHEN share THEN (SELECT CAST(n AS DOUBLE) FROM prof WHERE section = 'population') ELSE 1.0 END AS observed
+  FROM (VALUES (0, 'population', 'all', 20, 1e18, false, 'block'), (1, 'context', 'vendor_identity', 0.5, 1e18, true, 'block'), (2, 'context', 'competition_core_pair', 0.3, 1e18, true, 'block'),
+    (3, 'context', 'procurement_category', 0.9, 1e18, true, 'block'), (4, 'vendor', 'missing', -1, 0.05, true, 'warning'), (5, 'obligation_sign', 'zero', -1, 0.02, true, 'warning')) r(rule, section, name, least, most, share, severity)
+  LEFT JOIN prof USING (section, name)))"""
+
+# Three features of every transaction; missing values become the median.
+_MATRIX = """mat0 AS (SELECT transaction_id, award_id, CAST(action_obligation AS DOUBLE) AS amount, CAST(number_of_offers_received AS DOUBLE) AS offers, CAST(award_total_obligation AS DOUBLE) AS total FROM canon),
+mat AS (SELECT transaction_id, award_id, amount, coalesce(offers, (SELECT quantile_cont(offers, 0.5) FROM mat0)) AS offers, coalesce(total, (SELECT quantile_cont(total, 0.5) FROM mat0)) AS total FROM mat0)"""
+_TAIL = """ml AS (SELECT transaction_id, award_id, 'amount' AS f, amount AS v FROM mat UNION ALL SELECT transaction_id, award_id, 'offers', offers FROM mat UNION ALL SELECT transaction_id, award_id, 'total', total FROM mat),
+mc AS (SELECT f, v, count(*) AS n FROM ml GROUP BY f, v),
+mr AS (SELECT f, v, sum(n) OVER (PARTITION BY f ORDER BY v) AS le, sum(n) OVER (PARTITION BY f ORDER BY v DESC) AS ge, sum(n) OVER (PARTITION BY f) AS m FROM mc),
+sk AS (SELECT ml.f, sum(power(v - a, 3)) < 0 AS lf FROM ml JOIN (SELECT f, avg(v) AS a FROM ml GROUP BY f) x ON ml.f = x.f GROUP BY ml.f),
+tail AS (SELECT transaction_id, award_id, sum(l) AS lt, sum(r) AS rt, sum(CASE WHEN lf THEN l ELSE r END) AS st FROM (SELECT ml.*, -ln(le / CAST(m AS DOUBLE)) AS l, -ln(ge / CAST(m AS DOUBLE)) AS r, lf FROM ml JOIN mr ON ml.f = mr.f AND ml.v = mr.v JOIN sk ON ml.f = sk.f) GROUP BY transaction_id, award_id),
+sc AS (SELECT *, round(greatest(lt, rt, st), 6) AS score FROM tail)"""
+TAIL = with_(canon(), _MATRIX, _TAIL) + f'SELECT transaction_id, award_id, round(lt, {R}) AS "left", round(rt, {R}) AS "right", round(st, {R}) AS skewed, score FROM sc'
+CALIBRATED = with_(canon(), _MATRIX, _TAIL) + f"""SELECT transaction_id, award_id, score, round(less / m, {R}) AS lower, round((less + eq / 2) / m, {R}) AS mid, round((less + eq) / m, {R}) AS upper,
+  round(0.6744897501960817 * (score - med) / nullif(mad, 0), {R}) AS z, round((score - med) / nullif(iqr, 0), {R}) AS distance
+FROM (SELECT transaction_id, award_id, score, CAST(rank() OVER (ORDER BY score) - 1 AS DOUBLE) AS less, CAST(count(*) OVER (PARTITION BY score) AS DOUBLE) AS eq, CAST(count(*) OVER () AS DOUBLE) AS m FROM sc),
+  (SELECT quantile_cont(score, 0.5) AS med, quantile_cont(score, 0.75) - quantile_cont(score, 0.25) AS iqr FROM sc), (SELECT quantile_cont(abs(score - (SELECT quantile_cont(score, 0.5) FROM sc)), 0.5) AS mad FROM sc)"""
+
+
+def top_n(n: int, ties: str) -> str:
+    kind = {"include_boundary_ties": ("true", "'boundary_tie_included'"), "exclude_boundary_ties": ("false", "'boundary_tie_excluded'"), "deterministic_identity": (f"place <= {n}", f"CASE WHEN place <= {n} THEN 'boundary_tie_selected_by_identity' ELSE 'boundary_tie_not_selected_by_identity' END")}[ties]
+    return with_(canon(), _MATRIX, _TAIL) + f"""SELECT transaction_id, award_id, score, best_rank, worst_rank, CASE WHEN worst_rank <= {n} THEN true WHEN best_rank > {n} THEN false ELSE {kind[0]} END AS flagged,
+  CASE WHEN worst_rank < {n} THEN 'above_top_n_boundary' WHEN best_rank > {n} THEN 'below_top_n_boundary' WHEN worst_rank = {n} THEN 'boundary_selected_no_crossing_tie' ELSE {kind[1]} END AS reason
+FROM (SELECT transaction_id, award_id, score, rank() OVER (ORDER BY score DESC) AS best_rank, rank() OVER (ORDER BY score DESC) + count(*) OVER (PARTITION BY score) - 1 AS worst_rank,
+  row_number() OVER (ORDER BY score DESC, transaction_id, award_id) AS place FROM sc)"""
+
+
+_TRUTH = "tr AS (SELECT transaction_id, CASE WHEN award_total_obligation IS NULL THEN NULL WHEN action_obligation < 0 THEN 1 ELSE 0 END AS truth FROM canon)"
+EVALUATION = with_(canon(), _MATRIX, _TAIL, _TRUTH) + f"""SELECT count(*) AS known, sum(truth) AS positives,
+  round((sum(CASE WHEN truth = 1 THEN lo + (hi - lo) / 2.0 END) - sum(truth) * sum(truth) / 2.0) / (sum(truth) * CAST(sum(1 - truth) AS DOUBLE)), {R}) AS auroc, round(sum(CASE WHEN truth = 1 THEN p / CAST(a AS DOUBLE) END) / sum(truth), {R}) AS average_precision
+FROM (SELECT truth, rank() OVER (ORDER BY score) - 1 AS lo, rank() OVER (ORDER BY score) - 1 + count(*) OVER (PARTITION BY score) AS hi, sum(truth) OVER (ORDER BY score DESC) AS p, count(*) OVER (ORDER BY score DESC) AS a FROM sc JOIN tr USING (transaction_id) WHERE truth IS NOT NULL)"""
+SPEARMAN = with_(canon(), _MATRIX) + f"""SELECT round(corr(x, y), {R}) AS rho FROM (SELECT rank() OVER (ORDER BY amount) + (count(*) OVER (PARTITION BY amount) - 1) / 2.0 AS x, rank() OVER (ORDER BY total) + (count(*) OVER (PARTITION BY total) - 1) / 2.0 AS y FROM mat)"""
