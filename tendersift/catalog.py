@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendersift.operators import amount, award_change, competition, competition_evidence, detectors, identity, lifecycle, peers, quality, review, vendor
+from tendersift.operators import amount, assemble, award_change, competition, competition_evidence, detectors, identity, lifecycle, peers, quality, review, vendor
 from tendersift.plans import statements as sql
+from tendersift.sources import archive, export
 from tendersift.sources.canonical import canonical
 from tendersift.storage import stored
+from tendersift.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,6 +108,18 @@ def _review_queue(df: DataFrame) -> DataFrame:
     return queue.join(detectors.stability(runs).withColumnRenamed("median", "stability_median"), ["transaction_id", "award_id"])
 
 
+def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers repeat within an order: what a loader does with the repeated ids."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumns({"transaction_id": F.concat_ws("-", "l_orderkey", "l_linenumber"), "row_sha256": (F.col("l_suppkey") % 3).cast("string")})
+    order = ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return archive.outcomes(rows, order=order).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def _event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = windows.run_available(spark, f"{sf_dir}/events*.parquet")
+    return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 _ALL: dict[str, tuple[Query, str | None]] = {
     "canonical_rows": (_on(lambda df: df.select(*_CANONICAL), digits=2), sql.CANONICAL),
     "c1_lifecycle": (_on(lambda df: lifecycle.with_lifecycle(df).groupBy("lifecycle", "modification").agg(F.count("*").alias("n")), raw=True), sql.LIFECYCLE),
@@ -131,6 +145,10 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "g2_top_n_identity": (_on(_top("deterministic_identity")), sql.top_n(100, "deterministic_identity")),
     "e26_labeled_evaluation": (_on(lambda df: review.evaluation(_tail(df), _truth(df))), sql.EVALUATION),
     "f11_spearman": (_on(_spearman), sql.SPEARMAN),
+    "b4_spreadsheet_safe_text": (_on(lambda df: df.select("transaction_id", export.spreadsheet_safe(F.col("action_obligation").cast("string")).alias("safe"))), sql.SAFE_TEXT),
+    "g9_duplicate_outcomes": (_duplicates, sql.DUPLICATES),
+    "stream_event_windows": (_event_windows, sql.EVENT_WINDOWS),
+    "d8_feature_completeness": (_on(assemble.completeness), None),
     "review_queue": (_on(_review_queue), None),
     "award_change_features": (_on(award_change.features, raw=True), sql.CHANGE_FEATURES),
 }

@@ -315,3 +315,10 @@ EVALUATION = with_(canon(), _MATRIX, _TAIL, _TRUTH) + f"""SELECT count(*) AS kno
   round((sum(CASE WHEN truth = 1 THEN lo + (hi - lo) / 2.0 END) - sum(truth) * sum(truth) / 2.0) / (sum(truth) * CAST(sum(1 - truth) AS DOUBLE)), {R}) AS auroc, round(sum(CASE WHEN truth = 1 THEN p / CAST(a AS DOUBLE) END) / sum(truth), {R}) AS average_precision
 FROM (SELECT truth, rank() OVER (ORDER BY score) - 1 AS lo, rank() OVER (ORDER BY score) - 1 + count(*) OVER (PARTITION BY score) AS hi, sum(truth) OVER (ORDER BY score DESC) AS p, count(*) OVER (ORDER BY score DESC) AS a FROM sc JOIN tr USING (transaction_id) WHERE truth IS NOT NULL)"""
 SPEARMAN = with_(canon(), _MATRIX) + f"""SELECT round(corr(x, y), {R}) AS rho FROM (SELECT rank() OVER (ORDER BY amount) + (count(*) OVER (PARTITION BY amount) - 1) / 2.0 AS x, rank() OVER (ORDER BY total) + (count(*) OVER (PARTITION BY total) - 1) / 2.0 AS y FROM mat)"""
+
+SAFE_TEXT = "SELECT transaction_id, CASE WHEN left(t, 1) IN ('=', '+', '-', '@') THEN chr(9) || t ELSE t END AS safe FROM (SELECT transaction_id, CAST(CAST(action_obligation AS DECIMAL(18, 2)) AS VARCHAR) AS t FROM canon)"
+SAFE_TEXT = with_(canon()) + SAFE_TEXT
+DUPLICATES = """SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN row_number() OVER w = 1 THEN 'loaded' WHEN h = first_value(h) OVER w THEN 'dropped_exact_duplicate' ELSE 'quarantined' END AS outcome
+  FROM (SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS id, CAST(l_suppkey % 3 AS VARCHAR) AS h, l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem)
+  WINDOW w AS (PARTITION BY id ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax)) GROUP BY outcome"""
+EVENT_WINDOWS = "SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
