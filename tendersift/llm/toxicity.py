@@ -25,9 +25,13 @@ from tendersift.llm.quality import acceptance_cut
 #: At most so many labelled texts are used, those with the smallest hash.
 LABELS = 20_000
 #: Candidates for the lexicon that are compared, and the least number of toxic texts a member must add.
-CANDIDATES, LEAST = 2_000, 5
+CANDIDATES, LEAST = 2_000, 3
+#: Log of the ratio of shares from which a word speaks for toxicity.
+LEAST_WEIGHT = 1.6
+#: Different entries that a toxic text should hold.
+WANTED = 6
 #: Lengths of the word beginnings that are tried.
-BEGINNINGS = (3, 4, 5, 6)
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
 #: Words and weights used without labels.
 PLAIN = {" idiot": 3.0, " moron": 3.0, " stupid": 2.0, " scum": 3.0, " trash ": 1.5, " worthless": 2.0, " pathetic": 2.0, " disgusting": 2.0, " loser": 2.0}
 
@@ -41,7 +45,6 @@ _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a",
 _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 
-
 class _Fold(dict):
     """Code point to its folded letter, to nothing if invisible, to a space if not a letter; filled as met."""
 
@@ -174,32 +177,32 @@ def _strengths(shared):
     return run
 
 
-def _cover(weights: np.ndarray, rows: list[tuple[int, list[int]]]) -> list[int]:
-    """Candidates, the most useful first, until each toxic text has two or no more than LEAST texts gain one."""
+def _cover(names: list[str], weights: np.ndarray, rows: list[tuple[int, list[int]]]) -> list[int]:
+    """Candidates, the most useful first, until each toxic text holds WANTED or no more than LEAST texts gain one.
+
+    Of a word's beginnings and the word itself only the first chosen is taken, so a text is covered by different words.
+    """
     toxic = [f for label, f in rows if label]
     holders: dict[int, set[int]] = {}
     for i, features in enumerate(toxic):
         for f in features:
             holders.setdefault(f, set()).add(i)
-    need, chosen = [2] * len(toxic), []
+    need, chosen = [WANTED] * len(toxic), []
     while holders:
-        best = max(holders, key=lambda f: (len(holders[f]) * weights[f], -f))
+        best = max(holders, key=lambda f: (len(holders[f]) * weights[f], len(names[f]), -f))
         mine = holders.pop(best)
-        if len(mine) < LEAST:
-            holders = {f: h for f, h in holders.items() if len(h) >= LEAST}
-            if not holders:
-                break
-            continue
-        chosen.append(best)
-        done = set()
-        for i in mine:
-            need[i] -= 1
-            if need[i] == 0:
-                done.add(i)
-        if done:
-            for h in holders.values():
-                h -= done
-        holders = {f: h for f, h in holders.items() if len(h) >= LEAST}
+        if len(mine) >= LEAST:
+            chosen.append(best)
+            done = set()
+            for i in mine:
+                need[i] -= 1
+                if need[i] == 0:
+                    done.add(i)
+            if done:
+                for h in holders.values():
+                    h -= done
+        related = lambda f: names[f].startswith(names[best]) or names[best].startswith(names[f])  # noqa: B023, E731
+        holders = {f: h for f, h in holders.items() if len(h) >= LEAST and not related(f)}
     return chosen
 
 
@@ -218,11 +221,11 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LABELS, exceptions: t
     if sizes.get(0) and sizes.get(1):
         counts = train.mapInArrow(_feature_counts, "feature string, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         weight = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1.0))
-        best = counts.withColumn("weight", weight).filter((F.col("toxic") >= LEAST) & (F.col("weight") >= float(np.log(10)))).orderBy(F.desc(F.col("toxic") * F.col("weight")), "feature").limit(CANDIDATES).collect()
+        best = counts.withColumn("weight", weight).filter((F.col("toxic") >= LEAST) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.desc(F.col("toxic") * F.col("weight")), "feature").limit(CANDIDATES).collect()
         names, weights = [r.feature for r in best], np.array([r.weight for r in best])
         shared = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
         rows = [(r.toxic, r.features) for r in train.mapInArrow(_chosen(shared), "toxic int, features array<int>").filter("toxic = 1").collect()]
-        lexicon.weights = {names[i]: float(weights[i]) for i in _cover(weights, rows)}
+        lexicon.weights = {names[i]: float(weights[i]) for i in _cover(names, weights, rows)}
         found = train.mapInArrow(_phrases(spark.sparkContext.broadcast(lexicon)), "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
         lexicon.exceptions += [r.phrase for r in found.filter((F.col("toxic") == 0) & (F.col("n") >= LEAST)).orderBy(F.desc("n"), "phrase").limit(CANDIDATES).collect()]
         pairs = [(r.strength, r.toxic) for r in train.mapInArrow(_strengths(spark.sparkContext.broadcast(lexicon)), "toxic int, strength double").collect()]
