@@ -69,7 +69,7 @@ def _score(shared, text: str, weight: str, grams: str):
             sums, counts = [], []
             for t in tokens(batch.column(text), TOKEN_CLASS):
                 gram, row = _buckets(t, len(ratio))
-                sums.append(np.bincount(row, ratio[gram], t.rows))
+                sums.append(np.bincount(row, ratio[gram], t.rows).astype(float))  # integers if there is no n-gram
                 counts.append(np.bincount(row, minlength=t.rows))
             put = {weight: pa.array(np.concatenate(sums) if sums else np.empty(0)), grams: pa.array(np.concatenate(counts) if counts else np.empty(0, np.int64))}
             yield pa.RecordBatch.from_arrays([put.get(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True)], batch.schema.names)
