@@ -30,7 +30,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 #: Shapes of identifiers that the base patterns may miss.
-_LIKE = re.compile(r"[^\s@,;<>]+@[^\s@,;<>]+|[0-9(+](?:[\x20().:-]{0,2}[0-9])++")
+_LIKE = re.compile(r"[0-9(+](?:[\x20().:-]{0,2}[0-9])++")
+_NEAR_AT = re.compile(r"[^\s@,;<>]+")
+_ENDS = frozenset("@,;<>")
 _WORD = re.compile(r"[^\W\d_]+")
 
 Span = tuple[int, int, int]
@@ -92,18 +94,38 @@ def _around(text: str, start: int, end: int) -> list[str]:
     return out + ([f"{before[-1]} _ {after[0]}"] if before and after else [])
 
 
+def _like(text: str) -> list[tuple[int, int]]:
+    """Strings of an identifier's shape, leftmost first and apart: what stands around each @, and runs of digits."""
+    found, last = [m.span() for m in _LIKE.finditer(text)], 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and not text[start - 1].isspace() and text[start - 1] not in _ENDS:
+            start -= 1
+        m = _NEAR_AT.match(text, at + 1)
+        if m and start < at:
+            found.append((start, m.end()))
+        last = at + 1
+        at = text.find("@", at + 1)
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
+        if not out or s >= out[-1][1]:
+            out.append((s, e))
+    return out
+
+
 def mentions(text: str, spans: list[Span]) -> list[dict]:
     """Seeds and further strings of an identifier's shape with the patterns around them."""
     found = [(s, e, [k], True) for k, s, e in spans]
     if "@" in text or _DIGIT.search(text):
         taken = sorted((s, e) for _, s, e in spans)
         i = 0
-        for m in _LIKE.finditer(text):
-            while i < len(taken) and taken[i][1] <= m.start():
+        for start, end in _like(text):
+            while i < len(taken) and taken[i][1] <= start:
                 i += 1
-            free = not any(s < m.end() and m.start() < e for s, e in taken[i:] if s < m.end())
-            if free and (kinds := _fitting(m[0])):
-                found.append((*m.span(), kinds, False))
+            free = i == len(taken) or taken[i][0] >= end
+            if free and (kinds := _fitting(text[start:end])):
+                found.append((start, end, kinds, False))
     shape = lambda x: x.lower() if "@" in x else "".join(_DIGIT.findall(x))
     return [{"start": s, "end": e, "kinds": k, "seed": seed, "instance": shape(text[s:e]), "patterns": p} for s, e, k, seed in found if (p := _around(text, s, e)) or seed]
 
