@@ -26,3 +26,14 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread_join(rows: DataFrame, few: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
+    """rows left join few on key, where few has one row for each key and rows may hold one key very often.
+
+    Each row of few is sent to every salt and each row of rows to the salt of its column
+    by, so the rows of one key are dealt over that many tasks at least.
+    """
+    salt = free_name(rows, "salt")
+    copies = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(F.col(by)), F.lit(salts)).cast("int")).join(copies, [key, salt], "left").drop(salt)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendersift.llm.common import free_name, read_table, stored, whole_text
+from tendersift.llm.common import free_name, read_table, spread_join, stored, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct seeds that a pattern needs, the confidence from which it is used, and the rounds of scoring.
@@ -195,7 +195,7 @@ def found_spans(docs: DataFrame, **how) -> DataFrame:
     found = extracted(docs)
     more = discovered(found, **how)
     none = F.array().cast(_SPANS)
-    return found.select("doc_id", "text_key", "base").join(more, "text_key", "left").select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans"))
+    return spread_join(found.select("doc_id", "text_key", "base"), more, "text_key", "doc_id").select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans"))
 
 
 def listed(spans: str) -> Column:
@@ -212,7 +212,7 @@ def redacted(docs: DataFrame, **how) -> DataFrame:
     """
     key, text, more = (free_name(docs, x) for x in ("text_key", "redact_text", "redact_more"))
     extra = discovered(extracted(docs.select("doc_id", "text")), **how).select(F.col("text_key").alias(key), F.col("more").alias(more))
-    rows = docs.withColumns({key: text_key(), text: whole_text()}).join(extra, key, "left").drop(key)
+    rows = spread_join(docs.withColumns({key: text_key(), text: whole_text()}), extra, key, "doc_id").drop(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

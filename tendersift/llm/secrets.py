@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendersift.llm.common import read_table, stored, whole_text
+from tendersift.llm.common import read_table, spread_join, stored, whole_text
 
 #: A candidate table of at most so many rows (16 bytes and a few numbers each) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 50_000
@@ -163,7 +163,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, broadcast_rows:
     """
     found = stored(candidates(docs, rules), "candidates")
     small = found.count() <= broadcast_rows
-    rows = docs.select("doc_id", whole_text().alias("text"), text_key().alias("text_key")).join(F.broadcast(found) if small else found, "text_key", "left")
+    rows = docs.select("doc_id", whole_text().alias("text"), text_key().alias("text_key"))
+    rows = rows.join(F.broadcast(found), "text_key", "left") if small else spread_join(rows, found, "text_key", "doc_id")
     none = F.array().cast(_SPANS)
     each = []
     for i, rule in enumerate(rules):
