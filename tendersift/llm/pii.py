@@ -63,7 +63,7 @@ def base_spans(text: str) -> list[Span]:
     if not _DIGIT.search(text):
         return out
     if "." in text:
-        out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+        out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(y := x.lstrip("0")) <= 3 and int(y or "0") <= 255 for x in m[0].split("."))]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and _luhn(digits):

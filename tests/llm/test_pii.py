@@ -33,6 +33,8 @@ def test_base_equals_the_stated_patterns():
     for _ in range(20000):
         text = "".join(rnd.choice(pieces) for _ in range(rnd.randrange(12)))
         assert pii.base_spans(text) == brute(text), text
+    assert pii.base_spans("at " + "0" * 9000 + "1.1.1.1") == [(1, 3, 9010)]
+    assert pii.base_spans("9" * 9000 + ".1.1.1") == []
 
 
 def test_learned_patterns_find_unseen_identifiers(spark):
