@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendersift.llm.common import read_table, spread_join, stored, whole_text
+from tendersift.llm.common import attached, read_table, stored, whole_text
 
 THRESHOLD = 0.9
 
@@ -126,8 +126,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     """
     vocabulary = sorted({w for _, text in templates for w in template_words(text)})
     rows = stored(prepared(docs, vocabulary), "blocks")
-    found = found_templates(rows, templates, threshold)
-    out = spread_join(rows.select("doc_id", "text_key", "n_words", "places"), found, "text_key", "doc_id")
+    found = stored(found_templates(rows, templates, threshold), "found")
+    out = attached(rows.select("doc_id", "text_key", "n_words", "places"), found, "text_key", "doc_id")
     base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
     labels = F.array_sort(F.array_union(base, F.coalesce("labels", F.array().cast("array<string>"))))
     score = F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce("containment", F.lit(0.0)))

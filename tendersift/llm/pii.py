@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendersift.llm.common import free_name, read_table, spread_join, stored, whole_text
+from tendersift.llm.common import attached, free_name, read_table, stored, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct seeds that a pattern needs, the confidence from which it is used, and the rounds of scoring.
@@ -193,9 +193,9 @@ def found_spans(docs: DataFrame, **how) -> DataFrame:
     Equal texts have equal spans, whatever their ids.
     """
     found = extracted(docs)
-    more = discovered(found, **how)
+    more = stored(discovered(found, **how), "discovered")
     none = F.array().cast(_SPANS)
-    return spread_join(found.select("doc_id", "text_key", "base"), more, "text_key", "doc_id").select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans"))
+    return attached(found.select("doc_id", "text_key", "base"), more, "text_key", "doc_id", F.size("more")).select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans"))
 
 
 def listed(spans: str) -> Column:
@@ -211,8 +211,8 @@ def redacted(docs: DataFrame, **how) -> DataFrame:
     of the kind of the first.  Null texts stay null; columns and names stay as they are.
     """
     key, text, more = (free_name(docs, x) for x in ("text_key", "redact_text", "redact_more"))
-    extra = discovered(extracted(docs.select("doc_id", "text")), **how).select(F.col("text_key").alias(key), F.col("more").alias(more))
-    rows = spread_join(docs.withColumns({key: text_key(), text: whole_text()}), extra, key, "doc_id").drop(key)
+    extra = stored(discovered(extracted(docs.select("doc_id", "text")), **how).select(F.col("text_key").alias(key), F.col("more").alias(more)), "discovered")
+    rows = attached(docs.withColumns({key: text_key(), text: whole_text()}), extra, key, "doc_id", F.size(more)).drop(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,10 +17,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendersift.llm.common import read_table, spread_join, stored, whole_text
+from tendersift.llm.common import BROADCAST_CELLS, attached, read_table, stored, whole_text
 
-#: A candidate table of at most so many rows (16 bytes and a few numbers each) is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 50_000
 #: More strings or alternatives than that make a part of a pattern count as anything.
 MANY = 40
 
@@ -155,16 +153,15 @@ def _spans(text: Column, rank: int, rule: Rule) -> Column:
     return F.aggregate(steps, start, add, lambda acc: acc["out"])
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
     """doc_id and spans (start, rank, kind, end) by start, then rule, for each row of docs(doc_id, text).
 
     Offsets are code points, ends exclusive.  A null text is empty.  Matches of different
     rules may overlap.  Equal texts have equal spans.  Other columns are ignored.
     """
     found = stored(candidates(docs, rules), "candidates")
-    small = found.count() <= broadcast_rows
     rows = docs.select("doc_id", whole_text().alias("text"), text_key().alias("text_key"))
-    rows = rows.join(F.broadcast(found), "text_key", "left") if small else spread_join(rows, found, "text_key", "doc_id")
+    rows = attached(rows, found, "text_key", "doc_id", limit=broadcast_cells)  # a row holds as many numbers as there are rules at most
     none = F.array().cast(_SPANS)
     each = []
     for i, rule in enumerate(rules):

@@ -42,7 +42,7 @@ def rows():
 @pytest.mark.parametrize("limit", [50_000, 0])
 def test_base_equals_brute_force(spark, limit):
     df = spark.createDataFrame([(*r, "k") for r in rows()], "doc_id bigint, text string, text_key string").repartition(4)
-    got = sorted(str((r.doc_id, [(s.start, s.rank, s.end) for s in r.spans if s.rank < 3])) for r in sc.scan(df, broadcast_rows=limit).collect())
+    got = sorted(str((r.doc_id, [(s.start, s.rank, s.end) for s in r.spans if s.rank < 3])) for r in sc.scan(df, broadcast_cells=limit).collect())
     assert got == sorted(str((d, brute(t))) for d, t in rows())
 
 
