@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,26 +61,29 @@ def _count(text: Column) -> Column:
 
 
 def _places() -> Column:
-    """For each phrase that occurs: its label, number of places, first and last start, counted in words."""
+    """For each phrase that occurs in the lower-case text: its label, number of places, first and last start, counted in words.
+
+    Only texts that hold the letters of all words of a phrase are searched for it.
+    """
+    none = F.lit(None).cast("struct<label:string,n:bigint,first:bigint,last:bigint>")
     found = []
     for phrase, label in PHRASES:
         words = phrase.split()
-        pattern = f"(?i)(?<!{_WORD})" + f"{_GAP}+".join(words) + f"(?!{_WORD})"
+        pattern = f"{words[0]}(?<!{_WORD}{words[0]})" + "".join(f"{_GAP}+{w}" for w in words[1:]) + f"(?!{_WORD})"
         gaps = F.split("text", pattern, -1)  # what stands around the places
         last = F.col("n_words") - _count(F.element_at(gaps, -1)) - len(words)
-        found.append(F.struct(F.lit(label).alias("label"), (F.size(gaps) - 1).cast("bigint").alias("n"), _count(gaps[0]).alias("first"), last.alias("last")))
-    some = F.filter(F.array(*found), lambda p: p["n"] > 0)
-    low = F.lower("text")
-    return F.when(F.contains(low, F.lit("license")) | F.contains(low, F.lit("cc")), some).otherwise(F.filter(F.array(found[0]), lambda p: F.lit(False)))
+        place = F.struct(F.lit(label).alias("label"), (F.size(gaps) - 1).cast("bigint").alias("n"), _count(gaps[0]).alias("first"), last.alias("last"))
+        held = reduce(lambda a, b: a & b, [F.contains("text", F.lit(w)) for w in words])
+        found.append(F.when(held & F.rlike("text", F.lit(pattern)), place).otherwise(none))
+    return F.filter(F.array(*found), lambda p: p.isNotNull())
 
 
 def prepared(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """doc_id, text_key, n_words, the base phrases' places, and each block's distinct vocabulary words."""
-    lines = F.transform(F.split(F.lower("text"), "\n", -1), lambda line: F.regexp_extract_all(line, F.lit(_WORD + "+"), F.lit(0)))
-    rows = docs.select("doc_id", text_key().alias("text_key"), whole_text().alias("text")).withColumn("lines", lines)
-    words = F.array(*[F.lit(w) for w in vocabulary])
+    lines = F.transform(F.split("text", "\n", -1), lambda line: F.filter(F.split(line, _GAP + "+", -1), lambda w: w != ""))
+    rows = docs.select("doc_id", text_key().alias("text_key"), F.lower(whole_text()).alias("text")).withColumn("lines", lines)
     n_words = F.aggregate("lines", F.lit(0).cast("bigint"), lambda n, line: n + F.size(line))
-    blocks = F.filter(F.transform("lines", lambda line: F.array_intersect(line, words)), lambda b: F.size(b) > 0)
+    blocks = F.filter(F.transform("lines", lambda line: F.array_distinct(F.filter(line, lambda w: w.isin(vocabulary)))), lambda b: F.size(b) > 0)  # one look-up a word
     rows = rows.select("doc_id", "text_key", "text", n_words.alias("n_words"), blocks.alias("blocks"))
     return rows.select("doc_id", "text_key", "n_words", _places().alias("places"), "blocks")
 
