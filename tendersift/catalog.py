@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendersift.operators import amount, assemble, award_change, competition, competition_evidence, detectors, identity, lifecycle, peers, quality, review, vendor
+from tendersift.functions import robust
+from tendersift.operators import amount, assemble, award_change, competition, competition_evidence, detectors, explanation, identity, lifecycle, peers, quality, review, vendor
 from tendersift.plans import statements as sql
 from tendersift.sources import archive, export
 from tendersift.sources.canonical import canonical
@@ -108,6 +109,34 @@ def _review_queue(df: DataFrame) -> DataFrame:
     return queue.join(detectors.stability(runs).withColumnRenamed("median", "stability_median"), ["transaction_id", "award_id"])
 
 
+def _queue_report(df: DataFrame) -> DataFrame:
+    return review.queue_report(stored(_top("include_boundary_ties")(df), "decisions"), _truth(df))
+
+
+def _summaries(method: str) -> Callable[[DataFrame], DataFrame]:
+    counts = lambda df: df.groupBy(F.col("awarding_agency_code").alias("group"), F.col("action_obligation").cast("double").alias("value")).agg(F.count("*").alias("n"))
+    return lambda df: robust.summaries(counts(df), method)
+
+
+def _facts(df: DataFrame) -> DataFrame:
+    """The facts of three features of the competition family as text."""
+    rows = competition_evidence.transaction_features(df)
+    none = F.lit(None).cast("string")
+    each = [F.struct(F.lit("competition_transaction").alias("family"), F.lit(f).alias("feature"), F.col(f).alias("value"), (F.col(f"{f}__reason") if f"{f}__reason" in rows.columns else none).alias("reason")) for f in sql.EXPLAINED]
+    found = explanation.facts(rows.select("transaction_id", F.inline(F.array(*each))), list(sql.EXPLAINED))
+    return found.select("transaction_id", F.array_join(F.col("facts.narrative"), "; ").alias("facts"))
+
+
+def _explained_queue(df: DataFrame) -> DataFrame:
+    """The review queue's flagged rows with the summary of each."""
+    runs = _runs(df)
+    queue = review.top_n(stored(review.scored(runs["forest11"]), "review-scores"), 100, "deterministic_identity").filter("flagged")
+    cells = stored(assemble.cells(df), "cells")
+    counts = cells.groupBy("transaction_id").agg((F.count("value") / F.count("*")).alias("completeness"))
+    out = explanation.explained(queue, counts, explanation.facts(cells, ["amount_signed_position", *sql.EXPLAINED]), detectors.stability(runs))
+    return out.select("transaction_id", "award_id", "summary", F.col("facts.narrative").alias("facts"))
+
+
 def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line numbers repeat within an order: what a loader does with the repeated ids."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumns({"transaction_id": F.concat_ws("-", "l_orderkey", "l_linenumber"), "row_sha256": (F.col("l_suppkey") % 3).cast("string")})
@@ -145,6 +174,13 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "g2_top_n_identity": (_on(_top("deterministic_identity")), sql.top_n(100, "deterministic_identity")),
     "e26_labeled_evaluation": (_on(lambda df: review.evaluation(_tail(df), _truth(df))), sql.EVALUATION),
     "f11_spearman": (_on(_spearman), sql.SPEARMAN),
+    "c30_minimum_score": (_on(lambda df: review.minimum_score(_tail(df).select("transaction_id", "award_id", "score"), 8.0)), sql.minimum_score(8.0)),
+    "e28_queue_report": (_on(_queue_report), sql.queue_report(100)),
+    "e29_float_exactness": (_on(lambda df: detectors.float_exactness(_matrix(df), _FEATURES)), sql.FLOATS),
+    "f2_amount_summaries": (_on(_summaries("linear")), sql.summaries("cont")),
+    "f2_amount_summaries_nearest_rank": (_on(_summaries("nearest_rank")), sql.summaries("disc")),
+    "j19_explanation_facts": (_on(_facts), sql.FACTS),
+    "j20_explained_queue": (_on(_explained_queue), None),
     "b4_spreadsheet_safe_text": (_on(lambda df: df.select("transaction_id", export.spreadsheet_safe(F.col("action_obligation").cast("string")).alias("safe"))), sql.SAFE_TEXT),
     "g9_duplicate_outcomes": (_duplicates, sql.DUPLICATES),
     "stream_event_windows": (_event_windows, sql.EVENT_WINDOWS),

@@ -62,6 +62,34 @@ def _order_statistics(runs: DataFrame, group: list[str], value: str, points: dic
     return out
 
 
+def summaries(counts: DataFrame, method: str = "linear") -> DataFrame:
+    """group, size, least, q1, median, q3, most, iqr and mad of counts(group, value, n); values are doubles without nulls.
+
+    method: linear interpolates between two places (type 7), nearest_rank takes the value
+    at the least place that covers the share; mad uses the same method.
+    """
+    if method not in ("linear", "nearest_rank"):
+        raise ValueError("the methods are linear and nearest_rank")
+    counts = stored(counts.select("group", "value", F.col("n").cast("bigint")), "value-counts")
+
+    def quantiles(rows: DataFrame, points: dict[str, float]) -> DataFrame:
+        runs, out = running_counts(rows, ["group"]), []
+        at = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col("value")))
+        for name, p in points.items():
+            if method == "linear":
+                place = (F.col("size") - 1) * F.lit(p)
+                low, share = at(F.floor(place)), F.max(place - F.floor(place))
+                out.append((low + (F.coalesce(at(F.floor(place) + 1), low) - low) * share).alias(name))
+            else:
+                out.append(at(F.greatest(F.ceil(F.col("size") * F.lit(p)) - 1, F.lit(0))).alias(name))
+        return runs.groupBy("group").agg(F.max("size").alias("size"), F.min("value").alias("least"), F.max("value").alias("most"), *out)
+
+    found = stored(quantiles(counts, QUARTILES), "quartiles")
+    away = counts.join(found.select("group", "median"), "group").groupBy("group", F.abs(F.col("value") - F.col("median")).alias("value")).agg(F.sum("n").alias("n"))
+    spread = quantiles(away, {"mad": 0.5}).select("group", "mad")
+    return found.join(spread, "group").select("group", "size", "least", "q1", "median", "q3", "most", (F.col("q3") - F.col("q1")).alias("iqr"), "mad")
+
+
 def _others(name: str, own: Column) -> Column:
     """The quantile without the value own, or of all if own is null, from the statistics of the whole group."""
     x0, x1, x2, w = (F.col(f"{name}_{k}") for k in (0, 1, 2, "w"))

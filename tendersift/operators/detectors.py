@@ -26,6 +26,12 @@ def long_form(df: DataFrame, features: list[str]) -> DataFrame:
     return df.select(*IDENT, F.inline(each))
 
 
+def float_exactness(df: DataFrame, features: list[str]) -> DataFrame:
+    """feature, present, inexact and largest_error: what a 32-bit float loses of each feature's values."""
+    value, rounded = F.col("value"), F.col("value").cast("float").cast("double")
+    return long_form(df, features).groupBy("feature").agg(F.count("value").alias("present"), F.count_if(value != rounded).alias("inexact"), F.max(F.abs(value - rounded)).alias("largest_error"))
+
+
 def fit_preprocessor(training: DataFrame, features: list[str], low: float = 0.25, high: float = 0.75) -> dict[str, tuple[float, float]]:
     """Median and quantile range of each feature's observed training values; an error where a range is 0."""
     row = training.agg(*[F.percentile(F.col(f).cast("double"), F.array(F.lit(low), F.lit(0.5), F.lit(high))).alias(f) for f in features]).first()

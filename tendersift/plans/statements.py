@@ -316,6 +316,37 @@ EVALUATION = with_(canon(), _MATRIX, _TAIL, _TRUTH) + f"""SELECT count(*) AS kno
 FROM (SELECT truth, rank() OVER (ORDER BY score) - 1 AS lo, rank() OVER (ORDER BY score) - 1 + count(*) OVER (PARTITION BY score) AS hi, sum(truth) OVER (ORDER BY score DESC) AS p, count(*) OVER (ORDER BY score DESC) AS a FROM sc JOIN tr USING (transaction_id) WHERE truth IS NOT NULL)"""
 SPEARMAN = with_(canon(), _MATRIX) + f"""SELECT round(corr(x, y), {R}) AS rho FROM (SELECT rank() OVER (ORDER BY amount) + (count(*) OVER (PARTITION BY amount) - 1) / 2.0 AS x, rank() OVER (ORDER BY total) + (count(*) OVER (PARTITION BY total) - 1) / 2.0 AS y FROM mat)"""
 
+_RANKED = "rk AS (SELECT transaction_id, award_id, score, rank() OVER (ORDER BY score DESC) AS best_rank, rank() OVER (ORDER BY score DESC) + count(*) OVER (PARTITION BY score) - 1 AS worst_rank FROM sc)"
+
+
+def minimum_score(least: float) -> str:
+    return with_(canon(), _MATRIX, _TAIL, _RANKED) + f"SELECT *, score >= {least} AS flagged, CASE WHEN score >= {least} THEN 'score_at_or_above_minimum' ELSE 'score_below_minimum' END AS reason FROM rk"
+
+
+def queue_report(n: int) -> str:
+    """With boundary ties included, so flagged rows are those of a best rank up to n."""
+    return with_(canon(), _MATRIX, _TAIL, _RANKED, _TRUTH) + f"""SELECT *, round(hits / CAST(nullif(flagged_known, 0) AS DOUBLE), {R}) AS precision, round(hits / CAST(nullif(positives, 0) AS DOUBLE), {R}) AS recall,
+  round(hits / CAST(nullif(flagged_known, 0) AS DOUBLE) / nullif(positives / CAST(nullif(known, 0) AS DOUBLE), 0), {R}) AS lift
+FROM (SELECT count(*) FILTER (best_rank <= {n}) AS flagged, count(truth) FILTER (best_rank <= {n}) AS flagged_known, count(*) FILTER (best_rank <= {n} AND truth = 1) AS hits, count(*) FILTER (truth = 1) AS positives, count(truth) AS known
+  FROM rk JOIN tr USING (transaction_id))"""
+
+
+def summaries(kind: str) -> str:
+    """kind: cont or disc, the quantile function."""
+    q = lambda p, v="v": f"quantile_{kind}({v}, {p})"
+    return with_(canon(), 'x AS (SELECT awarding_agency_code AS "group", CAST(action_obligation AS DOUBLE) AS v FROM canon)') + f""", s AS (SELECT "group", count(*) AS size, min(v) AS least, {q(0.25)} AS q1, {q(0.5)} AS median, {q(0.75)} AS q3, max(v) AS most FROM x GROUP BY "group")
+SELECT s."group", size, least, round(q1, {R}) AS q1, round(median, {R}) AS median, round(q3, {R}) AS q3, most, round(q3 - q1, {R}) AS iqr, round({q(0.5, "abs(v - median)")}, {R}) AS mad
+FROM s JOIN x ON s."group" = x."group" GROUP BY s."group", size, least, q1, median, q3, most"""
+
+
+FLOATS = with_(canon(), _MATRIX) + f"""SELECT feature, count(v) AS present, count(*) FILTER (v <> w) AS inexact, round(max(abs(v - w)), {R}) AS largest_error
+FROM (SELECT feature, v, CAST(CAST(v AS FLOAT) AS DOUBLE) AS w FROM (SELECT 'amount' AS feature, amount AS v FROM mat UNION ALL SELECT 'offers', offers FROM mat UNION ALL SELECT 'total', total FROM mat)) GROUP BY feature"""
+
+#: Features with the reason for their absence.
+EXPLAINED = {"competition_single_offer_reported": "number_of_offers_received_missing", "competition_reported_process_competitive": "competition_process_unknown", "competition_evidence_conflict_count": ""}
+_TOLD = " || '; ' || ".join(f"CASE WHEN {f} IS NULL THEN '{f} unavailable: {why}' ELSE '{f} = ' || CAST({f} AS VARCHAR) END" for f, why in EXPLAINED.items())
+FACTS = f"SELECT transaction_id, {_TOLD} AS facts FROM ({COMPETITION_FEATURES})"
+
 SAFE_TEXT = "SELECT transaction_id, CASE WHEN left(t, 1) IN ('=', '+', '-', '@') THEN chr(9) || t ELSE t END AS safe FROM (SELECT transaction_id, CAST(CAST(action_obligation AS DECIMAL(18, 2)) AS VARCHAR) AS t FROM canon)"
 SAFE_TEXT = with_(canon()) + SAFE_TEXT
 DUPLICATES = """SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN row_number() OVER w = 1 THEN 'loaded' WHEN h = first_value(h) OVER w THEN 'dropped_exact_duplicate' ELSE 'quarantined' END AS outcome
