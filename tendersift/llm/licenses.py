@@ -9,6 +9,11 @@ left after the first common one (positional filter); the pairs left are verified
 
 Only words of some template can be common to a block and a template, so blocks are
 reduced to those before anything is counted, ordered or joined.
+
+A notice that is wrapped over lines is no block.  With wrapped=True a template is also
+found where a run of words, across line breaks and at most SPAN times as many as the
+template has, holds enough of its words.  A run slides over the template's words of a
+text in one pass; only texts that hold enough of the words at all are passed over.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from pyspark.sql import functions as F
 from tendersift.llm.common import attached, read_table, stored, whole_text
 
 THRESHOLD = 0.9
+#: A wrapped notice stands in a run of at most so many times the template's words.
+SPAN = 2
 
 # The base phrases with their labels, and word and gap as patterns.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -51,6 +58,11 @@ def template_words(text: str) -> list[str]:
     return sorted(set(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())))
 
 
+def template_length(text: str) -> int:
+    """All words of a template, repeated ones too."""
+    return len(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower()))
+
+
 def text_key() -> Column:
     """16 bytes that equal texts share."""
     return F.unhex(F.md5(whole_text().cast("binary")))
@@ -78,14 +90,42 @@ def _places() -> Column:
     return F.filter(F.array(*found), lambda p: p.isNotNull())
 
 
-def prepared(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """doc_id, text_key, n_words, the base phrases' places, and each block's distinct vocabulary words."""
+def _runs(vocabulary: list[str], templates, threshold: float) -> Column:
+    """label and containment of the templates that a run of words across the lines holds; from lines and blocks."""
+    kinds = "array<struct<label:string,words:array<string>,span:int,least:int>>"
+    sets = [(label, template_words(text), SPAN * template_length(text)) for label, text in templates]
+    known = [F.struct(F.lit(label), F.array(*[F.lit(w) for w in words]), F.lit(span), F.lit(math.ceil(threshold * len(words) - 1e-9))) for label, words, span in sets]
+    held = F.array_distinct(F.flatten("blocks"))
+    asked = F.filter(F.array(*known).cast(kinds), lambda t: F.size(F.array_intersect(t["words"], held)) >= t["least"])
+    at = F.filter(F.transform(F.flatten("lines"), lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(vocabulary))
+    none = F.array().cast("array<struct<at:int,word:string>>")
+
+    def most(t: Column, places: Column) -> Column:
+        """The most different words of the template in a run: the last place of each is kept while it is near."""
+
+        def step(state: Column, x: Column) -> Column:
+            near = F.concat(F.filter(state["near"], lambda y: (y["at"] > x["at"] - t["span"]) & (y["word"] != x["word"])), F.array(x))
+            return F.struct(near.alias("near"), F.greatest(state["most"], F.size(near)).alias("most"))
+
+        mine = F.filter(places, lambda x: F.array_contains(t["words"], x["word"]))
+        return F.aggregate(mine, F.struct(none.alias("near"), F.lit(0).alias("most")), step, lambda state: state["most"])
+
+    best = lambda places: F.transform(asked, lambda t: F.struct(t["label"].alias("label"), t["least"].alias("least"), F.size(t["words"]).alias("size"), most(t, places).alias("most")))
+    met = F.filter(F.flatten(F.transform(F.array(at), best)), lambda m: m["most"] >= m["least"])  # the places are made once a text
+    found = F.transform(met, lambda m: F.struct(m["label"].alias("label"), (m["most"] / m["size"]).alias("containment")))
+    return F.when((F.size("blocks") > 1) & (F.size(asked) > 0), found).otherwise(F.array().cast("array<struct<label:string,containment:double>>"))
+
+
+def prepared(docs: DataFrame, vocabulary: list[str], runs: Column | None = None) -> DataFrame:
+    """doc_id, text_key, n_words, the base phrases' places, and each block's distinct vocabulary words; runs is added as a column."""
     lines = F.transform(F.split("text", "\n", -1), lambda line: F.filter(F.split(line, _GAP + "+", -1), lambda w: w != ""))
     rows = docs.select("doc_id", text_key().alias("text_key"), F.lower(whole_text()).alias("text")).withColumn("lines", lines)
     n_words = F.aggregate("lines", F.lit(0).cast("bigint"), lambda n, line: n + F.size(line))
     blocks = F.filter(F.transform("lines", lambda line: F.array_distinct(F.filter(line, lambda w: w.isin(vocabulary)))), lambda b: F.size(b) > 0)  # one look-up a word
-    rows = rows.select("doc_id", "text_key", "text", n_words.alias("n_words"), blocks.alias("blocks"))
-    return rows.select("doc_id", "text_key", "n_words", _places().alias("places"), "blocks")
+    more = [] if runs is None else ["runs"]
+    rows = rows.select("doc_id", "text_key", "text", n_words.alias("n_words"), blocks.alias("blocks"), *(["lines"] if more else []))
+    rows = rows if runs is None else rows.withColumn("runs", runs)
+    return rows.select("doc_id", "text_key", "n_words", _places().alias("places"), "blocks", *more)
 
 
 def word_order(blocks: DataFrame, vocabulary: list[str]) -> list[str]:
@@ -121,25 +161,29 @@ def found_templates(rows: DataFrame, templates=TEMPLATES, threshold: float = THR
     return met.groupBy("text_key").agg(F.array_sort(F.collect_set("label")).alias("labels"), F.max(F.col("common") / F.col("size")).alias("containment"))
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
     """One row for each row of docs(doc_id, text): n_words, places, labels (arrays) and score.
 
     labels: the base phrases' and the found templates' labels, distinct and sorted;
-    score: the greatest containment, 1 where a base phrase stands, else 0.  A null text
-    is empty.  Equal texts have equal results; other columns are ignored.
+    score: the greatest containment, 1 where a base phrase stands, else 0.  wrapped: also
+    find templates in runs of words across lines.  A null text is empty.  Equal texts have
+    equal results; other columns are ignored.
     """
     vocabulary = sorted({w for _, text in templates for w in template_words(text)})
-    rows = stored(prepared(docs, vocabulary), "blocks")
+    rows = stored(prepared(docs, vocabulary, _runs(vocabulary, templates, threshold) if wrapped else None), "blocks")
     found = stored(found_templates(rows, templates, threshold), "found")
-    out = attached(rows.select("doc_id", "text_key", "n_words", "places"), found, "text_key", "doc_id")
+    runs = [F.col("runs")] if wrapped else []
+    out = attached(rows.select("doc_id", "text_key", "n_words", "places", *runs), found, "text_key", "doc_id")
     base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
-    labels = F.array_sort(F.array_union(base, F.coalesce("labels", F.array().cast("array<string>"))))
-    score = F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce("containment", F.lit(0.0)))
-    return out.select("doc_id", "n_words", "places", base.alias("base_labels"), labels.alias("labels"), score.alias("score"))
+    labels, containment = F.coalesce("labels", F.array().cast("array<string>")), F.coalesce("containment", F.lit(0.0))
+    if wrapped:
+        labels, containment = F.array_union(labels, F.col("runs.label")), F.greatest(containment, F.array_max("runs.containment"))
+    score = F.when(F.size("places") > 0, 1.0).otherwise(containment)
+    return out.select("doc_id", "n_words", "places", base.alias("base_labels"), F.array_sort(F.array_union(base, labels)).alias("labels"), score.alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = scan(read_table(spark, sf_dir, "documents"))
+    found = scan(read_table(spark, sf_dir, "documents"), wrapped=True)
     of = lambda name: F.transform("places", lambda p: p[name])
     return found.select(
         "doc_id",

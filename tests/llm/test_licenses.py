@@ -49,3 +49,35 @@ def test_sql_and_empty_table(spark):
     left, right = rows_of(spark, li.query, li.ORACLE_SQL, "/root/testdata/sf0.001")
     assert left == right
     assert li.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_wrapped_notices(spark, tmp_path):
+    import textwrap
+
+    names = {"mit": 5, "bsd": 10, "lgpl": 2, "mpl": 11}
+    rows = []
+    for label, i in names.items():
+        text = li.TEMPLATES[i][1]
+        rows += [(label, "\n".join(textwrap.wrap(text, 40))), (label, "zz yy\n" + textwrap.fill(text, 70, initial_indent=" * ", subsequent_indent=" * ") + "\nzz"), (label, text.replace(" ", "\n\n"))]
+    words = li.TEMPLATES[10][1].split()
+    rows += [("", "\n".join(("zz " * 9 + w) for w in words)), ("", "\n".join(words[: len(words) // 2])), ("", None)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.labels, r.score) for r in li.query(spark, str(tmp_path)).collect()}
+    for i, (label, _) in enumerate(rows):
+        assert label in got[i][0].split(",") and got[i][1] == (1.0 if label else 0.0), (i, label, got[i])
+    assert all(got[i][0] == "" for i in range(len(rows) - 3, len(rows)))
+
+
+def test_runs_equal_sliding_window(spark):
+    """Runs against every window of words, with the lines' own finds."""
+    want = {}
+    for d, text in [(i, t) for i, (_, t) in enumerate(rows())]:
+        w, more = WORD.findall((text or "").lower())[:3000], set(brute(text)[3])
+        if len([x for x in (text or "").lower().split("\n") if set(WORD.findall(x)) & {v for _, t in li.TEMPLATES for v in li.template_words(t)}]) > 1:
+            for label, t in li.TEMPLATES:
+                t, span = set(li.template_words(t)), li.SPAN * li.template_length(t)
+                more |= {label for k in range(len(w)) if len(set(w[k : k + span]) & t) >= li.THRESHOLD * len(t) - 1e-9}
+        want[d] = sorted(more)
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows())], "doc_id bigint, text string")
+    assert {r.doc_id: r.labels for r in li.scan(df, wrapped=True).collect()} == want
