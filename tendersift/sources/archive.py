@@ -147,8 +147,13 @@ def adapted(rows: DataFrame, source_name: str = "archive", aliases: dict[str, tu
 
 
 def outcomes(rows: DataFrame, ident: str = "transaction_id", digest: str = "row_sha256", order: tuple[str, ...] = ("source_member", "row_seq")) -> DataFrame:
-    """Adds outcome: loaded for the first row of an id, dropped_exact_duplicate for later equal ones, else quarantined."""
-    w = W.partitionBy(ident).orderBy(*order)
+    """Adds outcome: loaded for the first row of an id, dropped_exact_duplicate for later equal ones, else quarantined.
+
+    Rows with problems or without an id are quarantined and no first row; they are dealt over all tasks.
+    """
+    problem = F.col(ident).isNull()
+    if "problems" in rows.columns:
+        problem = problem | F.coalesce(F.size("problems") > 0, F.lit(False))
+    w = W.partitionBy(ident, problem, F.when(problem, F.xxhash64(*order))).orderBy(*order)
     number, first = F.row_number().over(w), F.first(digest).over(w)
-    problem = F.size("problems") > 0 if "problems" in rows.columns else F.lit(False)
     return rows.withColumn("outcome", F.when(problem, "quarantined").when(number == 1, "loaded").when(F.col(digest) == first, "dropped_exact_duplicate").otherwise("quarantined"))

@@ -22,6 +22,13 @@ def test_archive_rows_and_duplicates(spark, tmp_path):
     assert two.outcome == "quarantined" and set(two.problems) == {"action_obligation", "number_of_offers_received"} and str(two.action_date) == "2026-02-01"
 
 
+def test_bad_first_row_leaves_the_next_good_one(spark):
+    data = [("t", "x", 1, ["action_date"]), ("t", "y", 2, []), ("t", "y", 3, []), ("t", "z", 4, []), (None, "x", 5, []), (None, "x", 6, ["transaction_id"])]
+    df = spark.createDataFrame(data, "transaction_id string, row_sha256 string, row_seq int, problems array<string>")
+    got = [r.outcome for r in archive.outcomes(df, order=("row_seq",)).orderBy("row_seq").collect()]
+    assert got == ["quarantined", "loaded", "dropped_exact_duplicate", "quarantined", "quarantined", "quarantined"]
+
+
 def test_unsafe_archives_are_refused(tmp_path):
     path = tmp_path / "b.zip"
     with zipfile.ZipFile(path, "w") as z:
