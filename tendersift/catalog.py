@@ -61,8 +61,8 @@ _FEATURES = ["amount", "offers", "total"]
 def _matrix(df: DataFrame) -> DataFrame:
     """Three features of every transaction; missing values become the median."""
     raw = df.select("transaction_id", "award_id", F.col("action_obligation").cast("double").alias("amount"), F.col("number_of_offers_received").cast("double").alias("offers"), F.col("award_total_obligation").cast("double").alias("total"))
-    middle = raw.agg(F.percentile("offers", F.lit(0.5)), F.percentile("total", F.lit(0.5))).first()
-    return stored(raw.fillna({"offers": middle[0], "total": middle[1]}), "matrix")
+    middle = robust.column_quantiles(raw, ["offers", "total"], (0.5,))
+    return stored(raw.fillna({c: q[0] for c, q in middle.items() if q}), "matrix")
 
 
 def _tail(df: DataFrame) -> DataFrame:

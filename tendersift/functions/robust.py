@@ -90,6 +90,20 @@ def summaries(counts: DataFrame, method: str = "linear") -> DataFrame:
     return found.join(spread, "group").select("group", "size", "least", "q1", "median", "q3", "most", (F.col("q3") - F.col("q1")).alias("iqr"), "mad")
 
 
+def column_quantiles(df: DataFrame, columns: list[str], points: tuple[float, ...]) -> dict[str, list[float] | None]:
+    """The type-7 quantiles of each column's values without nulls, None for a column without values; from counts, so no task holds or orders a whole column."""
+    each = F.array(*[F.struct(F.lit(c).alias("group"), F.col(c).cast("double").alias("value")) for c in columns])
+    counts = df.select(F.inline(each)).filter("value IS NOT NULL").groupBy("group", "value").agg(F.count("*").alias("n"))
+    at = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col("value")))
+    out = []
+    for p in points:
+        place = (F.col("size") - 1) * F.lit(float(p))
+        low, share = at(F.floor(place)), F.max(place - F.floor(place))
+        out.append(low + (F.coalesce(at(F.floor(place) + 1), low) - low) * share)
+    found = {r.group: r.q for r in running_counts(stored(counts, "value-counts"), ["group"]).groupBy("group").agg(F.array(*out).alias("q")).collect()}  # one row for each column
+    return {c: found.get(c) for c in columns}
+
+
 def _others(name: str, own: Column) -> Column:
     """The quantile without the value own, or of all if own is null, from the statistics of the whole group."""
     x0, x1, x2, w = (F.col(f"{name}_{k}") for k in (0, 1, 2, "w"))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendersift.functions.robust import compare, running_counts
+from tendersift.functions.robust import column_quantiles, compare, running_counts
 from tendersift.storage import stored
 
 IDENT = ["transaction_id", "award_id"]
@@ -34,7 +34,7 @@ def float_exactness(df: DataFrame, features: list[str]) -> DataFrame:
 
 def fit_preprocessor(training: DataFrame, features: list[str], low: float = 0.25, high: float = 0.75) -> dict[str, tuple[float, float]]:
     """Median and quantile range of each feature's observed training values; an error where a range is 0."""
-    row = training.agg(*[F.percentile(F.col(f).cast("double"), F.array(F.lit(low), F.lit(0.5), F.lit(high))).alias(f) for f in features]).first()
+    row = column_quantiles(training, features, (low, 0.5, high))
     out = {}
     for f in features:
         if row[f] is None or row[f][2] == row[f][0]:

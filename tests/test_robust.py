@@ -46,3 +46,21 @@ def test_against_brute_force(spark):
     for r in robust.compare(targets, counts, ["id"]).collect():
         want = brute(groups[r.group], r.value, own[r.group, r.id])
         assert all(same(r[n], w) for n, w in zip(NAMES, want, strict=True)), (r, want)
+
+
+def test_column_quantiles_use_no_whole_column_buffer(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from tendersift.operators import detectors
+
+    def refused(*_):
+        raise AssertionError("percentile merges all distinct values in one task")
+
+    monkeypatch.setattr(F, "percentile", refused)
+    rnd = random.Random(3)
+    x = [rnd.choice([rnd.random(), rnd.random() * 1e6, -rnd.random(), 0.5]) for _ in range(501)]
+    df = spark.createDataFrame([(v, None if i % 3 else v, None) for i, v in enumerate(x)], "a double, b double, c double")
+    got = robust.column_quantiles(df, ["a", "b", "c"], (0.25, 0.5, 0.75))
+    for c, values in (("a", x), ("b", x[::3])):
+        assert all(same(g, quantile(values, p)) for g, p in zip(got[c], (0.25, 0.5, 0.75), strict=True))
+    assert got["c"] is None
+    assert same(detectors.fit_preprocessor(df, ["a"])["a"][0], quantile(x, 0.5))
