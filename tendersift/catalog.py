@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tendersift.functions import robust
 from tendersift.operators import amount, assemble, award_change, competition, competition_evidence, detectors, explanation, identity, lifecycle, peers, quality, review, vendor
 from tendersift.plans import statements as sql
+from tendersift.plans.config import ForestRun, ReviewPlan
+from tendersift.plans.run import run
 from tendersift.sources import archive, export
 from tendersift.sources.canonical import canonical
 from tendersift.storage import stored
@@ -89,24 +91,32 @@ def _spearman(df: DataFrame) -> DataFrame:
     return detectors.spearman(matrix.withColumnRenamed("amount", "mid"), matrix.withColumnRenamed("total", "mid"))
 
 
-def _runs(df: DataFrame) -> dict[str, DataFrame]:
-    """The ensemble of the tail detector with each of two isolation forests."""
-    matrix = _matrix(df)
-    ready = stored(detectors.preprocessed(matrix, detectors.fit_preprocessor(matrix, _FEATURES)), "preprocessed")
-    tail = stored(detectors.calibrated(*[detectors.tail_scores(ready, ready, _FEATURES)] * 2), "tail-calibrated")
-    out = {}
-    for seed in (11, 29):
-        forest = detectors.fit_forest(ready, _FEATURES, trees=32, seed=seed)
-        scores = stored(detectors.forest_scores(ready, forest, _FEATURES), "forest")
-        out[f"forest{seed}"] = stored(detectors.ensemble({"tail": tail, "forest": detectors.calibrated(scores, scores)}, {"tail": 0.5, "forest": 0.5}), "ensemble")
-    return out
+#: The registered review: features of all five families, two forests.
+PLAN = ReviewPlan(
+    features=(
+        "amount_signed_position",
+        "amount_magnitude_modified_z",
+        "amount_same_direction_magnitude_position",
+        "vendor_share_identified_new_awards",
+        "vendor_share_of_largest_observed_winner",
+        "vendor_win_count_position",
+        "competition_offers_received",
+        "competition_context_missing_core_field_deviation",
+        "competition_context_noncompetitive_process_deviation",
+        "competition_context_single_offer_deviation",
+        "award_change_gross_ratio_position",
+        "award_change_modification_count_position",
+        "award_change_modification_rate_modified_z",
+        "award_change_net_ratio_modified_z",
+    ),
+    forests=(ForestRun("forest11", 11, 32, primary=True), ForestRun("forest29", 29, 32)),
+)
 
 
 def _review_queue(df: DataFrame) -> DataFrame:
     """The first forest is the primary run; the second only tells how stable the scores are."""
-    runs = _runs(df)
-    queue = review.top_n(review.scored(runs["forest11"]), 100, "deterministic_identity")
-    return queue.join(detectors.stability(runs).withColumnRenamed("median", "stability_median"), ["transaction_id", "award_id"])
+    done = run(df, PLAN)
+    return done.decisions.join(done.stability.withColumnRenamed("median", "stability_median"), ["transaction_id", "award_id"])
 
 
 def _queue_report(df: DataFrame) -> DataFrame:
@@ -129,11 +139,10 @@ def _facts(df: DataFrame) -> DataFrame:
 
 def _explained_queue(df: DataFrame) -> DataFrame:
     """The review queue's flagged rows with the summary of each."""
-    runs = _runs(df)
-    queue = review.top_n(stored(review.scored(runs["forest11"]), "review-scores"), 100, "deterministic_identity").filter("flagged")
-    cells = stored(assemble.cells(df), "cells")
+    done = run(df, PLAN)
+    cells = stored(done.cells, "cells")
     counts = cells.groupBy("transaction_id").agg((F.count("value") / F.count("*")).alias("completeness"))
-    out = explanation.explained(queue, counts, explanation.facts(cells, ["amount_signed_position", *sql.EXPLAINED]), detectors.stability(runs))
+    out = explanation.explained(done.decisions.filter("flagged"), counts, explanation.facts(cells, ["amount_signed_position", *sql.EXPLAINED]), done.stability)
     return out.select("transaction_id", "award_id", "summary", F.col("facts.narrative").alias("facts"))
 
 

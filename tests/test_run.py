@@ -1,6 +1,7 @@
 """Explanations, header profiles, the manifest and the plan of a run."""
 
 import pytest
+from pyspark.sql import functions as F
 from tendersift.operators import explanation
 from tendersift.plans.config import ForestRun, ReviewPlan
 from tendersift.sources import manifest, profiles
@@ -73,3 +74,21 @@ def test_plans_are_checked():
     for how in wrong:
         with pytest.raises(ValueError):
             ReviewPlan(**({"features": ("amount",), "forests": runs} | how))
+
+
+def test_a_run_flags_what_is_extreme_among_peers_only(spark, monkeypatch, tmp_path):
+    from tendersift.operators import assemble
+    from tendersift.plans import run as review_run
+
+    data = [(f"t{i:03}", "w", 100.0, float(i % 7), float(i % 5) if i % 4 else None, None) for i in range(120)] + [("odd", "w", 100.0, 90.0, 70.0, None)]
+    rows = spark.createDataFrame(data, "transaction_id string, award_id string, action_obligation double, amount_z double, vendor_share double, amount__reason string").withColumn("vendor__reason", F.lit(None).cast("string"))
+    monkeypatch.setattr(assemble, "wide", lambda df: (rows, {"amount": ["amount_z"], "vendor": ["vendor_share"]}))
+    plan = ReviewPlan(("amount_z", "vendor_share"), (ForestRun("one", 1, 8, 64, primary=True), ForestRun("two", 2, 8, 64)), top=1)
+    done = review_run.run(rows, plan)
+    assert [r.transaction_id for r in done.decisions.filter("flagged").collect()] == ["odd"]
+    assert done.stability.count() == 121 and done.cells.count() == 242
+    evidence = review_run.write(rows, done, plan, str(tmp_path))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == spark.read.json(str(tmp_path / "json")).count() == 121
+    assert evidence.final == ("decisions",)
+    with pytest.raises(ValueError, match="no such features: total"):
+        review_run.run(rows, ReviewPlan(("total",), plan.forests))
