@@ -1,19 +1,23 @@
 """Contract transactions from archives of delimited text.
 
-The driver inspects an archive and copies its members to the shared folder; Spark reads
-them as text columns, binds them to canonical fields by literal header aliases and
-parses them.  Nothing is inferred.
+The driver inspects an archive; executors, which must see it, unpack a member each into
+the shared folder, cut at record ends.  Spark reads the pieces as text columns, binds them
+to canonical fields by literal header aliases and parses them.  Nothing is inferred.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+import itertools
+import os
 import re
-import shutil
+import sys
+import uuid
 import zipfile
+from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path, PurePosixPath
+from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -26,6 +30,10 @@ from tendersift.storage import shared_dir
 DELIMITERS = {".csv": ",", ".tsv": "\t", ".txt": "|"}
 
 
+#: Bytes after which a piece of a member ends with its record.
+PIECE_BYTES = 64 << 20
+
+
 @dataclass(frozen=True)
 class Budget:
     members: int = 512
@@ -65,29 +73,67 @@ def header(line: str, delimiter: str, budget: Budget = Budget()) -> list[str]:
     return names
 
 
-def read_archive(spark: SparkSession, path: str, budget: Budget = Budget()) -> DataFrame:
+def _records(lines: Iterator[str], delimiter: str) -> Iterator[str]:
+    """The lines of each record; a quoted line end ends none."""
+    csv.field_size_limit(sys.maxsize)
+    mine: list[str] = []
+
+    def kept() -> Iterator[str]:
+        for line in lines:
+            mine.append(line)
+            yield line
+
+    for _ in csv.reader(kept(), delimiter=delimiter):
+        yield "".join(mine)
+        mine.clear()
+
+
+def _unpacked(path: str, name: str, delimiter: str, out: str, piece: int) -> str:
+    """Writes a member's records to numbered files of about piece bytes in out, each below the header; returns the header.
+
+    Bytes are kept as they are (latin-1 maps each to a letter); reading to the end checks the CRC.
+    """
+    os.makedirs(out)
+    with zipfile.ZipFile(path) as z, io.TextIOWrapper(z.open(name), "latin-1", newline="") as src:
+        rows = _records(iter(src), delimiter)
+        head = next(rows, "").encode("latin-1").decode("utf-8-sig")
+        row = next(rows, None)
+        for number in itertools.count():
+            with open(f"{out}/{number:08}", "wb") as dst:
+                dst.write(head.encode())
+                left = piece
+                while row is not None and left > 0:
+                    dst.write(row.encode("latin-1"))
+                    left -= len(row)
+                    row = next(rows, None)
+            if row is None:
+                break
+    return head
+
+
+def read_archive(spark: SparkSession, path: str, budget: Budget = Budget(), piece: int = PIECE_BYTES) -> DataFrame:
     """All rows of all members as text, with source_member and row_seq (ascending within a member).
 
     Members without a column have nulls in it.  A row with more or fewer cells than its header is an error when it is read.
     """
-    target, frames = f"{shared_dir(spark).removeprefix('file:')}/archive", []
-    with zipfile.ZipFile(path) as z:
-        for i, m in enumerate(inspected(path, budget)):
-            suffix = PurePosixPath(m.filename).suffix.lower()
-            out = Path(target) / f"{Path(path).stem}-{i}{suffix}"
-            out.parent.mkdir(parents=True, exist_ok=True)
-            with z.open(m) as src, out.open("wb") as dst:  # checks the member's CRC
-                shutil.copyfileobj(src, dst, 1 << 20)
-            with out.open(encoding="utf-8-sig") as f:
-                names = header(f.readline(), DELIMITERS[suffix], budget)
-            schema = ", ".join(f"`{n}` string" for n in names)
-            rows = spark.read.csv(str(out), schema=schema, sep=DELIMITERS[suffix], header=True, enforceSchema=True, quote='"', escape='"', multiLine=True, mode="FAILFAST", encoding="UTF-8")
-            frames.append(rows.withColumns({"source_member": F.lit(m.filename), "row_seq": F.monotonically_increasing_id()}))
-    if not frames:
+    path, target = os.path.abspath(path), f"{shared_dir(spark).removeprefix('file:')}/archive-{uuid.uuid4().hex}"
+    members = [(m.filename, DELIMITERS[PurePosixPath(m.filename).suffix.lower()]) for m in inspected(path, budget)]
+    if not members:
         raise ArchiveError("the archive holds no table")
-    whole = frames[0]
-    for f in frames[1:]:
-        whole = whole.unionByName(f, allowMissingColumns=True)
+
+    def unpack(member: tuple[int, tuple[str, str]]) -> tuple[int, str, str]:
+        i, (name, delimiter) = member
+        out = f"{target}/{i}-{uuid.uuid4().hex}"  # each attempt has its own
+        return i, out, _unpacked(path, name, delimiter, out, piece)
+
+    whole = None
+    for i, out, head in sorted(spark.sparkContext.parallelize(list(enumerate(members)), len(members)).map(unpack).collect()):
+        name, delimiter = members[i]
+        schema = ", ".join(f"`{n}` string" for n in header(head, delimiter, budget))
+        rows = spark.read.csv(out, schema=schema, sep=delimiter, header=True, enforceSchema=True, quote='"', escape='"', multiLine=True, mode="FAILFAST", encoding="UTF-8")
+        place = F.shiftleft(F.regexp_extract("_metadata.file_path", r"(\d+)$", 1).cast("bigint"), 33)  # a piece is read by one task, in order
+        rows = rows.withColumns({"source_member": F.lit(name), "row_seq": place + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+        whole = rows if whole is None else whole.unionByName(rows, allowMissingColumns=True)
     return whole
 
 

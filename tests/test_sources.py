@@ -22,6 +22,22 @@ def test_archive_rows_and_duplicates(spark, tmp_path):
     assert two.outcome == "quarantined" and set(two.problems) == {"action_obligation", "number_of_offers_received"} and str(two.action_date) == "2026-02-01"
 
 
+def test_archives_of_one_name_and_many_pieces(spark, tmp_path):
+    made = []
+    for year in ("2023", "2024"):
+        (tmp_path / year).mkdir()
+        with zipfile.ZipFile(tmp_path / year / "data.zip", "w") as z:
+            z.writestr("a.csv", "id,note\r\n" + "".join(f'{year}-{i},"é ""x""\n{i}, y"\r\n{year}-{i}b,5" pipe\r\n' for i in range(200)))
+            z.writestr("empty.csv", "id,note\n")
+        made.append(archive.read_archive(spark, str(tmp_path / year / "data.zip"), piece=300))
+    got = made[0].union(made[1]).collect()
+    assert len({r.id for r in got}) == len(got) == 800 and made[0].rdd.getNumPartitions() > 1
+    for year, df in zip(("2023", "2024"), made, strict=True):
+        rows = sorted(df.collect(), key=lambda r: r.row_seq)
+        assert [(r.id, r.note) for r in rows] == [x for i in range(200) for x in ((f"{year}-{i}", f'é "x"\n{i}, y'), (f"{year}-{i}b", '5" pipe'))]
+        assert len({r.row_seq for r in rows}) == 400
+
+
 def test_bad_first_row_leaves_the_next_good_one(spark):
     data = [("t", "x", 1, ["action_date"]), ("t", "y", 2, []), ("t", "y", 3, []), ("t", "z", 4, []), (None, "x", 5, []), (None, "x", 6, ["transaction_id"])]
     df = spark.createDataFrame(data, "transaction_id string, row_sha256 string, row_seq int, problems array<string>")
