@@ -8,6 +8,7 @@ hits inside them.  The sum of the hits is normalised by the square root of the l
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,8 +25,8 @@ from tendersift.llm.quality import acceptance_cut
 
 #: At most so many labelled texts are used, those with the smallest hash.
 LABELS = 20_000
-#: Candidates for the lexicon that are compared, and the least number of toxic texts a member must add.
-CANDIDATES, LEAST = 2_000, 3
+#: The least number of toxic texts that an entry of the lexicon must add.
+LEAST = 3
 #: Log of the ratio of shares from which a word speaks for toxicity.
 LEAST_WEIGHT = 1.6
 #: Different entries that a toxic text should hold.
@@ -183,26 +184,33 @@ def _cover(names: list[str], weights: np.ndarray, rows: list[tuple[int, list[int
     Of a word's beginnings and the word itself only the first chosen is taken, so a text is covered by different words.
     """
     toxic = [f for label, f in rows if label]
-    holders: dict[int, set[int]] = {}
+    holders: dict[int, list[int]] = {}
     for i, features in enumerate(toxic):
         for f in features:
-            holders.setdefault(f, set()).add(i)
-    need, chosen = [WANTED] * len(toxic), []
-    while holders:
-        best = max(holders, key=lambda f: (len(holders[f]) * weights[f], len(names[f]), -f))
-        mine = holders.pop(best)
-        if len(mine) >= LEAST:
-            chosen.append(best)
-            done = set()
-            for i in mine:
+            holders.setdefault(f, []).append(i)
+    need, chosen, taken, beginnings = [WANTED] * len(toxic), [], set(), set()
+    gains = {f: len(h) for f, h in holders.items()}
+    order = lambda f: (-gains[f] * weights[f], -len(names[f]), f)
+    queue = [order(f) for f in holders]
+    heapq.heapify(queue)
+    while queue:  # gains only fall, so the first whose order still holds is the best
+        top = heapq.heappop(queue)
+        f = top[2]
+        related = names[f] in beginnings or any(names[f][:k] in taken for k in range(1, len(names[f]) + 1))
+        if gains[f] < LEAST or related:
+            continue
+        if (now := order(f)) != top:
+            heapq.heappush(queue, now)
+            continue
+        chosen.append(f)
+        taken.add(names[f])
+        beginnings |= {names[f][:k] for k in range(1, len(names[f]) + 1)}
+        for i in holders[f]:
+            if need[i]:
                 need[i] -= 1
-                if need[i] == 0:
-                    done.add(i)
-            if done:
-                for h in holders.values():
-                    h -= done
-        related = lambda f: names[f].startswith(names[best]) or names[best].startswith(names[f])  # noqa: B023, E731
-        holders = {f: h for f, h in holders.items() if len(h) >= LEAST and not related(f)}
+                if not need[i]:
+                    for g in toxic[i]:
+                        gains[g] -= 1
     return chosen
 
 
@@ -221,13 +229,13 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LABELS, exceptions: t
     if sizes.get(0) and sizes.get(1):
         counts = train.mapInArrow(_feature_counts, "feature string, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         weight = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1.0))
-        best = counts.withColumn("weight", weight).filter((F.col("toxic") >= LEAST) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.desc(F.col("toxic") * F.col("weight")), "feature").limit(CANDIDATES).collect()
+        best = counts.withColumn("weight", weight).filter((F.col("toxic") >= LEAST) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.desc(F.col("toxic") * F.col("weight")), "feature").collect()  # bounded by the label sample
         names, weights = [r.feature for r in best], np.array([r.weight for r in best])
         shared = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
         rows = [(r.toxic, r.features) for r in train.mapInArrow(_chosen(shared), "toxic int, features array<int>").filter("toxic = 1").collect()]
         lexicon.weights = {names[i]: float(weights[i]) for i in _cover(names, weights, rows)}
         found = train.mapInArrow(_phrases(spark.sparkContext.broadcast(lexicon)), "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
-        lexicon.exceptions += [r.phrase for r in found.filter((F.col("toxic") == 0) & (F.col("n") >= LEAST)).orderBy(F.desc("n"), "phrase").limit(CANDIDATES).collect()]
+        lexicon.exceptions += [r.phrase for r in found.filter((F.col("toxic") == 0) & (F.col("n") >= LEAST)).orderBy(F.desc("n"), "phrase").collect()]
         pairs = [(r.strength, r.toxic) for r in train.mapInArrow(_strengths(spark.sparkContext.broadcast(lexicon)), "toxic int, strength double").collect()]
         cut = acceptance_cut(pairs)
         lexicon.cut = cut if np.isfinite(cut) and cut > 0 else lexicon.cut

@@ -37,3 +37,15 @@ def test_odd_rows(spark):
     assert got == {(1, 0), (None, 1), (2, 0), (3, 2)}
     assert tx.with_scores(docs, tx.Lexicon({}), "s").filter("s = 0").count() == 5
     assert tx.scored(docs.limit(0), labels).count() == 0
+
+
+def test_rare_toxic_words_are_learned(spark):
+    """More candidates than 2,000: each of 900 words stands in three toxic texts only."""
+    letters = "bcdfghjklm"
+    word = lambda i: "".join(letters[int(d)] for d in f"{i:03}") + "aquoz"
+    toxic = [f"{word(i)} t{'abc'[k]}{word(i)[:3]}" for i in range(900) for k in range(3)]
+    rows = [(i, t, 1) for i, t in enumerate(toxic)] + [(5000 + i, f"plain {'abcdefgh'[i % 8]}{word(i % 900)[:3]}x", 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    lexicon = tx.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    automaton = lexicon.automaton()
+    assert all(tx.hits(automaton, tx.folded(t)) for t in toxic)
