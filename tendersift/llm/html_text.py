@@ -1,9 +1,12 @@
-"""Main text of web pages by minimum-cut labelling of their text blocks.
-
-A page becomes a chain of text blocks.  A linear classifier over tags, names, link
-density and length gives each block a cost for either label, which become the
-capacities to the two terminals; neighbours in the page and in the DOM are joined by
-smoothness edges.  The minimum cut labels the blocks as content or boilerplate.
+"""Main text of web pages by minimum-cut labelling of text blocks and page regions.
+
+A page becomes a chain of text blocks.  A linear classifier over length, link density,
+headings and sentence ends gives each block a cost for either label.  Elements whose tag or names
+speak for an article or for boilerplate are regions: nodes of their own with a cost that
+grows with the blocks in them.  The costs become the capacities to the two terminals.
+Smoothness edges join blocks that are neighbours in the page or in the DOM, each block
+to the region it stands in, and each region to the one around it.  The minimum cut
+labels all nodes; the text is that of the content blocks.
 """
 
 from __future__ import annotations
@@ -20,10 +23,15 @@ from pyspark.sql import functions as F
 
 from tendersift.llm.common import free_name, read_table
 
-#: Weights of the classifier; a positive sum speaks for content.
-WEIGHTS = {"bias": -1.5, "words": 0.8, "article": 6.0, "outside": -4.0, "bad": -14.0, "links": -4.0, "sentence": 0.5, "rights": -3.0}
-#: Capacity between neighbours one DOM step apart, and between blocks of one parent.
-NEAR, SIBLING = 1.2, 0.6
+#: Weights of the classifier of blocks; a positive sum speaks for content.
+WEIGHTS = {"bias": -1.5, "words": 0.8, "links": -4.0, "sentence": 0.5, "heading": 1.5, "rights": -3.0}
+#: Evidence of a region, for each of its blocks and once more: good and bad tags and names, and blocks outside all regions of a page that has an article.
+GOOD_TAG, GOOD_NAME, BAD_TAG, BAD_NAME, OUTSIDE = 5.0, 3.0, -10.0, -10.0, -2.0
+#: Capacity between neighbours one DOM step apart, blocks of one parent, a block and its region, a region and the next one around it.
+NEAR, SIBLING, INSIDE, NESTED = 1.2, 0.6, 5.0, 1.0
+BORDER = 4
+#: A region with this share of the page's words outside links holds the page rather than a part of it.
+MOST = 0.5
 
 _RAW = "script|style|title|textarea|iframe|xmp|noembed|noframes"
 _TOKEN = re.compile(
@@ -32,7 +40,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b|(display\s*:\s*none)""", re.I)
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr input nobr".split())
@@ -43,38 +51,56 @@ _BAD_NAMES = frozenset(
     " share sharing social related recommended recommendations newsletter subscribe signup login search searchform pager pagination widget widgets skip form complementary contentinfo".split()
 )
 _GOOD_NAMES = frozenset("article articlebody content post entry story main".split())
+#: A name with one of these says how the page is laid out or set, not what the element is: with-sidebar, comment-open.
+_SETTINGS = frozenset("with has have no without is not open opened closed enabled disabled allowed on off layout supported free count".split())
+_HEADINGS = frozenset("h1 h2 h3 h4".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _STOPS = frozenset("html body div section article main table ul ol dl td th aside nav header footer form blockquote".split())
 _RIGHTS = re.compile(r"^\s*(?:©|\(c\)|copyright\b)|\ball rights reserved\b", re.I)
 
 
 class Block:
-    __slots__ = ("text", "path", "bad", "article", "words", "linked")
+    __slots__ = ("text", "path", "region", "words", "linked", "heading")
 
-    def __init__(self, text: str, path: tuple[int, ...], bad: bool, article: bool, words: int, linked: int):
-        self.text, self.path, self.bad, self.article, self.words, self.linked = text, path, bad, article, words, linked
+    def __init__(self, text: str, path: tuple[int, ...], region: int, words: int, linked: int, heading: bool):
+        self.text, self.path, self.region, self.words, self.linked, self.heading = text, path, region, words, linked, heading
 
 
-def _judged(tag: str, attributes: str, bad: bool, article: bool) -> tuple[bool, bool]:
-    """Whether an element stands in boilerplate, and in an article, by its names and what it stands in."""
-    names: set[str] = set()
-    if attributes:
-        for m in _ATTRIBUTE.finditer(attributes):
-            if m[5] or m[6]:
-                names.add("hidden")
-            else:
-                names.update(_NAME.findall((m[2] or m[3] or m[4] or "").lower()))
-    if tag not in ("html", "body", "main"):
-        bad = bad or tag in _BAD_TAGS or "hidden" in names or not names.isdisjoint(_BAD_NAMES)
-        bad = bad or not article and (tag == "header" or "header" in names)
-    article = article or tag in ("article", "main") or bool(names & _GOOD_NAMES) and tag not in ("html", "body")
-    return bad, article
+class Region:
+    __slots__ = ("above", "tag", "good", "bad", "first", "prose")
+
+    def __init__(self, above: int, tag: str, good: float, bad: float):
+        self.above, self.tag, self.good, self.bad, self.first, self.prose = above, tag, good, bad, False, 0
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order; inline tags don't end a block, all other tags do."""
+def _evidence(tag: str, attributes: str, in_article: bool) -> tuple[float, float]:
+    """What an element's tag and names say for an article, and for boilerplate; 0 if nothing."""
+    good, bad = GOOD_TAG * (tag in ("article", "main")), BAD_TAG * (tag in _BAD_TAGS)
+    if tag == "header" and not in_article:
+        bad = BAD_TAG
+    for m in _ATTRIBUTE.finditer(attributes or ""):
+        if m[5] or m[6]:
+            bad = BAD_NAME
+            continue
+        for name in (m[2] or m[3] or m[4] or "").split():
+            pieces = {x.lower() for x in _NAME.findall(name)}
+            if pieces & _SETTINGS:
+                continue
+            if pieces & _BAD_NAMES or "header" in pieces and not in_article:
+                bad = BAD_NAME
+            elif pieces & _GOOD_NAMES:
+                good = max(good, GOOD_NAME)
+    return (0.0, 0.0) if tag in ("html", "body") else (good, bad)
+
+
+def blocks(page: str) -> tuple[list[Block], list[Region]]:
+    """The text blocks of a page in order, and its regions; inline tags don't end a block, all other tags do.
+
+    Region 0 stands for what is outside all others.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    regions, first = [Region(-1, "", 0.0, 0.0)], {}
+    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
     parts: list[str] = []
     serial, in_link, linked, at = 0, 0, 0, 0
 
@@ -84,7 +110,8 @@ def blocks(page: str) -> list[Block]:
         if text:
             size = text.count(" ") + 1
             home = [x for x in stack if x[0] not in _INLINE]
-            out.append(Block(text, tuple(x[1] for x in home), stack[-1][2], stack[-1][3], size, min(size, linked)))
+            out.append(Block(text, tuple(x[1] for x in home), stack[-1][2], size, min(size, linked), home[-1][0] in _HEADINGS))
+            regions[stack[-1][2]].prose += size - min(size, linked)
         parts.clear()
         linked = 0
 
@@ -130,26 +157,59 @@ def blocks(page: str) -> list[Block]:
                     break
             in_link = sum(x[0] == "a" for x in stack)
         serial += 1
-        bad, article = _judged(tag, m[4] or m[7], stack[-1][2], stack[-1][3])
-        stack.append((tag, serial, bad, article))
+        region, in_article = stack[-1][2], stack[-1][3]
+        good, bad = _evidence(tag, m[4] or m[7], in_article)
+        if good or bad:
+            regions.append(Region(region, tag, good, bad))
+            region = len(regions) - 1
+        if tag in ("article", "main", "h1"):
+            first.setdefault("h1" if tag == "h1" else "article", region)
+        stack.append((tag, serial, region, in_article or good > 0))
         in_link += tag == "a"
     if at < len(page):
         add(page[at:])
     flush()
-    return out
-
-
-def cost(b: Block, has_article: bool) -> float:
+    r = first.get("article", first.get("h1", -1))
+    while r >= 0:  # the regions around the page's first article, else around its first h1
+        regions[r].first = True
+        r = regions[r].above
+    if not first:
+        for x in regions:
+            x.first = x.tag == "form"
+    for x in reversed(regions[1:]):
+        regions[x.above].prose += x.prose
+    return out, regions
+
+
+def evidence(found: list[Block], regions: list[Region]) -> tuple[list[float], list[int]]:
+    """The evidence of each region, and the region that each one's blocks count for: itself, or the next one around it that has evidence.
+
+    The names of a region that holds most of the page and its first article (first h1, if
+    it has none) are those of a page's layout and count no more, and so does a form that
+    holds most of a page with neither.  Signs of an article inside of boilerplate are void.
+    """
+    value, home = [0.0], [0]
+    whole = regions[0].prose
+    for i, r in enumerate(regions[1:], 1):
+        bad = 0.0 if r.first and r.prose >= MOST * whole else r.bad
+        good = 0.0 if value[home[r.above]] < 0 else r.good
+        value.append(good + bad)
+        home.append(i if good + bad else home[r.above])
+    if any(value[home[b.region]] > 0 for b in found):
+        value[0] = OUTSIDE
+    return value, home
+
+
+def cost(b: Block) -> float:
     """The classifier's sum for a block: above 0 for content."""
     w = WEIGHTS
     sum_ = w["bias"] + w["words"] * math.log1p(b.words) + w["links"] * b.linked / b.words
-    sum_ += w["article"] * b.article + w["bad"] * b.bad + w["outside"] * (has_article and not b.article)
-    sum_ += w["sentence"] * (b.text[-1] in ".!?") + (w["rights"] if _RIGHTS.search(b.text) and b.words < 40 else 0.0)
-    return sum_
+    sum_ += w["heading"] * (b.heading and not b.linked) + w["sentence"] * (b.text[-1] in ".!?")
+    return sum_ + (w["rights"] if b.words < 40 and _RIGHTS.search(b.text) else 0.0)
 
 
-def _edges(found: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: to the next block by DOM distance, and to the last block of the same parent."""
+def _edges(found: list[Block], homes: list[int]) -> list[tuple[int, int, float]]:
+    """Smoothness edges of blocks: to the next one by DOM distance (a region's border counts as BORDER steps), and to the last one of the same parent and region."""
     out, last = [], {}
     for i, b in enumerate(found):
         if i:
@@ -159,19 +219,39 @@ def _edges(found: list[Block]) -> list[tuple[int, int, float]]:
                 if x != y:
                     break
                 same += 1
-            out.append((i - 1, i, NEAR / (1 + len(a) + len(b.path) - 2 * same)))
-        parent = b.path[:-1]
+            out.append((i - 1, i, NEAR / (1 + len(a) + len(b.path) - 2 * same + BORDER * (homes[i - 1] != homes[i]))))
+        parent = (b.path[:-1], homes[i])
         if parent in last:
             out.append((last[parent], i, SIBLING))
         last[parent] = i
     return out
 
 
+def graph(found: list[Block], regions: list[Region]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Costs and edges: first the blocks, then the regions that have evidence."""
+    value, home = evidence(found, regions)
+    homes = [home[b.region] for b in found]
+    costs, edges, node, held = [cost(b) for b in found], _edges(found, homes), {}, [0] * len(regions)
+    for h in homes:
+        held[h] += 1
+    for i, v in enumerate(value):
+        if v and held[i]:
+            node[i] = len(costs)
+            costs.append(v * (1 + held[i]))
+    edges += [(j, node[h], INSIDE) for j, h in enumerate(homes) if h in node]
+    for i in node:
+        above = home[regions[i].above] if i else -1
+        if above in node:
+            edges.append((node[i], node[above], NESTED))
+    return costs, edges
+
+
 def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels with the least sum of costs of wrong labels and of cut edges; True stands for costs above 0.
 
     A node whose cost exceeds all its edges keeps its sign; its edges move to the
-    terminals of its neighbours.  Shortest augmenting paths find the flow for the rest.
+    terminals of its neighbours.  For the rest all shortest augmenting paths of one length
+    are filled at once, so long pages need few rounds.
     """
     n, near = len(costs), [[] for _ in costs]
     for i, j, c in edges:
@@ -205,44 +285,62 @@ def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[boo
             if label[j] is None:
                 flow[i][j] = flow[i].get(j, 0.0) + c
     while True:
-        came, queue = {source: source}, deque([source])
-        while queue and sink not in came:
+        depth, queue = {source: 0}, deque([source])
+        while queue:
             i = queue.popleft()
             for j, c in flow[i].items():
-                if c > 1e-12 and j not in came:
-                    came[j] = i
+                if c > 1e-12 and j not in depth:
+                    depth[j] = depth[i] + 1
                     queue.append(j)
-        if sink not in came:
+        if sink not in depth:
             break
-        path, j = [], sink
-        while j != source:
-            path.append((came[j], j))
-            j = came[j]
-        most = min(flow[i][j] for i, j in path)
-        for i, j in path:
-            flow[i][j] -= most
-            flow[j][i] = flow[j].get(i, 0.0) + most
+        arcs, at = {i: [j for j in flow[i] if depth.get(j) == depth[i] + 1] for i in depth}, dict.fromkeys(depth, 0)
+        path = [source]
+        while path:
+            i = path[-1]
+            if i == sink:
+                steps = list(zip(path, path[1:], strict=False))
+                most = min(flow[a][b] for a, b in steps)
+                for a, b in steps:
+                    flow[a][b] -= most
+                    flow[b][a] = flow[b].get(a, 0.0) + most
+                del path[next(k for k, (a, b) in enumerate(steps) if flow[a][b] <= 1e-12) + 1 :]
+                continue
+            mine = arcs[i]
+            while at[i] < len(mine) and flow[i][mine[at[i]]] <= 1e-12:
+                at[i] += 1
+            if at[i] < len(mine):
+                path.append(mine[at[i]])
+            else:
+                path.pop()
+                if path:
+                    at[path[-1]] += 1
     for i in open_:
-        label[i] = i in came
+        label[i] = i in depth
     return label
 
 
+def labelled(page: str) -> list[tuple[Block, bool, bool]]:
+    """Each block of a page, whether it is content, and whether its own cost says so."""
+    found, regions = blocks(page)
+    costs, edges = graph(found, regions)
+    return [(b, keep, c > 0) for b, keep, c in zip(found, min_cut(costs, edges), costs, strict=False)]
+
+
 def main_text(page: str) -> str:
     """The content blocks of a page, joined by line ends."""
-    found = blocks(page)
-    has_article = any(b.article and not b.bad for b in found)
-    labels = min_cut([cost(b, has_article) for b in found], _edges(found))
-    return "\n".join(b.text for b, keep in zip(found, labels, strict=True) if keep)
+    return "\n".join(b.text for b, keep, _ in labelled(page) if keep)
 
 
 def extracted(pages: DataFrame, source: str = "html", text: str = "text") -> DataFrame:
     """pages with the main text of each whole page in the column text.
 
-    Null and empty pages, and pages without content, give the empty text.  Other
-    columns stay as they are; repeated rows give equal texts.
+    Null and empty pages, and pages without content, give the empty text.  A column of
+    pages that has the result's name (in any case) is replaced, all others stay as they
+    are; repeated rows give equal texts, and no page none.
     """
     page = free_name(pages, "page_html")
-    rows = pages.withColumn(page, F.coalesce(F.col(source).cast("string"), F.lit("")))
+    rows = pages.withColumn(page, F.coalesce(F.col(source).cast("string"), F.lit(""))).drop(text)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,27 @@ def test_cut_is_the_least_of_all_labellings():
         assert abs(price(ht.min_cut(costs, edges)) - best) < 1e-9
 
 
+def brute_text(page):
+    """The text by the least of all labellings of the page's graph."""
+    found, regions = ht.blocks(page)
+    costs, edges = ht.graph(found, regions)
+    assert len(costs) <= 15
+    price = lambda x: sum(abs(c) for c, y in zip(costs, x, strict=True) if y != (c > 0)) + sum(c for i, j, c in edges if x[i] != x[j])
+    best = min(itertools.product([False, True], repeat=len(costs)), key=price)
+    return "\n".join(b.text for b, keep in zip(found, best, strict=False) if keep)
+
+
+def test_whole_pages_equal_the_least_of_all_labellings():
+    rnd = random.Random(3)
+    words = lambda n: " ".join(rnd.choice(["a", "story", "of", "words", "here"]) for _ in range(n))
+    for _ in range(60):
+        part = lambda: rnd.choice([f"<p>{words(rnd.randrange(1, 40))}.</p>", f"<p>{words(2)}</p>", f"<h2>{words(3)}</h2>", f"<p><a href=x>{words(4)}</a></p>", f"<li>{words(5)}</li>"])
+        some = lambda n: "".join(part() for _ in range(rnd.randrange(n)))
+        wrap = rnd.choice(["<div>{}</div>", "<article>{}</article>", '<div class="content with-sidebar">{}</div>', "<form>{}</form>"])
+        page = f"<nav><a href=1>x</a></nav>{some(2)}" + wrap.format(some(4) + rnd.choice(["", f"<aside>{some(2)}</aside>"])) + rnd.choice(["", f"<div class=comments>{some(3)}</div>"])
+        assert ht.main_text(page) == brute_text(page), page
+
+
 PAGE = """<!DOCTYPE html><html><head><title>x</title><style>p{a>b}</style><script>var t="</p><p>no";</script></head>
 <body class="has-sidebar"><header><h1>Site</h1><p>Our slogan is long enough to look like text.</p></header>
 <nav><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></nav>
@@ -42,6 +63,34 @@ def test_page_without_semantic_tags():
     assert ht.main_text("<!-- open " + "<a " * 2000) == ""
 
 
+def test_names_of_the_layout_are_no_veto():
+    art = "<h1>Head</h1><p>This is a long enough sentence of the article, with words.</p><p>Another one.</p>"
+    want = "Head\nThis is a long enough sentence of the article, with words.\nAnother one."
+    talk = "".join(f"<article><p>Reader {i} says a lot about the article, and many more words.</p></article>" for i in range(30))
+    for page in (
+        f'<div class="content with-sidebar">{art}</div>',
+        f'<article class="post comment-open">{art}</article>',
+        f"<form id=aspnetForm><nav><a href=1>x</a></nav><div>{art}</div></form>",
+        f"<form action=x><article>{art}</article></form>",
+        f'<div class="sidebar-right">{art}<aside>Something else here.</aside></div>',
+        f"<article>{art}</article><section id=comments>{talk}</section>",
+        f"<main>{art}<form><p>Your mail, please, for more of this every week.</p></form></main>",
+    ):
+        assert ht.main_text(page) == want, page
+
+
+def test_the_cut_decides(spark):
+    """Labels of blocks that the cut turns against their own cost."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    found = [x for p in pages for x in ht.labelled(p.html)]
+    assert 0.05 < sum(keep != own for _, keep, own in found) / len(found) < 0.2
+
+
+def test_long_pages_take_linear_time():
+    page = "<div>" + ("<p>" + "some words of a line " * 4 + ".</p><p>x</p>") * 10_000 + "</div>"
+    assert ht.main_text(page).count("\n") > 9_000
+
+
 def test_pages_equal_their_articles(spark):
     """The fixture's pages mark the article: what it holds between block tags is the wanted text."""
     got = {r.page_id: r for r in ht.query(spark, "/root/testdata/sf0.01").collect()}
@@ -57,3 +106,5 @@ def test_odd_rows(spark):
     rows = ht.extracted(pages).collect()
     assert [r.text for r in rows[:4]] == ["", "", "é x", "é x"] and rows[4].text.count("\n") == 19_999
     assert ht.extracted(pages.limit(0)).count() == 0
+    clash = ht.extracted(pages.withColumnRenamed("page_html", "Text"))
+    assert clash.columns == ["page_id", "html", "text"] and [r.text for r in clash.collect()][2] == "é x"
