@@ -3,7 +3,10 @@
 Two generative models over hashed n-grams are counted: one of the target (labelled
 good texts) and one of the raw corpus (every text).  The log of the ratio of a text's
 likelihoods is its importance weight; adding Gumbel noise and taking the k largest
-samples k texts without replacement in proportion to the weights.
+samples k texts without replacement in proportion to the weights.  k is a parameter; by
+default it is the number of texts whose weight exceeds the cut that best separates the
+labelled texts, an estimate of how many texts are like the target.  The cut sets only
+how many are sampled, and is no part of the key.
 
 Tokens are runs of word characters and runs of punctuation, A-Z folded; a token equal
 to one of the two before it becomes a repeat mark.  The n-grams are the tokens and the
@@ -98,7 +101,7 @@ def log_ratio(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> np.
 
 
 def scored(docs: DataFrame, ratio: np.ndarray, weight: str, grams: str) -> DataFrame:
-    """docs with each text's log importance weight and its number of n-grams."""
+    """docs with each text's log importance weight and its number of n-grams; columns of these names are replaced."""
     text = free_name(docs, "score_text")
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     out = docs.withColumns({text: whole_text(), weight: F.lit(0.0), grams: F.lit(0).cast("bigint")})
@@ -150,50 +153,43 @@ def acceptance_cut(pairs: list[tuple[float, int]]) -> float:
     return float(cuts[best[len(best) // 2]])
 
 
-def _plan(docs: DataFrame, labels: DataFrame, k: int | None, buckets: int):
+def _key(weight: str, noise: str, exponent: float) -> Column:
+    """Gumbel top-k over these keys samples in proportion to the importance weight raised to exponent."""
+    return F.col(weight) * float(exponent) + F.col(noise)
+
+
+def _plan(docs: DataFrame, labels: DataFrame, k: int | None, buckets: int, exponent: float):
     sample = stored(label_sample(labels), "label-sample")
     ratio = log_ratio(docs, sample, buckets)
-    table = scored(docs.select("doc_id", "text"), ratio, "log_weight", "n_grams")
-    table = stored(table.withColumn("noise", gumbel("doc_id", "text")).drop("text"), "weights")
-    marked = table.join(F.broadcast(sample), "doc_id").select(_mean("log_weight", "n_grams"), "quality", F.xxhash64("doc_id", "noise").alias("h"))
-    pairs = marked.orderBy("h").limit(LABELS).select("m", "quality").collect()
-    cut = acceptance_cut([tuple(r) for r in pairs])
-    key = stored(table.withColumn("sample_key", _key("log_weight", "n_grams", "noise", cut)), "keys")
+    table = scored(docs.select("doc_id", "text"), ratio, "log_weight", "n_grams").withColumn("noise", gumbel("doc_id", "text")).drop("text")
+    table = stored(table.withColumn("sample_key", _key("log_weight", "noise", exponent)), "weights")
     if k is None:
-        k = key.filter(_mean("log_weight", "n_grams") > cut).count()
-    return ratio, cut, key, kth_largest(key, "sample_key", k)
-
-
-def _mean(weight: str, grams: str) -> Column:
-    return (F.col(weight) / F.greatest(F.col(grams), F.lit(1))).alias("m")
-
-
-def _key(weight: str, grams: str, noise: str, cut: float) -> Column:
-    """The log weight against the cut's share of the text's length, with noise."""
-    return F.col(weight) - (F.col(grams) * float(cut) if np.isfinite(cut) else F.lit(0.0)) + F.col(noise)
+        marked = table.join(F.broadcast(sample), "doc_id").select("log_weight", "quality", F.xxhash64("doc_id", "noise").alias("h"))
+        pairs = marked.orderBy("h").limit(LABELS).select("log_weight", "quality").collect()
+        k = table.filter(F.col("log_weight") > acceptance_cut([tuple(r) for r in pairs])).count()
+    return ratio, table, kth_largest(table, "sample_key", k)
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets: int = BUCKETS) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets: int = BUCKETS, exponent: float = 1.0) -> DataFrame:
     """doc_id, log_weight, n_grams, sample_key and kept for each row of docs.
 
-    log_weight is the log of the likelihood ratio; the sampling weight is that ratio
-    against the one per n-gram that best separates the labelled texts.  k: the number
-    of rows to sample; by default as many as stand above that separation.  Rows with
-    the k-th largest key are all kept, so repeated rows share their fate.
+    log_weight is the log of the likelihood ratio, sample_key that times exponent plus
+    Gumbel noise.  k: the number of rows to sample; for None see above.  Rows with the
+    k-th largest key are all kept, so repeated rows share their fate.
 
     A null text is an empty one; it has weight 0 and only noise.  Null or unknown
     doc_ids have no label.  Without labels of both kinds no row is rejected by default.
     """
-    _, _, key, least = _plan(docs, labels, k, buckets)
-    return key.select("doc_id", "log_weight", "n_grams", "sample_key", (F.col("sample_key") >= F.lit(least)).alias("kept"))
+    _, table, least = _plan(docs, labels, k, buckets, exponent)
+    return table.select("doc_id", "log_weight", "n_grams", "sample_key", (F.col("sample_key") >= F.lit(least)).alias("kept"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """The rows of docs that resample() keeps; columns and names stay as they are."""
-    ratio, cut, _, least = _plan(docs, labels, k, buckets)
+def accepted(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets: int = BUCKETS, exponent: float = 1.0) -> DataFrame:
+    """The rows of docs that resample() keeps; columns and names stay as they are, clashing ones included."""
+    ratio, _, least = _plan(docs, labels, k, buckets, exponent)
     weight, grams = free_name(docs, "log_weight"), free_name(docs, "n_grams")
     whole = scored(docs, ratio, weight, grams).withColumn((noise := free_name(docs, "gumbel_noise")), gumbel("doc_id", "text"))
-    return whole.filter(_key(weight, grams, noise, cut) >= F.lit(least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return whole.filter(_key(weight, noise, exponent) >= F.lit(least)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
