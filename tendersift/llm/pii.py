@@ -1,10 +1,12 @@
 """Personal data by bootstrapped contextual extraction.
 
-Seeds are what the fixed patterns of each kind find.  The words around a seed are
-lexical patterns.  Spark scores the graph of patterns and instances in rounds: a
-pattern is as good as the share of its instances that are believed, an instance is
-believed if good patterns hold it.  Patterns of high confidence then take further
-identifiers of a fitting shape that the fixed patterns miss.
+Seeds are what the fixed patterns of each kind find.  A seed induces lexical patterns:
+the words around it, one word with the shape of the identifier, a label before it, the
+shape by itself.  Spark scores the graph of patterns and instances in rounds: a pattern
+is as good as the lower bound of the share of its distinct instances that are believed
+(Wilson's, at Z standard deviations), an instance as its best pattern of high confidence.
+Those patterns then take further identifiers of a fitting form that the fixed patterns
+miss: numbers in other notations, addresses with other letters, IPv6.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from tendersift.llm.common import attached, free_name, read_table, stored, whole
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct seeds that a pattern needs, the confidence from which it is used, and the rounds of scoring.
-SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
+SUPPORT, CONFIDENCE, ROUNDS = 5, 0.7, 3
+#: Standard deviations by which a share of few instances is taken lower.
+Z = 1.0
 
 # The base patterns.  The possessive forms match the same strings.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -29,11 +33,14 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-#: Shapes of identifiers that the base patterns may miss.
-_LIKE = re.compile(r"[0-9(+](?:[\x20().:-]{0,2}[0-9])++")
+#: Forms of identifiers that the base patterns may miss; never a part of a longer word.
+_LIKE = re.compile(r"(?<![^\W])[0-9(+](?:[\x20().:/-]{0,2}[0-9])++(?![^\W])")
+_IP6 = re.compile(r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])")
 _NEAR_AT = re.compile(r"[^\s@,;<>]+")
 _ENDS = frozenset("@,;<>")
 _WORD = re.compile(r"[^\W\d_]+")
+_RUN = re.compile("[0-9]+")
+_COUNTRY = re.compile(r"\+[0-9]{1,3}[\x20.-]")
 
 Span = tuple[int, int, int]
 
@@ -74,29 +81,45 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _fitting(found: str) -> list[int]:
-    """The kinds that a string may be of by its shape."""
+    """The kinds that a string may be of by its form."""
     if "@" in found:
         return [0]
-    digits = len(_DIGIT.findall(found))
-    kinds = [1] if found.count(".") == 3 and digits <= 16 and not re.search(r"[^0-9.]", found) else []
-    if 12 <= digits <= 19 and "." not in found:
-        kinds.append(2)
-    if 7 <= digits <= 15 and 1 not in kinds:
-        kinds.append(3)
-    return kinds
-
-
-def _around(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a place: the two words before it, and the word before with the word after."""
-    before = [w.lower() for w in _WORD.findall(text[max(0, start - 60) : start])[-2:]]
+    if "::" in found or found.count(":") == 7:
+        return [1]
+    digits = "".join(_DIGIT.findall(found))
+    kinds = [2] if 13 <= len(digits) <= 19 and _luhn(digits) else []
+    return kinds + ([3] if 7 <= len(digits) <= 15 and found.count("(") == found.count(")") and ":" not in found else [])
+
+
+def _shape(found: str, kind: int) -> str:
+    """Digits by the lengths of their runs, without a country's number; dots of an address."""
+    if kind == 0:
+        return "@" + "." * found.rpartition("@")[2].count(".")
+    if kind == 1:
+        return "::" if ":" in found else "...."
+    return _RUN.sub(lambda m: str(len(m[0])), _COUNTRY.sub("", found))
+
+
+def _around(text: str, start: int, end: int, kind: int) -> list[str]:
+    """Lexical patterns of a place, _ for the identifier.
+
+    The two words before it; the word before with the word after; the word before with the
+    shape, and with a mark between (card no: _); the shape, if it has a mark of its own.
+    """
+    left = text[max(0, start - 60) : start]
+    before = [w.lower() for w in _WORD.findall(left)[-2:]]
     after = [w.lower() for w in _WORD.findall(text[end : end + 40])[:1]]
+    shape, mark = _shape(text[start:end], kind), left.rstrip()[-1:]
     out = [f"{before[0]} {before[1]} _"] if len(before) == 2 else []
-    return out + ([f"{before[-1]} _ {after[0]}"] if before and after else [])
+    if before:
+        out += [f"{before[-1]} _ {after[0]}"] if after else []
+        out += [f"{before[-1]} _{shape}"] + ([f"{before[-1]}{mark} _"] if mark in (":", "=", "#") else [])
+    return out + ([f"_{shape}"] if not shape.replace(" ", "").isdigit() else [])
 
 
 def _like(text: str) -> list[tuple[int, int]]:
     """Strings of an identifier's shape, leftmost first and apart: what stands around each @, and runs of digits."""
-    found, last = [m.span() for m in _LIKE.finditer(text)], 0
+    found, last = [m.span() for m in _LIKE.finditer(text)] + ([m.span() for m in _IP6.finditer(text) if len(m[0].replace(":", "")) > 3] if ":" in text else []), 0
     at = text.find("@")
     while at >= 0:
         start = at
@@ -115,25 +138,24 @@ def _like(text: str) -> list[tuple[int, int]]:
 
 
 def mentions(text: str, spans: list[Span]) -> list[dict]:
-    """Seeds and further strings of an identifier's shape with the patterns around them."""
-    found = [(s, e, [k], True) for k, s, e in spans]
-    if "@" in text or _DIGIT.search(text):
+    """Seeds and further strings of an identifier's form, each with the patterns around it; one row for each kind it may be of."""
+    found = [(s, e, k, True) for k, s, e in spans]
+    if "@" in text or ":" in text or _DIGIT.search(text):
         taken = sorted((s, e) for _, s, e in spans)
         i = 0
         for start, end in _like(text):
             while i < len(taken) and taken[i][1] <= start:
                 i += 1
-            free = i == len(taken) or taken[i][0] >= end
-            if free and (kinds := _fitting(text[start:end])):
-                found.append((start, end, kinds, False))
-    shape = lambda x: x.lower() if "@" in x else "".join(_DIGIT.findall(x))
-    return [{"start": s, "end": e, "kinds": k, "seed": seed, "instance": shape(text[s:e]), "patterns": p} for s, e, k, seed in found if (p := _around(text, s, e)) or seed]
+            if i == len(taken) or taken[i][0] >= end:
+                found += [(start, end, k, False) for k in _fitting(text[start:end])]
+    name = lambda x, k: x.lower() if k < 2 else "".join(_DIGIT.findall(x))
+    return [{"start": s, "end": e, "kind": k, "seed": seed, "instance": name(text[s:e], k), "patterns": _around(text, s, e, k)} for s, e, k, seed in found]
 
 
 _SPANS = "array<struct<kind:int,start:bigint,end:bigint>>"
-_MENTIONS = "array<struct<start:bigint,end:bigint,kinds:array<int>,seed:boolean,instance:string,patterns:array<string>>>"
+_MENTIONS = "array<struct<start:bigint,end:bigint,kind:int,seed:boolean,instance:string,patterns:array<string>>>"
 _SPANS_ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-_MENTIONS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kinds", pa.list_(pa.int32())), ("seed", pa.bool_()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
+_MENTIONS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("seed", pa.bool_()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,29 +181,48 @@ def extracted(docs: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(_extract, f"doc_id {id_type}, text_key binary, base {_SPANS}, mentions {_MENTIONS}"), "mentions")
 
 
-def good_patterns(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(pattern, kind, confidence) of the patterns and (kind, instance, belief) of the unseen instances to be used."""
-    each = found.select(F.explode("mentions").alias("m")).select(F.explode("m.kinds").alias("kind"), "m.instance", "m.seed", F.col("m.patterns").alias("patterns"))
-    edges = stored(each.select("kind", "instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "kind", "instance").agg(F.max("seed").alias("seed")), "graph")
+def _wilson(share: Column, n: Column, z: float) -> Column:
+    """The lower bound of a share seen in n cases."""
+    spread = z * F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) / n + z * z / (4 * n * n))
+    return (share + z * z / (2 * n) - spread) / (1 + z * z / n)
+
+
+def _on(*columns: str) -> Column:
+    return F.xxhash64(*columns)
+
+
+def good_patterns(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS, z: float = Z) -> tuple[DataFrame, DataFrame]:
+    """(kind, pattern, confidence, seeds, key) of the patterns and (kind, instance, belief, key) of the unseen instances that they hold.
+
+    A seed is believed with 1, another instance with the confidence of its best good
+    pattern in the round before, at first with 0.  Equal instances count once for a
+    pattern, whatever the number of their places.
+    """
+    each = found.select(F.explode("mentions").alias("m")).select("m.kind", "m.instance", "m.seed", F.explode("m.patterns").alias("pattern"))
+    edges = each.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"))
+    edges = stored(edges.withColumns({"pattern_key": _on("kind", "pattern"), "instance_key": _on("kind", "instance")}), "graph")
     belief = None
     for i in range(rounds):
-        if belief is None:
-            held = edges.withColumn("belief", F.when(F.col("seed"), 1.0).otherwise(0.0))
-        else:
-            held = edges.join(belief, ["kind", "instance"], "left").withColumn("belief", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))))
-        patterns = held.groupBy("pattern", "kind").agg((F.sum("belief") / (F.count("*") + 0.5)).alias("confidence"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        patterns = stored(patterns.filter((F.col("seeds") >= support) & (F.col("confidence") >= confidence / 2)), f"patterns-{i}")
-        unseen = edges.filter(~F.col("seed")).join(patterns, ["pattern", "kind"]).groupBy("kind", "instance")
-        belief = stored(unseen.agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.99)))))).alias("belief")), f"belief-{i}")
-    return patterns.filter(F.col("confidence") >= confidence), belief.filter(F.col("belief") >= confidence)
-
-
-def discovered(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """(text_key, more): the further spans of each distinct text, of the best believed kind."""
-    patterns, belief = good_patterns(found, support, confidence, rounds)
-    each = found.select("text_key", F.explode("mentions").alias("m")).filter("NOT m.seed").select("text_key", "m.start", "m.end", "m.instance", "m.patterns", F.explode("m.kinds").alias("kind"))
-    held = each.withColumn("pattern", F.explode("patterns")).join(patterns.select("pattern", "kind"), ["pattern", "kind"]).join(belief, ["kind", "instance"])
-    best = held.groupBy("text_key", "start", "end").agg(F.max(F.struct("belief", (-F.col("kind")).alias("rank"), "kind")).alias("b"))
+        held = edges.withColumn("belief", F.lit(0.0)) if belief is None else attached(edges, belief.select(F.col("key").alias("instance_key"), "belief"), "instance_key", "pattern")
+        held = held.groupBy("kind", "pattern").agg(
+            F.avg(F.when(F.col("seed"), 1.0).otherwise(F.coalesce("belief", F.lit(0.0)))).alias("share"),
+            F.count("*").alias("n"),
+            F.count_if("seed").alias("seeds"),
+        )
+        scored = held.filter(F.col("seeds") >= support).select("kind", "pattern", _wilson(F.col("share"), F.col("n"), z).alias("confidence"), "seeds", _on("kind", "pattern").alias("key"))
+        patterns = stored(scored.filter(F.col("confidence") >= confidence), f"patterns-{i}")
+        taken = attached(edges.filter("NOT seed"), patterns.select(F.col("key").alias("pattern_key"), "confidence"), "pattern_key", "instance").filter("confidence IS NOT NULL")
+        belief = stored(taken.groupBy("kind", "instance", F.col("instance_key").alias("key")).agg(F.max("confidence").alias("belief")), f"belief-{i}")
+    return patterns, belief
+
+
+def discovered(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS, z: float = Z) -> DataFrame:
+    """(text_key, more): the further spans of each distinct text, each of the kind of its best pattern."""
+    patterns, _ = good_patterns(found, support, confidence, rounds, z)
+    each = found.select("text_key", F.explode("mentions").alias("m")).filter("NOT m.seed").select("text_key", "m.start", "m.end", "m.kind", F.explode("m.patterns").alias("pattern"))
+    each = each.withColumn("pattern_key", _on("kind", "pattern"))
+    held = attached(each, patterns.select(F.col("key").alias("pattern_key"), "confidence"), "pattern_key", "text_key").filter("confidence IS NOT NULL")
+    best = held.groupBy("text_key", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("rank"), "kind")).alias("b"))
     return best.groupBy("text_key").agg(F.collect_set(F.struct(F.col("b.kind").alias("kind"), "start", "end")).alias("more"))
 
 
