@@ -50,11 +50,8 @@ _EVIDENCE = "transaction_id extent_kind procedure_kind authority_kind offer_kind
 
 
 def _peer_keys(df: DataFrame) -> DataFrame:
-    return peers.with_keys(df, peers.AMOUNT, ["transaction_id"]).select("transaction_id", "ordinal", "level", "peer_key")
-
-
-def _no_reasons(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.endswith("__reason")])
+    rows = peers.with_keys(df, peers.AMOUNT, ["transaction_id"])
+    return rows.select("transaction_id", "ordinal", F.get(F.array(*[F.lit(x.name) for x in peers.AMOUNT]), "ordinal").alias("level"), "peer_key")
 
 
 _FEATURES = ["amount", "offers", "total"]
@@ -164,9 +161,9 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "c3_vendor_identity": (_on(lambda df: identity.with_vendor(df).select("transaction_id", "vendor_key", "parent_key", "parent_matches_entity")), sql.IDENTITY),
     "c6_peer_keys": (_on(_peer_keys), sql.PEER_KEYS),
     "c10_competition_evidence": (_on(lambda df: competition_evidence.with_evidence(df).select(*_EVIDENCE)), sql.COMPETITION_EVIDENCE),
-    "c19_competition_features": (_on(lambda df: _no_reasons(competition_evidence.transaction_features(df))), sql.COMPETITION_FEATURES),
+    "c19_competition_features": (_on(competition_evidence.transaction_features), sql.COMPETITION_FEATURES),
     "e1_peer_group_counts": (_on(lambda df: peers.group_counts(df, peers.AMOUNT)), sql.GROUP_COUNTS),
-    "d1_first_sufficient_level": (_on(lambda df: amount.resolved(amount.keyed_amounts(df)).select("transaction_id", "level", "peer_key", "members")), sql.FIRST_LEVEL),
+    "d1_first_sufficient_level": (_on(lambda df: amount.resolved(amount.valued(df)).select("transaction_id", "level", "peer_key", "members")), sql.FIRST_LEVEL),
     "amount_features": (_on(amount.features), sql.AMOUNT),
     "e3_vendor_markets": (_on(vendor.market_measures), sql.VENDOR_MARKETS),
     "vendor_features": (_on(vendor.features), sql.VENDOR_FEATURES),

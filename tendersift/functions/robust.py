@@ -28,23 +28,30 @@ def iqr_distance(value: Column, median: Column, iqr: Column) -> Column:
     return F.try_divide(value - median, F.nullif(iqr, F.lit(0.0)))
 
 
-def _bin(value: Column) -> Column:
-    """A coarse step function that never falls: it cuts the order of a large group into pieces."""
-    return (F.signum(value) * F.floor(F.log2(F.abs(value) + 1) * 8)).cast("int")
+#: A group of more distinct values than this is ordered in BINS pieces.
+LARGE, BINS = 200_000, 64
 
 
-def running_counts(counts: DataFrame, group: list[str], value: str = "value") -> DataFrame:
-    """group, value, n -> also before (members with a smaller value) and size (all members).
+def running_counts(counts: DataFrame, group: list[str], value: str = "value", large: int = LARGE) -> DataFrame:
+    """The stored table counts(group, value, n) with before (members with a smaller value) and size (all members).
 
-    A group's values are ordered in bins, and the bins by their totals, so no task orders a whole group.
+    No task orders a whole group of more than large values: the values of such groups are
+    cut at their own approximate quantiles, and the pieces ordered by their totals.
     """
-    cut = counts.withColumn("bin", _bin(F.col(value)))
+    rows = counts.select(*group, value, "n")
+    before, size = F.sum("n").over(W.partitionBy(*group).orderBy(value)) - F.col("n"), F.sum("n").over(W.partitionBy(*group))
+    heavy = rows.groupBy(*group).agg(F.count("*").alias("values")).filter(F.col("values") > large)
+    if not heavy.head(1):
+        return rows.select(*group, value, "n", size.alias("size"), before.alias("before"))
+    heavy = stored(heavy.drop("values"), "large-groups")
+    marks = [(i + 1) / BINS for i in range(BINS - 1)]
+    edges = stored(rows.join(heavy, group).groupBy(*group).agg(F.percentile_approx(value, F.lit(marks), F.lit(10 * BINS)).alias("edges")), "edges")
+    cut = rows.join(edges, group, "left").withColumn("bin", F.coalesce(F.size(F.filter("edges", lambda e: e < F.col(value))), F.lit(0))).drop("edges")
     bins = cut.groupBy(*group, "bin").agg(F.sum("n").alias("in_bin"))
-    order = W.partitionBy(*group).orderBy("bin")
-    bins = bins.withColumn("below", F.sum("in_bin").over(order) - F.col("in_bin")).withColumn("size", F.sum("in_bin").over(W.partitionBy(*group)))
-    inner = W.partitionBy(*group, "bin").orderBy(value)
-    joined = cut.join(bins, [*group, "bin"])
-    return joined.select(*group, value, "n", "size", (F.col("below") + F.sum("n").over(inner) - F.col("n")).alias("before"))
+    bins = bins.withColumns({"below": F.sum("in_bin").over(W.partitionBy(*group).orderBy("bin")) - F.col("in_bin"), "size": F.sum("in_bin").over(W.partitionBy(*group))})
+    inner = F.sum("n").over(W.partitionBy(*group, "bin").orderBy(value)) - F.col("n")
+    joined = cut.join(bins.drop("in_bin"), [*group, "bin"])
+    return joined.select(*group, value, "n", "size", (F.col("below") + inner).alias("before"))
 
 
 def _order_statistics(runs: DataFrame, group: list[str], value: str, points: dict[str, float]) -> DataFrame:
@@ -86,7 +93,7 @@ def summaries(counts: DataFrame, method: str = "linear") -> DataFrame:
 
     found = stored(quantiles(counts, QUARTILES), "quartiles")
     away = counts.join(found.select("group", "median"), "group").groupBy("group", F.abs(F.col("value") - F.col("median")).alias("value")).agg(F.sum("n").alias("n"))
-    spread = quantiles(away, {"mad": 0.5}).select("group", "mad")
+    spread = quantiles(stored(away, "deviations"), {"mad": 0.5}).select("group", "mad")
     return found.join(spread, "group").select("group", "size", "least", "q1", "median", "q3", "most", (F.col("q3") - F.col("q1")).alias("iqr"), "mad")
 
 
@@ -112,30 +119,33 @@ def _others(name: str, own: Column) -> Column:
     return F.when(own.isNull(), F.col(f"{name}_all")).otherwise(low + (high - low) * w)
 
 
-def compare(targets: DataFrame, counts: DataFrame, ident: list[str]) -> DataFrame:
+def compare(targets: DataFrame, counts: DataFrame, ident: list[str], inside: bool = False) -> DataFrame:
     """targets(ident, group, value, own) against the members of their groups without one that equals own.
 
     counts: group, value, n (members with that value); doubles without nulls.  own null:
     nothing is left out.  Adds peers, less, equal, position (equal values count half), q1,
     median, q3, iqr, mad, z and distance; z and distance are null where mad or iqr is 0,
-    all but the counts where there are no peers.
+    all but the counts where there are no peers.  inside: each target is a member, own is
+    its value, which saves adding the targets' values to the counts.
     """
-    counts = stored(counts, "value-counts")
-    asked = targets.select("group", "value", F.lit(0).cast("bigint").alias("n")).distinct()
-    known = counts.select("group", "value", F.col("n").cast("bigint")).union(asked).groupBy("group", "value").agg(F.sum("n").alias("n"))
+    counts = stored(counts.select("group", "value", F.col("n").cast("bigint")), "value-counts")
+    known = counts
+    if not inside:
+        asked = targets.select("group", "value", F.lit(0).cast("bigint").alias("n")).distinct()
+        known = stored(counts.union(asked).groupBy("group", "value").agg(F.sum("n").alias("n")), "asked-counts")
     runs = stored(running_counts(known, ["group"]), "running-counts")
     stats = stored(_order_statistics(runs, ["group"], "value", QUARTILES), "order-statistics")
     own, value = F.col("own"), F.col("value")
 
     mid = lambda a, b: F.col(a) + (F.coalesce(F.col(b), F.col(a)) - F.col(a)) * F.col("median_w")
-    centers = [mid("median_0", "median_1"), mid("median_0", "median_2"), mid("median_1", "median_2"), F.col("median_all")]
-    candidates = stats.select("group", F.inline(F.array(*[F.struct(F.lit(i).alias("which"), x.alias("center")) for i, x in enumerate(centers)]))).filter("center IS NOT NULL")
-    away = counts.join(candidates, "group").groupBy("group", "which", F.abs(value - F.col("center")).alias("away")).agg(F.sum("n").alias("n"))
-    spread = _order_statistics(running_counts(away, ["group", "which"], "away"), ["group", "which"], "away", {"mad": 0.5}).drop("size")
-    which = F.when(own.isNull(), 3).when(F.col("median_1") < own, 0).when(F.col("median_0") < own, 1).otherwise(2)
+    centers = [mid("median_0", "median_1"), mid("median_0", "median_2"), mid("median_1", "median_2"), *([] if inside else [F.col("median_all")])]
+    candidates = stats.select("group", F.explode(F.array_distinct(F.array(*centers))).alias("center")).filter("center IS NOT NULL")  # the medians that others of the group can have
+    away = counts.join(candidates, "group").groupBy("group", "center", F.abs(value - F.col("center")).alias("away")).agg(F.sum("n").alias("n"))
+    spread = _order_statistics(running_counts(stored(away, "deviations"), ["group", "center"], "away"), ["group", "center"], "away", {"mad": 0.5}).drop("size")
 
     rows = targets.select(*ident, "group", "value", "own").join(runs.select("group", "value", "n", "before"), ["group", "value"]).join(stats, "group")
-    rows = rows.withColumn("which", which).join(spread, ["group", "which"], "left")
+    rows = rows.withColumn("center", _others("median", own))
+    rows = rows.join(spread, ["group", "center"], "left")
     rows = rows.withColumns({q: _others(q, own) for q in QUARTILES})
     rows = rows.withColumns({"mad": _others("mad", F.abs(own - F.col("median"))), "iqr": F.col("q3") - F.col("q1")})
     out = lambda condition: F.coalesce(condition.cast("int"), F.lit(0))

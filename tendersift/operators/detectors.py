@@ -62,7 +62,7 @@ def tail_scores(training: DataFrame, scoring: DataFrame, features: list[str]) ->
     rows = stored(long_form(scoring, features), "tail-scoring")
     counts = train.groupBy("feature", "value").agg(F.count("*").alias("n"))
     asked = rows.select("feature", "value", F.lit(0).cast("bigint").alias("n")).distinct()
-    runs = running_counts(counts.union(asked).groupBy("feature", "value").agg(F.sum("n").alias("n")), ["feature"]).drop("size")
+    runs = running_counts(stored(counts.union(asked).groupBy("feature", "value").agg(F.sum("n").alias("n")), "tail-counts"), ["feature"]).drop("size")
     beyond = rows.join(runs, ["feature", "value"]).join(F.broadcast(sides), "feature")  # one row for each feature
     left = -F.log(F.greatest(c("before") + c("n"), F.lit(1)) / c("size"))
     right = -F.log(F.greatest(c("size") - c("before"), F.lit(1)) / c("size"))
@@ -117,7 +117,7 @@ def spearman(a: DataFrame, b: DataFrame, column: str = "mid") -> DataFrame:
     """rho, the rank correlation of two runs over the same rows; null if either is constant."""
 
     def ranks(df: DataFrame, name: str) -> DataFrame:
-        runs = running_counts(df.groupBy(F.lit(1).alias("g"), F.col(column).alias("value")).agg(F.count("*").alias("n")), ["g"])
+        runs = running_counts(stored(df.groupBy(F.lit(1).alias("g"), F.col(column).alias("value")).agg(F.count("*").alias("n")), "rank-counts"), ["g"])
         return df.withColumnRenamed(column, "value").join(runs, "value").select(*IDENT, (F.col("before") + (F.col("n") + 1) / 2).alias(name))
 
     both = ranks(a.select(*IDENT, column), "x").join(ranks(b.select(*IDENT, column), "y"), IDENT)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tendersift.functions.text import clean, spaced_lower
+from tendersift.storage import stored
 
 
 @dataclass(frozen=True)
@@ -85,23 +86,60 @@ def missing(level: Level) -> Column:
 
 
 def with_keys(df: DataFrame, levels: tuple[Level, ...], keep: list[str]) -> DataFrame:
-    """keep, ordinal, level, peer_key and missing: one row for each row of df and level."""
-    each = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(x.name).alias("level"), key(x).alias("peer_key"), missing(x).alias("missing")) for i, x in enumerate(levels)])
-    return df.select(*keep, F.inline(each))
+    """keep, ordinal and peer_key: one row for each row of df and level."""
+    return df.select(*keep, F.posexplode(F.array(*[key(x) for x in levels])).alias("ordinal", "peer_key"))
+
+
+def level_of(peer_key: str = "peer_key") -> Column:
+    """The name of a key's level."""
+    return F.substring_index(peer_key, "|", 1)
 
 
 def group_counts(df: DataFrame, levels: tuple[Level, ...]) -> DataFrame:
     """Rows of df in each peer group of every level."""
-    return with_keys(df, levels, []).filter("peer_key IS NOT NULL").groupBy("level", "peer_key").agg(F.count("*").alias("members"))
+    found = with_keys(df, levels, []).filter("peer_key IS NOT NULL").groupBy("peer_key").agg(F.count("*").alias("members"))
+    return found.select(level_of().alias("level"), "peer_key", "members")
+
+
+def group_number(peer_key: Column, seed: int) -> Column:
+    return F.xxhash64(peer_key, F.lit(seed))
+
+
+def tagged(number: Column, tag: str) -> Column:
+    """The number of a group's table of one kind."""
+    return F.xxhash64(number, F.lit(tag))
+
+
+def number_groups(keys: DataFrame, tags: list[str]) -> int:
+    """A seed with which all groups of keys(peer_key), each with all tags, have different numbers; numbers are shorter to shuffle than keys."""
+    for seed in range(100):
+        each = keys.select(F.explode(F.array(*[tagged(group_number(F.col("peer_key"), seed), t) for t in tags])).alias("number"))
+        if not each.groupBy("number").count().filter("count > 1").head(1):
+            return seed
+    raise ValueError("keys repeat")
+
+
+#: Up to so many supported groups are broadcast.
+BROADCAST_GROUPS = 200_000
 
 
-def first_sufficient(keyed: DataFrame, support: DataFrame, enough: Column, ident: list[str]) -> DataFrame:
-    """The first level of each row of keyed at which enough holds, with support's columns.
+def first_sufficient(rows: DataFrame, levels: tuple[Level, ...], support: DataFrame, ident: list[str], limit: int = BROADCAST_GROUPS) -> DataFrame:
+    """ident, level, peer_key and support's other columns: the first level of each row whose group is in support(level, peer_key, ...).
 
-    keyed: ident, ordinal, level and peer_key; support: one row for each peer_key.  Rows
-    without such a level are absent.  One shuffle by key, one by ident with a partial minimum.
+    rows hold the columns that keys are made of, and ident; rows without such a level are
+    absent.  Supported groups are counted: up to limit of them are broadcast, and each row
+    looks its levels up in place; beyond that the rows are shuffled once by key and once
+    by ident, with a partial minimum.
     """
-    found = keyed.filter("peer_key IS NOT NULL").join(support, "peer_key").filter(enough)
-    rest = [c for c in found.columns if c not in (*ident, "ordinal")]
-    best = found.groupBy(*ident).agg(F.min_by(F.struct(*rest), "ordinal").alias("best"))
+    support = stored(support, "supported")
+    rest = [c for c in support.columns if c not in ("level", "peer_key")]
+    if support.count() <= limit:
+        found = rows
+        for i, x in enumerate(levels):
+            mine = support.filter(F.col("level") == x.name).select(F.col("peer_key").alias(f"found_{i}"), F.struct("level", "peer_key", *rest).alias(f"at_{i}"))
+            found = found.join(F.broadcast(mine), key(x) == F.col(f"found_{i}"), "left")
+        best = F.coalesce(*[F.col(f"at_{i}") for i in range(len(levels))])
+        return found.select(*ident, best.alias("best")).filter("best IS NOT NULL").select(*ident, "best.*")
+    found = with_keys(rows, levels, ident).filter("peer_key IS NOT NULL").join(support.drop("level"), "peer_key")
+    best = found.groupBy(*ident).agg(F.min_by(F.struct(level_of().alias("level"), "peer_key", *rest), "ordinal").alias("best"))
     return best.select(*ident, "best.*")

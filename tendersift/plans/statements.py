@@ -166,6 +166,22 @@ ev AS (SELECT *, concat_ws(',', CASE WHEN process_competitive AND NOT procedure_
 COMPETITION_EVIDENCE = with_(canon(), LIFE, EVIDENCE) + "SELECT transaction_id, extent_kind, procedure_kind, authority_kind, offer_kind, process_competitive, sources_restricted, procedure_competitive, conflicts, notes, missing_core FROM ev"
 
 _P = "competition_"
+_NO_OFFERS, _NO_PROCESS = "WHEN number_of_offers_received IS NULL THEN 'number_of_offers_received_missing'", "WHEN process_competitive IS NULL THEN 'competition_process_unknown'"
+_REASONS = ",\n  ".join(
+    f"CASE {when} END AS {_P}{name}__reason"
+    for name, when in {
+        "offers_received": _NO_OFFERS,
+        "reported_process_competitive": _NO_PROCESS,
+        "reported_sources_restricted_or_unavailable": "WHEN sources_restricted IS NULL THEN 'source_restriction_status_unknown'",
+        "single_offer_reported": _NO_OFFERS,
+        "multiple_offers_reported": _NO_OFFERS,
+        "zero_offers_reported": _NO_OFFERS,
+        "only_one_source_solicited": "WHEN procedure_kind = 'unknown' THEN 'solicitation_procedure_unknown'",
+        "full_open_after_exclusion": "WHEN extent_kind = 'unknown' THEN 'competition_extent_unknown'",
+        "single_offer_under_reported_competitive_process": f"{_NO_OFFERS} {_NO_PROCESS}",
+        "single_offer_under_reported_noncompetitive_process": f"{_NO_OFFERS} {_NO_PROCESS}",
+    }.items()
+)
 COMPETITION_FEATURES = with_(canon(), LIFE, EVIDENCE) + f"""SELECT transaction_id, award_id, CAST(number_of_offers_received AS DOUBLE) AS {_P}offers_received, CAST(process_competitive AS DOUBLE) AS {_P}reported_process_competitive,
   CAST(sources_restricted AS DOUBLE) AS {_P}reported_sources_restricted_or_unavailable, CAST(number_of_offers_received = 1 AS DOUBLE) AS {_P}single_offer_reported,
   CAST(number_of_offers_received >= 2 AS DOUBLE) AS {_P}multiple_offers_reported, CAST(number_of_offers_received = 0 AS DOUBLE) AS {_P}zero_offers_reported,
@@ -175,7 +191,8 @@ COMPETITION_FEATURES = with_(canon(), LIFE, EVIDENCE) + f"""SELECT transaction_i
   CASE WHEN number_of_offers_received IS NOT NULL AND process_competitive IS NOT NULL THEN CAST(number_of_offers_received = 1 AND process_competitive AS DOUBLE) END AS {_P}single_offer_under_reported_competitive_process,
   CASE WHEN number_of_offers_received IS NOT NULL AND process_competitive IS NOT NULL THEN CAST(number_of_offers_received = 1 AND NOT process_competitive AS DOUBLE) END AS {_P}single_offer_under_reported_noncompetitive_process,
   CAST(len(list_filter(string_split(conflicts, ','), lambda x: x <> '')) AS DOUBLE) AS {_P}evidence_conflict_count, CAST(len(list_filter(string_split(missing_core, ','), lambda x: x <> '')) AS DOUBLE) AS {_P}missing_core_field_count,
-  CAST(extent_kind = 'unknown' AND extent_competed_description IS NOT NULL AS DOUBLE) + CAST(procedure_kind = 'unknown' AND solicitation_procedure_description IS NOT NULL AS DOUBLE) + CAST(authority_kind = 'unknown_reported' AS DOUBLE) AS {_P}unrecognized_reported_value_count
+  CAST(extent_kind = 'unknown' AND extent_competed_description IS NOT NULL AS DOUBLE) + CAST(procedure_kind = 'unknown' AND solicitation_procedure_description IS NOT NULL AS DOUBLE) + CAST(authority_kind = 'unknown_reported' AS DOUBLE) AS {_P}unrecognized_reported_value_count,
+  {_REASONS}
 FROM ev"""
 
 _FLAGS = {"process_known": "process_competitive IS NOT NULL", "competitive": "process_competitive", "noncompetitive": "NOT process_competitive", "offers_known": "number_of_offers_received IS NOT NULL", "single_offer": "number_of_offers_received = 1", "multiple_offers": "number_of_offers_received >= 2", "zero_offers": "number_of_offers_received = 0", "procedure_known": "procedure_kind <> 'unknown'", "only_one_source": "procedure_kind = 'only_one_source_solicited'", "authority": "authority_kind <> 'none_reported'", "after_exclusion": "extent_kind = 'full_and_open_after_exclusion'", "conflict": "conflicts <> ''", "missing_core": "missing_core <> ''"}

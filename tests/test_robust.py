@@ -48,6 +48,22 @@ def test_against_brute_force(spark):
         assert all(same(r[n], w) for n, w in zip(NAMES, want, strict=True)), (r, want)
 
 
+def test_large_groups_are_ordered_in_pieces(spark):
+    """Scores in [0, 1]: no piece holds much more than its share of the distinct values, and the counts are those of sorting."""
+    rnd = random.Random(5)
+    values = {"big": sorted({rnd.random() ** 3 for _ in range(4000)}), "small": [0.25, 0.5]}
+    rows = [(g, v, rnd.randrange(1, 4)) for g, x in values.items() for v in x]
+    counts = spark.createDataFrame(rows, "group string, value double, n bigint")
+    got = robust.running_counts(counts, ["group"], large=1000)
+    for g in values:
+        mine, below = {v: n for h, v, n in rows if h == g}, 0
+        for r in sorted(got.filter(got.group == g).collect(), key=lambda r: r.value):
+            assert (r.n, r.before, r.size) == (mine[r.value], below, sum(mine.values()))
+            below += r.n
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "bin" in plan and "bin" not in robust.running_counts(counts, ["group"])._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_column_quantiles_use_no_whole_column_buffer(spark, monkeypatch):
     from pyspark.sql import functions as F
     from tendersift.operators import detectors
