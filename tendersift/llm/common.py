@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tendersift.joins import attached, free_name, spread_join  # noqa: F401
 from tendersift.storage import shared_dir, stored  # noqa: F401
 
 #: Bytes of text that one numpy step works on; bounds the memory of a task.
@@ -16,39 +17,10 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """A column name that df does not use yet (Spark compares without case)."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: A side of at most so many cells is broadcast; a larger one is joined by a shuffle.
-BROADCAST_CELLS = 50_000
-
-
-def attached(rows: DataFrame, few: DataFrame, key: str, by: str, cells: Column | None = None, limit: int = BROADCAST_CELLS) -> DataFrame:
-    """rows left join few on key, where the stored table few has one row for each key.
-
-    few is broadcast if its cells (rows, or the sum of the column cells) are counted to be
-    at most limit; beyond that both sides are shuffled by spread_join().
-    """
-    n = few.agg(F.coalesce(F.sum(F.lit(1) if cells is None else cells), F.lit(0)).alias("n")).first().n
-    return rows.join(F.broadcast(few), key, "left") if n <= limit else spread_join(rows, few, key, by)
-
-
-def spread_join(rows: DataFrame, few: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
-    """rows left join few on key, where few has one row for each key and rows may hold one key very often.
-
-    Each row of few is sent to every salt and each row of rows to the salt of its column
-    by, so the rows of one key are dealt over that many tasks at least; adaptive execution
-    splits what is still large, as it may on the left of a left join.
-    """
-    salt = free_name(rows, "salt")
-    copies = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn(salt, F.pmod(F.xxhash64(F.col(by)), F.lit(salts)).cast("int")).join(copies, [key, salt], "left").drop(salt)
+def text_key(name: str = "text") -> Column:
+    """16 bytes that equal texts share."""
+    return F.unhex(F.md5(whole_text(name).cast("binary")))

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendersift.llm.common import attached, read_table, stored, whole_text
+from tendersift.llm.common import attached, read_table, stored, text_key, whole_text
 
 THRESHOLD = 0.9
 #: A wrapped notice stands in a run of at most so many times the template's words.
@@ -33,6 +33,7 @@ SPAN = 2
 
 # The base phrases with their labels, and word and gap as patterns.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
@@ -63,17 +64,12 @@ def template_length(text: str) -> int:
     return len(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower()))
 
 
-def text_key() -> Column:
-    """16 bytes that equal texts share."""
-    return F.unhex(F.md5(whole_text().cast("binary")))
-
-
 def _count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_WORD + "+")).cast("bigint")
 
 
 def _places() -> Column:
-    """For each phrase that occurs in the lower-case text: its label, number of places, first and last start, counted in words.
+    """For each phrase that occurs in the folded text: its label, number of places, first and last start, counted in words.
 
     Only texts that hold the letters of all words of a phrase are searched for it.
     """
@@ -119,7 +115,7 @@ def _runs(vocabulary: list[str], templates, threshold: float) -> Column:
 def prepared(docs: DataFrame, vocabulary: list[str], runs: Column | None = None) -> DataFrame:
     """doc_id, text_key, n_words, the base phrases' places, and each block's distinct vocabulary words; runs is added as a column."""
     lines = F.transform(F.split("text", "\n", -1), lambda line: F.filter(F.split(line, _GAP + "+", -1), lambda w: w != ""))
-    rows = docs.select("doc_id", text_key().alias("text_key"), F.lower(whole_text()).alias("text")).withColumn("lines", lines)
+    rows = docs.select("doc_id", text_key().alias("text_key"), F.translate(whole_text(), UPPER, UPPER.lower()).alias("text")).withColumn("lines", lines)
     n_words = F.aggregate("lines", F.lit(0).cast("bigint"), lambda n, line: n + F.size(line))
     blocks = F.filter(F.transform("lines", lambda line: F.array_distinct(F.filter(line, lambda w: w.isin(vocabulary)))), lambda b: F.size(b) > 0)  # one look-up a word
     more = [] if runs is None else ["runs"]
@@ -201,7 +197,7 @@ def _oracle() -> str:
     """The same by comparing each block with each template, and by looking at each word's successors."""
     templates = ", ".join(f"({i}, '{label}', {template_words(text)!r})" for i, (label, text) in enumerate(TEMPLATES))
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES)
-    fold = "translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fold = f"translate(t, '{UPPER}', '{UPPER.lower()}')"
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -212,7 +208,7 @@ f(p, label, n) AS (VALUES {phrases}),
 h AS (SELECT r, k, label FROM y, f WHERE len(l) >= n AND array_to_string(l[1:n], ' ') = p),
 b AS (SELECT r, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY r),
 t(i, label, s) AS (VALUES {templates}),
-l AS (SELECT r, list_distinct(regexp_extract_all(lower(line), '{word}')) AS s FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
+l AS (SELECT r, list_distinct(regexp_extract_all({fold.replace('(t,', '(line,')}, '{word}')) AS s FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
 m AS (SELECT r, t.label, len(list_intersect(l.s, t.s)) / len(t.s) AS c FROM l, t WHERE len(list_intersect(l.s, t.s)) >= {THRESHOLD} * len(t.s) - 1e-9),
 u AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM m UNION ALL SELECT r, label FROM h) GROUP BY r),
 c AS (SELECT r, max(c) AS c FROM m GROUP BY r)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendersift.llm.common import attached, free_name, read_table, stored, whole_text
+from tendersift.llm.common import attached, free_name, read_table, stored, text_key, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct seeds that a pattern needs, the confidence from which it is used, and the rounds of scoring.
@@ -169,11 +169,6 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(spans, _SPANS_ARROW), pa.array(found, _MENTIONS_ARROW)], ["doc_id", "text_key", "base", "mentions"])
 
 
-def text_key(name: str = "text") -> Column:
-    """16 bytes that equal texts share."""
-    return F.unhex(F.md5(whole_text(name).cast("binary")))
-
-
 def extracted(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, base spans and mentions for each row of docs."""
     rows = docs.select("doc_id", text_key().alias("text_key"), whole_text().alias("text"))
