@@ -105,8 +105,13 @@ def hits(automaton: ahocorasick.Automaton, text: str) -> dict[int, float]:
             spared.append((start, end))
         elif weight > found.get(start, 0.0):
             found[start] = weight
-    for lo, hi in spared:
-        for at in [x for x in found if lo <= x < hi]:
+    spared.sort()
+    i, reach = 0, -1
+    for at in sorted(found) if spared else ():
+        while i < len(spared) and spared[i][0] <= at:
+            reach = max(reach, spared[i][1])
+            i += 1
+        if at < reach:
             del found[at]
     return found
 
@@ -222,8 +227,11 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LABELS, exceptions: t
     """
     spark = docs.sparkSession
     some = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    marked = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(some), "doc_id")  # at most limit rows
-    train = stored(marked.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("h").limit(limit).select("text", "toxic").repartition(spark.sparkContext.defaultParallelism), "train")
+    marked = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(some), "doc_id").select(F.xxhash64("text").alias("h"), "text", "toxic")  # at most limit ids
+    marked = stored(marked, "labelled")
+    chosen = stored(marked.groupBy("h").agg(F.max("toxic").alias("is")).orderBy("h").limit(limit), "label-hashes")  # hashes alone are ordered
+    train = marked.join(F.broadcast(chosen), "h").groupBy("h").agg(F.first("text").alias("text"), F.first("is").alias("toxic"))
+    train = stored(train.select("text", "toxic").repartition(spark.sparkContext.defaultParallelism), "train")
     sizes = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     lexicon = Lexicon(dict(PLAIN), list(exceptions))
     if sizes.get(0) and sizes.get(1):
@@ -243,7 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LABELS, exceptions: t
 
 
 def with_scores(docs: DataFrame, lexicon: Lexicon, score: str = "score", words: str = "toxic_words") -> DataFrame:
-    """docs with a score from 0 to 1 (0.5 at the lexicon's cut; 0 without hits, so for null or empty texts too) and the number of hit words."""
+    """docs with a score from 0 to 1 (0.5 at the lexicon's cut; 0 without hits, so for null or empty texts too) and the number of hit words; columns of these names are replaced."""
     text = free_name(docs, "folded_text")
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     out = docs.withColumns({text: whole_text(), score: F.lit(0.0), words: F.lit(0).cast("bigint")})

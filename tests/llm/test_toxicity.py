@@ -1,3 +1,5 @@
+import re
+import time
 import zlib
 
 from tendersift.llm import toxicity as tx
@@ -37,6 +39,22 @@ def test_odd_rows(spark):
     assert got == {(1, 0), (None, 1), (2, 0), (3, 2)}
     assert tx.with_scores(docs, tx.Lexicon({}), "s").filter("s = 0").count() == 5
     assert tx.scored(docs.limit(0), labels).count() == 0
+    replaced = tx.with_scores(docs, tx.Lexicon({" idiot": 1.0}))
+    assert replaced.columns == ["doc_id", "text", "score", "toxic_words"] and replaced.filter("score > 0").count() == 2
+
+
+def test_exceptions_in_a_long_text():
+    """Hits and exceptions in one sweep: a text full of both takes time in proportion, and only hits inside exceptions go."""
+    automaton = tx.Lexicon({" trash ": 1.0, " idiot": 2.0}, ["trash can", "no idiot at"]).automaton()
+    text = tx.folded("the trash can is idiot trash; no idiot at all " * 40_000)
+    began = time.time()
+    found = tx.hits(automaton, text)
+    assert time.time() - began < 20 and len(found) == 80_000
+    some = text[: len(text) // 40_000 * 3 + 1]
+    near = tx.hits(automaton, some)
+    inside = [(m.start(), m.end()) for phrase in (" trash can ", " no idiot at ") for m in re.finditer(f"(?={phrase})", some) for m in [re.compile(phrase).match(some, m.start())]]
+    all_ = [m.start() for m in re.finditer(" trash(?= )| idiot", some)]
+    assert sorted(near) == [x for x in all_ if not any(lo <= x < hi for lo, hi in inside)] and len(near) == 6
 
 
 def test_rare_toxic_words_are_learned(spark):
