@@ -149,6 +149,7 @@ def loaded(path: str | None) -> BytePairs:
 
 
 def _mapped(df: DataFrame, name: str, kind: str, source: str, make) -> DataFrame:
+    df = df.drop(name)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,14 +167,15 @@ def encoded(docs: DataFrame, path: str | None = None, ids: str = "ids") -> DataF
     """docs with the ids of each whole text, as little-endian unsigned 32-bit integers.
 
     path: a tokenizer file that every executor can read.  A null text is an empty one
-    and has no ids.  Columns besides ids stay as they are.
+    and has no ids.  A column of the result's name (in any case) is replaced, all others
+    stay as they are; an empty table gives an empty one.
     """
     text = free_name(docs, "encode_text")
     return _mapped(docs.withColumn(text, whole_text()), ids, "binary", text, lambda: loaded(path).encode).drop(text)
 
 
 def decoded(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """docs with the text of the ids; null ids give the empty text."""
+    """docs with the text of the ids; null ids give the empty text; a column of the result's name is replaced."""
     source = free_name(docs, "decode_ids")
     return _mapped(docs.withColumn(source, F.coalesce(F.col(ids), F.lit(b""))), text, "string", source, lambda: loaded(path).decode).drop(source)
 

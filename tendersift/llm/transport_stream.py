@@ -243,6 +243,7 @@ _PARSED = f"struct<payload:binary,programs:array<struct<number:int,pid:int>>,str
 
 
 def _with(df: DataFrame, name: str, kind: str, source: str, arrow: pa.DataType, one) -> DataFrame:
+    df = df.drop(name)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +257,7 @@ def _with(df: DataFrame, name: str, kind: str, source: str, arrow: pa.DataType,
 
 
 def muxed(df: DataFrame, payload: str = "payload", media: str = "media") -> DataFrame:
-    """df with the transport stream of each binary payload; null is the empty payload."""
+    """df with the transport stream of each binary payload; null is the empty payload; a column of the result's name is replaced."""
     return _with(df, media, "binary", payload, pa.binary(), mux)
 
 
@@ -281,13 +282,13 @@ _ARROW = pa.struct(
 def demuxed(df: DataFrame, media: str = "media", parsed: str = "parsed") -> DataFrame:
     """df with a struct of what demux() finds in each binary media value; null is the empty stream.
 
-    Bytes that are no transport stream give an empty payload and count as lost_sync.
+    A column of the result's name is replaced.  Bytes that are no transport stream give an empty payload and count as lost_sync.
     """
     return _with(df, parsed, _PARSED, media, _ARROW, _row)
 
 
 def with_payload(docs: DataFrame, payload: str = "payload", n_bytes: str = "n_bytes") -> DataFrame:
-    """docs with each whole text's UTF-8 bytes, filled with 0 to a positive multiple of 64, and their number before.  A null text is empty."""
+    """docs with each whole text's UTF-8 bytes, filled with 0 to a positive multiple of 64, and their number before; columns of these names are replaced.  A null text is empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     size = F.octet_length(text)
     full = F.greatest(F.lit(1), F.ceil(size / 64).cast("int")) * 64

@@ -51,4 +51,6 @@ def test_odd_rows(spark):
     both = bpe.decoded(bpe.encoded(docs), text="back")
     assert both.columns == ["doc_id", "text", "decoded", "ids", "back"]
     assert sorted(r.back for r in both.collect()) == sorted([r.text or "" for r in docs.collect()])
-    assert bpe.digests(docs.limit(0)).count() == 0
+    assert bpe.digests(docs.limit(0)).count() == 0 and bpe.encoded(docs.limit(0)).count() == 0
+    clash = bpe.decoded(bpe.encoded(docs.withColumn("IDS", docs.doc_id)))
+    assert clash.columns == ["doc_id", "text", "ids", "decoded"] and sorted(r.decoded for r in clash.collect()) == sorted([r.text or "" for r in docs.collect()])

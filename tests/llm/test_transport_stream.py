@@ -45,3 +45,7 @@ def test_query_equals_plain_digests(spark):
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
         assert "faults=0" in r.feature
     assert ts.digests(docs.limit(0)).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "payload", "doc_id AS n_bytes", "doc_id AS Media", "doc_id AS parsed")
+    read = ts.demuxed(ts.muxed(ts.with_payload(clash)))
+    assert sorted(read.columns) == ["doc_id", "media", "n_bytes", "parsed", "payload", "text"]
+    assert all(r.parsed.payload == r.payload and r.n_bytes == len((r.text or "").encode()) for r in read.collect())
