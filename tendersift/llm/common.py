@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendersift.joins import attached, free_name, spread_join  # noqa: F401
+from tendersift.joins import BROADCAST_CELLS, attached, free_name, spread_join  # noqa: F401
 from tendersift.storage import shared_dir, stored  # noqa: F401
 
 #: Bytes of text that one numpy step works on; bounds the memory of a task.

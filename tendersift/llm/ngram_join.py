@@ -18,16 +18,17 @@ The number of bands is chosen from the recall wanted at the threshold.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendersift.llm.common import free_name, read_table, stored, whole_text
-from tendersift.llm.wordhash import Tokens, mix, tokens, windows
+from tendersift.llm.common import BROADCAST_CELLS, free_name, read_table, spread_join, stored, whole_text
+from tendersift.llm.wordhash import Tokens, flat, mix, tokens, windows
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -63,8 +64,8 @@ def _grams(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def _keys(t: Tokens) -> np.ndarray:
-    """16 bytes for each row, equal for equal word sequences."""
+def _keys(t: Tokens, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """16 bytes for each row, equal for equal word sequences; a text without words has a key of its bytes."""
     at = t.per_row()
     words = np.diff(at)
     out = np.zeros((len(words), 2), np.uint64)
@@ -74,6 +75,9 @@ def _keys(t: Tokens) -> np.ndarray:
         for k, salt in enumerate((0x1234567, 0x89ABCDE)):
             worth = mix(t.hash ^ mix(place + np.uint64(salt)))
             out[full, k] = mix(np.add.reduceat(worth, at[:-1][full]) + words[full].astype(np.uint64))
+    for i in np.flatnonzero(~full):
+        text = raw[offsets[t.first + i] : offsets[t.first + i + 1]].tobytes()
+        out[i] = np.frombuffer(hashlib.md5(text).digest(), np.uint64)
     return out
 
 
@@ -85,6 +89,7 @@ def _signature(ngram: int, rows: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sizes, marks = [], [], []
+            whole = flat(batch.column("text"))
             for t in tokens(batch.column("text")):
                 grams, starts = _grams(t, ngram)
                 size = np.diff(starts)
@@ -93,7 +98,7 @@ def _signature(ngram: int, rows: int, bands: int):
                     for k in range(rows * bands):
                         low = np.minimum.reduceat(grams * a[k] + b[k], starts[:-1][full])
                         out[full, k // rows] = mix(out[full, k // rows] ^ low) + np.uint64(k)
-                keys.append(_keys(t))
+                keys.append(_keys(t, *whole))
                 sizes.append(size)
                 marks.append(out)
             if not keys:
@@ -118,7 +123,8 @@ def with_keys(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [_keys(t) for t in tokens(batch.column(text).cast(pa.string()))]
+            whole = flat(batch.column(text))
+            keys = [_keys(t, *whole) for t in tokens(batch.column(text).cast(pa.string()))]
             key = np.concatenate(keys) if keys else np.empty((0, 2), np.uint64)
             column = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(key), [None, pa.py_buffer(key.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
@@ -238,10 +244,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = stored(edges.union(edges.select("root", "key")).toDF("key", "root").distinct(), "edges")
     labels = stored(both.groupBy("key").agg(F.least(F.col("key"), F.min("root")).alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("key").alias("root"), "label"), "root").groupBy("key").agg(F.min("label").alias("near"))
+        near = spread_join(both, labels.select(F.col("key").alias("root"), "label"), "root", "key").groupBy("key").agg(F.min("label").alias("near"))
         step = labels.join(near, "key").select("key", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("key").alias("label"), F.col("label").alias("further"))
-        new = stored(step.join(jump, "label").select("key", "old", F.least("label", "further").alias("label")), "labels")
+        new = stored(spread_join(step, jump, "label", "key").select("key", "old", F.least("label", "further").alias("label")), "labels")
         if not new.filter("old != label").head(1):
             return new.select("key", "label")
         labels = new.select("key", "label")
@@ -271,9 +277,9 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRE
     buckets = member.groupBy("band", "hash").agg(F.count("*").alias("n"), F.sum("size").alias("grams"), mark(1).alias("m1"), mark(2).alias("m2")).filter("n > 1")
     buckets = buckets.groupBy("n", "grams", "m1", "m2").agg(F.min(F.struct("band", "hash")).alias("b")).select("b.*", F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("grams") / BLOCK_GRAMS)).alias("blocks"))
     places = member.join(buckets, ["band", "hash"]).groupBy("key").agg(F.collect_list(F.struct("band", "hash", "blocks")).alias("at"))
-    wanted = texts.join(places, "key").select("key", "copy_id", "copies", "bands", "at")
+    wanted = texts.join(places, "key").select(_row_key(F.col("key"), F.col("copy_id")).alias("row_key"), "copies", "bands", "at")
 
-    keyed = with_keys(docs, "key").join(wanted.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k")) & F.col("doc_id").eqNullSafe(F.col("copy_id")))
+    keyed = with_keys(docs, "key").withColumn("row_key", _row_key(F.col("key"), F.col("doc_id"))).join(wanted, "row_key").dropDuplicates(["row_key"])  # one shuffle: repeated rows meet where they are joined
     at_type = "array<struct<band:int,hash:bigint,blocks:bigint>>"
     sets = keyed.select("key", "copies", "bands", "at", "text").mapInArrow(_gram_sets(ngram), f"key binary, copies bigint, bands array<bigint>, at {at_type}, grams binary")
     dealt = sets.select("key", "copies", "bands", "grams", F.inline("at")).withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), "blocks"))
@@ -286,27 +292,45 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRE
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     edges = found.filter("key != root").select("key", "root").distinct()
     labels = components(edges)
-    joined = texts.select("key", "copy_id", "copies").join(links, "key", "left").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    first = joined.groupBy("label").agg(F.min(F.struct(F.col("copy_id").isNull().alias("none"), "copy_id", "key")).alias("f"))
-    classes = joined.join(first, "label").select("key", "copy_id", F.col("f.copy_id").alias("class_id"), F.col("f.key").alias("first_key"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    rows = stored(texts.select("key", "copy_id", "copies").join(links, "key", "left").join(labels, "key", "left"), "members")
+    counted = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    linked = rows.filter("label IS NOT NULL")
+    first = linked.groupBy("label").agg(F.min(F.struct(F.col("copy_id").isNull().alias("none"), "copy_id", "key")).alias("f"))
+    linked = spread_join(linked, first, "label", "key").select("key", "copy_id", F.col("f.copy_id").alias("class_id"), F.col("f.key").alias("first_key"), counted)  # a component may be large
+    alone = rows.filter("label IS NULL").select("key", "copy_id", F.col("copy_id").alias("class_id"), F.col("key").alias("first_key"), counted)
+    classes = linked.union(alone)
     out = sig.select("doc_id", "key", "size").join(classes, "key", "left")
     lone = F.col("size") == 0
     return out.select("doc_id", "key", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"), F.when(lone, 0).otherwise(F.col("n_links")).cast("bigint").alias("n_links"), "first_key")
 
 
-def deduplicated(docs: DataFrame, **how) -> DataFrame:
+def _row_key(key: Column, doc_id: Column) -> Column:
+    """What only repeated rows share: the text's key with the doc_id."""
+    return F.concat(key, F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary"))
+
+
+def deduplicated(docs: DataFrame, limit: int = BROADCAST_CELLS, **how) -> DataFrame:
     """docs with one row of each class: the row of the least doc_id.
 
     Of repeated rows one stays.  Rows without words all stay, but for repeated ones.
-    Columns and their names stay as they are.
+    Columns and their names stay as they are; an empty table stays empty.
+
+    The rows to drop or thin out are counted: up to limit of them are broadcast, and
+    the texts stay where they are; beyond that the texts are shuffled once by row.
     """
-    key = free_name(docs, "row_key")
-    of_row = lambda k, i: F.concat(k, F.coalesce(i.cast("string"), F.lit("null")).cast("binary"))
+    key, change = free_name(docs, "row_key"), free_name(docs, "row_change")
     near = near_duplicates(docs.select("doc_id", "text"), **how)
     first = F.col("first_key").isNull() | (F.col("key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    stay = near.filter(first).select(of_row(F.col("key"), F.col("doc_id")).alias(key)).distinct()
-    keyed = with_keys(docs, key).withColumn(key, of_row(F.col(key), F.col("doc_id")))
-    return keyed.join(stay, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    each = near.select(_row_key(F.col("key"), F.col("doc_id")).alias(key), first.alias("stays")).groupBy(key).agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    each = stored(each.select(key, F.when(~F.col("stays"), "drop").when(F.col("n") > 1, "thin").alias(change)), "row-changes")
+    keyed, names = with_keys(docs, key).withColumn(key, _row_key(F.col(key), F.col("doc_id"))), [F.col(f"`{c}`") for c in docs.columns]
+    changed = each.filter(F.col(change).isNotNull())
+    if changed.count() > limit:
+        return keyed.join(each.filter(F.coalesce(change, F.lit("")) != "drop").select(key), key, "left_semi").dropDuplicates([key]).select(*names)
+    if not changed.filter(F.col(change) == "thin").head(1):
+        return keyed.join(F.broadcast(changed.select(key)), key, "left_anti").select(*names)
+    marked = keyed.join(F.broadcast(changed), key, "left")
+    return marked.filter(F.col(change).isNull()).union(marked.filter(F.col(change) == "thin").dropDuplicates([key])).select(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -84,9 +84,13 @@ def test_empty_table_and_extra_columns(spark):
     assert ngram_join.near_duplicates(empty).count() == 0
     rows = [(1, "a b c d e f", "x", 1, "s"), (2, "A b c d e f", "x", 2, "s"), (3, None, None, None, None), (1, "a b c d e f", "x", 1, "s"), (None, "q r s", "x", 1, "s")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, key string, row_key int, label string")
-    kept = ngram_join.deduplicated(df)
-    assert kept.columns == df.columns
-    assert sorted((str(r.doc_id) for r in kept.collect())) == ["1", "3", "None"]
+    assert ngram_join.deduplicated(empty).count() == 0
+    for limit in (0, 100):
+        kept = ngram_join.deduplicated(df, limit)
+        assert kept.columns == df.columns
+        assert sorted((str(r.doc_id) for r in kept.collect())) == ["1", "3", "None"]
+    wordless = spark.createDataFrame([(None, "..."), (None, "!!"), (None, "!!"), (4, None), (4, "")], "doc_id bigint, text string")
+    assert sorted(str((r.doc_id, r.text or "")) for r in ngram_join.deduplicated(wordless).collect()) == ["(4, '')", "(None, '!!')", "(None, '...')"]
 
 
 def test_bands_reach_recall():
