@@ -7,8 +7,9 @@ positions at which no pattern can end; at shift 0 the block's suffix bucket sele
 patterns, which are compared word by word and then as bytes.  Long documents are cut
 into segments and all segments of a batch move on together in numpy.
 
-Benchmark items are loaded in blocks of bounded size, one search of the documents for
-each block; the tables of one block are broadcast.
+Benchmark items are loaded in blocks of bounded size.  Each block is one search of the
+documents; its tables are broadcast, and dropped before the next block's are built, so
+neither the driver nor a task holds more than one block.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tendersift.llm.common import free_name, read_table, whole_text
+from tendersift.llm.common import attached, free_name, read_table, stored, text_key, whole_text
 from tendersift.llm.wordhash import FOLD, Tokens, flat, mix, tokens
 
 WINDOW = 10
 #: Words in a block of the shift table.
 BLOCK = 2
 #: Bytes of benchmark text whose tables are broadcast at once.
-ITEM_BYTES = 16 << 20
+ITEM_BYTES = 4 << 20
 _SEGMENT = 256
 
 
@@ -154,17 +155,32 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, words: str, spans: str, ids
     A null text has no words.  A null item id counts as the empty id; items without
     words never occur; items of one id count once.  Without items nothing is hit.
     """
-    text = free_name(docs, "search_text")
-    out = docs.withColumns({text: whole_text(), words: F.lit(0).cast("bigint"), spans: F.array().cast("array<bigint>"), ids: F.array().cast("array<string>")})
+    text, key = free_name(docs, "search_text"), free_name(docs, "search_key")
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), whole_text().alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     blocks = max(1, -(-size // item_bytes))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-    for i in range(blocks):
+    none = {words: F.lit(0).cast("bigint"), spans: F.array().cast("array<bigint>"), ids: F.array().cast("array<string>")}
+
+    def searched(rows: DataFrame, i: int):
         part = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == i).distinct()
-        shared = docs.sparkSession.sparkContext.broadcast(tables([tuple(r) for r in part.collect()], window))
-        out = out.mapInArrow(_search(shared, text, words, spans, ids), fields)
-    return out.drop(text)
+        shared = docs.sparkSession.sparkContext.broadcast(tables([tuple(r) for r in part.collect()], window))  # about item_bytes of text
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+        return rows.mapInArrow(_search(shared, text, words, spans, ids), fields), shared
+
+    earlier = None
+    for i in range(blocks - 1):  # equal texts have equal hits, and few texts have any
+        found, shared = searched(docs.select(text_key().alias(key), whole_text().alias(text)).withColumns(none), i)
+        found = stored(found.filter(F.size(ids) > 0).select(key, F.col(spans).alias("s"), F.col(ids).alias("i")).dropDuplicates([key]), "block-hits")
+        shared.destroy()
+        earlier = found if earlier is None else earlier.union(found)
+    if earlier is not None:
+        earlier = stored(earlier.groupBy(key).agg(F.flatten(F.collect_list("s")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("i")))).alias("i")), "hits")  # a text's hits of at most as many blocks
+        rows = attached(docs.withColumn(key, text_key()), earlier.select(key, F.struct("s", "i").alias(hits := free_name(docs, "search_hits"))), key, "doc_id", F.size(f"{hits}.s") + F.size(f"{hits}.i"))
+        none |= {spans: F.coalesce(F.col(hits)["s"], none[spans]), ids: F.coalesce(F.col(hits)["i"], none[ids])}
+        out = rows.withColumns({text: whole_text(), **none}).drop(key, hits)
+    else:
+        out = docs.withColumns({text: whole_text(), **none})
+    return searched(out, blocks - 1)[0].drop(text)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
