@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tendersift.functions import robust
-from tendersift.operators import amount, assemble, award_change, competition, competition_evidence, detectors, explanation, identity, lifecycle, peers, quality, review, vendor
+from tendersift.operators import amount, assemble, award_change, competition, competition_evidence, detectors, explanation, feature_catalog, identity, lifecycle, peers, preprocessing, quality, review, vendor
 from tendersift.plans import statements as sql
 from tendersift.plans.config import ForestRun, ReviewPlan
 from tendersift.plans.run import run
@@ -125,6 +125,48 @@ def _summaries(method: str) -> Callable[[DataFrame], DataFrame]:
     return lambda df: robust.summaries(counts(df), method)
 
 
+def _frozen(features: Callable[..., DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """All transactions against what a reference held before the last month of each fiscal year."""
+    return lambda df: features(df.filter(sql.FROZEN), targets=df)
+
+
+def _selected(df: DataFrame) -> DataFrame:
+    selection = feature_catalog.Selection(sql.SELECTED)
+    rows = competition_evidence.transaction_features(df)
+    return feature_catalog.selected(feature_catalog.complete(rows, selection), selection, require_complete=True)
+
+
+def _catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(f.source, f.family, f.name) for f in feature_catalog.CATALOG], "source string, family string, name string")
+    return rows.groupBy("source").agg(F.count_distinct("name").cast("int").alias("features"), F.count_distinct("family").cast("int").alias("families"))
+
+
+def _preprocessed(df: DataFrame) -> DataFrame:
+    raw = stored(df.select("transaction_id", "award_id", F.col("action_obligation").alias("amount"), F.col("number_of_offers_received").alias("offers"), F.col("award_total_obligation").alias("total")), "raw-features")
+    rules = (
+        preprocessing.Rule("amount", "require_present", "identity", indicator=False),
+        preprocessing.Rule("offers", "train_median", "standard_scale"),
+        preprocessing.Rule("total", "constant", "robust_scale", fill=1000.0, low=0.1, high=0.9),
+    )
+    return preprocessing.apply(raw, preprocessing.fit(raw, rules))
+
+
+def _members(df: DataFrame) -> dict[str, DataFrame]:
+    """Calibrated tail detectors over two features each."""
+    matrix, out = _matrix(df), {}
+    for name, (a, b, _) in sql.MEMBERS.items():
+        scores = stored(detectors.tail_scores(matrix, matrix, [a, b]).withColumn("score", F.round("score", sql.R)), "member-scores")
+        out[name] = stored(detectors.calibrated(scores, scores), "member")
+    return out
+
+
+def _ensembles(df: DataFrame) -> DataFrame:
+    members = _members(df)
+    weights = {"weighted_mean": {n: w for n, (_, _, w) in sql.MEMBERS.items()}}
+    each = [detectors.ensemble(members, weights.get(m), m).select(F.lit(m).alias("method"), "*") for m in ("maximum", "median", "weighted_mean")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 def _facts(df: DataFrame) -> DataFrame:
     """The facts of three features of the competition family as text."""
     rows = competition_evidence.transaction_features(df)
@@ -190,7 +232,15 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "b4_spreadsheet_safe_text": (_on(lambda df: df.select("transaction_id", export.spreadsheet_safe(F.col("action_obligation").cast("string")).alias("safe"))), sql.SAFE_TEXT),
     "g9_duplicate_outcomes": (_duplicates, sql.DUPLICATES),
     "stream_event_windows": (_event_windows, sql.EVENT_WINDOWS),
-    "d8_feature_completeness": (_on(assemble.completeness), None),
+    "d8_feature_completeness": (_on(assemble.completeness), sql.COMPLETENESS),
+    "d6_competition_frozen_reference": (_on(_frozen(competition.features)), sql.COMPETITION_CONTEXT_FROZEN),
+    "d7_vendor_frozen_reference": (_on(_frozen(vendor.features)), sql.VENDOR_FROZEN),
+    "d1_amount_frozen_reference": (_on(_frozen(amount.features)), sql.AMOUNT_FROZEN),
+    "c27_selected_features": (_on(_selected), sql.SELECTION),
+    "e30_catalog_counts": (_catalog_counts, sql.CATALOG_COUNTS),
+    "e22_preprocessed": (_on(_preprocessed), sql.PREPROCESSED),
+    "j13_ensembles": (_on(_ensembles, digits=9), sql.ENSEMBLES),
+    "j14_stability": (_on(lambda df: detectors.stability(_members(df)), digits=9), sql.STABILITY),
     "review_queue": (_on(_review_queue), None),
     "award_change_features": (_on(award_change.features, raw=True), sql.CHANGE_FEATURES),
 }

@@ -1,4 +1,4 @@
-"""Joins whose hot keys are dealt over tasks, and broadcasts behind a count."""
+"""Joins whose hot keys are dealt over tasks, broadcasts behind a count, and populations that must agree."""
 
 from __future__ import annotations
 
@@ -38,3 +38,21 @@ def spread_join(rows: DataFrame, few: DataFrame, key: str | list[str], by: str,
     copies = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     on = [key] if isinstance(key, str) else key
     return rows.withColumn(salt, F.pmod(F.xxhash64(F.col(by)), F.lit(salts)).cast("int")).join(copies, [*on, salt], "left").drop(salt)
+
+
+def population(df: DataFrame, ident: list[str]) -> tuple[int, int, int]:
+    """The number of rows and two sums of hashes of their identities, the same for the same rows in any order; one pass without a shuffle of rows."""
+    text = [F.col(c).cast("string") for c in ident]
+    total = lambda seed: F.coalesce(F.sum(F.xxhash64(F.lit(seed), *text).cast("decimal(38,0)")), F.lit(0))
+    row = df.agg(F.count("*").alias("n"), total(1).alias("a"), total(2).alias("b")).first()
+    return row.n, int(row.a), int(row.b)
+
+
+def same_population(tables: dict[str, DataFrame], ident: list[str]) -> None:
+    """ValueError if the tables hold different rows, or one holds an identity twice."""
+    found = {name: population(df, ident) for name, df in tables.items()}
+    if len(set(found.values())) > 1:
+        raise ValueError(f"different rows: {', '.join(f'{n} has {p[0]}' for n, p in found.items())}")
+    first = next(iter(tables.values()))
+    if first.groupBy(*ident).count().filter("count > 1").head(1):
+        raise ValueError(f"an identity ({', '.join(ident)}) stands twice")

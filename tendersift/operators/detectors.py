@@ -1,4 +1,4 @@
-"""Preprocessing, two unsupervised detectors, calibration, ensemble and stability.
+"""Two unsupervised detectors, calibration, ensemble and stability.
 
 Rows are in long form where a step treats features alike: ident, feature, value.  All that is
 fitted comes from the training rows; scoring rows never change it.
@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendersift.functions.robust import column_quantiles, compare, running_counts
+from tendersift.functions.robust import compare, running_counts
+from tendersift.joins import same_population
 from tendersift.storage import stored
 
 IDENT = ["transaction_id", "award_id"]
@@ -32,21 +33,9 @@ def float_exactness(df: DataFrame, features: list[str]) -> DataFrame:
     return long_form(df, features).groupBy("feature").agg(F.count("value").alias("present"), F.count_if(value != rounded).alias("inexact"), F.max(F.abs(value - rounded)).alias("largest_error"))
 
 
-def fit_preprocessor(training: DataFrame, features: list[str], low: float = 0.25, high: float = 0.75) -> dict[str, tuple[float, float]]:
-    """Median and quantile range of each feature's observed training values; an error where a range is 0."""
-    row = column_quantiles(training, features, (low, 0.5, high))
-    out = {}
-    for f in features:
-        if row[f] is None or row[f][2] == row[f][0]:
-            raise ValueError(f"{f} has no spread in training")
-        out[f] = (row[f][1], row[f][2] - row[f][0])
-    return out
-
-
-def preprocessed(df: DataFrame, state: dict[str, tuple[float, float]]) -> DataFrame:
-    """Missing values become the training median, then robust scaling; <feature>__missing marks them."""
-    scaled = [((F.coalesce(F.col(f).cast("double"), F.lit(m)) - F.lit(m)) / F.lit(s)).alias(f) for f, (m, s) in state.items()]
-    return df.select(*IDENT, *scaled, *[F.col(f).isNull().cast("int").alias(f"{f}__missing") for f in state])
+def oriented(scores: DataFrame, higher_is_more_anomalous: bool, column: str = "score") -> DataFrame:
+    """Scores of which a higher one is more anomalous."""
+    return scores if higher_is_more_anomalous else scores.withColumn(column, -F.col(column))
 
 
 def tail_scores(training: DataFrame, scoring: DataFrame, features: list[str]) -> DataFrame:
@@ -71,7 +60,10 @@ def tail_scores(training: DataFrame, scoring: DataFrame, features: list[str]) ->
 
 
 def calibrated(training: DataFrame, scores: DataFrame) -> DataFrame:
-    """ident, score, lower, mid, upper, z and distance of each score among the training scores (column score, higher is more anomalous)."""
+    """ident, score, lower, mid, upper, z and distance of each score among the training scores (column score, higher is more anomalous); at least two of them, not all equal."""
+    span = training.agg(F.count("score").alias("n"), (F.min("score") < F.max("score")).alias("differ")).first()
+    if span.n < 2 or not span.differ:
+        raise ValueError("calibration takes two different training scores at least")
     counts = training.groupBy(F.lit("all").alias("group"), F.col("score").alias("value")).agg(F.count("*").alias("n"))
     targets = scores.select(*IDENT, F.lit("all").alias("group"), F.col("score").alias("value"), F.lit(None).cast("double").alias("own"))
     found = compare(targets, counts, IDENT)
@@ -90,6 +82,7 @@ def ensemble(members: dict[str, DataFrame], weights: dict[str, float] | None = N
         raise ValueError("an ensemble has two members at least, and weights with weighted_mean alone")
     if weights is not None and (set(weights) != set(members) or abs(sum(weights.values()) - 1) > 1e-12 or min(weights.values()) <= 0):
         raise ValueError("weights are positive and sum to 1")
+    same_population(members, IDENT)
     named = [m.select(*IDENT, *[F.col(x).alias(f"{name}_{x}") for x in ("lower", "mid", "upper")]) for name, m in members.items()]
     rows = reduce(lambda a, b: a.join(b, IDENT), named)
 
@@ -105,6 +98,9 @@ def ensemble(members: dict[str, DataFrame], weights: dict[str, float] | None = N
 
 def stability(runs: dict[str, DataFrame]) -> DataFrame:
     """ident, runs, least, most, median and mad of mid over several runs of the same rows."""
+    if len(runs) < 2:
+        raise ValueError("stability takes two runs at least")
+    same_population(runs, IDENT)
     every = reduce(lambda a, b: a.unionByName(b), [r.select(*IDENT, "mid") for r in runs.values()])
     lists = every.groupBy(*IDENT).agg(F.sort_array(F.collect_list("mid")).alias("x"))  # as many values as runs
     middle = lambda x: F.when(F.size(x) % 2 == 1, x[F.floor(F.size(x) / 2).cast("int")]).otherwise((x[(F.size(x) / 2).cast("int") - 1] + x[(F.size(x) / 2).cast("int")]) / 2)
@@ -115,6 +111,7 @@ def stability(runs: dict[str, DataFrame]) -> DataFrame:
 
 def spearman(a: DataFrame, b: DataFrame, column: str = "mid") -> DataFrame:
     """rho, the rank correlation of two runs over the same rows; null if either is constant."""
+    same_population({"the first run": a, "the second": b}, IDENT)
 
     def ranks(df: DataFrame, name: str) -> DataFrame:
         runs = running_counts(stored(df.groupBy(F.lit(1).alias("g"), F.col(column).alias("value")).agg(F.count("*").alias("n")), "rank-counts"), ["g"])

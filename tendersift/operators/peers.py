@@ -143,3 +143,23 @@ def first_sufficient(rows: DataFrame, levels: tuple[Level, ...], support: DataFr
     found = with_keys(rows, levels, ident).filter("peer_key IS NOT NULL").join(support.drop("level"), "peer_key")
     best = found.groupBy(*ident).agg(F.min_by(F.struct(level_of().alias("level"), "peer_key", *rest), "ordinal").alias("best"))
     return best.select(*ident, "best.*")
+
+
+def indexed(targets: DataFrame, reference: DataFrame, ident: str, same: dict[str, Column]) -> DataFrame:
+    """targets with indexed: whether the reference holds the row's ident.
+
+    same: what a held row must have in common with the reference's; a target that differs
+    fails the job, since its own share could not be taken out.  The reference has one row
+    for each ident.
+    """
+    mark = F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\0")) for c in same.values()])
+    held = reference.select(ident, mark.alias("held_mark"))
+    rows = targets.withColumn("own_mark", mark).join(held, ident, "left")
+    differs = F.raise_error(F.concat(F.lit("differs from the reference: "), F.col(ident))).cast("boolean")
+    flag = F.when(F.col("held_mark").isNull(), False).when(F.col("held_mark") == F.col("own_mark"), True).otherwise(differs)
+    return rows.withColumn("indexed", flag).drop("held_mark", "own_mark")
+
+
+def keys_of(levels: tuple[Level, ...]) -> dict[str, Column]:
+    """Each level's key by its name."""
+    return {x.name: key(x) for x in levels}

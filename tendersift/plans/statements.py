@@ -6,12 +6,19 @@ found by trying them one after the other.
 
 from __future__ import annotations
 
+import re
+
 from tendersift.operators import competition_evidence as evidence
+from tendersift.operators.feature_catalog import CATALOG
 from tendersift.sources.canonical import canonical_sql
 
 R = 6  # decimals of doubles
 
 
+#: What a reference held that was frozen before the last month of each fiscal year.
+FROZEN = "month(action_date) <> 9"
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -61,30 +68,35 @@ PEER_KEYS = with_(canon(), keyed("canon", "transaction_id", "", True)) + "SELECT
 GROUP_COUNTS = with_(canon(), keyed("canon", "transaction_id", "", True)) + "SELECT level, peer_key, count(*) AS members FROM keyed WHERE peer_key IS NOT NULL GROUP BY level, peer_key"
 
 
-def chosen(minimum: int) -> str:
-    return f"""sizes AS (SELECT peer_key, count(*) AS members FROM keyed WHERE peer_key IS NOT NULL GROUP BY peer_key),
+def chosen(minimum: int, held: str = "true") -> str:
+    """chosen: each row's first level with at least minimum other rows that the reference holds."""
+    return f"""sizes AS (SELECT peer_key, count(*) AS members FROM keyed WHERE peer_key IS NOT NULL AND {held} GROUP BY peer_key),
 chosen AS (SELECT transaction_id, level, peer_key, members FROM (SELECT k.transaction_id, k.level, k.peer_key, s.members, row_number() OVER (PARTITION BY k.transaction_id ORDER BY k.ordinal) AS rn
-  FROM keyed k JOIN sizes s ON k.peer_key = s.peer_key AND s.members - 1 >= {minimum}) WHERE rn = 1)"""
+  FROM keyed k JOIN sizes s ON k.peer_key = s.peer_key AND s.members - CASE WHEN {held} THEN 1 ELSE 0 END >= {minimum}) WHERE rn = 1)"""
 
 
 FIRST_LEVEL = with_(canon(), keyed("canon", "transaction_id", "", True), chosen(10)) + "SELECT transaction_id, level, peer_key, members FROM chosen"
 
-_FORMS = """mem AS (SELECT transaction_id AS id, 's|' || peer_key AS g, CAST(action_obligation AS DOUBLE) AS v FROM keyed WHERE peer_key IN (SELECT peer_key FROM chosen)
-  UNION ALL SELECT transaction_id, 'm|' || peer_key, abs(CAST(action_obligation AS DOUBLE)) FROM keyed WHERE peer_key IN (SELECT peer_key FROM chosen)
-  UNION ALL SELECT transaction_id, 'd' || CAST(sign(action_obligation) AS INT) || '|' || peer_key, abs(CAST(action_obligation AS DOUBLE)) FROM keyed WHERE peer_key IN (SELECT peer_key FROM chosen)),
-tgt AS (SELECT mem.* FROM mem JOIN chosen ON id = transaction_id AND g[strpos(g, '|') + 1:] = peer_key)"""
+_FORMS = """forms AS (SELECT transaction_id AS id, peer_key, held, 's|' || peer_key AS g, CAST(action_obligation AS DOUBLE) AS v FROM keyed WHERE peer_key IN (SELECT peer_key FROM chosen)
+  UNION ALL SELECT transaction_id, peer_key, held, 'm|' || peer_key, abs(CAST(action_obligation AS DOUBLE)) FROM keyed WHERE peer_key IN (SELECT peer_key FROM chosen)
+  UNION ALL SELECT transaction_id, peer_key, held, 'd' || CAST(sign(action_obligation) AS INT) || '|' || peer_key, abs(CAST(action_obligation AS DOUBLE)) FROM keyed WHERE peer_key IN (SELECT peer_key FROM chosen)),
+mem AS (SELECT id, g, v FROM forms WHERE held),
+tgt AS (SELECT id, g, v FROM forms f JOIN chosen c ON f.id = c.transaction_id AND f.peer_key = c.peer_key)"""
 
 _AMOUNT_COLUMNS = ", ".join(f"round(max(CASE WHEN left(g, 1) = '{f}' THEN {e} END), {R}) AS amount_{n}_{k}" for k, e in (("position", "pos"), ("modified_z", "z"), ("iqr_distance", "dist")) for f, n in (("s", "signed"), ("m", "magnitude"), ("d", "same_direction_magnitude")))
 
-AMOUNT = (
-    with_(canon(), keyed("canon", "transaction_id, action_obligation", "", True), chosen(10), _FORMS, distribution("dd", "tgt", "mem"))
-    + f""", wide AS (SELECT id, max(CASE WHEN left(g, 1) = 's' THEN m END) AS peers, max(CASE WHEN left(g, 1) = 'd' THEN m END) AS same, {_AMOUNT_COLUMNS} FROM dd GROUP BY id)
+
+def amount(held: str = "true") -> str:
+    return with_(canon(), keyed("canon", f"transaction_id, action_obligation, {held} AS held", "", True), chosen(10, "held"), _FORMS, distribution("dd", "tgt", "mem")) + f""", wide AS (SELECT id, max(CASE WHEN left(g, 1) = 's' THEN m END) AS peers, max(CASE WHEN left(g, 1) = 'd' THEN m END) AS same, {_AMOUNT_COLUMNS} FROM dd GROUP BY id)
 SELECT c.transaction_id, level, peers, {", ".join(f"amount_{n}_{k}" for k in ("position", "modified_z", "iqr_distance") for n in ("signed", "magnitude", "same_direction_magnitude"))},
   CASE WHEN level IS NOT NULL THEN CAST(sign(c.action_obligation) AS DOUBLE) END AS amount_direction_code,
   CASE WHEN level IS NOT NULL THEN round(coalesce(same, 0) / CAST(peers AS DOUBLE), {R}) END AS amount_same_direction_peer_fraction,
   CASE WHEN level IS NULL THEN 'no_peer_group_with_required_support' END AS reason
 FROM canon c LEFT JOIN chosen USING (transaction_id) LEFT JOIN wide w ON c.transaction_id = w.id"""
-)
+
+
+AMOUNT = amount()
+AMOUNT_FROZEN = amount(FROZEN)
 
 _BASE_VENDOR = f"b AS (SELECT * FROM vend WHERE lifecycle = 'base_award'),\n{keyed('b', 'transaction_id, award_id, vendor_key', 'vendor_', False)}"
 _WON = """won AS (SELECT peer_key, vendor_key, count(*) AS c FROM keyed WHERE peer_key IS NOT NULL AND vendor_key IS NOT NULL GROUP BY peer_key, vendor_key),
@@ -100,16 +112,17 @@ FROM mk LEFT JOIN sq USING (peer_key)"""
 
 _V = ("new_award_count", "share_identified_new_awards", "share_all_observed_new_awards", "equal_observed_winner_share_lift", "win_count_position", "win_count_modified_z", "win_count_iqr_distance", "share_of_largest_observed_winner", "award_count_hhi_contribution", "fraction_of_award_count_hhi")
 
-VENDOR_FEATURES = (
-    with_(canon(), LIFE, VENDOR, "b AS (SELECT * FROM vend WHERE lifecycle = 'base_award')", keyed("b", "vendor_key", "vendor_", False).replace("keyed AS", "market AS"), keyed("vend", "transaction_id, vendor_key, lifecycle", "vendor_", False))
-    + f""", won AS (SELECT peer_key, vendor_key, count(*) AS c FROM market WHERE peer_key IS NOT NULL GROUP BY peer_key, vendor_key),
-ask AS (SELECT DISTINCT peer_key, vendor_key, CASE WHEN lifecycle = 'base_award' THEN 1 ELSE 0 END AS o FROM keyed WHERE peer_key IS NOT NULL AND vendor_key IS NOT NULL),
+
+def vendor_features(held: str = "true") -> str:
+    own = f"transaction_id, vendor_key, CASE WHEN lifecycle = 'base_award' AND {held} THEN 1 ELSE 0 END AS o"
+    return with_(canon(), LIFE, VENDOR, f"b AS (SELECT * FROM vend WHERE lifecycle = 'base_award' AND {held})", keyed("b", "vendor_key", "vendor_", False).replace("keyed AS", "market AS"), keyed("vend", own, "vendor_", False)) + f""", won AS (SELECT peer_key, vendor_key, count(*) AS c FROM market WHERE peer_key IS NOT NULL GROUP BY peer_key, vendor_key),
+ask AS (SELECT DISTINCT peer_key, vendor_key, o FROM keyed WHERE peer_key IS NOT NULL AND vendor_key IS NOT NULL),
 aft AS (SELECT a.peer_key, a.vendor_key AS v, a.o, w.vendor_key, w.c - CASE WHEN w.vendor_key = a.vendor_key THEN a.o ELSE 0 END AS c FROM ask a JOIN won w USING (peer_key)),
 m AS (SELECT peer_key, v, o, sum(c) AS t, sum(c) FILTER (vendor_key IS NOT NULL) AS i, count(*) FILTER (vendor_key IS NOT NULL AND c > 0) AS w,
   coalesce(max(c) FILTER (vendor_key = v), 0) AS n, max(c) FILTER (vendor_key IS NOT NULL) AS top, sum(c * c) FILTER (vendor_key IS NOT NULL) AS sq FROM aft GROUP BY peer_key, v, o),
 ok AS (SELECT * FROM m WHERE t >= 10 AND i >= 10 AND w >= 3 AND i >= 0.5 * t),
 pick AS (SELECT * FROM (SELECT k.transaction_id, k.level, ok.*, row_number() OVER (PARTITION BY k.transaction_id ORDER BY k.ordinal) AS rn
-  FROM keyed k JOIN ok ON k.peer_key = ok.peer_key AND k.vendor_key = ok.v AND ok.o = CASE WHEN k.lifecycle = 'base_award' THEN 1 ELSE 0 END) WHERE rn = 1),
+  FROM keyed k JOIN ok ON k.peer_key = ok.peer_key AND k.vendor_key = ok.v AND ok.o = k.o) WHERE rn = 1),
 u AS (SELECT DISTINCT peer_key, v, o, n FROM pick),
 x AS (SELECT u.*, CAST(a.c AS DOUBLE) AS c FROM u JOIN aft a ON u.peer_key = a.peer_key AND u.v = a.v AND u.o = a.o AND a.vendor_key <> a.v),
 s AS (SELECT peer_key, v, o, n, count(*) AS k, count(*) FILTER (c < n) AS less, count(*) FILTER (c = n) AS eq, quantile_cont(c, 0.25) AS q1, quantile_cont(c, 0.5) AS med, quantile_cont(c, 0.75) AS q3 FROM x GROUP BY peer_key, v, o, n),
@@ -121,7 +134,10 @@ f AS (SELECT transaction_id, level, CAST(p.n AS DOUBLE) AS vendor_{_V[0]}, p.n /
 SELECT v.transaction_id, level, {", ".join(f"round(vendor_{x}, {R}) AS vendor_{x}" for x in _V)},
   CASE WHEN vendor_key IS NULL THEN 'target_vendor_identity_missing' WHEN level IS NULL THEN 'no_market_satisfies_support_requirements' END AS reason
 FROM vend v LEFT JOIN f USING (transaction_id)"""
-)
+
+
+VENDOR_FEATURES = vendor_features()
+VENDOR_FROZEN = vendor_features(FROZEN)
 
 VENDOR_ACTIVITY = (
     with_(canon(), LIFE, VENDOR)
@@ -212,14 +228,20 @@ def _rate(x: str) -> str:
     return f"p_{a} / CAST(nullif(p_{b}, 0) AS DOUBLE)"
 
 
-COMPETITION_CONTEXT = with_(canon(), LIFE, EVIDENCE, _BASE_EVIDENCE, _COMP_KEYED) + f""", l AS (SELECT *, count(*) OVER w AS p_n, {", ".join(f"sum({n}) OVER w AS p_{n}" for n in _FLAGS)} FROM keyed WHERE peer_key IS NOT NULL
+def competition_context(held: str = "true") -> str:
+    own = keyed("b", f"award_id, {held} AS held, extent_known, " + ", ".join(_FLAGS), "competition_", True)
+    return with_(canon(), LIFE, EVIDENCE, _BASE_EVIDENCE, own) + f""", l AS (SELECT *, count(*) FILTER (held) OVER w AS p_n, {", ".join(f"sum({n}) FILTER (held) OVER w AS p_{n}" for n in _FLAGS)} FROM keyed WHERE peer_key IS NOT NULL
   WINDOW w AS (PARTITION BY peer_key ORDER BY award_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW)),
 q AS (SELECT *, row_number() OVER (PARTITION BY award_id ORDER BY ordinal) AS rn FROM l WHERE p_n >= 10 AND p_process_known >= 5 AND p_offers_known >= 5 AND p_procedure_known >= 5
   AND p_process_known >= 0.25 * p_n AND p_offers_known >= 0.25 * p_n AND p_procedure_known >= 0.25 * p_n)
 SELECT life.transaction_id, q.level, CAST(p_n AS DOUBLE) AS competition_context_reference_base_award_count, {", ".join(f"round({_rate(x)}, {R}) AS competition_context_{n}" for n, x in {"process_coverage": "process_known/n", "offer_coverage": "offers_known/n", "procedure_coverage": "procedure_known/n", **_RATES}.items())},
   {", ".join(f"CASE WHEN q.{c} THEN round(q.{x.split('/')[0]} - {_rate(x)}, {R}) END AS competition_context_{n}" if c != "true" else f"round(q.{x.split('/')[0]} - {_rate(x)}, {R}) AS competition_context_{n}" for n, (x, c) in _DEVIATIONS.items())},
-  CASE WHEN q.level IS NULL THEN 'no_supported_competition_market' END AS reason
-FROM life LEFT JOIN q ON life.award_id = q.award_id AND q.rn = 1"""
+  CASE WHEN life.lifecycle <> 'base_award' AND h.award_id IS NULL THEN 'base_award_reference_missing_for_modification' WHEN q.level IS NULL THEN 'no_supported_competition_market' END AS reason
+FROM life LEFT JOIN (SELECT award_id FROM b WHERE {held}) h ON life.award_id = h.award_id LEFT JOIN q ON life.award_id = q.award_id AND q.rn = 1 AND (q.held OR life.lifecycle = 'base_award')"""
+
+
+COMPETITION_CONTEXT = competition_context()
+COMPETITION_CONTEXT_FROZEN = competition_context(FROZEN)
 
 
 def _activity(name: str = "act") -> str:
@@ -370,3 +392,43 @@ DUPLICATES = """SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN row_number(
   FROM (SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS id, CAST(l_suppkey % 3 AS VARCHAR) AS h, l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem)
   WINDOW w AS (PARTITION BY id ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax)) GROUP BY outcome"""
 EVENT_WINDOWS = "SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+
+# The 88 features of the clean rows: how many each transaction holds.
+_CLEAN_CHANGE = CHANGE_FEATURES.replace(canon(True), canon())
+_HELD = " + ".join(f"CASE WHEN {f.name} IS NULL THEN 0 ELSE 1 END" for f in CATALOG)
+COMPLETENESS = f"""SELECT transaction_id, available, {len(CATALOG)} - available AS missing, round(available / {len(CATALOG)}.0, {R}) AS completeness FROM (SELECT transaction_id, CAST({_HELD} AS BIGINT) AS available
+FROM ({COMPETITION_FEATURES}) t JOIN ({AMOUNT}) USING (transaction_id) JOIN ({VENDOR_FEATURES}) USING (transaction_id) JOIN ({COMPETITION_CONTEXT}) USING (transaction_id) LEFT JOIN ({_CLEAN_CHANGE}) g ON t.award_id = g.award_id)"""
+
+SELECTED = ("competition_offers_received", "competition_single_offer_reported", "competition_multiple_offers_reported", "competition_zero_offers_reported", "competition_reported_process_competitive", "competition_reported_sources_restricted_or_unavailable", "competition_full_open_after_exclusion")
+SELECTION = f"SELECT transaction_id, award_id, {', '.join(SELECTED)} FROM ({COMPETITION_FEATURES}) WHERE {' AND '.join(f'{n} IS NOT NULL' for n in SELECTED)}"
+CATALOG_COUNTS = "SELECT * FROM (VALUES ('amount', 11, 5), ('award_change', 33, 9), ('competition_context', 20, 4), ('competition_transaction', 14, 6), ('vendor_frequency', 10, 6)) t(source, features, families)"
+
+PREPROCESSED = with_(canon()) + f"""SELECT transaction_id, award_id, amount, round((fo - avg(fo) OVER ()) / stddev_pop(fo) OVER (), {R}) AS offers, CAST(offers IS NULL AS INT) AS offers__missing,
+  round((ft - quantile_cont(ft, 0.5) OVER ()) / (quantile_cont(ft, 0.9) OVER () - quantile_cont(ft, 0.1) OVER ()), {R}) AS total, CAST(total IS NULL AS INT) AS total__missing
+FROM (SELECT transaction_id, award_id, CAST(action_obligation AS DOUBLE) AS amount, number_of_offers_received AS offers, award_total_obligation AS total,
+  coalesce(CAST(number_of_offers_received AS DOUBLE), (SELECT quantile_cont(CAST(number_of_offers_received AS DOUBLE), 0.5) FROM canon)) AS fo, coalesce(CAST(award_total_obligation AS DOUBLE), 1000.0) AS ft FROM canon)"""
+
+#: Tail detectors over two features each, with their weights in an ensemble.
+MEMBERS = {"first": ("amount", "offers", 0.5), "second": ("offers", "total", 0.25), "third": ("amount", "total", 0.25)}
+
+
+def _member(name: str, a: str, b: str) -> str:
+    tail = _TAIL.replace("'offers', offers FROM", f"'{b}', {b} FROM").replace(" UNION ALL SELECT transaction_id, award_id, 'total', total FROM mat", "", 1) if b != "total" else _TAIL.replace(" UNION ALL SELECT transaction_id, award_id, 'offers', offers FROM mat", "", 1)
+    tail = tail.replace("'amount' AS f, amount AS v", f"'{a}' AS f, {a} AS v")
+    for cte in ("ml", "mc", "mr", "sk", "tail", "sc"):
+        tail = re.sub(rf"\b{cte}\b", f"{cte}_{name}", tail)
+    return tail + f""",
+{name} AS (SELECT transaction_id, award_id, less / m AS lower, (less + eq / 2) / m AS mid, (less + eq) / m AS upper
+  FROM (SELECT transaction_id, award_id, CAST(rank() OVER (ORDER BY score) - 1 AS DOUBLE) AS less, CAST(count(*) OVER (PARTITION BY score) AS DOUBLE) AS eq, CAST(count(*) OVER () AS DOUBLE) AS m FROM sc_{name}))"""
+
+
+_MEMBERS = with_(canon(), _MATRIX, *[_member(n, a, b) for n, (a, b, _) in MEMBERS.items()])
+_JOINED = "FROM first JOIN second USING (transaction_id, award_id) JOIN third USING (transaction_id, award_id)"
+_COMBINED = {
+    "maximum": lambda x: f"greatest({', '.join(f'{n}.{x}' for n in MEMBERS)})",
+    "median": lambda x: f"list_sort([{', '.join(f'{n}.{x}' for n in MEMBERS)}])[2]",
+    "weighted_mean": lambda x: " + ".join(f"{w} * {n}.{x}" for n, (_, _, w) in MEMBERS.items()),
+}
+_MIDS = ", ".join(f"{n}.mid" for n in MEMBERS)
+ENSEMBLES = _MEMBERS + " UNION ALL ".join(f"SELECT '{m}' AS method, transaction_id, award_id, {', '.join(f'round({combine(x)}, 9) AS {x}' for x in ('lower', 'mid', 'upper'))}, round(greatest({_MIDS}) - least({_MIDS}), 9) AS disagreement {_JOINED}" for m, combine in _COMBINED.items())
+STABILITY = _MEMBERS + f"""SELECT transaction_id, award_id, 3 AS runs, round(x[1], 9) AS least, round(x[3], 9) AS most, round(x[2], 9) AS median, round(list_sort([x[2] - x[1], 0.0, x[3] - x[2]])[2], 9) AS mad FROM (SELECT transaction_id, award_id, list_sort([{_MIDS}]) AS x {_JOINED})"""

@@ -66,7 +66,7 @@ def test_large_groups_are_ordered_in_pieces(spark):
 
 def test_column_quantiles_use_no_whole_column_buffer(spark, monkeypatch):
     from pyspark.sql import functions as F
-    from tendersift.operators import detectors
+    from tendersift.operators import preprocessing
 
     def refused(*_):
         raise AssertionError("percentile merges all distinct values in one task")
@@ -79,4 +79,5 @@ def test_column_quantiles_use_no_whole_column_buffer(spark, monkeypatch):
     for c, values in (("a", x), ("b", x[::3])):
         assert all(same(g, quantile(values, p)) for g, p in zip(got[c], (0.25, 0.5, 0.75), strict=True))
     assert got["c"] is None
-    assert same(detectors.fit_preprocessor(df, ["a"])["a"][0], quantile(x, 0.5))
+    fitted = preprocessing.fit(df, preprocessing.robust_rules(["a"]))[0]
+    assert same(fitted.fill, quantile(x, 0.5)) and same(fitted.center, fitted.fill)
