@@ -192,6 +192,15 @@ def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.outcomes(rows, order=order).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+GATES = {"review": quality.RULES, "identity": (quality.Rule("context", "vendor_identity", least=0.99), quality.Rule("vendor", "name_only", most=0.2, block=False))}
+
+
+def _gate_states(df: DataFrame) -> DataFrame:
+    """The state of each named gate with its rules and failures."""
+    found = quality.gates(stored(quality.profile(df), "profile"), GATES)
+    return found.groupBy("gate", "status").agg(F.count("*").alias("rules"), F.count_if(~F.col("passed")).alias("failed"))
+
+
 def _event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = windows.run_available(spark, f"{sf_dir}/events*.parquet")
     return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
@@ -215,6 +224,7 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "e14_award_change_activity": (_on(award_change.activity, raw=True), sql.CHANGE_ACTIVITY),
     "quality_profile": (_on(quality.profile), sql.QUALITY_PROFILE),
     "quality_gate": (_on(lambda df: quality.gate(stored(quality.profile(df), "profile"))), sql.QUALITY_GATE),
+    "j25_named_gates": (_on(_gate_states), sql.NAMED_GATES),
     "j10_tail_scores": (_on(_tail), sql.TAIL),
     "j12_calibrated_scores": (_on(_calibrated), sql.CALIBRATED),
     "g2_top_n_include": (_on(_top("include_boundary_ties")), sql.top_n(100, "include_boundary_ties")),

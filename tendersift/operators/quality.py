@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,3 +106,18 @@ def gate(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     failed = rows.agg(F.coalesce(F.max(F.when(F.col("passed"), 0).when(F.col("severity") == "block", 2).otherwise(1)), F.lit(0)).alias("worst"))
     status = F.element_at(F.array(F.lit("ready"), F.lit("degraded"), F.lit("blocked")), F.col("worst") + 1)
     return rows.join(F.broadcast(failed)).select("rule", "section", "name", "observed", "passed", "severity", status.alias("status"))
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    """A profile by section and name; missing patterns by falling count."""
+    return found.orderBy("section", F.when(F.col("section") == "missing_pattern", -F.col("n")), "name")
+
+
+def gates(found: DataFrame, specs: dict[str, tuple[Rule, ...]], names: list[str] | None = None) -> DataFrame:
+    """gate() of the named specs, or of all, with the spec's name as gate; ValueError for a name that isn't there."""
+    wanted = sorted(specs) if names is None else names
+    unknown = sorted(set(wanted) - set(specs))
+    if unknown or not wanted:
+        raise ValueError(f"no such gates: {', '.join(unknown)}")
+    each = [gate(found, specs[n]).select(F.lit(n).alias("gate"), "*") for n in wanted]
+    return reduce(lambda a, b: a.unionByName(b), each)

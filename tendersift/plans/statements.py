@@ -432,3 +432,6 @@ _COMBINED = {
 _MIDS = ", ".join(f"{n}.mid" for n in MEMBERS)
 ENSEMBLES = _MEMBERS + " UNION ALL ".join(f"SELECT '{m}' AS method, transaction_id, award_id, {', '.join(f'round({combine(x)}, 9) AS {x}' for x in ('lower', 'mid', 'upper'))}, round(greatest({_MIDS}) - least({_MIDS}), 9) AS disagreement {_JOINED}" for m, combine in _COMBINED.items())
 STABILITY = _MEMBERS + f"""SELECT transaction_id, award_id, 3 AS runs, round(x[1], 9) AS least, round(x[3], 9) AS most, round(x[2], 9) AS median, round(list_sort([x[2] - x[1], 0.0, x[3] - x[2]])[2], 9) AS mad FROM (SELECT transaction_id, award_id, list_sort([{_MIDS}]) AS x {_JOINED})"""
+_IDENTITY_GATE = """SELECT 'identity' AS gate, CASE WHEN known < 0.99 THEN 'blocked' WHEN named > 0.2 THEN 'degraded' ELSE 'ready' END AS status, 2 AS rules, CAST(known < 0.99 AS INT) + CAST(named > 0.2 AS INT) AS failed
+FROM (SELECT avg(CASE WHEN coalesce(recipient_uei, recipient_legacy_id, recipient_name) IS NULL THEN 0.0 ELSE 1.0 END) AS known, avg(CASE WHEN coalesce(recipient_uei, recipient_legacy_id) IS NULL AND recipient_name IS NOT NULL THEN 1.0 ELSE 0.0 END) AS named FROM canon)"""
+NAMED_GATES = with_(canon()) + f"{_IDENTITY_GATE} UNION ALL SELECT 'review', status, count(*), count(*) FILTER (NOT passed) FROM ({QUALITY_GATE}) GROUP BY status"

@@ -137,18 +137,20 @@ def read_archive(spark: SparkSession, path: str, budget: Budget = Budget(), piec
     return whole
 
 
-# Canonical fields and the headers that may hold them, the first that is there wins.
+# Canonical fields and the headers that may hold them, the first with a value wins.
 ALIASES = {
     "award_id": ("contract_award_unique_key",),
     "transaction_id": ("contract_transaction_unique_key",),
     "piid": ("award_id_piid",),
     "modification_number": ("modification_number",),
+    "parent_award_id": ("parent_award_id_piid",),
     "award_type_code": ("award_type_code",),
-    "recipient_name": ("recipient_name",),
+    "recipient_name": ("recipient_name", "recipient_name_raw"),
     "recipient_uei": ("recipient_uei",),
     "recipient_legacy_id": ("recipient_duns",),
-    "parent_recipient_name": ("recipient_parent_name",),
+    "parent_recipient_name": ("recipient_parent_name", "recipient_parent_name_raw"),
     "parent_recipient_uei": ("recipient_parent_uei",),
+    "parent_recipient_legacy_id": ("recipient_parent_duns",),
     "action_date": ("action_date",),
     "action_obligation": ("federal_action_obligation",),
     "award_total_obligation": ("total_dollars_obligated",),
@@ -156,8 +158,13 @@ ALIASES = {
     "awarding_agency_name": ("awarding_agency_name",),
     "awarding_subtier_agency_code": ("awarding_sub_agency_code",),
     "awarding_subtier_agency_name": ("awarding_sub_agency_name",),
+    "awarding_office_code": ("awarding_office_code",),
+    "awarding_office_name": ("awarding_office_name",),
+    "funding_agency_code": ("funding_agency_code",),
+    "funding_agency_name": ("funding_agency_name",),
     "naics_code": ("naics_code",),
     "psc_code": ("product_or_service_code",),
+    "description": ("transaction_description",),
     "extent_competed_code": ("extent_competed_code",),
     "extent_competed_description": ("extent_competed",),
     "number_of_offers_received": ("number_of_offers_received",),
@@ -203,3 +210,42 @@ def outcomes(rows: DataFrame, ident: str = "transaction_id", digest: str = "row_
     w = W.partitionBy(ident, problem, F.when(problem, F.xxhash64(*order))).orderBy(*order)
     number, first = F.row_number().over(w), F.first(digest).over(w)
     return rows.withColumn("outcome", F.when(problem, "quarantined").when(number == 1, "loaded").when(F.col(digest) == first, "dropped_exact_duplicate").otherwise("quarantined"))
+
+
+@dataclass(frozen=True)
+class Mapping:
+    """Which headers feed canonical fields: consumed, of these second choices as fallbacks, unmapped, and fields without a header."""
+
+    consumed: tuple[str, ...]
+    fallbacks: tuple[str, ...]
+    unmapped: tuple[str, ...]
+    absent: tuple[str, ...]
+
+
+def mapping(headers: list[str], aliases: dict[str, tuple[str, ...]] = ALIASES) -> Mapping:
+    there = set(headers) - {"source_member", "row_seq"}
+    known = {a for names in aliases.values() for a in names}
+    second = {a for names in aliases.values() for a in names[1:] if a in there and not there & set(names[: names.index(a)])}
+    return Mapping(tuple(sorted(there & known)), tuple(sorted(second)), tuple(sorted(there - known)), tuple(sorted(f for f, names in aliases.items() if not there & set(names))))
+
+
+def load_report(rows: DataFrame) -> DataFrame:
+    """One row for outcomes(): seen, loaded, exact duplicates, conflicting ids, rows with problems and without an id; they add up to seen."""
+    c = F.col
+    named, bad = c("transaction_id").isNotNull(), F.coalesce(F.size("problems") > 0, F.lit(False))
+    return rows.agg(
+        F.count("*").alias("seen"),
+        F.count_if(c("outcome") == "loaded").alias("loaded"),
+        F.count_if(c("outcome") == "dropped_exact_duplicate").alias("exact_duplicates"),
+        F.count_if((c("outcome") == "quarantined") & named & ~bad).alias("conflicting"),
+        F.count_if((c("outcome") == "quarantined") & named & bad).alias("with_problems"),
+        F.count_if(~named).alias("without_id"),
+    )
+
+
+def within_budget(report: DataFrame, most: int) -> None:
+    """ArchiveError if more than most rows of a load_report() were quarantined."""
+    row = report.first()
+    bad = row.conflicting + row.with_problems + row.without_id
+    if bad > most:
+        raise ArchiveError(f"{bad} of {row.seen} rows are quarantined, at most {most} may be")
