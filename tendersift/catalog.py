@@ -181,7 +181,7 @@ def _explained_queue(df: DataFrame) -> DataFrame:
     done = run(df, PLAN)
     cells = stored(done.cells, "cells")
     counts = cells.groupBy("transaction_id").agg((F.count("value") / F.count("*")).alias("completeness"))
-    out = explanation.explained(done.decisions.filter("flagged"), counts, explanation.facts(cells, ["amount_signed_position", *sql.EXPLAINED]), done.stability)
+    out = explanation.explained(stored(done.decisions, "decisions"), stored(counts, "completeness"), explanation.facts(cells, ["amount_signed_position", *sql.EXPLAINED]), stored(done.stability, "stability")).filter("flagged")
     return out.select("transaction_id", "award_id", "summary", F.col("facts.narrative").alias("facts"))
 
 
