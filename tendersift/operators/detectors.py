@@ -7,6 +7,7 @@ fitted comes from the training rows; scoring rows never change it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tendersift.functions.robust import compare, running_counts
 from tendersift.joins import same_population
+from tendersift.sources.manifest import digest
 from tendersift.storage import stored
 
 IDENT = ["transaction_id", "award_id"]
@@ -152,32 +154,75 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple[int
     return nodes
 
 
-def fit_forest(training: DataFrame, features: list[str], trees: int = 100, sample: int = 256, seed: int = 0) -> list[list[tuple]]:
-    """Isolation trees; each is grown in its own task from the rows with the smallest hashes of (row, tree, seed)."""
+#: A tree grows in one task, so it takes at most so many rows.
+MOST_ROWS = 1 << 16
+
+
+@dataclass(frozen=True)
+class Forest:
+    """Isolation trees over the named features; a tree is its nodes (feature, cut, left, right, depth), grown from sample rows."""
+
+    features: tuple[str, ...]
+    sample: int
+    trees: tuple[tuple[tuple[int, float, int, int, float], ...], ...]
+
+    def fingerprint(self) -> str:
+        """sha256 of the features, the sample and every node."""
+        return digest([self.features, self.sample, self.trees])
+
+
+def _part(asked: int | float, whole: int) -> int:
+    """asked, at most whole; of a float that share of whole, at least one."""
+    if isinstance(asked, float):
+        if not 0 < asked <= 1:
+            raise ValueError("a share lies in (0, 1]")
+        return max(1, int(asked * whole))
+    if asked < 1:
+        raise ValueError("a number is positive")
+    return min(asked, whole)
+
+
+def fit_forest(training: DataFrame, features: list[str], trees: int = 100, sample: int | float = 256, seed: int = 0, tree_features: int | float = 1.0, bootstrap: bool = False) -> Forest:
+    """Isolation trees, each grown in its own task from the rows with the smallest hashes of (row, tree, seed).
+
+    sample and tree_features: rows and features of a tree, as a number or as a share (a
+    float) of all; a tree of more than MOST_ROWS is an error.  bootstrap: rows are drawn
+    with replacement, so fewer of them stand several times.  Values are not null.
+    """
     n = training.count()
-    size = min(sample, n)
-    share = min(1.0, (2 * size + 40) / max(1, n))
+    if not n or not features:
+        raise ValueError("a forest takes one row and one feature at least")
+    size, width = _part(sample, n), _part(tree_features, len(features))
+    if size > MOST_ROWS:
+        raise ValueError(f"a tree takes {MOST_ROWS} rows at most, not {size}")
+    share = min(1.0, (2 * size + 40) / n)
     near = lambda t: F.pmod(F.xxhash64(*IDENT, t, F.lit(seed)), F.lit(1 << 40))
     drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: near(t) < int(share * (1 << 40)))
     rows = training.select(*IDENT, F.array(*[F.col(f).cast("double") for f in features]).alias("x"), F.explode(drawn).alias("tree"))
     rows = rows.select("tree", near(F.col("tree")).alias("h"), "x")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("h", kind="stable").head(size)
-        nodes = _grow(np.array(pdf["x"].tolist()), np.random.default_rng([seed, int(pdf["tree"].iloc[0])]), int(np.ceil(np.log2(max(2, size)))))
+        rng = np.random.default_rng([seed, int(pdf["tree"].iloc[0])])
+        # Which rows are drawn is up to their hashes; draws with replacement tell only how often each stands.
+        times = np.unique(rng.integers(0, n, size), return_counts=True)[1] if bootstrap else np.ones(size, int)
+        x = np.array(pdf.sort_values("h", kind="stable").head(len(times))["x"].tolist())
+        x = np.repeat(x, times[: len(x)], axis=0)
+        mine = np.sort(rng.choice(len(features), width, replace=False)) if width < len(features) else np.arange(width)
+        nodes = _grow(x[:, mine], rng, int(np.ceil(np.log2(max(2, size)))))
+        nodes = [(int(mine[f]) if f >= 0 else f, *rest) for f, *rest in nodes]
         return pd.DataFrame({"tree": pdf["tree"].iloc[0], "node": range(len(nodes)), **{k: [v[i] for v in nodes] for i, k in enumerate(("feature", "cut", "lo", "hi", "depth"))}})
 
     found = rows.groupBy("tree").applyInPandas(grow, "tree int, node int, feature int, cut double, lo int, hi int, depth double").orderBy("tree", "node").collect()  # at most 2 * sample nodes a tree
     out: dict[int, list[tuple]] = {}
     for r in found:
         out.setdefault(r.tree, []).append((r.feature, r.cut, r.lo, r.hi, r.depth))
-    return list(out.values())
+    return Forest(tuple(features), size, tuple(map(tuple, out.values())))
 
 
-def forest_scores(scoring: DataFrame, forest: list[list[tuple]], features: list[str], sample: int = 256) -> DataFrame:
+def forest_scores(scoring: DataFrame, forest: Forest) -> DataFrame:
     """ident and score: 2 ** -(mean depth / mean depth by chance); higher is more anomalous."""
-    shared = scoring.sparkSession.sparkContext.broadcast([np.array(t) for t in forest])
-    norm = float(_average_path(sample))
+    shared = scoring.sparkSession.sparkContext.broadcast([np.array(t) for t in forest.trees])
+    features, norm = list(forest.features), float(_average_path(forest.sample))
     kinds = ", ".join(f"{i} {dict(scoring.dtypes)[i]}" for i in IDENT)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

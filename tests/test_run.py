@@ -65,6 +65,8 @@ def test_plans_are_checked():
         {"forests": runs[:1]},
         {"forests": (runs[1], ForestRun("three", 5))},
         {"forests": (runs[0], ForestRun("two", 11))},
+        {"forests": (runs[0], ForestRun("two", 29, sample=1.5))},
+        {"forests": (runs[0], ForestRun("two", 29, features=0))},
         {"weights": (0.5, 0.6)},
         {"top": None},
         {"least": 1.0},
@@ -90,5 +92,7 @@ def test_a_run_flags_what_is_extreme_among_peers_only(spark, monkeypatch, tmp_pa
     evidence = review_run.write(rows, done, plan, str(tmp_path))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == spark.read.json(str(tmp_path / "json")).count() == 121
     assert evidence.final == ("decisions",)
+    assert {n: f.sample for n, f in done.forests.items()} == {"one": 64, "two": 64}
+    assert evidence.stages[0].outputs["forest one"] == {"trees": 8, "sha256": done.forests["one"].fingerprint()}
     with pytest.raises(ValueError, match="no such features: total"):
         review_run.run(rows, ReviewPlan(("total",), plan.forests))
