@@ -8,6 +8,7 @@ to canonical fields by literal header aliases and parses them.  Nothing is infer
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import itertools
 import os
@@ -40,6 +41,11 @@ class Budget:
     total_bytes: int = 8 << 30
     ratio: float = 1000.0
     columns: int = 2048
+    cell: int = 131_072
+
+
+#: Columns that reading adds; a header may not be one of them.
+ADDED = ("source_member", "member_index", "header_sha256", "artifact_sha256", "row_seq", "flaws")
 
 
 class ArchiveError(ValueError):
@@ -66,13 +72,27 @@ def inspected(path: str, budget: Budget = Budget()) -> list[zipfile.ZipInfo]:
 
 
 def header(line: str, delimiter: str, budget: Budget = Budget()) -> list[str]:
-    """The normalized names of a header line: not blank, unique and within the budget."""
-    names = [normalized_header(x) for x in next(csv.reader(io.StringIO(line), delimiter=delimiter))]
-    if not all(names) or len(set(names)) < len(names) or len(names) > budget.columns:
-        raise ArchiveError("blank, repeated or too many headers")
+    """The normalized names of a header line: not blank, unique, none of ADDED, and within the budget."""
+    names = [normalized_header(x) for x in next(csv.reader(io.StringIO(line), delimiter=delimiter), [])]
+    if not names or not all(names) or len(set(names)) < len(names) or len(names) > budget.columns or not set(names).isdisjoint(ADDED):
+        raise ArchiveError("no headers, or blank, repeated, reserved or too many ones")
     return names
 
 
+def sha256_of(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def raw_headers(path: str, budget: Budget = Budget()) -> dict[str, list[str]]:
+    """The headers of each member with rows, as they are written."""
+    out = {}
+    for m in inspected(path, budget):
+        with zipfile.ZipFile(path) as z, io.TextIOWrapper(z.open(m), "utf-8-sig", newline="") as src:
+            out[m.filename] = next(csv.reader(src, delimiter=DELIMITERS[PurePosixPath(m.filename).suffix.lower()]), [])
+    return out
+
+
 def _records(lines: Iterator[str], delimiter: str) -> Iterator[str]:
     """The lines of each record; a quoted line end ends none."""
     csv.field_size_limit(sys.maxsize)
@@ -111,15 +131,25 @@ def _unpacked(path: str, name: str, delimiter: str, out: str, piece: int) -> str
     return head
 
 
-def read_archive(spark: SparkSession, path: str, budget: Budget = Budget(), piece: int = PIECE_BYTES) -> DataFrame:
-    """All rows of all members as text, with source_member and row_seq (ascending within a member).
+def read_archive(spark: SparkSession, path: str, budget: Budget = Budget(), piece: int = PIECE_BYTES, members: tuple[str, ...] | None = None, sha256: str | None = None) -> DataFrame:
+    """All rows of all members, or of the named ones, as text with where they come from.
 
-    Members without a column have nulls in it.  A row with more or fewer cells than its header is an error when it is read.
+    source_member, member_index, header_sha256 (of the normalized headers), artifact_sha256
+    (of the archive) and row_seq (ascending within a member) tell the place of a row; flaws
+    holds record_shape if the row has more or fewer cells than its header and long_cell if
+    one is over the budget.  Members without a column have nulls in it; rows without any
+    value are skipped.  sha256: what the archive's must be.
     """
     path, target = os.path.abspath(path), f"{shared_dir(spark).removeprefix('file:')}/archive-{uuid.uuid4().hex}"
-    members = [(m.filename, DELIMITERS[PurePosixPath(m.filename).suffix.lower()]) for m in inspected(path, budget)]
-    if not members:
+    tables = [(m.filename, DELIMITERS[PurePosixPath(m.filename).suffix.lower()]) for m in inspected(path, budget)]
+    if unknown := set(members or ()) - {name for name, _ in tables}:
+        raise ArchiveError(f"no such members: {', '.join(sorted(unknown))}")
+    chosen = [(i, t) for i, t in enumerate(tables) if members is None or t[0] in members]
+    if not chosen:
         raise ArchiveError("the archive holds no table")
+    artifact = sha256_of(path)
+    if sha256 not in (None, artifact):
+        raise ArchiveError("the archive is not the one that was planned")
 
     def unpack(member: tuple[int, tuple[str, str]]) -> tuple[int, str, str]:
         i, (name, delimiter) = member
@@ -127,12 +157,19 @@ def read_archive(spark: SparkSession, path: str, budget: Budget = Budget(), piec
         return i, out, _unpacked(path, name, delimiter, out, piece)
 
     whole = None
-    for i, out, head in sorted(spark.sparkContext.parallelize(list(enumerate(members)), len(members)).map(unpack).collect()):
-        name, delimiter = members[i]
-        schema = ", ".join(f"`{n}` string" for n in header(head, delimiter, budget))
-        rows = spark.read.csv(out, schema=schema, sep=delimiter, header=True, enforceSchema=True, quote='"', escape='"', multiLine=True, mode="FAILFAST", encoding="UTF-8")
+    for i, out, head in sorted(spark.sparkContext.parallelize(chosen, len(chosen)).map(unpack).collect()):
+        name, delimiter = tables[i]
+        names = header(head, delimiter, budget)
+        bad = "_malformed"  # normalized headers start with no underscore
+        schema = ", ".join(f"`{n}` string" for n in (*names, bad))
+        reader = spark.read.options(sep=delimiter, header=True, enforceSchema=True, quote='"', escape='"', multiLine=True, encoding="UTF-8", maxCharsPerColumn=-1)
+        rows = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=bad, columnPruning=False).schema(schema).csv(out)
         place = F.shiftleft(F.regexp_extract("_metadata.file_path", r"(\d+)$", 1).cast("bigint"), 33)  # a piece is read by one task, in order
-        rows = rows.withColumns({"source_member": F.lit(name), "row_seq": place + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+        long = F.exists(F.array(*[F.length(n) for n in names]), lambda n: F.coalesce(n > budget.cell, F.lit(False)))
+        flaws = F.array_compact(F.array(F.when(F.col(bad).isNotNull(), "record_shape"), F.when(long, "long_cell")))
+        source = {"source_member": F.lit(name), "member_index": F.lit(i), "header_sha256": F.lit(hashlib.sha256("\n".join(names).encode()).hexdigest()), "artifact_sha256": F.lit(artifact)}
+        rows = rows.withColumns(source | {"row_seq": place + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)), "flaws": flaws})
+        rows = rows.filter(F.coalesce(*names, bad).isNotNull()).drop(bad)
         whole = rows if whole is None else whole.unionByName(rows, allowMissingColumns=True)
     return whole
 
@@ -187,7 +224,7 @@ def _parsed(c: Column, kind: str) -> Column:
 
 
 def adapted(rows: DataFrame, source_name: str = "archive", aliases: dict[str, tuple[str, ...]] = ALIASES) -> DataFrame:
-    """Canonical columns of text rows, and problems: the fields that are missing though required or hold what can't be read."""
+    """Canonical columns of text rows, and problems: the fields that are missing though required or hold what can't be read, and the row's flaws."""
     there = set(rows.columns)
     absent = [f for f in REQUIRED if not there & set(aliases[f])]
     if absent:
@@ -195,8 +232,11 @@ def adapted(rows: DataFrame, source_name: str = "archive", aliases: dict[str, tu
     text = {f: F.coalesce(*[clean(F.col(a)) for a in names if a in there]) if there & set(names) else F.lit(None).cast("string") for f, names in aliases.items()}
     value = {f: _parsed(c, _TYPED[f]) if f in _TYPED else c for f, c in text.items()}
     bad = [F.when(value[f].isNull() if f in REQUIRED else text[f].isNotNull() & value[f].isNull(), F.lit(f)) for f in (*REQUIRED, *(t for t in _TYPED if t not in REQUIRED))]
+    problems = F.array_compact(F.array(*bad))
+    if "flaws" in there:
+        problems = F.concat("flaws", problems)
     hashed = F.sha2(F.to_json(F.struct(*[c.alias(f) for f, c in text.items()])), 256)
-    return rows.select(*[c.alias(f) for f, c in value.items()], F.lit(source_name).alias("source_name"), F.lit("1").alias("source_schema"), "source_member", "row_seq", hashed.alias("row_sha256"), F.array_compact(F.array(*bad)).alias("problems"))
+    return rows.select(*[c.alias(f) for f, c in value.items()], F.lit(source_name).alias("source_name"), F.lit("1").alias("source_schema"), *[c for c in ADDED if c in there and c != "flaws"], hashed.alias("row_sha256"), problems.alias("problems"))
 
 
 def outcomes(rows: DataFrame, ident: str = "transaction_id", digest: str = "row_sha256", order: tuple[str, ...] = ("source_member", "row_seq")) -> DataFrame:
@@ -223,7 +263,7 @@ class Mapping:
 
 
 def mapping(headers: list[str], aliases: dict[str, tuple[str, ...]] = ALIASES) -> Mapping:
-    there = set(headers) - {"source_member", "row_seq"}
+    there = set(headers) - set(ADDED)
     known = {a for names in aliases.values() for a in names}
     second = {a for names in aliases.values() for a in names[1:] if a in there and not there & set(names[: names.index(a)])}
     return Mapping(tuple(sorted(there & known)), tuple(sorted(second)), tuple(sorted(there - known)), tuple(sorted(f for f, names in aliases.items() if not there & set(names))))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
-from tendersift.sources.archive import ALIASES, REQUIRED, ArchiveError, normalized_header
+from pyspark.sql import DataFrame, SparkSession
+
+from tendersift.sources import archive
+from tendersift.sources.archive import ALIASES, REQUIRED, ArchiveError, Budget, normalized_header
+from tendersift.sources.manifest import digest
 
 
 @dataclass(frozen=True)
@@ -56,3 +60,40 @@ def resolve(headers: list[str], profiles: list[Profile], name: str | None = None
     if fits[0].unrecognized and not allow_unrecognized:
         raise ArchiveError(f"headers outside the profile: {', '.join(fits[0].unrecognized)}")
     return fits[0]
+
+
+@dataclass(frozen=True)
+class LoadPlan:
+    """The sha256 of an archive, the header report of each member to load, and the members left out."""
+
+    sha256: str
+    members: tuple[tuple[str, HeaderReport], ...]
+    ignored: tuple[str, ...]
+
+    def digest(self) -> str:
+        return digest(asdict(self))
+
+
+def planned(path: str, profiles: list[Profile], name: str | None = None, members: tuple[str, ...] | None = None, allow_unrecognized: bool = True, allow_mixed: bool = False, budget: Budget = Budget()) -> LoadPlan:
+    """The plan of loading the named members of an archive, or all; members of different profiles are an error unless allowed."""
+    found = archive.raw_headers(path, budget)
+    if unknown := set(members or ()) - set(found):
+        raise ArchiveError(f"no such members: {', '.join(sorted(unknown))}")
+    chosen = tuple((m, resolve(heads, profiles, name, allow_unrecognized)) for m, heads in found.items() if members is None or m in members)
+    if not chosen:
+        raise ArchiveError("the archive holds no table")
+    if len({r.profile for _, r in chosen}) > 1 and not allow_mixed:
+        raise ArchiveError("members of several profiles")
+    return LoadPlan(archive.sha256_of(path), chosen, tuple(m for m in found if m not in {c for c, _ in chosen}))
+
+
+def loaded(spark: SparkSession, path: str, plan: LoadPlan, profiles: list[Profile], budget: Budget = Budget()) -> DataFrame:
+    """The canonical rows of a plan with their outcomes; an error if the archive is another by now."""
+    whole = None
+    for profile in profiles:
+        mine = tuple(m for m, r in plan.members if r.profile == profile.name)
+        if mine:
+            aliases = {f: () for f in ALIASES} | {f: tuple(map(normalized_header, a)) for f, a in profile.aliases.items()}
+            rows = archive.adapted(archive.read_archive(spark, path, budget, members=mine, sha256=plan.sha256), profile.name, aliases)
+            whole = rows if whole is None else whole.unionByName(rows)
+    return archive.outcomes(whole)

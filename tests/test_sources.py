@@ -3,7 +3,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 from tendersift.operators import assemble, award_change, competition_evidence, identity, lifecycle, review
-from tendersift.sources import archive, export
+from tendersift.sources import archive, export, profiles
 
 HEAD = "contract_award_unique_key,contract_transaction_unique_key,modification_number,recipient_name,recipient_uei,action_date,federal_action_obligation,total_dollars_obligated,number_of_offers_received,Extra Column"
 
@@ -45,6 +45,56 @@ def test_bad_first_row_leaves_the_next_good_one(spark):
     assert got == ["quarantined", "loaded", "dropped_exact_duplicate", "quarantined", "quarantined", "quarantined"]
 
 
+def test_flawed_rows_are_quarantined_alone(spark, tmp_path):
+    path = str(tmp_path / "c.zip")
+    head = "contract_award_unique_key,contract_transaction_unique_key,action_date,federal_action_obligation,transaction_description"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("c.csv", head + f"\nW,T1,2026-01-04,1,good\nW,T2,2026-01-04,1\nW,T3,2026-01-04,1,x,more\n\n,,,,\nW,T4,2026-01-04,1,{'y' * 50}\nW,T2,2026-01-04,1,good\n")
+    read = archive.read_archive(spark, path, archive.Budget(cell=40))
+    assert read.filter("size(flaws) > 0").count() == 3 and read.count() == 5
+    rows = archive.outcomes(archive.adapted(read)).orderBy("row_seq").collect()
+    assert [(r.transaction_id, r.outcome, list(r.problems)) for r in rows] == [
+        ("T1", "loaded", []),
+        ("T2", "quarantined", ["record_shape"]),
+        ("T3", "quarantined", ["record_shape"]),
+        ("T4", "quarantined", ["long_cell"]),
+        ("T2", "loaded", []),
+    ]
+    assert {(r.source_member, r.member_index, r.artifact_sha256) for r in rows} == {("c.csv", 0, archive.sha256_of(path))} and len({r.row_seq for r in rows}) == 5
+    with pytest.raises(archive.ArchiveError, match="planned"):
+        archive.read_archive(spark, path, sha256="0" * 64)
+    with pytest.raises(archive.ArchiveError):
+        archive.header("a,row_seq", ",")
+    with pytest.raises(archive.ArchiveError):
+        archive.header("", ",")
+
+
+def test_load_plans(spark, tmp_path):
+    path = str(tmp_path / "d.zip")
+    first, second = "Award,Id,Day,Money", "award key|id|day|money|note"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("one.csv", first + "\nW,T1,2026-01-04,1\n")
+        z.writestr("two.txt", second + "\nW|T2|2026-01-05|2|n\nW|T1|2026-01-05|2|n\n")
+    fields = {"transaction_id": ("id",), "action_date": ("day",), "action_obligation": ("money",)}
+    a = profiles.Profile("a", fields | {"award_id": ("Award",)})
+    b = profiles.Profile("b", fields | {"award_id": ("award_key",), "description": ("note",)})
+    with pytest.raises(archive.ArchiveError, match="several profiles"):
+        profiles.planned(path, [a, b])
+    plan = profiles.planned(path, [a, b], allow_mixed=True)
+    assert [(m, r.profile) for m, r in plan.members] == [("one.csv", "a"), ("two.txt", "b")] and plan.ignored == ()
+    got = {(r.transaction_id, r.source_name): (r.outcome, str(r.action_obligation), r.description) for r in profiles.loaded(spark, path, plan, [a, b]).collect()}
+    assert got == {("T1", "a"): ("loaded", "1.00", None), ("T2", "b"): ("loaded", "2.00", "n"), ("T1", "b"): ("quarantined", "2.00", "n")}
+    one = profiles.planned(path, [a, b], members=("one.csv",))
+    assert one.ignored == ("two.txt",) and one.digest() != plan.digest() == profiles.planned(path, [a, b], allow_mixed=True).digest()
+    assert profiles.loaded(spark, path, one, [a, b]).count() == 1
+    with pytest.raises(archive.ArchiveError, match="no such members"):
+        profiles.planned(path, [a, b], members=("x.csv",))
+    with zipfile.ZipFile(path, "a") as z:
+        z.writestr("three.csv", first + "\n")
+    with pytest.raises(archive.ArchiveError, match="planned"):
+        profiles.loaded(spark, path, plan, [a, b])
+
+
 def test_unsafe_archives_are_refused(tmp_path):
     path = tmp_path / "b.zip"
     with zipfile.ZipFile(path, "w") as z:
