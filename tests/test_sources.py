@@ -1,3 +1,5 @@
+import csv
+import json
 import zipfile
 
 import pytest
@@ -142,6 +144,26 @@ def test_exports(spark, tmp_path):
         export.records(df, df.limit(1))
 
 
+def test_csv_contract(spark, tmp_path):
+    have = spark.createDataFrame([("t1", "w", "-Acme", -5.0), ("t2", "w", None, 2.5)], "transaction_id string, award_id string, recipient_name string, action_obligation double")
+    facts = "array<struct<family:string,feature:string,value:double,reason:string,narrative:string>>"
+    told = spark.createDataFrame(
+        [("t1", "w", 80.0, 85.0, 90.0, 1, 2, True, "r", 2.5, 0.5, [("f", "x", None, "unknown", "=n")], "s1"), ("t2", "w", 1.0, 1.0, 1.0, 3, 3, False, "r", 0.0, 1.0, None, "s2")],
+        f"transaction_id string, award_id string, lower double, score double, upper double, best_rank int, worst_rank int, flagged boolean, reason string, disagreement double, completeness double, facts {facts}, summary string",
+    )
+    out = export.csv_rows(have, told)
+    assert out.columns == export.CSV_COLUMNS and len(set(out.columns)) == 46
+    export.write_csv(out, str(tmp_path / "csv"))
+    lines = [r for p in sorted((tmp_path / "csv").glob("part-*")) for r in csv.DictReader(p.open(newline=""))]
+    a, b = sorted(lines, key=lambda r: r["transaction_id"])
+    assert (a["vendor_name"], a["action_obligation"], a["review_rank"], a["flagged_for_review"], a["anomaly_position"]) == ("\t-Acme", "-5.0", "1-2", "Y", "0.85")
+    assert (b["vendor_name"], b["piid"], b["review_rank"], b["evidence_facts_json"], b["stability_available"]) == ("", "", "3", "[]", "N")
+    assert json.loads(a["evidence_facts_json"]) == [{"family": "f", "feature": "x", "narrative": "=n", "reason": "unknown", "value": None}]
+    assert len({x["record_evidence_sha256"] for x in lines}) == 2
+    with pytest.raises(ValueError, match="different rows"):
+        export.csv_rows(have.limit(1), told)
+
+
 def test_tie_policies(spark):
     df = spark.createDataFrame([(f"t{i}", "w", s) for i, s in enumerate([9.0, 5.0, 5.0, 5.0, 1.0])], "transaction_id string, award_id string, score double")
     flagged = lambda ties: sorted(r.transaction_id for r in review.top_n(df, 2, ties).filter("flagged").collect())
