@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tendersift.llm import bpe, decontamination, divergence, html_text, licenses, mixing, ngram_join, pii, quality, secrets, toxicity, transport_stream
+from tendersift.llm import bpe, collocations, decontamination, divergence, html_text, licenses, mixing, ngram_join, pii, quality, secrets, toxicity, transport_stream
 
 _MODULES = {
     "op1_ngram_jaccard_join": ngram_join,
@@ -17,6 +17,7 @@ _MODULES = {
     "op9_license_scan": licenses,
     "op10_bpe": bpe,
     "op11_mixing": mixing,
+    "op12_collocations": collocations,
     "op13_source_divergence": divergence,
 }
 
