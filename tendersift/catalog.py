@@ -88,28 +88,30 @@ def _spearman(df: DataFrame) -> DataFrame:
     return detectors.spearman(matrix.withColumnRenamed("amount", "mid"), matrix.withColumnRenamed("total", "mid"))
 
 
-#: The registered review: features of all five families, two forests.
+#: The registered review: features of all five families, two forests.  Most awards are won by vendors with a small share, so quartiles of the vendor features coincide; they are scaled by their deviation.
 PLAN = ReviewPlan(
-    features=(
-        "amount_signed_position",
-        "amount_magnitude_modified_z",
-        "amount_same_direction_magnitude_position",
-        "vendor_share_identified_new_awards",
-        "vendor_share_of_largest_observed_winner",
-        "vendor_win_count_position",
-        "competition_offers_received",
-        "competition_context_missing_core_field_deviation",
-        "competition_context_noncompetitive_process_deviation",
-        "competition_context_single_offer_deviation",
-        "award_change_gross_ratio_position",
-        "award_change_modification_count_position",
-        "award_change_modification_rate_modified_z",
-        "award_change_net_ratio_modified_z",
-    ),
+    features=sql.PLAN_FEATURES,
+    rules=tuple(preprocessing.Rule(f, transform="standard_scale") for f in sql.PLAN_STANDARD),
     forests=(ForestRun("forest11", 11, 32, primary=True), ForestRun("forest29", 29, 32)),
 )
 
 
+def _plan_matrix(df: DataFrame) -> DataFrame:
+    """The plan's features, rounded as their own queries are, filled and scaled by its rules."""
+    rows, _ = assemble.wide(df, PLAN.features)
+    rows = stored(rows.select("transaction_id", "award_id", *[F.round(f, sql.R).alias(f) for f in PLAN.features]), "plan-features")
+    return preprocessing.apply(rows, preprocessing.fit(rows, PLAN.preprocessing()))
+
+
+def _plan_calibrated(df: DataFrame) -> DataFrame:
+    """The tail detector's scores over the plan's matrix, calibrated."""
+    ready = _plan_matrix(df)
+    ready = stored(ready.select("transaction_id", "award_id", *[F.round(f, sql.PLAN_DIGITS).alias(f) for f in PLAN.features]), "plan-matrix")
+    scores = detectors.tail_scores(ready, ready, list(PLAN.features)).withColumn("score", F.round("score", sql.R))
+    scores = stored(scores, "plan-tail")
+    return detectors.calibrated(scores, scores)
+
+
 def _review_queue(df: DataFrame) -> DataFrame:
     """The first forest is the primary run; the second only tells how stable the scores are."""
     done = run(df, PLAN)
@@ -136,11 +138,6 @@ def _selected(df: DataFrame) -> DataFrame:
     return feature_catalog.selected(feature_catalog.complete(rows, selection), selection, require_complete=True)
 
 
-def _catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(f.source, f.family, f.name) for f in feature_catalog.CATALOG], "source string, family string, name string")
-    return rows.groupBy("source").agg(F.count_distinct("name").cast("int").alias("features"), F.count_distinct("family").cast("int").alias("families"))
-
-
 def _preprocessed(df: DataFrame) -> DataFrame:
     raw = stored(df.select("transaction_id", "award_id", F.col("action_obligation").alias("amount"), F.col("number_of_offers_received").alias("offers"), F.col("award_total_obligation").alias("total")), "raw-features")
     rules = (
@@ -247,7 +244,9 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "d7_vendor_frozen_reference": (_on(_frozen(vendor.features)), sql.VENDOR_FROZEN),
     "d1_amount_frozen_reference": (_on(_frozen(amount.features)), sql.AMOUNT_FROZEN),
     "c27_selected_features": (_on(_selected), sql.SELECTION),
-    "e30_catalog_counts": (_catalog_counts, sql.CATALOG_COUNTS),
+    "e30_catalog_counts": (_on(assemble.present_by_family), sql.CATALOG_COUNTS),
+    "j5_plan_preprocessed": (_on(_plan_matrix, digits=sql.PLAN_DIGITS), sql.PLAN_PREPROCESSED),
+    "j5_plan_calibrated": (_on(_plan_calibrated), sql.PLAN_CALIBRATED),
     "e22_preprocessed": (_on(_preprocessed), sql.PREPROCESSED),
     "j13_ensembles": (_on(_ensembles, digits=9), sql.ENSEMBLES),
     "j14_stability": (_on(lambda df: detectors.stability(_members(df)), digits=9), sql.STABILITY),

@@ -396,12 +396,53 @@ EVENT_WINDOWS = "SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS start, event_t
 # The 88 features of the clean rows: how many each transaction holds.
 _CLEAN_CHANGE = CHANGE_FEATURES.replace(canon(True), canon())
 _HELD = " + ".join(f"CASE WHEN {f.name} IS NULL THEN 0 ELSE 1 END" for f in CATALOG)
-COMPLETENESS = f"""SELECT transaction_id, available, {len(CATALOG)} - available AS missing, round(available / {len(CATALOG)}.0, {R}) AS completeness FROM (SELECT transaction_id, CAST({_HELD} AS BIGINT) AS available
-FROM ({COMPETITION_FEATURES}) t JOIN ({AMOUNT}) USING (transaction_id) JOIN ({VENDOR_FEATURES}) USING (transaction_id) JOIN ({COMPETITION_CONTEXT}) USING (transaction_id) LEFT JOIN ({_CLEAN_CHANGE}) g ON t.award_id = g.award_id)"""
+_ALL_FAMILIES = f"""({COMPETITION_FEATURES}) t JOIN ({AMOUNT}) USING (transaction_id) JOIN ({VENDOR_FEATURES}) USING (transaction_id) JOIN ({COMPETITION_CONTEXT}) USING (transaction_id) LEFT JOIN ({_CLEAN_CHANGE}) g ON t.award_id = g.award_id"""
+COMPLETENESS = f"""SELECT transaction_id, available, {len(CATALOG)} - available AS missing, round(available / {len(CATALOG)}.0, {R}) AS completeness FROM (SELECT transaction_id, CAST({_HELD} AS BIGINT) AS available FROM {_ALL_FAMILIES})"""
 
 SELECTED = ("competition_offers_received", "competition_single_offer_reported", "competition_multiple_offers_reported", "competition_zero_offers_reported", "competition_reported_process_competitive", "competition_reported_sources_restricted_or_unavailable", "competition_full_open_after_exclusion")
 SELECTION = f"SELECT transaction_id, award_id, {', '.join(SELECTED)} FROM ({COMPETITION_FEATURES}) WHERE {' AND '.join(f'{n} IS NOT NULL' for n in SELECTED)}"
-CATALOG_COUNTS = "SELECT * FROM (VALUES ('amount', 11, 5), ('award_change', 33, 9), ('competition_context', 20, 4), ('competition_transaction', 14, 6), ('vendor_frequency', 10, 6)) t(source, features, families)"
+_BY_FAMILY = {(f.source, f.family): [x.name for x in CATALOG if (x.source, x.family) == (f.source, f.family)] for f in CATALOG}
+CATALOG_COUNTS = f"WITH t AS (SELECT {', '.join(f'count({f.name}) AS {f.name}' for f in CATALOG)} FROM {_ALL_FAMILIES}) " + " UNION ALL ".join(f"SELECT '{s}' AS source, '{f}' AS family, {len(names)} AS features, {' + '.join(names)} AS available FROM t" for (s, f), names in _BY_FAMILY.items())
+
+#: The features of the registered review, those of them that are scaled by their deviation, and the decimals of its matrix.
+PLAN_FEATURES = (
+    "amount_signed_position",
+    "amount_magnitude_modified_z",
+    "amount_same_direction_magnitude_position",
+    "vendor_share_identified_new_awards",
+    "vendor_share_of_largest_observed_winner",
+    "vendor_win_count_position",
+    "competition_offers_received",
+    "competition_context_missing_core_field_deviation",
+    "competition_context_noncompetitive_process_deviation",
+    "competition_context_single_offer_deviation",
+    "award_change_gross_ratio_position",
+    "award_change_modification_count_position",
+    "award_change_modification_rate_modified_z",
+    "award_change_net_ratio_modified_z",
+)
+PLAN_STANDARD, PLAN_DIGITS = PLAN_FEATURES[3:6], 4
+
+
+def _scaled(f: str) -> str:
+    return f"({f} - m_{f}) / s_{f}"
+
+
+def _plan_spans() -> str:
+    out = []
+    for f in PLAN_FEATURES:
+        out += [f"avg({f}) AS m_{f}", f"stddev_pop({f}) AS s_{f}"] if f in PLAN_STANDARD else [f"quantile_cont({f}, 0.5) AS m_{f}", f"quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25) AS s_{f}"]
+    return ", ".join(out)
+
+
+_PLAN = f"""WITH pf AS (SELECT t.transaction_id, t.award_id, {", ".join(PLAN_FEATURES)} FROM {_ALL_FAMILIES}),
+pm AS (SELECT {", ".join(f"quantile_cont({f}, 0.5) AS d_{f}" for f in PLAN_FEATURES)} FROM pf),
+pw AS (SELECT transaction_id, award_id, {", ".join(f"coalesce({f}, d_{f}) AS {f}, CAST({f} IS NULL AS INT) AS {f}__missing" for f in PLAN_FEATURES)} FROM pf, pm),
+ps AS (SELECT {_plan_spans()} FROM pw),
+mat AS (SELECT transaction_id, award_id, {", ".join(f"round({_scaled(f)}, {PLAN_DIGITS}) AS {f}, {f}__missing" for f in PLAN_FEATURES)} FROM pw, ps)"""
+PLAN_PREPROCESSED = _PLAN + " SELECT * FROM mat"
+_PLAN_TAIL = "ml AS (" + " UNION ALL ".join(f"SELECT transaction_id, award_id, '{f}' AS f, {f} AS v FROM mat" for f in PLAN_FEATURES) + ")" + _TAIL[_TAIL.index(",\nmc AS") :]
+PLAN_CALIBRATED = _PLAN + ",\n" + _PLAN_TAIL + CALIBRATED[CALIBRATED.index("SELECT transaction_id, award_id, score, round(less") :]
 
 PREPROCESSED = with_(canon()) + f"""SELECT transaction_id, award_id, amount, round((fo - avg(fo) OVER ()) / stddev_pop(fo) OVER (), {R}) AS offers, CAST(offers IS NULL AS INT) AS offers__missing,
   round((ft - quantile_cont(ft, 0.5) OVER ()) / (quantile_cont(ft, 0.9) OVER () - quantile_cont(ft, 0.1) OVER ()), {R}) AS total, CAST(total IS NULL AS INT) AS total__missing
