@@ -13,11 +13,13 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tendersift.functions.robust import compare, running_counts
 from tendersift.joins import same_population
-from tendersift.sources.manifest import digest
+from tendersift.operators import tree_growth
+from tendersift.sources.manifest import digest, table_digest
 from tendersift.storage import stored
 
 IDENT = ["transaction_id", "award_id"]
@@ -40,20 +42,28 @@ def oriented(scores: DataFrame, higher_is_more_anomalous: bool, column: str = "s
     return scores if higher_is_more_anomalous else scores.withColumn(column, -F.col(column))
 
 
+def tail_counts(training: DataFrame, features: list[str]) -> DataFrame:
+    """feature, value and n of the training rows: all that the empirical-tail detector learns."""
+    return long_form(training, features).filter("value IS NOT NULL").groupBy("feature", "value").agg(F.count("*").alias("n"))
+
+
 def tail_scores(training: DataFrame, scoring: DataFrame, features: list[str]) -> DataFrame:
-    """ident, left, right, skewed and score of the empirical-tail detector.
+    """tail_scores_by() of the counts of the training rows."""
+    return tail_scores_by(stored(tail_counts(training, features), "tail-training"), scoring, features)
+
+
+def tail_scores_by(counts: DataFrame, scoring: DataFrame, features: list[str]) -> DataFrame:
+    """ident, left, right, skewed and score of the empirical-tail detector, from its stored tail_counts().
 
     The surprise of a value is -ln of the share of training values at or beyond it, at
     least one; the skew side of a feature is the sign of its third central moment, 0 is right.
     """
     c = F.col
-    train = stored(long_form(training, features), "tail-training")
-    means = train.groupBy("feature").agg(F.avg("value").alias("mean"), F.count("value").alias("size"))
-    sides = train.join(F.broadcast(means), "feature").groupBy("feature", "size").agg((F.sum(F.pow(c("value") - c("mean"), 3)) < 0).alias("to_left"))
+    means = counts.groupBy("feature").agg((F.sum(c("value") * c("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("size"))
+    sides = counts.join(F.broadcast(means), "feature").groupBy("feature", "size").agg((F.sum(c("n") * F.pow(c("value") - c("mean"), 3)) < 0).alias("to_left"))
     rows = stored(long_form(scoring, features), "tail-scoring")
-    counts = train.groupBy("feature", "value").agg(F.count("*").alias("n"))
     asked = rows.select("feature", "value", F.lit(0).cast("bigint").alias("n")).distinct()
-    runs = running_counts(stored(counts.union(asked).groupBy("feature", "value").agg(F.sum("n").alias("n")), "tail-counts"), ["feature"]).drop("size")
+    runs = running_counts(stored(counts.select("feature", "value", "n").union(asked).groupBy("feature", "value").agg(F.sum("n").alias("n")), "tail-counts"), ["feature"]).drop("size")
     beyond = rows.join(runs, ["feature", "value"]).join(F.broadcast(sides), "feature")  # one row for each feature
     left = -F.log(F.greatest(c("before") + c("n"), F.lit(1)) / c("size"))
     right = -F.log(F.greatest(c("size") - c("before"), F.lit(1)) / c("size"))
@@ -61,12 +71,22 @@ def tail_scores(training: DataFrame, scoring: DataFrame, features: list[str]) ->
     return sums.withColumn("score", F.greatest("left", "right", "skewed"))
 
 
+def score_counts(training: DataFrame) -> DataFrame:
+    """value and n of the training scores: all that a calibration learns."""
+    return training.filter("score IS NOT NULL").groupBy(F.col("score").alias("value")).agg(F.count("*").alias("n"))
+
+
 def calibrated(training: DataFrame, scores: DataFrame) -> DataFrame:
-    """ident, score, lower, mid, upper, z and distance of each score among the training scores (column score, higher is more anomalous); at least two of them, not all equal."""
-    span = training.agg(F.count("score").alias("n"), (F.min("score") < F.max("score")).alias("differ")).first()
+    """calibrated_by() of the counts of the training scores (column score, higher is more anomalous)."""
+    return calibrated_by(score_counts(training), scores)
+
+
+def calibrated_by(counts: DataFrame, scores: DataFrame) -> DataFrame:
+    """ident, score, lower, mid, upper, z and distance of each score among the training scores of score_counts(); at least two of them, not all equal."""
+    span = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.min("value") < F.max("value")).alias("differ")).first()
     if span.n < 2 or not span.differ:
         raise ValueError("calibration takes two different training scores at least")
-    counts = training.groupBy(F.lit("all").alias("group"), F.col("score").alias("value")).agg(F.count("*").alias("n"))
+    counts = counts.select(F.lit("all").alias("group"), "value", "n")
     targets = scores.select(*IDENT, F.lit("all").alias("group"), F.col("score").alias("value"), F.lit(None).cast("double").alias("own"))
     found = compare(targets, counts, IDENT)
     less, equal, n = F.col("less"), F.col("equal"), F.col("peers")
@@ -125,36 +145,7 @@ def spearman(a: DataFrame, b: DataFrame, column: str = "mid") -> DataFrame:
     return sums.select(F.when(rho.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho))).alias("rho"))
 
 
-def _average_path(n: np.ndarray | float) -> np.ndarray:
-    """Mean depth of an unsuccessful search in a binary tree of n nodes."""
-    n = np.asarray(n, float)
-    big = 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1)
-    return np.where(n > 2, big, np.where(n == 2, 1.0, 0.0))
-
-
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple[int, float, int, int, float]]:
-    """Nodes (feature, cut, left, right, depth with the mean rest); feature -1 is a leaf."""
-    nodes: list[tuple[int, float, int, int, float]] = []
-    todo = [(np.arange(len(x)), 0, -1, False)]
-    while todo:
-        rows, depth, parent, right = todo.pop()
-        at = len(nodes)
-        if parent >= 0:
-            f, cut, lo, hi, d = nodes[parent]
-            nodes[parent] = (f, cut, lo, at, d) if right else (f, cut, at, hi, d)
-        low, high = (x[rows].min(0), x[rows].max(0)) if len(rows) else (None, None)
-        open_ = np.flatnonzero(high > low) if len(rows) > 1 else []
-        if depth >= limit or not len(open_):
-            nodes.append((-1, 0.0, -1, -1, depth + float(_average_path(len(rows)))))
-            continue
-        f = int(rng.choice(open_))
-        cut = float(rng.uniform(low[f], high[f]))
-        nodes.append((f, cut, -1, -1, 0.0))
-        todo += [(rows[x[rows, f] >= cut], depth + 1, at, True), (rows[x[rows, f] < cut], depth + 1, at, False)]
-    return nodes
-
-
-#: A tree grows in one task, so it takes at most so many rows.
+#: A tree of more rows is grown by levels, and its forest is a table.
 MOST_ROWS = 1 << 16
 
 
@@ -171,6 +162,19 @@ class Forest:
         return digest([self.features, self.sample, self.trees])
 
 
+@dataclass(frozen=True)
+class ForestTable:
+    """The same with its nodes in a table (tree_growth.NODES), for trees that no driver or task should hold."""
+
+    features: tuple[str, ...]
+    sample: int
+    count: int
+    nodes: DataFrame
+
+    def fingerprint(self) -> str:
+        return digest([self.features, self.sample, self.count, table_digest(self.nodes)])
+
+
 def _part(asked: int | float, whole: int) -> int:
     """asked, at most whole; of a float that share of whole, at least one."""
     if isinstance(asked, float):
@@ -182,47 +186,68 @@ def _part(asked: int | float, whole: int) -> int:
     return min(asked, whole)
 
 
-def fit_forest(training: DataFrame, features: list[str], trees: int = 100, sample: int | float = 256, seed: int = 0, tree_features: int | float = 1.0, bootstrap: bool = False) -> Forest:
-    """Isolation trees, each grown in its own task from the rows with the smallest hashes of (row, tree, seed).
+def fit_forest(training: DataFrame, features: list[str], trees: int = 100, sample: int | float = 256, seed: int = 0, tree_features: int | float = 1.0, bootstrap: bool = False, most_rows: int = MOST_ROWS) -> Forest | ForestTable:
+    """Isolation trees, each grown from the rows with the smallest hashes of (row, tree, seed).
 
     sample and tree_features: rows and features of a tree, as a number or as a share (a
-    float) of all; a tree of more than MOST_ROWS is an error.  bootstrap: rows are drawn
-    with replacement, so fewer of them stand several times.  Values are not null.
+    float) of all.  bootstrap: rows are drawn with replacement, so fewer of them stand
+    several times.  Trees of up to most_rows rows are grown in a task each, larger ones level by
+    level over all rows; both draw alike and give the same trees.  Values are not null.
     """
     n = training.count()
     if not n or not features:
         raise ValueError("a forest takes one row and one feature at least")
     size, width = _part(sample, n), _part(tree_features, len(features))
-    if size > MOST_ROWS:
-        raise ValueError(f"a tree takes {MOST_ROWS} rows at most, not {size}")
-    share = min(1.0, (2 * size + 40) / n)
-    near = lambda t: F.pmod(F.xxhash64(*IDENT, t, F.lit(seed)), F.lit(1 << 40))
-    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: near(t) < int(share * (1 << 40)))
-    rows = training.select(*IDENT, F.array(*[F.col(f).cast("double") for f in features]).alias("x"), F.explode(drawn).alias("tree"))
-    rows = rows.select("tree", near(F.col("tree")).alias("h"), "x")
+    limit, columns = int(np.ceil(np.log2(max(2, size)))), tree_growth.tree_columns(seed, trees, len(features), width)
+    near = lambda t: F.pmod(F.xxhash64(*IDENT, t, F.lit(seed)), F.lit(1 << tree_growth.HASH_BITS))
+    share = 1.0 if size > most_rows else min(1.0, (2 * size + 40) / n)
+    wanted = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: near(t) < int(share * (1 << tree_growth.HASH_BITS)))
+    rows = training.select(*IDENT, F.array(*[F.col(f).cast("double") for f in features]).alias("x"), F.explode(wanted).alias("tree"))
+    rows = rows.withColumn("h", near(F.col("tree")))
+    if size > most_rows:
+        return _large_forest(rows, tuple(features), size, n, trees, seed, columns, limit, bootstrap)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, int(pdf["tree"].iloc[0])])
+        tree = int(pdf["tree"].iloc[0])
         # Which rows are drawn is up to their hashes; draws with replacement tell only how often each stands.
-        times = np.unique(rng.integers(0, n, size), return_counts=True)[1] if bootstrap else np.ones(size, int)
-        x = np.array(pdf.sort_values("h", kind="stable").head(len(times))["x"].tolist())
-        x = np.repeat(x, times[: len(x)], axis=0)
-        mine = np.sort(rng.choice(len(features), width, replace=False)) if width < len(features) else np.arange(width)
-        nodes = _grow(x[:, mine], rng, int(np.ceil(np.log2(max(2, size)))))
-        nodes = [(int(mine[f]) if f >= 0 else f, *rest) for f, *rest in nodes]
-        return pd.DataFrame({"tree": pdf["tree"].iloc[0], "node": range(len(nodes)), **{k: [v[i] for v in nodes] for i, k in enumerate(("feature", "cut", "lo", "hi", "depth"))}})
-
-    found = rows.groupBy("tree").applyInPandas(grow, "tree int, node int, feature int, cut double, lo int, hi int, depth double").orderBy("tree", "node").collect()  # at most 2 * sample nodes a tree
+        times = np.unique(np.random.default_rng([seed, tree]).integers(0, n, size), return_counts=True)[1] if bootstrap else np.ones(size, int)
+        x = np.array(pdf.sort_values(["h", *IDENT], kind="stable").head(len(times))["x"].tolist())
+        nodes = tree_growth.grown(x, times[: len(x)], columns[tree], seed, tree, limit)
+        return pd.DataFrame({"tree": tree, **{k: [v[i] for v in nodes] for i, k in enumerate(("node", "feature", "cut", "size", "depth"))}})
+
+    found = rows.select("tree", "h", *IDENT, "x").groupBy("tree").applyInPandas(grow, tree_growth.NODES).orderBy("tree", "node").collect()  # at most 2 * most_rows nodes a tree
     out: dict[int, list[tuple]] = {}
     for r in found:
-        out.setdefault(r.tree, []).append((r.feature, r.cut, r.lo, r.hi, r.depth))
-    return Forest(tuple(features), size, tuple(map(tuple, out.values())))
+        out.setdefault(r.tree, []).append((r.node, r.feature, r.cut, r.depth))
+    return Forest(tuple(features), size, tuple(map(tree_growth.as_arrays, out.values())))
 
 
-def forest_scores(scoring: DataFrame, forest: Forest) -> DataFrame:
-    """ident and score: 2 ** -(mean depth / mean depth by chance); higher is more anomalous."""
+def _large_forest(rows: DataFrame, features: tuple[str, ...], size: int, n: int, trees: int, seed: int, columns: list[list[int]], limit: int, bootstrap: bool) -> ForestTable:
+    """The forest as a table; with replacement, how often the rows stand is drawn row by row of a table of `size` draws a tree, and the rows are dealt the counts in the order of their hashes."""
+    c = F.col
+    if bootstrap:
+        draws = rows.sparkSession.range(size * trees).select((c("id") % trees).cast("int").alias("tree"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("place"))
+        rows = stored(rows, "forest-rows")
+        bin_ = F.shiftright("h", tree_growth.HASH_BITS - tree_growth.BIN_BITS)
+        below = rows.groupBy("tree", bin_.alias("bin")).agg(F.count("*").alias("in_bin"))
+        below = below.withColumn("below", F.sum("in_bin").over(W.partitionBy("tree").orderBy("bin")) - c("in_bin")).drop("in_bin")  # at most 2^BIN_BITS rows a tree
+        inner = F.row_number().over(W.partitionBy("tree", "bin").orderBy("h", *IDENT)) - 1
+        placed = rows.withColumn("bin", bin_).withColumn("inner", inner).join(below, ["tree", "bin"]).withColumn("place", c("inner") + c("below"))
+        chosen = placed.join(draws.groupBy("tree", "place").agg(F.count("*").alias("weight")), ["tree", "place"])
+    else:
+        chosen = tree_growth.nearest(stored(rows, "forest-rows"), size, IDENT).withColumn("weight", F.lit(1).cast("bigint"))
+    chosen = stored(chosen.select("tree", "x", "weight"), "forest-sample")
+    return ForestTable(features, size, trees, tree_growth.grown_by_levels(chosen, len(features), columns, seed, limit))
+
+
+def forest_scores(scoring: DataFrame, forest: Forest | ForestTable) -> DataFrame:
+    """ident and score: 2 ** -(mean depth / mean depth by chance); higher is more anomalous.  The trees of a Forest are broadcast, a ForestTable is joined level by level."""
+    features, norm = list(forest.features), max(float(tree_growth.average_path(forest.sample)), 1e-12)
+    if isinstance(forest, ForestTable):
+        rows = stored(scoring.select(*IDENT, F.array(*[F.col(f).cast("double") for f in features]).alias("x")), "walk-rows")
+        depths = tree_growth.walked(rows, forest.nodes, forest.count, IDENT)
+        return depths.select(*IDENT, F.pow(F.lit(2.0), -(F.col("depth") / forest.count / norm)).alias("score"))
     shared = scoring.sparkSession.sparkContext.broadcast([np.array(t) for t in forest.trees])
-    features, norm = list(forest.features), float(_average_path(forest.sample))
     kinds = ", ".join(f"{i} {dict(scoring.dtypes)[i]}" for i in IDENT)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,6 +260,6 @@ def forest_scores(scoring: DataFrame, forest: Forest) -> DataFrame:
                     below = x[inner, node[:, 0].astype(int)] < node[:, 1]
                     at[inner] = np.where(below, node[:, 2], node[:, 3]).astype(int)
                 depth += t[at, 4]
-            yield pdf[IDENT].assign(score=2.0 ** -(depth / max(1, len(shared.value)) / max(norm, 1e-12)))
+            yield pdf[IDENT].assign(score=2.0 ** -(depth / max(1, len(shared.value)) / norm))
 
     return scoring.select(*IDENT, *features).mapInPandas(run, f"{kinds}, score double")
