@@ -14,6 +14,10 @@ A notice that is wrapped over lines is no block.  With wrapped=True a template i
 found where a run of words, across line breaks and at most SPAN times as many as the
 template has, holds enough of its words.  A run slides over the template's words of a
 text in one pass; only texts that hold enough of the words at all are passed over.
+
+Notices of sister licenses share most of their words.  Such a template names the word that
+tells it (lesser, affero, nc), which a block must hold, or those of its sisters, which a
+block may not hold and at which a run ends, so each notice gets its own label alone.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,23 +42,44 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
-#: Public license notices: label and text.
+class Template(NamedTuple):
+    """A notice's label and text.
+
+    must: words that a block has to hold besides enough of the others; bars: words of a
+    sister license, with which a block is none of this template and at which a run ends.
+    """
+
+    label: str
+    text: str
+    must: tuple[str, ...] = ()
+    bars: tuple[str, ...] = ()
+
+
+_SISTERS = ("affero", "lesser", "library")
+#: Public license notices.
 TEMPLATES = (
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("cc-by", "Licensed under CC BY 4.0"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    Template("gpl", "This work is licensed under the GNU General Public License, version 3", (), _SISTERS),
+    Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", (), _SISTERS),
+    Template("lgpl", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ("lesser",)),
+    Template("lgpl", "it under the terms of the GNU Library General Public License as published by the Free Software Foundation", ("library",)),
+    Template("agpl", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", ("affero",)),
+    Template("apache", "Licensed under the Apache License, Version 2.0"),
+    Template("mit", "Released under the MIT License"),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    Template("cc-by", "Licensed under CC BY 4.0", (), ("nc", "nd", "sa")),
+    Template("cc-by-nc", "Licensed under CC BY-NC 4.0", ("nc",), ("nd", "sa")),
+    Template("cc-by-sa", "Licensed under CC BY-SA 4.0", ("sa",), ("nc",)),
+    Template("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("sharealike",), ("noncommercial",)),
+    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
 
 
+def vocabulary_of(templates) -> list[str]:
+    """All words that blocks are looked through for."""
+    return sorted({w for t in map(lambda x: Template(*x), templates) for w in (*template_words(t.text), *t.must, *t.bars)})
+
+
 def template_words(text: str) -> list[str]:
     """The distinct words of a template."""
     return sorted(set(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())))
@@ -88,22 +114,27 @@ def _places() -> Column:
 
 def _runs(vocabulary: list[str], templates, threshold: float) -> Column:
     """label and containment of the templates that a run of words across the lines holds; from lines and blocks."""
-    kinds = "array<struct<label:string,words:array<string>,span:int,least:int>>"
-    sets = [(label, template_words(text), SPAN * template_length(text)) for label, text in templates]
-    known = [F.struct(F.lit(label), F.array(*[F.lit(w) for w in words]), F.lit(span), F.lit(math.ceil(threshold * len(words) - 1e-9))) for label, words, span in sets]
+    kinds = "array<struct<label:string,words:array<string>,must:array<string>,bars:array<string>,span:int,least:int>>"
+    listed = lambda words: F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    known = []
+    for t in map(lambda x: Template(*x), templates):
+        words = template_words(t.text)
+        known.append(F.struct(F.lit(t.label), listed(words), listed(t.must), listed(t.bars), F.lit(SPAN * template_length(t.text)), F.lit(math.ceil(threshold * len(words) - 1e-9))))
     held = F.array_distinct(F.flatten("blocks"))
-    asked = F.filter(F.array(*known).cast(kinds), lambda t: F.size(F.array_intersect(t["words"], held)) >= t["least"])
+    asked = F.filter(F.array(*known).cast(kinds), lambda t: (F.size(F.array_intersect(t["words"], held)) >= t["least"]) & (F.size(F.array_except(t["must"], held)) == 0))
     at = F.filter(F.transform(F.flatten("lines"), lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(vocabulary))
     none = F.array().cast("array<struct<at:int,word:string>>")
 
     def most(t: Column, places: Column) -> Column:
-        """The most different words of the template in a run: the last place of each is kept while it is near."""
+        """The most different words of the template in a run that holds its musts: the last place of each is kept while it is near and no barred word follows."""
 
         def step(state: Column, x: Column) -> Column:
             near = F.concat(F.filter(state["near"], lambda y: (y["at"] > x["at"] - t["span"]) & (y["word"] != x["word"])), F.array(x))
-            return F.struct(near.alias("near"), F.greatest(state["most"], F.size(near)).alias("most"))
+            near = F.when(F.array_contains(t["bars"], x["word"]), none).otherwise(near)
+            whole = F.size(F.array_except(t["must"], F.transform(near, lambda y: y["word"]))) == 0
+            return F.struct(near.alias("near"), F.when(whole, F.greatest(state["most"], F.size(near))).otherwise(state["most"]).alias("most"))
 
-        mine = F.filter(places, lambda x: F.array_contains(t["words"], x["word"]))
+        mine = F.filter(places, lambda x: F.array_contains(t["words"], x["word"]) | F.array_contains(t["bars"], x["word"]))
         return F.aggregate(mine, F.struct(none.alias("near"), F.lit(0).alias("most")), step, lambda state: state["most"])
 
     best = lambda places: F.transform(asked, lambda t: F.struct(t["label"].alias("label"), t["least"].alias("least"), F.size(t["words"]).alias("size"), most(t, places).alias("most")))
@@ -134,18 +165,18 @@ def word_order(blocks: DataFrame, vocabulary: list[str]) -> list[str]:
 def found_templates(rows: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(text_key, labels, containment) of the texts with a block that holds a template; rows from prepared()."""
     spark = rows.sparkSession
-    sets = [(label, template_words(text)) for label, text in templates]
-    vocabulary = sorted({w for _, s in sets for w in s})
+    templates = [Template(*x) for x in templates]
+    vocabulary = vocabulary_of(templates)
     blocks = rows.select("text_key", F.explode("blocks").alias("block"))
     order = word_order(blocks, vocabulary)
     rank = {w: i for i, w in enumerate(order)}
     index, sizes = [], []
-    for i, (label, words) in enumerate(sets):
-        words = sorted(words, key=rank.get)
+    for i, t in enumerate(templates):
+        words = sorted(template_words(t.text), key=rank.get)
         least = math.ceil(threshold * len(words) - 1e-9)
         sizes.append(least)
-        index += [(w, i, label, place, len(words), least, words) for place, w in enumerate(words[: len(words) - least + 1])]
-    prefix = spark.createDataFrame(index, "word string, template int, label string, place int, size int, least int, words array<string>")  # bounded by the templates
+        index += [(w, i, t.label, place, len(words), least, words, list(t.must), list(t.bars)) for place, w in enumerate(words[: len(words) - least + 1])]
+    prefix = spark.createDataFrame(index, "word string, template int, label string, place int, size int, least int, words array<string>, must array<string>, bars array<string>")  # bounded by the templates
     ordered = F.array_intersect(F.array(*[F.lit(w) for w in order]), F.col("block"))
     shortest = min(sizes)
     kept = blocks.filter(F.size("block") >= shortest).select("text_key", ordered.alias("block"))
@@ -153,7 +184,7 @@ def found_templates(rows: DataFrame, templates=TEMPLATES, threshold: float = THR
     left = F.least(F.col("size") - F.col("place"), F.col("held") - F.col("at"))
     pairs = kept.join(F.broadcast(prefix), "word").filter((F.col("held") >= F.col("least")) & (left >= F.col("least")))
     common = F.size(F.array_intersect("words", "block"))
-    met = pairs.withColumn("common", common).filter("common >= least")
+    met = pairs.withColumn("common", common).filter("common >= least AND size(array_except(must, block)) = 0 AND size(array_intersect(bars, block)) = 0")
     return met.groupBy("text_key").agg(F.array_sort(F.collect_set("label")).alias("labels"), F.max(F.col("common") / F.col("size")).alias("containment"))
 
 
@@ -165,7 +196,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, wra
     find templates in runs of words across lines.  A null text is empty.  Equal texts have
     equal results; other columns are ignored.
     """
-    vocabulary = sorted({w for _, text in templates for w in template_words(text)})
+    vocabulary = vocabulary_of(templates)
     rows = stored(prepared(docs, vocabulary, _runs(vocabulary, templates, threshold) if wrapped else None), "blocks")
     found = stored(found_templates(rows, templates, threshold), "found")
     runs = [F.col("runs")] if wrapped else []
@@ -195,7 +226,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     """The same by comparing each block with each template, and by looking at each word's successors."""
-    templates = ", ".join(f"({i}, '{label}', {template_words(text)!r})" for i, (label, text) in enumerate(TEMPLATES))
+    listed = lambda words: f"{list(words)!r}::VARCHAR[]"
+    templates = ", ".join(f"({i}, '{t.label}', {listed(template_words(t.text))}, {listed(t.must)}, {listed(t.bars)})" for i, t in enumerate(TEMPLATES))
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES)
     fold = f"translate(t, '{UPPER}', '{UPPER.lower()}')"
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -207,9 +239,9 @@ y AS (SELECT r, k, list(x) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT
 f(p, label, n) AS (VALUES {phrases}),
 h AS (SELECT r, k, label FROM y, f WHERE len(l) >= n AND array_to_string(l[1:n], ' ') = p),
 b AS (SELECT r, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY r),
-t(i, label, s) AS (VALUES {templates}),
+t(i, label, s, must, bars) AS (VALUES {templates}),
 l AS (SELECT r, list_distinct(regexp_extract_all({fold.replace('(t,', '(line,')}, '{word}')) AS s FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
-m AS (SELECT r, t.label, len(list_intersect(l.s, t.s)) / len(t.s) AS c FROM l, t WHERE len(list_intersect(l.s, t.s)) >= {THRESHOLD} * len(t.s) - 1e-9),
+m AS (SELECT r, t.label, len(list_intersect(l.s, t.s)) / len(t.s) AS c FROM l, t WHERE len(list_intersect(l.s, t.s)) >= {THRESHOLD} * len(t.s) - 1e-9 AND list_has_all(l.s, must) AND NOT list_has_any(l.s, bars)),
 u AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM m UNION ALL SELECT r, label FROM h) GROUP BY r),
 c AS (SELECT r, max(c) AS c FROM m GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

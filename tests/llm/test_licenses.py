@@ -14,9 +14,9 @@ def brute(text):
     more, best = set(), 0.0
     for line in (text or "").lower().split("\n"):
         s = set(WORD.findall(line))
-        for label, t in li.TEMPLATES:
+        for label, t, must, bars in li.TEMPLATES:
             t = set(li.template_words(t))
-            if len(s & t) >= li.THRESHOLD * len(t) - 1e-9:
+            if len(s & t) >= li.THRESHOLD * len(t) - 1e-9 and s.issuperset(must) and s.isdisjoint(bars):
                 more.add(label)
                 best = max(best, len(s & t) / len(t))
     base = sorted({x for _, x in at})
@@ -54,12 +54,12 @@ def test_sql_and_empty_table(spark):
 def test_wrapped_notices(spark, tmp_path):
     import textwrap
 
-    names = {"mit": 5, "bsd": 10, "lgpl": 2, "mpl": 11}
+    names = {t.label: i for i, t in enumerate(li.TEMPLATES) if t.label in ("mit", "bsd", "lgpl", "agpl", "mpl")}
     rows = []
     for label, i in names.items():
         text = li.TEMPLATES[i][1]
         rows += [(label, "\n".join(textwrap.wrap(text, 40))), (label, "zz yy\n" + textwrap.fill(text, 70, initial_indent=" * ", subsequent_indent=" * ") + "\nzz"), (label, text.replace(" ", "\n\n"))]
-    words = li.TEMPLATES[10][1].split()
+    words = li.TEMPLATES[names["bsd"]][1].split()
     rows += [("", "\n".join(("zz " * 9 + w) for w in words)), ("", "\n".join(words[: len(words) // 2])), ("", None)]
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
     df.write.parquet(str(tmp_path / "documents.parquet"))
@@ -74,10 +74,26 @@ def test_runs_equal_sliding_window(spark):
     want = {}
     for d, text in [(i, t) for i, (_, t) in enumerate(rows())]:
         w, more = WORD.findall((text or "").lower())[:3000], set(brute(text)[3])
-        if len([x for x in (text or "").lower().split("\n") if set(WORD.findall(x)) & {v for _, t in li.TEMPLATES for v in li.template_words(t)}]) > 1:
-            for label, t in li.TEMPLATES:
+        if len([x for x in (text or "").lower().split("\n") if set(WORD.findall(x)) & set(li.vocabulary_of(li.TEMPLATES))]) > 1:
+            for label, t, must, bars in li.TEMPLATES:
                 t, span = set(li.template_words(t)), li.SPAN * li.template_length(t)
-                more |= {label for k in range(len(w)) if len(set(w[k : k + span]) & t) >= li.THRESHOLD * len(t) - 1e-9}
+                windows = [set(w[k : k + span]) for k in range(len(w))]
+                for k in range(len(w)):  # a window ends before a barred word
+                    stop = next((j for j in range(k, min(k + span, len(w))) if w[j] in bars), k + span)
+                    windows[k] = set(w[k:stop])
+                more |= {label for x in windows if len(x & t) >= li.THRESHOLD * len(t) - 1e-9 and x.issuperset(must)}
         want[d] = sorted(more)
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows())], "doc_id bigint, text string")
     assert {r.doc_id: r.labels for r in li.scan(df, wrapped=True).collect()} == want
+
+
+def test_sister_licenses_get_their_own_label_alone(spark):
+    notice = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    kinds = {"gpl": "General Public License", "lgpl": "Lesser General Public License", "agpl": "Affero General Public License"}
+    rows = [(k, notice.format(v)) for k, v in kinds.items()]
+    rows += [(k, notice.format(v).replace(" the ", " the\n * ").replace(" it", "\n * it")) for k, v in kinds.items()]
+    rows += [("gpl,lgpl", notice.format(kinds["lgpl"]) + "\n\n" + notice.format(kinds["gpl"])), ("agpl,gpl", notice.format(kinds["gpl"]).replace(" under", "\nunder") + "\n" + notice.format(kinds["agpl"]).replace(" under", "\nunder"))]
+    rows += [("cc-by,cc-by-nc", "Licensed under CC BY-NC 4.0"), ("cc-by,cc-by-sa", "Licensed under CC BY-SA 4.0"), ("cc-by", "Licensed under CC BY 4.0"), ("lgpl", notice.format("Library General Public License"))]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r.doc_id: ",".join(r.labels) for r in li.scan(df, wrapped=True).collect()}
+    assert got == {i: want for i, (want, _) in enumerate(rows)}
