@@ -1,12 +1,12 @@
-"""Main text of web pages by minimum-cut labelling of text blocks and page regions.
-
-A page becomes a chain of text blocks.  A linear classifier over length, link density,
-headings and sentence ends gives each block a cost for either label.  Elements whose tag or names
-speak for an article or for boilerplate are regions: nodes of their own with a cost that
-grows with the blocks in them.  The costs become the capacities to the two terminals.
-Smoothness edges join blocks that are neighbours in the page or in the DOM, each block
-to the region it stands in, and each region to the one around it.  The minimum cut
-labels all nodes; the text is that of the content blocks.
+"""Main text of web pages by minimum-cut labelling of text blocks.
+
+A page becomes a chain of text blocks.  A linear classifier gives each block a cost for either
+label: from its words, links, sentence end and heading, from the share of the page's
+prose that stands in the same element, and, as one bounded term, from what the tags and
+names of the elements around it say for an article or for boilerplate.  The costs become
+the capacities to the two terminals.  Smoothness edges join blocks that are neighbours in
+the page or in the DOM.  The minimum cut labels all blocks; the text is that of the content
+blocks.  Without any telling tag or name the text, the links and the DOM decide alone.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,12 +25,14 @@ from tendersift.llm.common import free_name, read_table
 
 #: Weights of the classifier of blocks; a positive sum speaks for content.
 WEIGHTS = {"bias": -1.5, "words": 0.8, "links": -4.0, "sentence": 0.5, "heading": 1.5, "rights": -3.0}
-#: Evidence of a region, for each of its blocks and once more: good and bad tags and names, and blocks outside all regions of a page that has an article.
-GOOD_TAG, GOOD_NAME, BAD_TAG, BAD_NAME, OUTSIDE = 5.0, 3.0, -10.0, -10.0, -2.0
-#: Capacity between neighbours one DOM step apart, blocks of one parent, a block and its region, a region and the next one around it.
-NEAR, SIBLING, INSIDE, NESTED = 1.2, 0.6, 5.0, 1.0
+#: The most that words, sentence end and heading add up to, and the weight of the share of prose in the block's parent, against half of it.
+PROSE, SHARE = 2.5, 3.0
+#: The term of tags and names: within an article, within boilerplate, within an element one of whose names holds a boilerplate word among others, and outside of all articles of a page that has one.
+GOOD, BAD, DOUBT, OUTSIDE = 4.5, -4.5, -1.0, -2.5
+#: Capacity between neighbours one DOM step apart, and between blocks of one parent.
+NEAR, SIBLING = 1.2, 0.6
 BORDER = 4
-#: A region with this share of the page's words outside links holds the page rather than a part of it.
+#: An element with this share of the page's words outside links holds the page rather than a part of it.
 MOST = 0.5
 
 _RAW = "script|style|title|textarea|iframe|xmp|noembed|noframes"
@@ -43,13 +45,18 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr input nobr".split())
-_BAD_TAGS = frozenset("nav footer aside form button select option menu dialog noscript template svg math object canvas audio video applet".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr input nobr math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mstyle semantics".split())
+_BAD_TAGS = frozenset("nav footer aside form button select option menu dialog noscript template svg object canvas audio video applet".split())
 _BAD_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay"
     " nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer foot masthead topbar toolbar comment comments respond reply replies disqus discussion"
     " share sharing social related recommended recommendations newsletter subscribe signup login search searchform pager pagination widget widgets skip form complementary contentinfo".split()
 )
+#: Words that names of boilerplate are put together with; a name with any other word besides leaves a doubt only: search-methods, cookie-recipe.
+_PLAIN_NAMES = frozenset(
+    "site page main top bottom left right head bar box wrap wrapper wrapping container inner outer block area section region row col column columns panel item items list lists link links entry entries post posts article articles story stories"
+    " content text body button buttons icon icons form field input header title label more all new latest news popular mobile desktop primary secondary global local js id ui el view feed thread author user".split()
+)
 _GOOD_NAMES = frozenset("article articlebody content post entry story main".split())
 #: A name with one of these says how the page is laid out or set, not what the element is: with-sidebar, comment-open.
 _SETTINGS = frozenset("with has have no without is not open opened closed enabled disabled allowed on off layout supported free count".split())
@@ -60,58 +67,77 @@ _RIGHTS = re.compile(r"^\s*(?:©|\(c\)|copyright\b)|\ball rights reserved\b", re
 
 
 class Block:
-    __slots__ = ("text", "path", "region", "words", "linked", "heading")
+    """node and parent: numbers of the element that holds the text and of the one around it; region: the innermost element around it whose tag or names tell something."""
+
+    __slots__ = ("text", "node", "parent", "region", "words", "linked", "heading")
 
-    def __init__(self, text: str, path: tuple[int, ...], region: int, words: int, linked: int, heading: bool):
-        self.text, self.path, self.region, self.words, self.linked, self.heading = text, path, region, words, linked, heading
+    def __init__(self, text: str, node: int, parent: int, region: int, words: int, linked: int, heading: bool):
+        self.text, self.node, self.parent, self.region, self.words, self.linked, self.heading = text, node, parent, region, words, linked, heading
 
 
 class Region:
-    __slots__ = ("above", "tag", "good", "bad", "first", "prose")
+    __slots__ = ("above", "tag", "good", "bad", "doubt", "first", "prose")
+
+    def __init__(self, above: int, tag: str, good: bool, bad: bool, doubt: bool):
+        self.above, self.tag, self.good, self.bad, self.doubt, self.first, self.prose = above, tag, good, bad, doubt, False, 0
+
+
+class Page:
+    """The text blocks in order, the regions (0 stands for what is outside all others), and of each element its parent and depth."""
+
+    __slots__ = ("blocks", "regions", "above", "depth")
 
-    def __init__(self, above: int, tag: str, good: float, bad: float):
-        self.above, self.tag, self.good, self.bad, self.first, self.prose = above, tag, good, bad, False, 0
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        self.regions = [Region(-1, "", False, False, False)]
+        self.above, self.depth = [0], [0]
 
+    def apart(self, a: int, b: int) -> int:
+        """Steps between two elements."""
+        steps = 0
+        while a != b:
+            if self.depth[a] < self.depth[b]:
+                a, b = b, a
+            a, steps = self.above[a], steps + 1
+        return steps
 
-def _evidence(tag: str, attributes: str, in_article: bool) -> tuple[float, float]:
-    """What an element's tag and names say for an article, and for boilerplate; 0 if nothing."""
-    good, bad = GOOD_TAG * (tag in ("article", "main")), BAD_TAG * (tag in _BAD_TAGS)
-    if tag == "header" and not in_article:
-        bad = BAD_TAG
+
+def _evidence(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element's tag and names speak for an article, for boilerplate, or leave a doubt."""
+    good, doubt = tag in ("article", "main"), False
+    bad = tag in _BAD_TAGS or tag == "header" and not in_article
     for m in _ATTRIBUTE.finditer(attributes or ""):
         if m[5] or m[6]:
-            bad = BAD_NAME
+            bad = True
             continue
         for name in (m[2] or m[3] or m[4] or "").split():
             pieces = {x.lower() for x in _NAME.findall(name)}
             if pieces & _SETTINGS:
                 continue
             if pieces & _BAD_NAMES or "header" in pieces and not in_article:
-                bad = BAD_NAME
+                alone = pieces <= _BAD_NAMES | _PLAIN_NAMES
+                bad, doubt = bad or alone, doubt or not alone
             elif pieces & _GOOD_NAMES:
-                good = max(good, GOOD_NAME)
-    return (0.0, 0.0) if tag in ("html", "body") else (good, bad)
-
+                good = True
+    return (False, False, False) if tag in ("html", "body") else (good, bad, doubt)
 
-def blocks(page: str) -> tuple[list[Block], list[Region]]:
-    """The text blocks of a page in order, and its regions; inline tags don't end a block, all other tags do.
 
-    Region 0 stands for what is outside all others.
-    """
-    out: list[Block] = []
-    regions, first = [Region(-1, "", 0.0, 0.0)], {}
+def parsed(page: str) -> Page:
+    """The blocks, regions and elements of a page; inline tags don't end a block, all other tags do.  Takes time in proportion to the page, however deep its elements stand."""
+    out, first, opened = Page(), {}, Counter()
+    # Open elements: tag, node of the innermost block element, region, whether in an article.
     stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
+    tags = [""]  # of the block elements
     parts: list[str] = []
-    serial, in_link, linked, at = 0, 0, 0, 0
+    linked, at = 0, 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            size = text.count(" ") + 1
-            home = [x for x in stack if x[0] not in _INLINE]
-            out.append(Block(text, tuple(x[1] for x in home), stack[-1][2], size, min(size, linked), home[-1][0] in _HEADINGS))
-            regions[stack[-1][2]].prose += size - min(size, linked)
+            size, node, region = text.count(" ") + 1, stack[-1][1], stack[-1][2]
+            out.blocks.append(Block(text, node, out.above[node], region, size, min(size, linked), tags[node] in _HEADINGS))
+            out.regions[region].prose += size - min(size, linked)
         parts.clear()
         linked = 0
 
@@ -119,9 +145,14 @@ def blocks(page: str) -> tuple[list[Block], list[Region]]:
         nonlocal linked
         text = html.unescape(raw) if "&" in raw else raw
         parts.append(text)
-        if in_link:
+        if opened["a"]:
             linked += len(text.split())
 
+    def close(k: int) -> None:
+        for x in stack[k:]:
+            opened[x[0]] -= 1
+        del stack[k:]
+
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             add(page[at : m.start()])
@@ -137,112 +168,98 @@ def blocks(page: str) -> tuple[list[Block], list[Region]]:
         if not inline:
             flush()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag and not (inline and stack[k][0] in _STOPS):
+                    k -= 1
                 if stack[k][0] == tag:
-                    if inline and any(x[0] in _STOPS for x in stack[k + 1 :]):
-                        break
-                    del stack[k:]
-                    break
-            in_link = sum(x[0] == "a" for x in stack) if tag == "a" or not inline else in_link
+                    close(k)
             continue
         if tag in _VOID:
             continue
         if not inline:
-            ends = _CLOSES.get(tag, ("p",) if tag != "p" else ("p",))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ends:
-                    del stack[k:]
-                    break
-                if stack[k][0] in _STOPS and stack[k][0] not in ends:
-                    break
-            in_link = sum(x[0] == "a" for x in stack)
-        serial += 1
-        region, in_article = stack[-1][2], stack[-1][3]
-        good, bad = _evidence(tag, m[4] or m[7], in_article)
-        if good or bad:
-            regions.append(Region(region, tag, good, bad))
-            region = len(regions) - 1
+            ends = _CLOSES.get(tag, ("p",))
+            if any(opened[x] for x in ends):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] in ends:
+                        close(k)
+                        break
+                    if stack[k][0] in _STOPS:
+                        break
+        _, node, region, in_article = stack[-1]
+        good, bad, doubt = _evidence(tag, m[4] or m[7], in_article)
+        if good or bad or doubt:
+            out.regions.append(Region(region, tag, good, bad, doubt))
+            region = len(out.regions) - 1
+        if not inline:
+            out.above.append(node)
+            out.depth.append(out.depth[node] + 1)
+            tags.append(tag)
+            node = len(tags) - 1
         if tag in ("article", "main", "h1"):
             first.setdefault("h1" if tag == "h1" else "article", region)
-        stack.append((tag, serial, region, in_article or good > 0))
-        in_link += tag == "a"
+        stack.append((tag, node, region, in_article or good))
+        opened[tag] += 1
     if at < len(page):
         add(page[at:])
     flush()
     r = first.get("article", first.get("h1", -1))
     while r >= 0:  # the regions around the page's first article, else around its first h1
-        regions[r].first = True
-        r = regions[r].above
+        out.regions[r].first = True
+        r = out.regions[r].above
     if not first:
-        for x in regions:
+        for x in out.regions:
             x.first = x.tag == "form"
-    for x in reversed(regions[1:]):
-        regions[x.above].prose += x.prose
-    return out, regions
+    for x in reversed(out.regions[1:]):
+        out.regions[x.above].prose += x.prose
+    return out
 
 
-def evidence(found: list[Block], regions: list[Region]) -> tuple[list[float], list[int]]:
-    """The evidence of each region, and the region that each one's blocks count for: itself, or the next one around it that has evidence.
+def evidence(page: Page) -> list[float]:
+    """The term of tags and names of the blocks in each region.
 
-    The names of a region that holds most of the page and its first article (first h1, if
-    it has none) are those of a page's layout and count no more, and so does a form that
-    holds most of a page with neither.  Signs of an article inside of boilerplate are void.
+    A region that holds most of the page and its first article (first h1, if it has none)
+    is no boilerplate, as its names are those of a page's layout, and neither is a form that holds
+    most of a page with neither.  Signs of an article inside of boilerplate are void.
     """
-    value, home = [0.0], [0]
-    whole = regions[0].prose
-    for i, r in enumerate(regions[1:], 1):
-        bad = 0.0 if r.first and r.prose >= MOST * whole else r.bad
-        good = 0.0 if value[home[r.above]] < 0 else r.good
-        value.append(good + bad)
-        home.append(i if good + bad else home[r.above])
-    if any(value[home[b.region]] > 0 for b in found):
-        value[0] = OUTSIDE
-    return value, home
-
-
-def cost(b: Block) -> float:
-    """The classifier's sum for a block: above 0 for content."""
+    regions, whole = page.regions, page.regions[0].prose
+    good, bad, doubt = [False], [False], [False]
+    for r in regions[1:]:
+        layout, up = r.first and r.prose >= MOST * whole, r.above
+        bad.append(bad[up] or r.bad and not layout)
+        good.append(good[up] or r.good and not bad[-1])
+        doubt.append(doubt[up] or r.doubt and not layout)
+    out = [BAD if b else (GOOD if g else 0.0) + (DOUBT if d else 0.0) for g, b, d in zip(good, bad, doubt, strict=True)]
+    if any(good[b.region] and not bad[b.region] for b in page.blocks):
+        out = [v if g or b else v + OUTSIDE for v, g, b in zip(out, good, bad, strict=True)]
+    return out
+
+
+def text_cost(b: Block) -> float:
+    """The classifier's sum for what a block itself holds."""
     w = WEIGHTS
-    sum_ = w["bias"] + w["words"] * math.log1p(b.words) + w["links"] * b.linked / b.words
-    sum_ += w["heading"] * (b.heading and not b.linked) + w["sentence"] * (b.text[-1] in ".!?")
+    prose = w["words"] * math.log1p(b.words) + w["sentence"] * (b.text[-1] in ".!?") + w["heading"] * (b.heading and not b.linked)
+    sum_ = w["bias"] + min(prose, PROSE - w["bias"]) + w["links"] * b.linked / b.words
     return sum_ + (w["rights"] if b.words < 40 and _RIGHTS.search(b.text) else 0.0)
 
 
-def _edges(found: list[Block], homes: list[int]) -> list[tuple[int, int, float]]:
-    """Smoothness edges of blocks: to the next one by DOM distance (a region's border counts as BORDER steps), and to the last one of the same parent and region."""
-    out, last = [], {}
+def graph(page: Page) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """The blocks' costs, and their smoothness edges: to the next one by DOM distance (a region's border counts as BORDER steps), and to the last one of the same parent and region."""
+    found, term = page.blocks, evidence(page)
+    held: Counter = Counter()
+    for b in found:
+        held[b.parent] += b.words - b.linked
+    whole = max(1, sum(held.values()))
+    costs = [text_cost(b) + term[b.region] + SHARE * (held[b.parent] / whole - 0.5) for b in found]
+    edges, last = [], {}
     for i, b in enumerate(found):
         if i:
-            a = found[i - 1].path
-            same = 0
-            for x, y in zip(a, b.path, strict=False):
-                if x != y:
-                    break
-                same += 1
-            out.append((i - 1, i, NEAR / (1 + len(a) + len(b.path) - 2 * same + BORDER * (homes[i - 1] != homes[i]))))
-        parent = (b.path[:-1], homes[i])
-        if parent in last:
-            out.append((last[parent], i, SIBLING))
-        last[parent] = i
-    return out
-
-
-def graph(found: list[Block], regions: list[Region]) -> tuple[list[float], list[tuple[int, int, float]]]:
-    """Costs and edges: first the blocks, then the regions that have evidence."""
-    value, home = evidence(found, regions)
-    homes = [home[b.region] for b in found]
-    costs, edges, node, held = [cost(b) for b in found], _edges(found, homes), {}, [0] * len(regions)
-    for h in homes:
-        held[h] += 1
-    for i, v in enumerate(value):
-        if v and held[i]:
-            node[i] = len(costs)
-            costs.append(v * (1 + held[i]))
-    edges += [(j, node[h], INSIDE) for j, h in enumerate(homes) if h in node]
-    for i in node:
-        above = home[regions[i].above] if i else -1
-        if above in node:
-            edges.append((node[i], node[above], NESTED))
+            a = found[i - 1]
+            edges.append((i - 1, i, NEAR / (1 + page.apart(a.node, b.node) + BORDER * (a.region != b.region))))
+        place = (b.parent, b.region)
+        if place in last:
+            edges.append((last[place], i, SIBLING))
+        last[place] = i
     return costs, edges
 
 
@@ -320,16 +337,17 @@ def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[boo
     return label
 
 
-def labelled(page: str) -> list[tuple[Block, bool, bool]]:
-    """Each block of a page, whether it is content, and whether its own cost says so."""
-    found, regions = blocks(page)
-    costs, edges = graph(found, regions)
-    return [(b, keep, c > 0) for b, keep, c in zip(found, min_cut(costs, edges), costs, strict=False)]
+def labelled(page: str) -> list[tuple[Block, bool, float, float]]:
+    """Each block of a page, whether it is content, its own cost, and the term of tags and names in it."""
+    made = parsed(page)
+    costs, edges = graph(made)
+    term = evidence(made)
+    return [(b, keep, c, term[b.region]) for b, keep, c in zip(made.blocks, min_cut(costs, edges), costs, strict=True)]
 
 
 def main_text(page: str) -> str:
     """The content blocks of a page, joined by line ends."""
-    return "\n".join(b.text for b, keep, _ in labelled(page) if keep)
+    return "\n".join(b.text for b, keep, _, _ in labelled(page) if keep)
 
 
 def extracted(pages: DataFrame, source: str = "html", text: str = "text") -> DataFrame:
