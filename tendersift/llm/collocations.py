@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from itertools import islice, pairwise
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -33,41 +34,39 @@ from tendersift.llm.common import free_name, read_table, stored
 
 #: Counters of the sketch: 2^BITS.
 BITS = 40
-#: Characters of a shard, and of the texts whose counters one range holds on average.
-SHARD, RANGE = 8 << 20, 32 << 20
-_UPPER, _STOP = re.compile("[A-Z]+"), re.compile(r"[.,;:!?\x0A-\x0D]+")
+#: Characters of a shard, and of the texts whose counters one range holds on average; larger ones send fewer messages and take more memory.
+SHARD, RANGE = 4 << 20, 8 << 20
+_STOP = re.compile(r"[.,;:!?\x0A-\x0D]+")
+#: Slots of the table that tells most counters apart from those that came back.
+_SLOTS = 1 << 22
 
 
 def canonical_words(text: str) -> list[str]:
     """The words of a text in order, A-Z lower-cased, and "\\n" for each run of delimiters."""
-    text = text.lower() if text.isascii() else _UPPER.sub(lambda m: m[0].lower(), text)
-    return [w for w in _STOP.sub(" \n ", text).replace("\t", " ").split(" ") if w]
+    low = text.encode().lower().decode()  # of bytes, lower() turns A-Z alone
+    return [w for w in _STOP.sub(" \n ", low).replace("\t", " ").split(" ") if w]
 
 
-def _phrases(lang: str, words: list[str], longest: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length: the distinct words, the distinct phrases as rows of word numbers, how often each stands within pieces, and its counter in the sketch."""
-    number: dict[str, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-    names = list(number)
+def _numbered(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word, and the distinct words in the order of their numbers."""
+    return pd.factorize(np.array([*words, None], object)[:-1])
+
+
+def _cells(lang: str, ids: np.ndarray, names: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length: the places where a phrase starts that lies within a piece, and its counter in the sketch."""
     seed = xxhash.xxh64_intdigest(lang.encode()) & 0xFFFFFFFF
-    marks = np.fromiter((xxhash.xxh64_intdigest(w.encode(), seed) for w in names), np.uint64, len(names))
-    stop = number.get("\n", -1)
-    at, codes = np.flatnonzero(ids != stop), ids  # starts of phrases, and a number for the phrase from each place
+    marks = np.fromiter((xxhash.xxh64_intdigest(w.encode(), seed) for w in names), np.uint64, len(names))[ids]
+    word = np.array([w != "\n" for w in names], bool)[ids]
+    at = np.flatnonzero(word)
+    mixed = np.zeros(len(at), np.uint64)
     for length in range(1, longest + 1):
-        if length > 1:
-            at = at[at + length - 1 < len(ids)]
-            at = at[ids[at + length - 1] != stop]
-            codes = codes * len(names)
-            codes[at] += ids[at + length - 1]
-        found, first, inverse, n = np.unique(codes[at], return_index=True, return_inverse=True, return_counts=True)
-        rows = ids[at[first][:, None] + np.arange(length)] if len(at) else np.zeros((0, length), np.int64)
-        cell = np.full(len(rows), length, np.uint64)
-        for k in range(length):
-            cell = (cell ^ marks[rows[:, k]]) * np.uint64(0x9E3779B97F4A7C15)
-            cell ^= cell >> np.uint64(29)
-        yield names, rows, n, (cell * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)
-        codes = np.zeros(len(ids), np.int64)
-        codes[at] = inverse  # numbers from 0, so that the next product stays small
+        inside = at + length - 1 < len(ids)
+        at, mixed = at[inside], mixed[inside]
+        inside = word[at + length - 1]
+        at, mixed = at[inside], mixed[inside]
+        mixed = (mixed ^ marks[at + length - 1]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        yield at, ((mixed + np.uint64(length)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)
 
 
 def _pack(cells: np.ndarray, counts: np.ndarray | None = None) -> bytes:
@@ -85,7 +84,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sharded(docs: DataFrame, longest: int, ranges: int) -> DataFrame:
-    """shard, lang, words (their number), text and asked (range, packed counters with counts): the documents of each task, by language."""
+    """shard, lang, words (their number), text (compressed) and asked (range, packed counters with counts): the documents of each task, by language."""
     text, lang = (F.coalesce(F.col(n).cast("string"), F.lit(d)) for n, d in (("text", ""), ("lang", "und")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,18 +96,15 @@ def sharded(docs: DataFrame, longest: int, ranges: int) -> DataFrame:
             nonlocal made
             words = held.pop(lang)
             size.pop(lang)
-            cells, counts = [], []
-            for _, _, n, cell in _phrases(lang, words, longest):
-                cells.append(cell)
-                counts.append(n)
-            cell, inverse = np.unique(np.concatenate(cells), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate(counts), len(cell)).astype(np.int64)
+            ids, names = _numbered(words)
+            cell, n = np.unique(np.concatenate([x for _, x in _cells(lang, ids, names, longest)]), return_counts=True)
             of = ((cell * np.uint64(ranges)) >> np.uint64(BITS)).astype(np.int64)
             edges = np.flatnonzero(np.diff(of, prepend=-1))
             asked = [{"range": int(of[a]), "cells": _pack(cell[a:b], n[a:b])} for a, b in pairwise([*edges, len(cell)])]
             made += 1
             total = sum(w != "\n" for w in words)
-            return pd.DataFrame({"shard": [made], "lang": [lang], "words": [total], "text": [" " + " ".join(words) + " "], "asked": [asked]})
+            text = zlib.compress(f" {' '.join(words)} ".encode(), 1)
+            return pd.DataFrame({"shard": [made], "lang": [lang], "words": [total], "text": [text], "asked": [asked]})
 
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
@@ -122,7 +118,7 @@ def sharded(docs: DataFrame, longest: int, ranges: int) -> DataFrame:
         for lang in list(held):
             yield out(lang)
 
-    return docs.select(lang.alias("lang"), text.alias("text")).mapInPandas(run, "shard bigint, lang string, words bigint, text string, asked array<struct<range: int, cells: binary>>")
+    return docs.select(lang.alias("lang"), text.alias("text")).mapInPandas(run, "shard bigint, lang string, words bigint, text binary, asked array<struct<range: int, cells: binary>>")
 
 
 def frequent(shards: DataFrame, least: int) -> DataFrame:
@@ -145,27 +141,56 @@ def frequent(shards: DataFrame, least: int) -> DataFrame:
     return asked.groupBy("range").applyInPandas(add, "shard bigint, cells binary")
 
 
+def _hot(cell: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of the counters are among the sorted wanted ones."""
+    slots = np.zeros(_SLOTS, bool)
+    slots[(wanted % np.uint64(_SLOTS)).astype(np.int64)] = True
+    maybe = np.flatnonzero(slots[(cell % np.uint64(_SLOTS)).astype(np.int64)])
+    place = np.minimum(np.searchsorted(wanted, cell[maybe]), len(wanted) - 1)
+    out = np.zeros(len(cell), bool)
+    out[maybe] = wanted[place] == cell[maybe]
+    return out
+
+
+def _candidates(lang: str, words: list[str], wanted: np.ndarray, longest: int) -> tuple[list[str], np.ndarray, list[str]]:
+    """The single words whose counter is wanted with their counts, and the longer phrases."""
+    ids, names = _numbered(words)
+    single, n, phrases = [], np.zeros(0, np.int64), []
+    for length, (at, cell) in enumerate(_cells(lang, ids, names, longest), 1):
+        at = at[_hot(cell, wanted)]
+        if length == 1:
+            found, n = np.unique(ids[at], return_counts=True)
+            single = names[found].tolist()
+            continue
+        code = ids[at]
+        for k in range(1, length):  # numbers of phrases stay below the number of places
+            code = np.unique(code, return_inverse=True)[1] * len(names) + ids[at + k]
+        _, first = np.unique(code, return_index=True)
+        phrases += [" ".join(row) for row in names[ids[at[first][:, None] + np.arange(length)]].tolist()]
+    return single, n, phrases
+
+
 def matches(shards: DataFrame, hot: DataFrame, longest: int) -> DataFrame:
-    """lang, phrase and n: how often each candidate stands in a shard, by its automaton."""
+    """lang, phrase and n: how often each candidate stands in a shard: single words by counting them, phrases by the shard's automaton."""
     back = hot.groupBy("shard").agg(F.collect_list("cells").alias("cells"))  # at most the counters that the shard sent
     rows = shards.select("shard", "lang", "text").join(back, "shard")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for lang, text, cells in zip(batch["lang"], batch["text"], batch["cells"], strict=True):
+            for lang, packed, cells in zip(batch["lang"], batch["text"], batch["cells"], strict=True):
+                text = zlib.decompress(packed).decode()
                 wanted = np.unique(np.concatenate([_unpack(x)[0] for x in cells])).astype(np.uint64)
-                phrases: list[str] = []
-                for names, rows, _, cell in _phrases(lang, text[1:-1].split(" "), longest):
-                    phrases += [" ".join([names[i] for i in row]) for row in rows[np.isin(cell, wanted)].tolist()]
-                automaton = ahocorasick.Automaton()
-                for i, phrase in enumerate(phrases):
-                    automaton.add_word(f" {phrase} ", i)
-                automaton.make_automaton()
-                n = np.zeros(len(phrases), np.int64)
-                found = automaton.iter(text)
-                while len(some := np.fromiter((i for _, i in islice(found, 1 << 20)), np.int64)):
-                    n += np.bincount(some, minlength=len(phrases))
-                yield pd.DataFrame({"lang": lang, "phrase": phrases, "n": n})
+                single, n, phrases = _candidates(lang, text[1:-1].split(" "), wanted, longest)
+                yield pd.DataFrame({"lang": lang, "phrase": single, "n": n})
+                if phrases:
+                    automaton = ahocorasick.Automaton()
+                    for i, phrase in enumerate(phrases):
+                        automaton.add_word(f" {phrase} ", i)
+                    automaton.make_automaton()
+                    n, found = np.zeros(len(phrases), np.int64), map(itemgetter(1), automaton.iter(text))
+                    while len(some := np.fromiter(islice(found, 1 << 20), np.int64)):
+                        n += np.bincount(some, minlength=len(phrases))
+                    yield pd.DataFrame({"lang": lang, "phrase": phrases, "n": n})
 
     return rows.mapInPandas(run, "lang string, phrase string, n bigint")
 
