@@ -34,7 +34,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 #: Forms of identifiers that the base patterns may miss; never a part of a longer word.
-_LIKE = re.compile(r"(?<![^\W])[0-9(+](?:[\x20().:/-]{0,2}[0-9])++(?![^\W])")
+_LIKE, _INSIDE = re.compile(r"(?<![^\W])[0-9(+](?:[\x20().:/-]{0,2}[0-9])++"), re.compile(r"\w")
 _IP6 = re.compile(r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])")
 _NEAR_AT = re.compile(r"[^\s@,;<>]+")
 _ENDS = frozenset("@,;<>")
@@ -117,9 +117,20 @@ def _around(text: str, start: int, end: int, kind: int) -> list[str]:
     return out + ([f"_{shape}"] if not shape.replace(" ", "").isdigit() else [])
 
 
+def _runs_of_digits(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of _LIKE that no word goes on from.
+
+    A run that a word goes on from has no match in it at all, as any later start leads to the
+    same end; it is passed over at once, so long lists of numbers take linear time.
+    """
+    for m in _LIKE.finditer(text):
+        if not _INSIDE.match(text, m.end()):
+            yield m.span()
+
+
 def _like(text: str) -> list[tuple[int, int]]:
     """Strings of an identifier's shape, leftmost first and apart: what stands around each @, and runs of digits."""
-    found, last = [m.span() for m in _LIKE.finditer(text)] + ([m.span() for m in _IP6.finditer(text) if len(m[0].replace(":", "")) > 3] if ":" in text else []), 0
+    found, last = list(_runs_of_digits(text)) + ([m.span() for m in _IP6.finditer(text) if len(m[0].replace(":", "")) > 3] if ":" in text else []), 0
     at = text.find("@")
     while at >= 0:
         start = at

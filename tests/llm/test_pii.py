@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import defaultdict
 
 from tendersift.llm import pii
@@ -142,3 +143,21 @@ def test_query_keeps_the_base_spans(spark):
         r = got[d.doc_id]
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for k, _, _ in want) for i in range(4)]
         assert {f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in want} <= set(r.spans.split(","))
+
+
+def test_long_lists_of_numbers_take_linear_time():
+    """Runs are those of the plain pattern, which looks ahead from every start."""
+    plain = re.compile(r"(?<![^\W])[0-9(+](?:[\x20().:/-]{0,2}[0-9])++(?![^\W])")
+    rnd = random.Random(12)
+    for _ in range(3000):
+        text = "".join(rnd.choice("01(+) .:/-x_é ") for _ in range(rnd.randrange(30)))
+        assert list(pii._runs_of_digits(text)) == [m.span() for m in plain.finditer(text)], text
+    began = time.process_time()
+    for text in ("1 " * 500_000 + "1x", "(1" * 300_000 + "x", "+1 " * 300_000, "1." * 500_000 + "y", "1-" * 500_000):
+        pii.base_spans(text), pii._like(text)
+    assert time.process_time() - began < 30
+
+
+def test_redaction_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, Redact_Text string")
+    assert pii.redacted(docs).columns == docs.columns and pii.redacted(docs).count() == 0
