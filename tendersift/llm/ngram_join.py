@@ -305,8 +305,8 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRE
 
 
 def _row_key(key: Column, doc_id: Column) -> Column:
-    """What only repeated rows share: the text's key with the doc_id."""
-    return F.concat(key, F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary"))
+    """What only repeated rows share: the text's key with the doc_id; a null id differs from every string."""
+    return F.concat(key, F.when(doc_id.isNull(), F.lit(b"0")).otherwise(F.concat(F.lit(b"1"), doc_id.cast("string").cast("binary"))))
 
 
 def deduplicated(docs: DataFrame, limit: int = BROADCAST_CELLS, **how) -> DataFrame:

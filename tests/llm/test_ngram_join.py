@@ -96,3 +96,10 @@ def test_empty_table_and_extra_columns(spark):
 def test_bands_reach_recall():
     bands = ngram_join.bands_for(0.8, 4, 0.9999)
     assert 1 - (1 - 0.8**4) ** bands >= 0.9999 > 1 - (1 - 0.8**4) ** (bands - 1)
+
+
+def test_a_null_id_differs_from_the_word_null(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(None, text), ("null", text), ("null", text)], "doc_id string, text string")
+    assert [r.doc_id for r in ngram_join.deduplicated(docs).collect()] == ["null"]  # a null id is never the least
+    assert {r.class_id for r in ngram_join.near_duplicates(docs).collect()} == {"null"}

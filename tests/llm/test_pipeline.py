@@ -2,6 +2,7 @@ import hashlib
 
 import corpus_pipeline as cp
 import public_tokenizers
+from pyspark.sql import functions as F
 from tendersift.llm import quality
 from tokenizers import Tokenizer
 
@@ -45,3 +46,24 @@ def test_each_stage_against_brute_force(spark):
     for r in five:
         ids = lib.encode(text[r.doc_id], add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and hashlib.sha256(r.ids).digest() == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).digest()
+
+
+def test_stages_on_odd_tables(spark):
+    """Empty tables, null texts and ids, repeated rows, and columns named like the stages' own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.filter("doc_id < 40").withColumn("text_key", F.lit("mine")).withColumn("Grams", F.lit(1))
+    odd = spark.createDataFrame([(None, None, None, None, None, "mine", 1), (1, "", "en", "s", 0, "mine", 1)], some.schema)
+    rows = some.unionByName(odd).unionByName(some.filter("doc_id = 3"))
+    for name, stage in cp.STAGES:
+        none = stage(spark, some.limit(0), SF)
+        assert none.count() == 0, name
+        out = stage(spark, rows, SF)
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        assert set(ids) <= {r.doc_id for r in rows.select("doc_id").distinct().collect()}, name
+        if name != "bpe":
+            assert out.columns == none.columns == rows.columns, name
+            assert {(r.text_key, r.Grams) for r in out.select("text_key", "Grams").distinct().collect()} == {("mine", 1)}, name
+        if name in ("decontamination", "pii", "bpe"):
+            assert ids.count(3) == 2 and None in ids, name  # repeated rows stay, as do rows without text
+        if name == "near_duplicates":
+            assert ids.count(3) == 1 and None in ids and 1 in ids, name
