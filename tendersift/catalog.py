@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -251,6 +252,8 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "j13_ensembles": (_on(_ensembles, digits=9), sql.ENSEMBLES),
     "j14_stability": (_on(lambda df: detectors.stability(_members(df)), digits=9), sql.STABILITY),
     "review_queue": (_on(_review_queue), None),
+    "d5_award_change_frozen_reference": (_on(lambda df: award_change.features(df.filter(sql.CHANGE_HELD), targets=df, at=date.fromisoformat(sql.CHANGE_AT)), raw=True), sql.CHANGE_FROZEN),
+    "g10_first_base_actions": (_on(lambda df: award_change.first_base_actions(df, ["action_date"]).select("award_id", "base_actions", "conflicts", "transaction_id", "action_date", "action_obligation"), raw=True), sql.FIRST_BASE),
     "award_change_features": (_on(award_change.features, raw=True), sql.CHANGE_FEATURES),
 }
 

@@ -260,9 +260,9 @@ CHANGE_ACTIVITY = with_(canon(True), LIFE, _activity()) + "SELECT * REPLACE (rou
 
 _METRICS = {"modification_count": "CAST(modifications AS DOUBLE)", "modification_rate": "modifications / CAST(days AS DOUBLE)", "gross_ratio": "gross / size", "net_ratio": "net / size", "deobligation_ratio": "deobligation / size"}
 _OWN = {"sized": "size IS NOT NULL", "modified": "modifications > 0", "deobligated": "deobligations > 0", "raised": "positives > 0"}
-_SHARE = lambda x: f"(m_{x} - o.{x}) / CAST(members - 1 AS DOUBLE)"
+_SHARE = lambda x: f"(m_{x} - o.{x} * o.own) / CAST(members - o.own AS DOUBLE)"
 _PLAIN = {
-    "peer_award_count": "CAST(members - 1 AS DOUBLE)",
+    "peer_award_count": "CAST(members - o.own AS DOUBLE)",
     "peer_base_obligation_coverage": _SHARE("sized"),
     "target_observable_followup_days": "CAST(o.days AS DOUBLE)",
     "lifecycle_unknown_action_count": "CAST(o.unknown_actions AS DOUBLE)",
@@ -281,22 +281,33 @@ _PLAIN = {
     "deobligation_presence_deviation": f"o.deobligated - {_SHARE('deobligated')}",
     "positive_modification_presence_deviation": f"o.raised - {_SHARE('raised')}",
 }
-CHANGE_FEATURES = (
-    with_(canon(True), LIFE, _activity())
-    + f""", o0 AS (SELECT a.*, l.action_date, l.awarding_agency_code, l.awarding_subtier_agency_code, l.psc_code, l.naics_code, l.award_type_code, date_diff('day', l.action_date, (SELECT max(action_date) FROM life)) + 1 AS days,
-  nullif(abs(CAST(l.award_total_obligation AS DOUBLE)), 0) AS size FROM act a JOIN life l ON a.award_id = l.award_id AND l.lifecycle = 'base_award' WHERE base_actions = 1),
+def change_features(held: str = "true", at: str | None = None) -> str:
+    """held: whether the reference holds an award, from its rows; at: the day of the histories."""
+    life = LIFE if at is None else LIFE + f",\nlife0 AS (SELECT * FROM life WHERE action_date <= DATE '{at}')"
+    activity = _activity() if at is None else _activity().replace("FROM life ", "FROM life0 ")
+    end = "(SELECT max(action_date) FROM life)" if at is None else f"DATE '{at}'"
+    return with_(canon(True), life, activity) + f""", o0 AS (SELECT a.*, l.action_date, l.awarding_agency_code, l.awarding_subtier_agency_code, l.psc_code, l.naics_code, l.award_type_code, date_diff('day', l.action_date, {end}) + 1 AS days, CASE WHEN {held} THEN 1 ELSE 0 END AS own,
+  nullif(abs(CAST(l.award_total_obligation AS DOUBLE)), 0) AS size FROM act a JOIN {'life' if at is None else 'life0'} l ON a.award_id = l.award_id AND l.lifecycle = 'base_award' WHERE base_actions = 1),
 o AS (SELECT *, {", ".join(f"{x} AS {n}" for n, x in _METRICS.items())}, {", ".join(f"CASE WHEN {x} THEN 1 ELSE 0 END AS {n}" for n, x in _OWN.items())} FROM o0),
-{keyed("o", "award_id, " + ", ".join([*_METRICS, *_OWN]), "award_change_", True)},
-g AS (SELECT peer_key, count(*) AS members, {", ".join(f"sum({n}) AS m_{n}" for n in _OWN)} FROM keyed WHERE peer_key IS NOT NULL GROUP BY peer_key),
-pick AS (SELECT * FROM (SELECT k.award_id, k.level, g.*, row_number() OVER (PARTITION BY k.award_id ORDER BY k.ordinal) AS rn FROM keyed k JOIN g ON k.peer_key = g.peer_key AND members > 10) WHERE rn = 1),
-mem AS ({" UNION ALL ".join(f"SELECT award_id AS id, '{m}|' || peer_key AS g, {m} AS v FROM keyed WHERE {m} IS NOT NULL AND peer_key IN (SELECT peer_key FROM pick)" for m in _METRICS)}),
-tgt AS (SELECT mem.* FROM mem JOIN pick ON id = award_id AND g[strpos(g, '|') + 1:] = peer_key),
+{keyed("o", "award_id, own, " + ", ".join([*_METRICS, *_OWN]), "award_change_", True)},
+g AS (SELECT peer_key, count(*) AS members, {", ".join(f"sum({n}) AS m_{n}" for n in _OWN)} FROM keyed WHERE peer_key IS NOT NULL AND own = 1 GROUP BY peer_key),
+pick AS (SELECT * FROM (SELECT k.award_id, k.level, g.*, row_number() OVER (PARTITION BY k.award_id ORDER BY k.ordinal) AS rn FROM keyed k JOIN g ON k.peer_key = g.peer_key AND members - k.own >= 10) WHERE rn = 1),
+every AS ({" UNION ALL ".join(f"SELECT award_id AS id, own, '{m}|' || peer_key AS g, {m} AS v FROM keyed WHERE {m} IS NOT NULL AND peer_key IN (SELECT peer_key FROM pick)" for m in _METRICS)}),
+mem AS (SELECT id, g, v FROM every WHERE own = 1),
+tgt AS (SELECT every.id, every.g, every.v FROM every JOIN pick ON id = award_id AND g[strpos(g, '|') + 1:] = peer_key),
 {distribution("dd", "tgt", "mem")},
 wide AS (SELECT id, {", ".join(f"round(max(CASE WHEN g LIKE '{m}|%' THEN {e} END), {R}) AS award_change_{m}_{k}" for m in _METRICS for k, e in (("position", "pos"), ("modified_z", "z"), ("iqr_distance", "dist")))} FROM dd GROUP BY id)
 SELECT a.award_id, level, {", ".join(f"round({x}, {R}) AS award_change_{n}" for n, x in _PLAIN.items())}, {", ".join(f"award_change_{m}_{k}" for m in _METRICS for k in ("position", "modified_z", "iqr_distance"))},
   CASE WHEN a.base_actions > 1 THEN 'award_change_reference_ambiguous_multiple_base_actions' WHEN a.base_actions = 0 THEN 'award_change_reference_missing_or_no_observed_base_action' WHEN level IS NULL THEN 'no_supported_award_change_market' END AS reason
 FROM act a LEFT JOIN pick p ON a.award_id = p.award_id LEFT JOIN o ON a.award_id = o.award_id AND p.award_id IS NOT NULL LEFT JOIN wide ON a.award_id = wide.id"""
-)
+
+
+CHANGE_FEATURES = change_features()
+#: Awards of one source are told of against those of the others, as all were known at a day.
+CHANGE_HELD, CHANGE_AT = "source_name <> 'orders-0'", "1996-12-31"
+CHANGE_FROZEN = change_features("l." + CHANGE_HELD, CHANGE_AT)
+FIRST_BASE = with_(canon(True), LIFE) + """SELECT award_id, count(*) AS base_actions, count(*) - 1 AS conflicts, arg_min(transaction_id, (action_date, transaction_id)) AS transaction_id, CAST(min(action_date) AS VARCHAR) AS action_date,
+  arg_min(CAST(action_obligation AS DOUBLE), (action_date, transaction_id)) AS action_obligation FROM life WHERE lifecycle = 'base_award' GROUP BY award_id"""
 
 _FIELDS = ("award_id", "transaction_id", "modification_number", "award_type_code", "recipient_name", "recipient_uei", "recipient_legacy_id", "parent_recipient_uei", "action_date", "action_obligation", "award_total_obligation", "awarding_agency_code", "awarding_agency_name", "awarding_subtier_agency_code", "awarding_subtier_agency_name", "psc_code", "naics_code", "extent_competed_code", "extent_competed_description", "number_of_offers_received", "solicitation_procedure_code", "solicitation_procedure_description", "other_than_full_and_open_code", "other_than_full_and_open_description")
 _EXTENT, _OFFERS, _OTHER, _PROC = "extent_competed_description IS NOT NULL", "number_of_offers_received IS NOT NULL", "other_than_full_and_open_description IS NOT NULL", "solicitation_procedure_description IS NOT NULL"
