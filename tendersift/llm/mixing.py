@@ -27,8 +27,8 @@ from tendersift.llm.common import attached, read_table, stored, whole_text
 WORD = r"[^\x20\x09-\x0D]+"
 #: Factors of the seeded order of blocks; the first that doesn't divide a source's number of blocks is its own.
 FACTORS = (179_424_673, 160_481_183, 141_650_939)
-#: Documents of one bin of the seeded order on average.
-BIN_ROWS = 20_000
+#: Documents of one bin of the seeded order on average; there are 65,536 bins at most.
+BIN_ROWS = 500
 
 
 @dataclass(frozen=True)
