@@ -19,9 +19,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,51 +33,54 @@ from tendersift.llm.common import attached, read_table, stored
 
 SCALE = 1_000_000_000
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_UPPER = re.compile("[A-Z]+")
 #: Counts (term, group) of a slice on average, and rounds of the tournament that one job plays.
 SLICE, ROUNDS = 200_000, 5
 #: A task's counts are passed on when it holds so many.
-FLUSH = 300_000
+FLUSH = 500_000
 #: Texts of more code points are read match by match.
 LONG = 1 << 20
 
 
-def _lower(text: str) -> str:
-    return text.lower() if text.isascii() else _UPPER.sub(lambda m: m[0].lower(), text)
-
-
-def _terms(text: str) -> Counter:
-    found = Counter(TERM.findall(text) if len(text) < LONG else (m[0] for m in TERM.finditer(text)))
-    out: Counter = Counter()
-    for term, n in found.items():
-        out[_lower(term)] += n
-    return out
+def _terms(text: str) -> Iterator[list[str]]:
+    """The terms of a text in order, in lists; a long text gives several."""
+    low = text.encode().lower().decode()  # of bytes, lower() turns A-Z alone
+    if len(low) < LONG:
+        yield TERM.findall(low)
+        return
+    found = (m[0] for m in TERM.finditer(low))
+    while some := list(islice(found, LONG)):
+        yield some
 
 
 def counted(docs: DataFrame) -> DataFrame:
     """lang, source, term, n and docs (documents with the term): partial sums; each group has a row of the empty term with n = 0."""
     rows = docs.select(*[F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in ("lang", "source", "text")])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, list[int]] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[Counter, Counter]] = {}
 
-        def out() -> pd.DataFrame:
-            frame = pd.DataFrame([(*k, *v) for k, v in held.items()], columns=["lang", "source", "term", "n", "docs"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, docs) in held.items():
+                terms = ["", *n]
+                yield pa.record_batch([pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms), pa.array([0, *n.values()], pa.int64()), pa.array([0, *map(docs.__getitem__, n)], pa.int64())], ["lang", "source", "term", "n", "docs"])
             held.clear()
-            return frame
 
+        size = 0
         for batch in batches:
-            for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
-                held.setdefault((lang, source, ""), [0, 0])
-                for term, n in _terms(text).items():
-                    cell = held.setdefault((lang, source, term), [0, 0])
-                    cell[0] += n
-                    cell[1] += 1
-                if len(held) > FLUSH:
-                    yield out()
-        yield out()
-
-    return rows.mapInPandas(run, "lang string, source string, term string, n bigint, docs bigint")
+            for lang, source, text in zip(*[batch.column(x).to_pylist() for x in ("lang", "source", "text")], strict=True):
+                n, docs = held.setdefault((lang, source), (Counter(), Counter()))
+                before, here = len(n), set()
+                for terms in _terms(text):
+                    n.update(terms)
+                    here.update(terms)
+                docs.update(here)
+                size += len(n) - before
+                if size > FLUSH:
+                    yield from out()
+                    size = 0
+        yield from out()
+
+    return rows.mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
 
 
 def kept_terms(partials: DataFrame, least: int) -> DataFrame:
