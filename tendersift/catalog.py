@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendersift.functions import robust
+from tendersift.functions import exact, robust
 from tendersift.operators import amount, assemble, award_change, competition, competition_evidence, detectors, explanation, feature_catalog, identity, lifecycle, peers, preprocessing, quality, review, vendor
+from tendersift.plans import models
 from tendersift.plans import statements as sql
 from tendersift.plans.config import ForestRun, ReviewPlan
 from tendersift.plans.run import run
 from tendersift.sources import archive, export
 from tendersift.sources.canonical import canonical
-from tendersift.storage import stored
+from tendersift.storage import shared_dir, stored
 from tendersift.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,6 +192,28 @@ def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.outcomes(rows, order=order).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def _exact_summaries(df: DataFrame) -> DataFrame:
+    """Amounts with more digits than a double holds, summed up by agency without rounding, as canonical text."""
+    value = F.col("action_obligation").cast("decimal(28,6)") * F.lit(10**10).cast("decimal(11,0)") + F.datediff("action_date", F.lit("1990-01-01")).cast("decimal(10,0)") * F.lit("0.000001").cast("decimal(6,6)")
+    counts = df.groupBy(F.col("awarding_agency_code").alias("group"), value.cast("decimal(28,6)").alias("value")).agg(F.count("*").alias("n"))
+    found = exact.summaries(counts, 6)
+    return found.select("group", "size", *[exact.canonical_text(F.col(x)).alias(x) for x in ("least", "q1", "median", "q3", "most", "iqr", "mad")])
+
+
+def _trained_apart(df: DataFrame) -> DataFrame:
+    """Rules, tail detector and calibration learned before a year, saved, loaded, and applied to what came from then on."""
+    raw = stored(df.select("transaction_id", "award_id", "action_date", F.col("action_obligation").cast("double").alias("amount"), F.col("number_of_offers_received").cast("double").alias("offers"), F.col("award_total_obligation").cast("double").alias("total")), "raw-features")
+    plan = ReviewPlan(features=tuple(_FEATURES), rules=(preprocessing.Rule("offers", transform="standard_scale"),), forests=(ForestRun("forest11", 11, 8, primary=True),), stability=False)
+    model = models.trained(raw.filter(F.col("action_date") < sql.SPLIT), plan)
+    path = f"{shared_dir(df.sparkSession)}/model-{uuid.uuid4().hex}"
+    model = models.load(df.sparkSession, path, models.save(model, path, df.sparkSession))
+    rows = raw.filter(F.col("action_date") >= sql.SPLIT)
+    ready = stored(preprocessing.apply(rows, model.rules).select("transaction_id", "award_id", *_FEATURES), "scoring-matrix")
+    tail = detectors.tail_scores_by(model.tail, ready, _FEATURES).withColumn("score", F.round("score", sql.R))
+    known = model.tail_scores.withColumn("value", F.round("value", sql.R))
+    return detectors.calibrated_by(known, stored(tail, "tail")).join(ready, ["transaction_id", "award_id"])
+
+
 GATES = {"review": quality.RULES, "identity": (quality.Rule("context", "vendor_identity", least=0.99), quality.Rule("vendor", "name_only", most=0.2, block=False))}
 
 
@@ -221,6 +245,7 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "competition_context_features": (_on(competition.features), sql.COMPETITION_CONTEXT),
     "e14_award_change_activity": (_on(award_change.activity, raw=True), sql.CHANGE_ACTIVITY),
     "quality_profile": (_on(quality.profile), sql.QUALITY_PROFILE),
+    "e18_ranges": (_on(quality.ranges), sql.RANGES),
     "quality_gate": (_on(lambda df: quality.gate(stored(quality.profile(df), "profile"))), sql.QUALITY_GATE),
     "j25_named_gates": (_on(_gate_states), sql.NAMED_GATES),
     "j10_tail_scores": (_on(_tail), sql.TAIL),
@@ -249,6 +274,8 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "j5_plan_preprocessed": (_on(_plan_matrix, digits=sql.PLAN_DIGITS), sql.PLAN_PREPROCESSED),
     "j5_plan_calibrated": (_on(_plan_calibrated), sql.PLAN_CALIBRATED),
     "e22_preprocessed": (_on(_preprocessed), sql.PREPROCESSED),
+    "f7_decimal_summaries": (_on(_exact_summaries), sql.EXACT_SUMMARIES),
+    "j7_model_of_earlier_years": (_on(_trained_apart), sql.TRAINED_APART),
     "j13_ensembles": (_on(_ensembles, digits=9), sql.ENSEMBLES),
     "j14_stability": (_on(lambda df: detectors.stability(_members(df)), digits=9), sql.STABILITY),
     "review_queue": (_on(_review_queue), None),

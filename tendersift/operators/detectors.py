@@ -57,6 +57,7 @@ def tail_scores_by(counts: DataFrame, scoring: DataFrame, features: list[str]) -
 
     The surprise of a value is -ln of the share of training values at or beyond it, at
     least one; the skew side of a feature is the sign of its third central moment, 0 is right.
+    Surprises are added up in the order of the features' names, so equal rows have equal scores.
     """
     c = F.col
     means = counts.groupBy("feature").agg((F.sum(c("value") * c("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("size"))
@@ -67,7 +68,9 @@ def tail_scores_by(counts: DataFrame, scoring: DataFrame, features: list[str]) -
     beyond = rows.join(runs, ["feature", "value"]).join(F.broadcast(sides), "feature")  # one row for each feature
     left = -F.log(F.greatest(c("before") + c("n"), F.lit(1)) / c("size"))
     right = -F.log(F.greatest(c("size") - c("before"), F.lit(1)) / c("size"))
-    sums = beyond.groupBy(*IDENT).agg(F.sum(left).alias("left"), F.sum(right).alias("right"), F.sum(F.when(c("to_left"), left).otherwise(right)).alias("skewed"))
+    parts = F.array_sort(F.collect_list(F.struct("feature", left.alias("left"), right.alias("right"), F.when(c("to_left"), left).otherwise(right).alias("skewed"))))  # one for each feature
+    total = lambda x: F.aggregate("parts", F.lit(0.0), lambda s, p: s + p[x]).alias(x)
+    sums = beyond.groupBy(*IDENT).agg(parts.alias("parts")).select(*IDENT, total("left"), total("right"), total("skewed"))
     return sums.withColumn("score", F.greatest("left", "right", "skewed"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -60,17 +61,42 @@ def modes(df: DataFrame) -> dict[str, Column]:
     }
 
 
+#: Columns whose variety a profile tells.
+VARIED = ("award_id", "recipient_uei", "recipient_legacy_id", "awarding_agency_code", "awarding_subtier_agency_code", "psc_code", "naics_code", "source_name", "source_schema", "action_date")
+
+
+def cardinalities(df: DataFrame, columns: Iterable[str] = VARIED) -> DataFrame:
+    """name and n, the exact number of different values of each column; 0 where all are null.
+
+    Each task keeps its different (column, value) pairs once, pairs are shuffled by their value,
+    so a hot value is one row a task, and counts of pairs merge in any order.
+    """
+    names = list(columns)
+    each = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in names])
+    pairs = df.select(F.inline(each)).distinct()  # a null value stands for the column
+    return pairs.groupBy("name").agg(F.count("value").alias("n"))
+
+
+def ranges(df: DataFrame) -> DataFrame:
+    """name, present, least and most (as text, amounts with two places) of the action dates and obligations; one pass."""
+    kinds = {"action_date": F.col("action_date"), "action_obligation": F.col("action_obligation").cast("decimal(18,2)"), "award_total_obligation": F.col("award_total_obligation").cast("decimal(18,2)")}
+    one = df.agg(*[x.alias(f"{name}_{k}") for name, c in kinds.items() for k, x in (("n", F.count(c)), ("a", F.min(c)), ("z", F.max(c)))])
+    rows = [F.struct(F.lit(name).alias("name"), F.col(f"{name}_n").alias("present"), F.col(f"{name}_a").cast("string").alias("least"), F.col(f"{name}_z").cast("string").alias("most")) for name in kinds]
+    return one.select(F.inline(F.array(*rows)))
+
+
 def profile(df: DataFrame) -> DataFrame:
-    """section, name, n: the population, present values of each field, rows of each context, and the histogram of each mode.
+    """section, name, n: the population, present values of each field, rows of each context, the histogram of each mode, and the cardinality of VARIED columns.
 
-    Counts of one row for the first three; one grouped count for all histograms together.
+    Counts of one row for the first three; one grouped count for all histograms together, and one for all cardinalities.
     """
     fields = {c: _has(df, c) for c in df.columns if c not in ("source_name", "source_schema")}
     flat = [("population", "all", F.count("*"))] + [("field", n, F.count_if(c)) for n, c in fields.items()] + [("context", n, F.count_if(c)) for n, c in contexts(df).items()]
     one = df.agg(*[x.alias(f"v{i}") for i, (_, _, x) in enumerate(flat)])
     long = one.select(F.inline(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(n).alias("name"), F.col(f"v{i}").alias("n")) for i, (s, n, _) in enumerate(flat)])))
     each = F.array(*[F.struct(F.lit(s).alias("section"), c.alias("name")) for s, c in modes(df).items()])
-    return long.unionByName(df.select(F.inline(each)).groupBy("section", "name").agg(F.count("*").alias("n")))
+    variety = cardinalities(df, [c for c in VARIED if c in df.columns]).select(F.lit("cardinality").alias("section"), "name", "n")
+    return long.unionByName(df.select(F.inline(each)).groupBy("section", "name").agg(F.count("*").alias("n"))).unionByName(variety)
 
 
 @dataclass(frozen=True)
@@ -92,6 +118,8 @@ RULES = (
     Rule("context", "procurement_category", least=0.9),
     Rule("vendor", "missing", most=0.05, block=False),
     Rule("obligation_sign", "zero", most=0.02, block=False),
+    Rule("cardinality", "awarding_agency_code", least=2, share=False),
+    Rule("cardinality", "source_schema", most=1, share=False, block=False),
 )
 
 

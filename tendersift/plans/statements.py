@@ -323,17 +323,19 @@ _MODES = {
     "source_schema": "source_schema",
     "action_fiscal_year": "CAST(year(action_date) + CASE WHEN month(action_date) >= 10 THEN 1 ELSE 0 END AS VARCHAR)",
 }
+_VARIED = ("award_id", "recipient_uei", "recipient_legacy_id", "awarding_agency_code", "awarding_subtier_agency_code", "psc_code", "naics_code", "source_name", "source_schema", "action_date")
 _PROFILE = "prof AS (" + " UNION ALL ".join(
     ["SELECT 'population' AS section, 'all' AS name, count(*) AS n FROM canon"]
     + [f"SELECT 'field', '{f}', count({f}) FROM canon" for f in _FIELDS]
     + [f"SELECT 'context', '{k}', count(*) FILTER ({x}) FROM canon" for k, x in _CONTEXTS.items()]
     + [f"SELECT '{k}', name, count(*) FROM (SELECT {x} AS name FROM canon) GROUP BY name" for k, x in _MODES.items()]
+    + [f"SELECT 'cardinality', '{f}', count(DISTINCT {f}) FROM canon" for f in _VARIED]
 ) + ")"
 QUALITY_PROFILE = with_(canon(), _PROFILE) + "SELECT section, name, n FROM prof"
 QUALITY_GATE = with_(canon(), _PROFILE) + f"""SELECT rule, section, name, round(observed, {R}) AS observed, passed, severity, CASE max(CASE WHEN passed THEN 0 WHEN severity = 'block' THEN 2 ELSE 1 END) OVER () WHEN 0 THEN 'ready' WHEN 1 THEN 'degraded' ELSE 'blocked' END AS status
 FROM (SELECT rule, section, name, observed, observed >= least AND observed <= most AS passed, severity FROM (SELECT r.*, coalesce(n, 0) / CASE WHEN share THEN (SELECT CAST(n AS DOUBLE) FROM prof WHERE section = 'population') ELSE 1.0 END AS observed
   FROM (VALUES (0, 'population', 'all', 20, 1e18, false, 'block'), (1, 'context', 'vendor_identity', 0.5, 1e18, true, 'block'), (2, 'context', 'competition_core_pair', 0.3, 1e18, true, 'block'),
-    (3, 'context', 'procurement_category', 0.9, 1e18, true, 'block'), (4, 'vendor', 'missing', -1, 0.05, true, 'warning'), (5, 'obligation_sign', 'zero', -1, 0.02, true, 'warning')) r(rule, section, name, least, most, share, severity)
+    (3, 'context', 'procurement_category', 0.9, 1e18, true, 'block'), (4, 'vendor', 'missing', -1, 0.05, true, 'warning'), (5, 'obligation_sign', 'zero', -1, 0.02, true, 'warning'), (6, 'cardinality', 'awarding_agency_code', 2, 1e18, false, 'block'), (7, 'cardinality', 'source_schema', -1e18, 1, false, 'warning')) r(rule, section, name, least, most, share, severity)
   LEFT JOIN prof USING (section, name)))"""
 
 # Three features of every transaction; missing values become the median.
@@ -484,6 +486,50 @@ _COMBINED = {
 _MIDS = ", ".join(f"{n}.mid" for n in MEMBERS)
 ENSEMBLES = _MEMBERS + " UNION ALL ".join(f"SELECT '{m}' AS method, transaction_id, award_id, {', '.join(f'round({combine(x)}, 9) AS {x}' for x in ('lower', 'mid', 'upper'))}, round(greatest({_MIDS}) - least({_MIDS}), 9) AS disagreement {_JOINED}" for m, combine in _COMBINED.items())
 STABILITY = _MEMBERS + f"""SELECT transaction_id, award_id, 3 AS runs, round(x[1], 9) AS least, round(x[3], 9) AS most, round(x[2], 9) AS median, round(list_sort([x[2] - x[1], 0.0, x[3] - x[2]])[2], 9) AS mad FROM (SELECT transaction_id, award_id, list_sort([{_MIDS}]) AS x {_JOINED})"""
+RANGES = with_(canon()) + " UNION ALL ".join(f"SELECT '{f}' AS name, count({f}) AS present, CAST(min({f}) AS VARCHAR) AS least, CAST(max({f}) AS VARCHAR) AS most FROM canon" for f in ("action_date", "action_obligation", "award_total_obligation"))
 _IDENTITY_GATE = """SELECT 'identity' AS gate, CASE WHEN known < 0.99 THEN 'blocked' WHEN named > 0.2 THEN 'degraded' ELSE 'ready' END AS status, 2 AS rules, CAST(known < 0.99 AS INT) + CAST(named > 0.2 AS INT) AS failed
 FROM (SELECT avg(CASE WHEN coalesce(recipient_uei, recipient_legacy_id, recipient_name) IS NULL THEN 0.0 ELSE 1.0 END) AS known, avg(CASE WHEN coalesce(recipient_uei, recipient_legacy_id) IS NULL AND recipient_name IS NOT NULL THEN 1.0 ELSE 0.0 END) AS named FROM canon)"""
 NAMED_GATES = with_(canon()) + f"{_IDENTITY_GATE} UNION ALL SELECT 'review', status, count(*), count(*) FILTER (NOT passed) FROM ({QUALITY_GATE}) GROUP BY status"
+
+
+def _decimal(number: str, places: int) -> str:
+    """The shortest text of a whole number of units of 10^-places."""
+    unit = "1" + "0" * places
+    whole, rest = f"abs({number}) // {unit}::HUGEINT", f"lpad(CAST(abs({number}) % {unit}::HUGEINT AS VARCHAR), {places}, '0')"
+    return f"CASE WHEN {number} = 0 THEN '0' ELSE CASE WHEN {number} < 0 THEN '-' ELSE '' END || CAST({whole} AS VARCHAR) || rtrim(rtrim('.' || {rest}, '0'), '.') END"
+
+
+def _quarter(k: int, of: int = 4) -> str:
+    """Type-7 quantile k / of as a whole number, `of` times the value, from the sorted list x."""
+    place = f"((len(x) - 1) * {k})"
+    return f"x[{place} // {of} + 1] * {of} + (x[least({place} // {of} + 2, len(x))] - x[{place} // {of} + 1]) * ({place} % {of})"
+
+
+# All in whole numbers: millionths, their quarters and eighths.
+EXACT_SUMMARIES = with_(canon()) + f""", u AS (SELECT awarding_agency_code AS "group", CAST(action_obligation * 100 AS HUGEINT) * 100000000000000::HUGEINT + date_diff('day', DATE '1990-01-01', action_date) AS v FROM canon),
+l AS (SELECT "group", list(v ORDER BY v) AS x FROM u GROUP BY "group"),
+q AS (SELECT "group", len(x) AS size, x[1] AS least, x[len(x)] AS most, {_quarter(1)} AS q1, {_quarter(2)} AS median, {_quarter(3)} AS q3 FROM l),
+a AS (SELECT "group", list(abs(4 * v - median) ORDER BY abs(4 * v - median)) AS x FROM u JOIN q USING ("group") GROUP BY "group"),
+m AS (SELECT "group", {_quarter(1, 2)} AS mad FROM a)
+SELECT "group", size, {_decimal("least", 6)} AS least, {_decimal("(q1 * 25)", 8)} AS q1, {_decimal("(median * 25)", 8)} AS median, {_decimal("(q3 * 25)", 8)} AS q3, {_decimal("most", 6)} AS most,
+  {_decimal("((q3 - q1) * 25)", 8)} AS iqr, {_decimal("(mad * 125)", 9)} AS mad FROM q JOIN m USING ("group")"""
+
+#: Models are learned from what came before this day.
+SPLIT = "1996-01-01"
+TRAINED_APART = with_(canon()) + f""", r AS (SELECT transaction_id, award_id, action_date >= DATE '{SPLIT}' AS later, CAST(action_obligation AS DOUBLE) AS amount, CAST(number_of_offers_received AS DOUBLE) AS offers, CAST(award_total_obligation AS DOUBLE) AS total FROM canon),
+md AS (SELECT quantile_cont(amount, 0.5) AS a, quantile_cont(offers, 0.5) AS o, quantile_cont(total, 0.5) AS t FROM r WHERE NOT later),
+w AS (SELECT transaction_id, award_id, later, coalesce(amount, a) AS amount, coalesce(offers, o) AS offers, coalesce(total, t) AS total FROM r, md),
+sp AS (SELECT quantile_cont(amount, 0.5) AS ma, quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25) AS sa, avg(offers) AS mo, stddev_pop(offers) AS so, quantile_cont(total, 0.5) AS mt, quantile_cont(total, 0.75) - quantile_cont(total, 0.25) AS st FROM w WHERE NOT later),
+mat AS (SELECT transaction_id, award_id, later, (amount - ma) / sa AS amount, (offers - mo) / so AS offers, (total - mt) / st AS total FROM w, sp),
+ml AS (SELECT transaction_id, award_id, later, 'amount' AS f, amount AS v FROM mat UNION ALL SELECT transaction_id, award_id, later, 'offers', offers FROM mat UNION ALL SELECT transaction_id, award_id, later, 'total', total FROM mat),
+mc AS (SELECT f, v, count(*) FILTER (NOT later) AS n FROM ml GROUP BY f, v),
+mr AS (SELECT f, v, greatest(sum(n) OVER (PARTITION BY f ORDER BY v), 1) AS le, greatest(sum(n) OVER (PARTITION BY f ORDER BY v DESC), 1) AS ge, sum(n) OVER (PARTITION BY f) AS m FROM mc),
+sk AS (SELECT ml.f, sum(power(v - a, 3)) < 0 AS lf FROM ml JOIN (SELECT f, avg(v) AS a FROM ml WHERE NOT later GROUP BY f) x ON ml.f = x.f WHERE NOT later GROUP BY ml.f),
+tail AS (SELECT transaction_id, award_id, later, sum(l) AS lt, sum(r) AS rt, sum(CASE WHEN lf THEN l ELSE r END) AS st FROM (SELECT ml.*, -ln(le / CAST(m AS DOUBLE)) AS l, -ln(ge / CAST(m AS DOUBLE)) AS r, lf FROM ml JOIN mr ON ml.f = mr.f AND ml.v = mr.v JOIN sk ON ml.f = sk.f) GROUP BY transaction_id, award_id, later),
+sc AS (SELECT *, round(greatest(lt, rt, st), {R}) AS score FROM tail),
+ac AS (SELECT score, count(*) FILTER (NOT later) AS n FROM sc GROUP BY score),
+ar AS (SELECT score, CAST(sum(n) OVER (ORDER BY score) - n AS DOUBLE) AS less, CAST(n AS DOUBLE) AS eq, CAST(sum(n) OVER () AS DOUBLE) AS m FROM ac),
+md2 AS (SELECT quantile_cont(score, 0.5) AS med, quantile_cont(score, 0.75) - quantile_cont(score, 0.25) AS iqr FROM sc WHERE NOT later),
+md3 AS (SELECT quantile_cont(abs(score - med), 0.5) AS mad FROM sc, md2 WHERE NOT later)
+SELECT transaction_id, award_id, score, round(less / m, {R}) AS lower, round((less + eq / 2) / m, {R}) AS mid, round((less + eq) / m, {R}) AS upper, round(0.6744897501960817 * (score - med) / nullif(mad, 0), {R}) AS z, round((score - med) / nullif(iqr, 0), {R}) AS distance, round(amount, {R}) AS amount, round(offers, {R}) AS offers, round(total, {R}) AS total
+FROM sc JOIN ar USING (score) JOIN mat USING (transaction_id, award_id, later), md2, md3 WHERE later"""

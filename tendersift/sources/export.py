@@ -9,6 +9,7 @@ from tendersift.operators.explanation import SEMANTICS as EXPLANATION
 from tendersift.operators.review import SEMANTICS as SCORE
 
 #: First characters that a spreadsheet may take for a formula.
+# The characters that a spreadsheet may take for a formula.
 UNSAFE = ("=", "+", "-", "@", "\t", "\r", "\n", "＝", "＋", "－", "＠")
 
 

@@ -25,10 +25,11 @@ def test_summary_tells_ties_and_stability(spark):
     share = spark.createDataFrame([("t", 0.5), ("u", 1.0)], "transaction_id string, completeness double")
     facts = explanation.facts(spark.createDataFrame([("t", "f", "a", 1.0, None)], CELLS), ["a"])
     plain = {r.transaction_id: r for r in explanation.explained(queue, share, facts).collect()}
-    assert "85.0000/100" in plain["t"].summary and "ties: 1-3." in plain["t"].summary and "not flagged" in plain["u"].summary and "ties: 4." in plain["u"].summary
-    assert plain["u"].facts is None and "No stability evidence" in plain["u"].summary
+    assert plain["t"].summary.startswith("in the queue by above_top_n_boundary; tied over ranks 1 to 3; score 85.0 of 100, from 80.0 to 90.0; detectors apart by 2.5; share of features known 0.5; one run only")
+    assert plain["u"].summary.startswith("outside the queue by below_top_n_boundary; rank 4; ")
+    assert plain["u"].facts is None
     runs = spark.createDataFrame([("t", "w", 0.5, 0.75, 0.125), ("u", "w", 0.0, 0.0, 0.0)], "transaction_id string, award_id string, least double, most double, mad double")
-    assert "runs: 25.0000 points, median deviation: 12.5000" in explanation.explained(queue, share, facts, runs).filter("transaction_id = 't'").first().summary
+    assert "repeated runs spread over 25.0 with deviation 12.5" in explanation.explained(queue, share, facts, runs).filter("transaction_id = 't'").first().summary
 
 
 def test_profiles_are_never_guessed():
@@ -84,7 +85,7 @@ def test_a_run_flags_what_is_extreme_among_peers_only(spark, monkeypatch, tmp_pa
 
     data = [(f"t{i:03}", "w", 100.0, float(i % 7), float(i % 5) if i % 4 else None, None) for i in range(120)] + [("odd", "w", 100.0, 90.0, 70.0, None)]
     rows = spark.createDataFrame(data, "transaction_id string, award_id string, action_obligation double, amount_z double, vendor_share double, amount__reason string").withColumn("vendor__reason", F.lit(None).cast("string"))
-    monkeypatch.setattr(assemble, "wide", lambda df: (rows, {"amount": ["amount_z"], "vendor": ["vendor_share"]}))
+    monkeypatch.setattr(assemble, "wide", lambda df, features=None, targets=None: (rows, {"amount": ["amount_z"], "vendor": ["vendor_share"]}))
     plan = ReviewPlan(("amount_z", "vendor_share"), (ForestRun("one", 1, 8, 64, primary=True), ForestRun("two", 2, 8, 64)), top=1)
     done = review_run.run(rows, plan)
     assert [r.transaction_id for r in done.decisions.filter("flagged").collect()] == ["odd"]
