@@ -130,6 +130,15 @@ def _summaries(method: str) -> Callable[[DataFrame], DataFrame]:
     return lambda df: robust.summaries(counts(df), method)
 
 
+def _award_amounts(df: DataFrame) -> DataFrame:
+    """Award totals among those of each period, by the settings of a plan."""
+    rows = []
+    for period in ("month", "quarter", "year"):
+        settings = assemble.Settings(amount_peers=6, amount_basis="award_total_obligation", period=period)
+        rows.append(assemble.families(df, ["amount"], settings=settings)["amount"][0].select(F.lit(period).alias("period"), "*"))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 def _frozen(features: Callable[..., DataFrame]) -> Callable[[DataFrame], DataFrame]:
     """All transactions against what a reference held before the last month of each fiscal year."""
     return lambda df: features(df.filter(sql.FROZEN), targets=df)
@@ -238,6 +247,7 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "e1_peer_group_counts": (_on(lambda df: peers.group_counts(df, peers.AMOUNT)), sql.GROUP_COUNTS),
     "d1_first_sufficient_level": (_on(lambda df: amount.resolved(amount.valued(df)).select("transaction_id", "level", "peer_key", "members")), sql.FIRST_LEVEL),
     "amount_features": (_on(amount.features), sql.AMOUNT),
+    "c20_award_totals_by_period": (_on(_award_amounts), sql.AMOUNT_PERIODS),
     "e3_vendor_markets": (_on(vendor.market_measures), sql.VENDOR_MARKETS),
     "vendor_features": (_on(vendor.features), sql.VENDOR_FEATURES),
     "e8_vendor_activity": (_on(vendor.activity), sql.VENDOR_ACTIVITY),

@@ -86,17 +86,27 @@ tgt AS (SELECT id, g, v FROM forms f JOIN chosen c ON f.id = c.transaction_id AN
 _AMOUNT_COLUMNS = ", ".join(f"round(max(CASE WHEN left(g, 1) = '{f}' THEN {e} END), {R}) AS amount_{n}_{k}" for k, e in (("position", "pos"), ("modified_z", "z"), ("iqr_distance", "dist")) for f, n in (("s", "signed"), ("m", "magnitude"), ("d", "same_direction_magnitude")))
 
 
-def amount(held: str = "true") -> str:
-    return with_(canon(), keyed("canon", f"transaction_id, action_obligation, {held} AS held", "", True), chosen(10, "held"), _FORMS, distribution("dd", "tgt", "mem")) + f""", wide AS (SELECT id, max(CASE WHEN left(g, 1) = 's' THEN m END) AS peers, max(CASE WHEN left(g, 1) = 'd' THEN m END) AS same, {_AMOUNT_COLUMNS} FROM dd GROUP BY id)
+#: The period of a peer key as SQL, and others that a plan may ask for.
+_YEAR = "'fiscal_year:' || CAST(year(action_date) + CASE WHEN month(action_date) >= 10 THEN 1 ELSE 0 END AS VARCHAR)"
+PERIODS = {"fiscal_year": _YEAR, "year": "'year:' || CAST(year(action_date) AS VARCHAR)", "quarter": "'quarter:' || CAST(year(action_date) AS VARCHAR) || '-Q' || CAST(quarter(action_date) AS VARCHAR)", "month": "'month:' || strftime(action_date, '%Y-%m')"}
+
+
+def amount(held: str = "true", basis: str = "action_obligation", period: str = "fiscal_year", minimum: int = 10) -> str:
+    of = lambda text: text.replace("action_obligation", basis)
+    keys = keyed("val", f"transaction_id, {basis}, {held} AS held", "", True)
+    assert _YEAR in keys
+    return with_(canon(), f"val AS (SELECT * FROM canon WHERE {basis} IS NOT NULL)", keys.replace(_YEAR, PERIODS[period]), chosen(minimum, "held"), of(_FORMS), distribution("dd", "tgt", "mem")) + f""", wide AS (SELECT id, max(CASE WHEN left(g, 1) = 's' THEN m END) AS peers, max(CASE WHEN left(g, 1) = 'd' THEN m END) AS same, {_AMOUNT_COLUMNS} FROM dd GROUP BY id)
 SELECT c.transaction_id, level, peers, {", ".join(f"amount_{n}_{k}" for k in ("position", "modified_z", "iqr_distance") for n in ("signed", "magnitude", "same_direction_magnitude"))},
-  CASE WHEN level IS NOT NULL THEN CAST(sign(c.action_obligation) AS DOUBLE) END AS amount_direction_code,
+  CASE WHEN level IS NOT NULL THEN CAST(sign(c.{basis}) AS DOUBLE) END AS amount_direction_code,
   CASE WHEN level IS NOT NULL THEN round(coalesce(same, 0) / CAST(peers AS DOUBLE), {R}) END AS amount_same_direction_peer_fraction,
-  CASE WHEN level IS NULL THEN 'no_peer_group_with_required_support' END AS reason
+  CASE WHEN c.{basis} IS NULL THEN 'target_amount_missing' WHEN level IS NULL THEN 'no_peer_group_with_required_support' END AS reason
 FROM canon c LEFT JOIN chosen USING (transaction_id) LEFT JOIN wide w ON c.transaction_id = w.id"""
 
 
 AMOUNT = amount()
 AMOUNT_FROZEN = amount(FROZEN)
+#: Amounts of awards among those of a month, quarter and calendar year, with another number of peers.
+AMOUNT_PERIODS = " UNION ALL ".join(f"SELECT '{p}' AS period, * FROM ({amount(basis='award_total_obligation', period=p, minimum=6)})" for p in ("month", "quarter", "year"))
 
 _BASE_VENDOR = f"b AS (SELECT * FROM vend WHERE lifecycle = 'base_award'),\n{keyed('b', 'transaction_id, award_id, vendor_key', 'vendor_', False)}"
 _WON = """won AS (SELECT peer_key, vendor_key, count(*) AS c FROM keyed WHERE peer_key IS NOT NULL AND vendor_key IS NOT NULL GROUP BY peer_key, vendor_key),

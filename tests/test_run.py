@@ -85,7 +85,7 @@ def test_a_run_flags_what_is_extreme_among_peers_only(spark, monkeypatch, tmp_pa
 
     data = [(f"t{i:03}", "w", 100.0, float(i % 7), float(i % 5) if i % 4 else None, None) for i in range(120)] + [("odd", "w", 100.0, 90.0, 70.0, None)]
     rows = spark.createDataFrame(data, "transaction_id string, award_id string, action_obligation double, amount_z double, vendor_share double, amount__reason string").withColumn("vendor__reason", F.lit(None).cast("string"))
-    monkeypatch.setattr(assemble, "wide", lambda df, features=None, targets=None: (rows, {"amount": ["amount_z"], "vendor": ["vendor_share"]}))
+    monkeypatch.setattr(assemble, "wide", lambda df, features=None, targets=None, settings=None: (rows, {"amount": ["amount_z"], "vendor": ["vendor_share"]}))
     plan = ReviewPlan(("amount_z", "vendor_share"), (ForestRun("one", 1, 8, 64, primary=True), ForestRun("two", 2, 8, 64)), top=1)
     done = review_run.run(rows, plan)
     assert [r.transaction_id for r in done.decisions.filter("flagged").collect()] == ["odd"]
@@ -97,3 +97,12 @@ def test_a_run_flags_what_is_extreme_among_peers_only(spark, monkeypatch, tmp_pa
     assert evidence.stages[0].outputs["forest one"] == {"trees": 8, "sha256": done.forests["one"].fingerprint()}
     with pytest.raises(ValueError, match="no such features: total"):
         review_run.run(rows, ReviewPlan(("total",), plan.forests))
+
+
+def test_settings_of_the_families_are_checked():
+    from tendersift.operators.assemble import Settings
+
+    assert [x.time for x in Settings(period="month").levels("vendor_", False)] == ["month"] * 9 and len(Settings(short_naics=False).levels()) == 5
+    for how in ({"amount_peers": 0}, {"amount_basis": "other"}, {"period": "week"}):
+        with pytest.raises(ValueError):
+            Settings(**how)
