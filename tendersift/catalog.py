@@ -15,7 +15,7 @@ from tendersift.plans import models
 from tendersift.plans import statements as sql
 from tendersift.plans.config import ForestRun, ReviewPlan
 from tendersift.plans.run import run
-from tendersift.sources import archive, export
+from tendersift.sources import archive, documents, export
 from tendersift.sources.canonical import canonical
 from tendersift.storage import shared_dir, stored
 from tendersift.streaming import windows
@@ -223,6 +223,13 @@ def _trained_apart(df: DataFrame) -> DataFrame:
     return detectors.calibrated_by(known, stored(tail, "tail")).join(ready, ["transaction_id", "award_id"])
 
 
+def _document_lines(df: DataFrame) -> DataFrame:
+    """All lines but the header of a document of the transactions, written in ranges and read back."""
+    path = f"{shared_dir(df.sparkSession)}/document-{uuid.uuid4().hex}"
+    documents.write_json(df.select("transaction_id", "award_id", F.col("number_of_offers_received").alias("offers")), path, "transactions")
+    return df.sparkSession.read.text(path).filter(~F.startswith("value", F.lit('{"columns": '))).select(F.col("value").alias("line"))
+
+
 GATES = {"review": quality.RULES, "identity": (quality.Rule("context", "vendor_identity", least=0.99), quality.Rule("vendor", "name_only", most=0.2, block=False))}
 
 
@@ -272,6 +279,7 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "f2_amount_summaries_nearest_rank": (_on(_summaries("nearest_rank")), sql.summaries("disc")),
     "j19_explanation_facts": (_on(_facts), sql.FACTS),
     "j20_explained_queue": (_on(_explained_queue), None),
+    "b1_ordered_document": (_on(_document_lines), sql.DOCUMENT_LINES),
     "b4_spreadsheet_safe_text": (_on(lambda df: df.select("transaction_id", export.spreadsheet_safe(F.col("action_obligation").cast("string")).alias("safe"))), sql.SAFE_TEXT),
     "g9_duplicate_outcomes": (_duplicates, sql.DUPLICATES),
     "stream_event_windows": (_event_windows, sql.EVENT_WINDOWS),

@@ -409,6 +409,8 @@ EXPLAINED = {"competition_single_offer_reported": "number_of_offers_received_mis
 _TOLD = " || '; ' || ".join(f"CASE WHEN {f} IS NULL THEN '{f} unavailable: {why}' ELSE '{f} = ' || CAST({f} AS VARCHAR) END" for f, why in EXPLAINED.items())
 FACTS = f"SELECT transaction_id, {_TOLD} AS facts FROM ({COMPETITION_FEATURES})"
 
+DOCUMENT_LINES = with_(canon()) + """SELECT '{"award_id":"' || award_id || '","offers":' || coalesce(CAST(number_of_offers_received AS VARCHAR), 'null') || ',"transaction_id":"' || transaction_id || '"}'
+  || CASE WHEN row_number() OVER (ORDER BY transaction_id DESC, award_id DESC) = 1 THEN '' ELSE ',' END AS line FROM canon UNION ALL SELECT ']}'"""
 SAFE_TEXT = "SELECT transaction_id, CASE WHEN left(t, 1) IN ('=', '+', '-', '@') THEN chr(9) || t ELSE t END AS safe FROM (SELECT transaction_id, CAST(CAST(action_obligation AS DECIMAL(18, 2)) AS VARCHAR) AS t FROM canon)"
 SAFE_TEXT = with_(canon()) + SAFE_TEXT
 DUPLICATES = """SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN row_number() OVER w = 1 THEN 'loaded' WHEN h = first_value(h) OVER w THEN 'dropped_exact_duplicate' ELSE 'quarantined' END AS outcome

@@ -1,10 +1,14 @@
 """Explanations, header profiles, the manifest and the plan of a run."""
 
+import csv
+import io
+import json
+
 import pytest
 from pyspark.sql import functions as F
 from tendersift.operators import explanation
 from tendersift.plans.config import ForestRun, ReviewPlan
-from tendersift.sources import manifest, profiles
+from tendersift.sources import documents, manifest, profiles
 from tendersift.sources.archive import ArchiveError
 
 CELLS = "transaction_id string, family string, feature string, value double, reason string"
@@ -90,9 +94,16 @@ def test_a_run_flags_what_is_extreme_among_peers_only(spark, monkeypatch, tmp_pa
     done = review_run.run(rows, plan)
     assert [r.transaction_id for r in done.decisions.filter("flagged").collect()] == ["odd"]
     assert done.stability.count() == 121 and done.cells.count() == 242
-    evidence = review_run.write(rows, done, plan, str(tmp_path))
-    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == spark.read.json(str(tmp_path / "json")).count() == 121
-    assert evidence.final == ("decisions",)
+    names = {"transaction_id", "award_id"}
+    told = rows.select(*names).withColumns({c: F.lit(None).cast("string") for c in ("recipient_name", "psc_code")})
+    evidence = review_run.write(told, done, plan, str(tmp_path), parts=3)
+    table = spark.read.csv(str(tmp_path / "csv"), header=False, escape='"').collect()
+    assert len(table) == 122 and len(table[0]) == 46 and [r[0] for r in table if r[0].startswith("transaction_id")] == ["transaction_id"]
+    explained = documents.read_json(spark, str(tmp_path / "json"), review_run.reported(told, done, plan)[0].schema)
+    odd = {r.transaction_id: r for r in explained.collect()}["odd"]
+    assert odd.flagged and odd.summary.startswith("in the queue") and [f.feature for f in odd.facts] == ["amount_z", "vendor_share"] and odd.completeness == 1.0
+    assert spark.read.text(str(tmp_path / "evidence")).count() == 123
+    assert evidence.final == ("decisions", "evidence", "csv")
     assert {n: f.sample for n, f in done.forests.items()} == {"one": 64, "two": 64}
     assert evidence.stages[0].outputs["forest one"] == {"trees": 8, "sha256": done.forests["one"].fingerprint()}
     with pytest.raises(ValueError, match="no such features: total"):
@@ -106,3 +117,30 @@ def test_settings_of_the_families_are_checked():
     for how in ({"amount_peers": 0}, {"amount_basis": "other"}, {"period": "week"}):
         with pytest.raises(ValueError):
             Settings(**how)
+
+
+def test_documents_are_the_same_bytes_for_any_number_of_parts(spark, tmp_path):
+    rows = spark.createDataFrame([(f"t{i % 97:02}", f"w{i}", i, None if i % 5 else 'say "x", é') for i in range(500)], "transaction_id string, award_id string, n int, note string")
+
+    def whole(path):
+        return b"".join(p.read_bytes() for p in sorted(path.glob("part-*")))
+
+    heads = [documents.write_json(rows.repartition(k), str(tmp_path / f"j{k}"), "some", parts=k) for k in (1, 64)]
+    for k in (1, 64):
+        documents.write_csv(rows.repartition(k), str(tmp_path / f"c{k}"), parts=k)
+    one = whole(tmp_path / "j1")
+    assert one == whole(tmp_path / "j64") and heads[0] == heads[1] and len(list((tmp_path / "j64").glob("part-*"))) > 1
+    made = json.loads(one)
+    assert made["rows"] == 500 and [(r["transaction_id"], r["award_id"]) for r in made["records"]] == sorted((r.transaction_id, r.award_id) for r in rows.collect())
+    table = whole(tmp_path / "c1")
+    assert table == whole(tmp_path / "c64") and len(list(csv.reader(io.StringIO(table.decode())))) == 501
+    assert documents.read_json(spark, str(tmp_path / "j64"), rows.schema).count() == 500
+    part = next(p for p in (tmp_path / "j64").glob("part-*") if b'"n":7,' in p.read_bytes())
+    part.write_bytes(part.read_bytes().replace(b'"n":7,', b'"n":8,'))
+    (tmp_path / "j64" / f".{part.name}.crc").unlink()
+    with pytest.raises(documents.DocumentError):
+        documents.read_json(spark, str(tmp_path / "j64"), rows.schema)
+    documents.write_json(rows.limit(0), str(tmp_path / "none"), "some")
+    assert json.loads(whole(tmp_path / "none"))["records"] == []
+    with pytest.raises(documents.DocumentError, match="twice"):
+        documents.write_json(rows.union(rows), str(tmp_path / "twice"), "some")
