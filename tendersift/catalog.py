@@ -247,12 +247,13 @@ def _event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL: dict[str, tuple[Query, str | None]] = {
     "canonical_rows": (_on(lambda df: df.select(*_CANONICAL), digits=2), sql.CANONICAL),
     "c1_lifecycle": (_on(lambda df: lifecycle.with_lifecycle(df).groupBy("lifecycle", "modification").agg(F.count("*").alias("n")), raw=True), sql.LIFECYCLE),
-    "c3_vendor_identity": (_on(lambda df: identity.with_vendor(df).select("transaction_id", "vendor_key", "parent_key", "parent_matches_entity")), sql.IDENTITY),
+    "c3_vendor_identity": (_on(lambda df: identity.with_vendor(df).select("transaction_id", "vendor_key", "parent_key", "vendor_reason", "parent_reason", "parent_matches_entity")), sql.IDENTITY),
     "c6_peer_keys": (_on(_peer_keys), sql.PEER_KEYS),
     "c10_competition_evidence": (_on(lambda df: competition_evidence.with_evidence(df).select(*_EVIDENCE)), sql.COMPETITION_EVIDENCE),
     "c19_competition_features": (_on(competition_evidence.transaction_features), sql.COMPETITION_FEATURES),
     "e1_peer_group_counts": (_on(lambda df: peers.group_counts(df, peers.AMOUNT)), sql.GROUP_COUNTS),
     "d1_first_sufficient_level": (_on(lambda df: amount.resolved(amount.valued(df)).select("transaction_id", "level", "peer_key", "members")), sql.FIRST_LEVEL),
+    "f9_sign_breakdown": (_on(amount.sign_breakdown), sql.SIGNS),
     "amount_features": (_on(amount.features), sql.AMOUNT),
     "c20_award_totals_by_period": (_on(_award_amounts), sql.AMOUNT_PERIODS),
     "e3_vendor_markets": (_on(vendor.market_measures), sql.VENDOR_MARKETS),

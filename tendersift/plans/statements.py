@@ -61,7 +61,7 @@ CANONICAL = with_(canon()) + "SELECT transaction_id, award_id, modification_numb
 
 LIFECYCLE = with_(canon(True), LIFE) + "SELECT lifecycle, modification, count(*) AS n FROM life GROUP BY lifecycle, modification"
 
-IDENTITY = with_(canon(), LIFE, VENDOR) + "SELECT transaction_id, vendor_key, parent_key, substr(vendor_key, 8) = substr(parent_key, 17) AS parent_matches_entity FROM vend"
+IDENTITY = with_(canon(), LIFE, VENDOR) + "SELECT transaction_id, vendor_key, parent_key, CASE WHEN vendor_key IS NULL THEN 'recipient_identity_missing' END AS vendor_reason, CASE WHEN parent_key IS NULL THEN 'ultimate_parent_identity_missing' END AS parent_reason, substr(vendor_key, 8) = substr(parent_key, 17) AS parent_matches_entity FROM vend"
 
 PEER_KEYS = with_(canon(), keyed("canon", "transaction_id", "", True)) + "SELECT transaction_id, ordinal, level, peer_key FROM keyed"
 
@@ -77,6 +77,10 @@ chosen AS (SELECT transaction_id, level, peer_key, members FROM (SELECT k.transa
 
 FIRST_LEVEL = with_(canon(), keyed("canon", "transaction_id", "", True), chosen(10)) + "SELECT transaction_id, level, peer_key, members FROM chosen"
 
+SIGNS = with_(canon(), keyed("canon", "transaction_id, action_obligation", "", True), chosen(10)) + f"""SELECT c.transaction_id, c.level, count(*) AS peers, round(count(*) FILTER (k.action_obligation > 0) / CAST(count(*) AS DOUBLE), {R}) AS positive_share,
+  round(count(*) FILTER (k.action_obligation < 0) / CAST(count(*) AS DOUBLE), {R}) AS negative_share, round(count(*) FILTER (k.action_obligation = 0) / CAST(count(*) AS DOUBLE), {R}) AS zero_share
+FROM chosen c JOIN keyed k ON c.peer_key = k.peer_key AND c.transaction_id <> k.transaction_id GROUP BY c.transaction_id, c.level"""
+
 _FORMS = """forms AS (SELECT transaction_id AS id, peer_key, held, 's|' || peer_key AS g, CAST(action_obligation AS DOUBLE) AS v FROM keyed WHERE peer_key IN (SELECT peer_key FROM chosen)
   UNION ALL SELECT transaction_id, peer_key, held, 'm|' || peer_key, abs(CAST(action_obligation AS DOUBLE)) FROM keyed WHERE peer_key IN (SELECT peer_key FROM chosen)
   UNION ALL SELECT transaction_id, peer_key, held, 'd' || CAST(sign(action_obligation) AS INT) || '|' || peer_key, abs(CAST(action_obligation AS DOUBLE)) FROM keyed WHERE peer_key IN (SELECT peer_key FROM chosen)),
