@@ -18,7 +18,7 @@ from tendersift.plans.run import run
 from tendersift.sources import archive, documents, export
 from tendersift.sources.canonical import canonical
 from tendersift.storage import shared_dir, stored
-from tendersift.streaming import windows
+from tendersift.streaming import scoring, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -209,18 +209,39 @@ def _exact_summaries(df: DataFrame) -> DataFrame:
     return found.select("group", "size", *[exact.canonical_text(F.col(x)).alias(x) for x in ("least", "q1", "median", "q3", "most", "iqr", "mad")])
 
 
-def _trained_apart(df: DataFrame) -> DataFrame:
-    """Rules, tail detector and calibration learned before a year, saved, loaded, and applied to what came from then on."""
+def _earlier_model(df: DataFrame) -> tuple[DataFrame, models.Trained]:
+    """Rules, tail detector and calibration learned before a day, saved and loaded; and what came from then on."""
     raw = stored(df.select("transaction_id", "award_id", "action_date", F.col("action_obligation").cast("double").alias("amount"), F.col("number_of_offers_received").cast("double").alias("offers"), F.col("award_total_obligation").cast("double").alias("total")), "raw-features")
     plan = ReviewPlan(features=tuple(_FEATURES), rules=(preprocessing.Rule("offers", transform="standard_scale"),), forests=(ForestRun("forest11", 11, 8, primary=True),), stability=False)
     model = models.trained(raw.filter(F.col("action_date") < sql.SPLIT), plan)
     path = f"{shared_dir(df.sparkSession)}/model-{uuid.uuid4().hex}"
-    model = models.load(df.sparkSession, path, models.save(model, path, df.sparkSession))
-    rows = raw.filter(F.col("action_date") >= sql.SPLIT)
-    ready = stored(preprocessing.apply(rows, model.rules).select("transaction_id", "award_id", *_FEATURES), "scoring-matrix")
-    tail = detectors.tail_scores_by(model.tail, ready, _FEATURES).withColumn("score", F.round("score", sql.R))
-    known = model.tail_scores.withColumn("value", F.round("value", sql.R))
-    return detectors.calibrated_by(known, stored(tail, "tail")).join(ready, ["transaction_id", "award_id"])
+    return raw.filter(F.col("action_date") >= sql.SPLIT), models.load(df.sparkSession, path, models.save(model, path, df.sparkSession))
+
+
+def _scored_by(model: models.Trained) -> Callable[[DataFrame], DataFrame]:
+    """Rows to their tail scores, calibrated, with their matrix."""
+    known = stored(model.tail_scores.withColumn("value", F.round("value", sql.R)), "known-scores")
+
+    def score(rows: DataFrame) -> DataFrame:
+        ready = stored(preprocessing.apply(rows, model.rules).select("transaction_id", "award_id", *_FEATURES), "scoring-matrix")
+        tail = detectors.tail_scores_by(model.tail, ready, _FEATURES).withColumn("score", F.round("score", sql.R))
+        return detectors.calibrated_by(known, stored(tail, "tail")).join(ready, ["transaction_id", "award_id"])
+
+    return score
+
+
+def _trained_apart(df: DataFrame) -> DataFrame:
+    rows, model = _earlier_model(df)
+    return _scored_by(model)(rows)
+
+
+def _streamed(df: DataFrame) -> DataFrame:
+    """The same rows as a stream of files, a micro-batch each, scored as they arrive."""
+    rows, model = _earlier_model(df)
+    path = f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    rows.repartition(3).write.parquet(f"{path}/in")
+    stream = df.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return scoring.run_available(stream, _scored_by(model), f"{path}/out", f"{path}/checkpoint").drop("batch")
 
 
 def _document_lines(df: DataFrame) -> DataFrame:
@@ -295,6 +316,7 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "e22_preprocessed": (_on(_preprocessed), sql.PREPROCESSED),
     "f7_decimal_summaries": (_on(_exact_summaries), sql.EXACT_SUMMARIES),
     "j7_model_of_earlier_years": (_on(_trained_apart), sql.TRAINED_APART),
+    "stream_scored_transactions": (_on(_streamed), sql.TRAINED_APART),
     "j13_ensembles": (_on(_ensembles, digits=9), sql.ENSEMBLES),
     "j14_stability": (_on(lambda df: detectors.stability(_members(df)), digits=9), sql.STABILITY),
     "review_queue": (_on(_review_queue), None),
