@@ -107,12 +107,12 @@ def _plan_matrix(df: DataFrame) -> DataFrame:
 
 
 def _plan_calibrated(df: DataFrame) -> DataFrame:
-    """The tail detector's scores over the plan's matrix, calibrated."""
+    """The plan's matrix with the tail detector's scores over it, calibrated."""
     ready = _plan_matrix(df)
-    ready = stored(ready.select("transaction_id", "award_id", *[F.round(f, sql.PLAN_DIGITS).alias(f) for f in PLAN.features]), "plan-matrix")
+    ready = stored(ready.select(*[F.round(c, sql.PLAN_DIGITS).alias(c) if c in PLAN.features else c for c in ready.columns]), "plan-matrix")
     scores = detectors.tail_scores(ready, ready, list(PLAN.features)).withColumn("score", F.round("score", sql.R))
     scores = stored(scores, "plan-tail")
-    return detectors.calibrated(scores, scores)
+    return detectors.calibrated(scores, scores).join(ready, ["transaction_id", "award_id"])
 
 
 def _review_queue(df: DataFrame) -> DataFrame:
@@ -311,7 +311,6 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "d1_amount_frozen_reference": (_on(_frozen(amount.features)), sql.AMOUNT_FROZEN),
     "c27_selected_features": (_on(_selected), sql.SELECTION),
     "e30_catalog_counts": (_on(assemble.present_by_family), sql.CATALOG_COUNTS),
-    "j5_plan_preprocessed": (_on(_plan_matrix, digits=sql.PLAN_DIGITS), sql.PLAN_PREPROCESSED),
     "j5_plan_calibrated": (_on(_plan_calibrated), sql.PLAN_CALIBRATED),
     "e22_preprocessed": (_on(_preprocessed), sql.PREPROCESSED),
     "f7_decimal_summaries": (_on(_exact_summaries), sql.EXACT_SUMMARIES),

@@ -469,9 +469,8 @@ pm AS (SELECT {", ".join(f"quantile_cont({f}, 0.5) AS d_{f}" for f in PLAN_FEATU
 pw AS (SELECT transaction_id, award_id, {", ".join(f"coalesce({f}, d_{f}) AS {f}, CAST({f} IS NULL AS INT) AS {f}__missing" for f in PLAN_FEATURES)} FROM pf, pm),
 ps AS (SELECT {_plan_spans()} FROM pw),
 mat AS (SELECT transaction_id, award_id, {", ".join(f"round({_scaled(f)}, {PLAN_DIGITS}) AS {f}, {f}__missing" for f in PLAN_FEATURES)} FROM pw, ps)"""
-PLAN_PREPROCESSED = _PLAN + " SELECT * FROM mat"
 _PLAN_TAIL = "ml AS (" + " UNION ALL ".join(f"SELECT transaction_id, award_id, '{f}' AS f, {f} AS v FROM mat" for f in PLAN_FEATURES) + ")" + _TAIL[_TAIL.index(",\nmc AS") :]
-PLAN_CALIBRATED = _PLAN + ",\n" + _PLAN_TAIL + CALIBRATED[CALIBRATED.index("SELECT transaction_id, award_id, score, round(less") :]
+PLAN_CALIBRATED = _PLAN + ",\n" + _PLAN_TAIL + ",\ncal AS (" + CALIBRATED[CALIBRATED.index("SELECT transaction_id, award_id, score, round(less") :] + ")\nSELECT * FROM cal JOIN mat USING (transaction_id, award_id)"
 
 PREPROCESSED = with_(canon()) + f"""SELECT transaction_id, award_id, amount, round((fo - avg(fo) OVER ()) / stddev_pop(fo) OVER (), {R}) AS offers, CAST(offers IS NULL AS INT) AS offers__missing,
   round((ft - quantile_cont(ft, 0.5) OVER ()) / (quantile_cont(ft, 0.9) OVER () - quantile_cont(ft, 0.1) OVER ()), {R}) AS total, CAST(total IS NULL AS INT) AS total__missing

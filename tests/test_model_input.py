@@ -116,3 +116,14 @@ def test_mapping_and_load_report(spark):
     archive.within_budget(report, 3)
     with pytest.raises(archive.ArchiveError):
         archive.within_budget(report, 2)
+
+
+def test_zero_inflated_features_take_a_deviation_and_all_faults_are_named(spark):
+    """Quartiles that coincide are no scale; most shares are 0 in large populations."""
+    data = [(f"t{i:03}", "w", float(i % 10 == 0) * i, 0.0 if i % 50 else 1.0, 1.0) for i in range(200)]
+    rows = spark.createDataFrame(data, "transaction_id string, award_id string, share double, rare double, flat double")
+    with pytest.raises(ValueError) as e:
+        preprocessing.fit(rows, preprocessing.robust_rules(["share", "rare", "flat"]))
+    assert [n in str(e.value) for n in ("share has no spread", "rare has no spread", "flat has no spread")] == [True] * 3
+    fitted = preprocessing.fit(rows, (Rule("share", transform="standard_scale"), Rule("rare", transform="standard_scale"), Rule("flat", transform="identity")))
+    assert all(x.scale > 0 for x in fitted) and preprocessing.apply(rows, fitted).filter("share IS NULL OR flat <> 1").count() == 0
