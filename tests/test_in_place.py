@@ -1,7 +1,7 @@
 """What is looked up or counted in place gives the same rows as the shuffled form, and does not multiply rows."""
 
 import pytest
-from tendersift.operators import detectors
+from tendersift.operators import detectors, peers
 from tendersift.storage import stored
 
 FEATURES = ["a", "b"]
@@ -43,3 +43,12 @@ def test_ensembles_join_their_members_once(spark):
     found = detectors.ensembles(members, {"maximum": None, "weighted_mean": {"x": 0.5, "y": 0.5}})
     assert plan(found).count("Join") == 1
     assert {(r.method, r.mid) for r in found.collect()} == {("maximum", 0.75), ("weighted_mean", 0.5)}
+
+
+def test_first_match_is_the_same_by_broadcast_and_by_shuffle(spark):
+    levels = (peers.Level("one", None, "psc", False, None), peers.Level("all", None, None, False, None))
+    df = spark.createDataFrame([("1", "A"), ("2", "A"), ("3", "B"), ("4", None)], "id string, psc_code string")
+    keyed = stored(peers.keyed(df, levels, ["id"]), "keyed")
+    found = [peers.first_match(keyed, levels, peers.group_counts(keyed, levels), "id", lambda at: at("members") >= 2, limit) for limit in (10, 0)]
+    assert rows(found[0].select("id", "best.level", "best.peer_key", "best.members")) == rows(found[1].select("id", "best.level", "best.peer_key", "best.members"))
+    assert {r.id: r.level for r in found[0].select("id", "best.level").collect()} == {"1": "one", "2": "one", "3": "all", "4": "all"}
