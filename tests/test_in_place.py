@@ -1,7 +1,7 @@
 """What is looked up or counted in place gives the same rows as the shuffled form, and does not multiply rows."""
 
 import pytest
-from tendersift.operators import detectors, peers
+from tendersift.operators import assemble, detectors, peers
 from tendersift.storage import stored
 
 FEATURES = ["a", "b"]
@@ -52,3 +52,11 @@ def test_first_match_is_the_same_by_broadcast_and_by_shuffle(spark):
     found = [peers.first_match(keyed, levels, peers.group_counts(keyed, levels), "id", lambda at: at("members") >= 2, limit) for limit in (10, 0)]
     assert rows(found[0].select("id", "best.level", "best.peer_key", "best.members")) == rows(found[1].select("id", "best.level", "best.peer_key", "best.members"))
     assert {r.id: r.level for r in found[0].select("id", "best.level").collect()} == {"1": "one", "2": "one", "3": "all", "4": "all"}
+
+
+def test_completeness_counts_in_place(spark, monkeypatch):
+    wide = spark.createDataFrame([("t", 1.0, None), ("u", None, None)], "transaction_id string, p double, q double")
+    monkeypatch.setattr(assemble, "wide", lambda df: (wide, {"amount": ["p"], "vendor_frequency": ["q"]}))
+    found = assemble.completeness(wide)
+    assert "Generate" not in plan(found) and "Aggregate" not in plan(found)
+    assert {(r.transaction_id, r.available, r.missing, r.completeness) for r in found.collect()} == {("t", 1, 1, 0.5), ("u", 0, 2, 0.0)}
