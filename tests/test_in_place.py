@@ -1,6 +1,7 @@
 """What is looked up or counted in place gives the same rows as the shuffled form, and does not multiply rows."""
 
 import pytest
+from tendersift import catalog
 from tendersift.operators import assemble, detectors, peers
 from tendersift.storage import stored
 
@@ -60,3 +61,29 @@ def test_completeness_counts_in_place(spark, monkeypatch):
     found = assemble.completeness(wide)
     assert "Generate" not in plan(found) and "Aggregate" not in plan(found)
     assert {(r.transaction_id, r.available, r.missing, r.completeness) for r in found.collect()} == {("t", 1, 1, 0.5), ("u", 0, 2, 0.0)}
+
+
+@pytest.mark.parametrize(("name", "most"), [("f7_decimal_summaries", 3), ("c27_selected_features", 18), ("vendor_features", 13), ("competition_context_features", 18)])
+def test_queries_write_the_columns_they_take_alone(spark, monkeypatch, name, most):
+    widths = {}
+
+    def keep(df, table):
+        widths[table] = len(df.columns)
+        return stored(df, table)
+
+    monkeypatch.setattr(catalog, "stored", keep)
+    catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert widths["canonical"] <= most
+
+
+def test_values_of_the_training_rows_are_not_counted_again(matrix, monkeypatch):
+    tables = []
+
+    def keep(df, name):
+        tables.append(name)
+        return stored(df, name)
+
+    want = rows(detectors.tail_scores_by(stored(detectors.tail_counts(matrix, FEATURES), "counts"), matrix, FEATURES))
+    monkeypatch.setattr(detectors, "stored", keep)
+    assert rows(detectors.tail_scores(matrix, matrix, FEATURES)) == want
+    assert "tail-counts" not in tables
