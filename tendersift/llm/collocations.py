@@ -3,20 +3,22 @@
 Documents are packed into shards of one language, each a canonical text in which every word
 stands between single spaces and every delimiter is a word "\\n" of its own.  The sketch is a
 count-min row of 2^BITS counters, held sparsely: each shard sends its counters, in ranges,
-to the task that sums a range, and gets back those of its counters that reach the
-threshold.  A sum is never less than a phrase's count, so the phrases of a shard whose
-counter comes back are all that can matter there.  They compile into the shard's
+to the task that sums a range, and gets back a bit for each of them that tells whether it
+reaches the threshold.  A sum is never less than a phrase's count, so the phrases of a shard
+whose counter reaches it are all that can matter there.  They compile into the shard's
 automaton, whose keys are guarded by the spaces around them; one scan counts all
-matches, overlapping ones too, and the counts of all shards are added up.
+matches, overlapping ones too.  The counts of a few shards of a language are added up where
+they are made, packed by ranges of counters, and added up by range.
 
-Nothing is broadcast or sent to the driver but the number of characters, and what a task
-holds is one shard or one range, whatever the size of the corpus or the number of phrases.
+Only texts are stored; a shard's counters are made again where they are needed, since they
+take more room than its text.  Nothing is broadcast or sent to the driver but the number of
+characters, and what a task holds is a few shards or one range, whatever the size of the
+corpus or the number of phrases.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from itertools import islice, pairwise
 from operator import itemgetter
@@ -24,6 +26,7 @@ from operator import itemgetter
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -32,11 +35,15 @@ from pyspark.sql import functions as F
 
 from tendersift.llm.common import free_name, read_table, stored
 
-#: Counters of the sketch: 2^BITS.
-BITS = 40
+#: Counters of the sketch: 2^BITS.  Phrases that share one may become needless candidates, and counters of fewer bits are shorter to send.
+BITS = 34
 #: Characters of a shard, and of the texts whose counters one range holds on average; larger ones send fewer messages and take more memory.
 SHARD, RANGE = 4 << 20, 8 << 20
+#: Shards whose counts are added up before they are sent, and ranges whose counts are added up in one group.
+UNIT, PART = 8, 4
 _STOP = re.compile(r"[.,;:!?\x0A-\x0D]+")
+#: How hard texts are compressed.
+TEXT_LEVEL = 6
 #: Slots of the table that tells most counters apart from those that came back.
 _SLOTS = 1 << 22
 
@@ -69,42 +76,58 @@ def _cells(lang: str, ids: np.ndarray, names: np.ndarray, longest: int) -> Itera
         yield at, ((mixed + np.uint64(length)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)
 
 
+def _squeezed(data: bytes, level: int = 1) -> bytes:
+    """Compressed, after its length."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", level).compress(data, asbytes=True)
+
+
+def _restored(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def _planes(numbers: np.ndarray, width: int) -> bytes:
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _of_planes(raw: bytes, n: int, width: int, at: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+    return out.view("<u8").ravel().astype(np.int64)
+
+
 def _pack(cells: np.ndarray, counts: np.ndarray | None = None) -> bytes:
     """Sorted counters as differences in planes of bytes; with their counts."""
-    gaps = np.diff(cells.astype(np.int64), prepend=0).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : (BITS + 7) // 8]
-    return zlib.compress(len(cells).to_bytes(8, "little") + gaps.T.tobytes() + (b"" if counts is None else counts.astype("<u4").tobytes()), 1)
+    gaps = _planes(np.diff(cells.astype(np.int64), prepend=0), (BITS + 7) // 8)
+    return _squeezed(len(cells).to_bytes(8, "little") + gaps + (b"" if counts is None else _planes(counts, 4)))
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw, width = zlib.decompress(data), (BITS + 7) // 8
+    raw, width = _restored(data), (BITS + 7) // 8
     n = int.from_bytes(raw[:8], "little")
-    gaps = np.zeros((n, 8), np.uint8)
-    gaps[:, :width] = np.frombuffer(raw, np.uint8, n * width, 8).reshape(width, n).T
-    return np.cumsum(gaps.view("<u8").ravel().astype(np.int64)), np.frombuffer(raw, "<u4", offset=8 + n * width).astype(np.int64)
+    counted = len(raw) > 8 + n * width
+    return np.cumsum(_of_planes(raw, n, width, 8)), _of_planes(raw, n, 4, 8 + n * width) if counted else np.zeros(0, np.int64)
 
 
 def sharded(docs: DataFrame, longest: int, ranges: int) -> DataFrame:
-    """shard, lang, words (their number), text (compressed) and asked (range, packed counters with counts): the documents of each task, by language."""
+    """shard, unit (up to UNIT shards of a task and language), lang, words (their number), text (compressed), and longest and ranges, by which its counters are made: the documents of each task, by language."""
     text, lang = (F.coalesce(F.col(n).cast("string"), F.lit(d)) for n, d in (("text", ""), ("lang", "und")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list[str]] = {}
         size: dict[str, int] = {}
+        units: dict[str, tuple[int, int]] = {}
         made = TaskContext.get().partitionId() << 32
 
         def out(lang: str) -> pd.DataFrame:
             nonlocal made
             words = held.pop(lang)
             size.pop(lang)
-            ids, names = _numbered(words)
-            cell, n = np.unique(np.concatenate([x for _, x in _cells(lang, ids, names, longest)]), return_counts=True)
-            of = ((cell * np.uint64(ranges)) >> np.uint64(BITS)).astype(np.int64)
-            edges = np.flatnonzero(np.diff(of, prepend=-1))
-            asked = [{"range": int(of[a]), "cells": _pack(cell[a:b], n[a:b])} for a, b in pairwise([*edges, len(cell)])]
             made += 1
+            unit, full = units.get(lang, (made, 0))
+            unit, full = (unit, full) if full < UNIT else (made, 0)
+            units[lang] = unit, full + 1
             total = sum(w != "\n" for w in words)
-            text = zlib.compress(f" {' '.join(words)} ".encode(), 1)
-            return pd.DataFrame({"shard": [made], "lang": [lang], "words": [total], "text": [text], "asked": [asked]})
+            return pd.DataFrame({"shard": [made], "unit": [unit], "lang": [lang], "words": [total], "text": [_squeezed(f" {' '.join(words)} ".encode(), TEXT_LEVEL)]})
 
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
@@ -118,12 +141,35 @@ def sharded(docs: DataFrame, longest: int, ranges: int) -> DataFrame:
         for lang in list(held):
             yield out(lang)
 
-    return docs.select(lang.alias("lang"), text.alias("text")).mapInPandas(run, "shard bigint, lang string, words bigint, text binary, asked array<struct<range: int, cells: binary>>")
+    rows = docs.select(lang.alias("lang"), text.alias("text")).mapInPandas(run, "shard bigint, unit bigint, lang string, words bigint, text binary")
+    return rows.withColumns({"longest": F.lit(longest), "ranges": F.lit(ranges)})
+
+
+def _ranged(cell: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """The ranges that hold any of the sorted counters, each with its first place and the one after its last."""
+    of = ((cell * np.uint64(ranges)) >> np.uint64(BITS)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(of, prepend=-1))
+    return [(int(of[a]), int(a), int(b)) for a, b in pairwise([*edges, len(cell)])]
+
+
+def asked(shards: DataFrame) -> DataFrame:
+    """unit, shard, range and cells: the counters of each shard with their counts, packed by range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # one text at a time
+                unit, shard, lang, packed, longest, ranges = (batch.column(k)[i].as_py() for k in range(6))
+                ids, names = _numbered(_restored(packed).decode()[1:-1].split(" "))
+                cell, n = np.unique(np.concatenate([x for _, x in _cells(lang, ids, names, longest)]), return_counts=True)
+                rows = [(r, _pack(cell[a:b], n[a:b])) for r, a, b in _ranged(cell, ranges)]
+                columns = [[unit] * len(rows), [shard] * len(rows), [r for r, _ in rows], [x for _, x in rows]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["unit", "shard", "range", "cells"])
+
+    return shards.select("unit", "shard", "lang", "text", "longest", "ranges").mapInArrow(run, "unit bigint, shard bigint, range int, cells binary")
 
 
 def frequent(shards: DataFrame, least: int) -> DataFrame:
-    """shard and cells: of the counters that a shard sent, those whose sum over all shards is at least `least`."""
-    asked = shards.select("shard", F.inline("asked"))
+    """unit, shard, range and hot: a bit for each counter that the shard sent to the range, whether its sum over all shards is at least `least`; ranges without any are absent."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         sent = [_unpack(x) for x in pdf["cells"]]
@@ -131,14 +177,14 @@ def frequent(shards: DataFrame, least: int) -> DataFrame:
         cells, inverse = np.unique(every, return_inverse=True)
         hot = (np.bincount(inverse, np.concatenate([n for _, n in sent]), len(cells)) >= least)[inverse]
         out, lo = [], 0
-        for shard, (mine, _) in zip(pdf["shard"], sent, strict=True):
-            back = mine[hot[lo : lo + len(mine)]]
+        for unit, shard, at, (mine, _) in zip(pdf["unit"], pdf["shard"], pdf["range"], sent, strict=True):
+            back = hot[lo : lo + len(mine)]
             lo += len(mine)
-            if len(back):
-                out.append((shard, _pack(back)))
-        return pd.DataFrame(out, columns=["shard", "cells"])
+            if back.any():
+                out.append((unit, shard, at, np.packbits(back).tobytes()))
+        return pd.DataFrame(out, columns=["unit", "shard", "range", "hot"])
 
-    return asked.groupBy("range").applyInPandas(add, "shard bigint, cells binary")
+    return asked(shards).groupBy("range").applyInPandas(add, "unit bigint, shard bigint, range int, hot binary")
 
 
 def _hot(cell: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -152,47 +198,87 @@ def _hot(cell: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidates(lang: str, words: list[str], wanted: np.ndarray, longest: int) -> tuple[list[str], np.ndarray, list[str]]:
-    """The single words whose counter is wanted with their counts, and the longer phrases."""
-    ids, names = _numbered(words)
-    single, n, phrases = [], np.zeros(0, np.int64), []
-    for length, (at, cell) in enumerate(_cells(lang, ids, names, longest), 1):
-        at = at[_hot(cell, wanted)]
+def _candidates(cells: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, names: np.ndarray, wanted: np.ndarray) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
+    """The single words whose counter is wanted with their counts, the longer phrases, and the counters of both."""
+    single, n, phrases, counters = [], np.zeros(0, np.int64), [], []
+    for length, (at, cell) in enumerate(cells, 1):
+        hot = _hot(cell, wanted)
+        at, cell = at[hot], cell[hot]
         if length == 1:
-            found, n = np.unique(ids[at], return_counts=True)
+            found, first, n = np.unique(ids[at], return_index=True, return_counts=True)
             single = names[found].tolist()
-            continue
-        code = ids[at]
-        for k in range(1, length):  # numbers of phrases stay below the number of places
-            code = np.unique(code, return_inverse=True)[1] * len(names) + ids[at + k]
-        _, first = np.unique(code, return_index=True)
-        phrases += [" ".join(row) for row in names[ids[at[first][:, None] + np.arange(length)]].tolist()]
-    return single, n, phrases
+        else:
+            code = ids[at]
+            for k in range(1, length):  # numbers of phrases stay below the number of places
+                code = np.unique(code, return_inverse=True)[1] * len(names) + ids[at + k]
+            _, first = np.unique(code, return_index=True)
+            phrases += [" ".join(row) for row in names[ids[at[first][:, None] + np.arange(length)]].tolist()]
+        counters.append(cell[first])
+    return single, n, phrases, np.concatenate(counters)
+
+
+def _counted(text: str, phrases: list[str]) -> np.ndarray:
+    """How often each phrase stands in a canonical text, by the automaton of all of them."""
+    n = np.zeros(len(phrases), np.int64)
+    if phrases:
+        automaton = ahocorasick.Automaton()
+        for i, phrase in enumerate(phrases):
+            automaton.add_word(f" {phrase} ", i)
+        automaton.make_automaton()
+        found = map(itemgetter(1), automaton.iter(text))
+        while len(some := np.fromiter(islice(found, 1 << 20), np.int64)):
+            n += np.bincount(some, minlength=len(phrases))
+    return n
+
+
+def _added(phrases: list[pa.Array], part: list[np.ndarray], n: list[np.ndarray]) -> pa.Table:
+    """part, phrase and n_sum of arrays of phrases, parts and counts."""
+    table = pa.table({"part": np.concatenate(part), "phrase": pa.chunked_array(phrases, pa.string()), "n": np.concatenate(n)})
+    return table.group_by(["part", "phrase"]).aggregate([("n", "sum")])
 
 
 def matches(shards: DataFrame, hot: DataFrame, longest: int) -> DataFrame:
-    """lang, phrase and n: how often each candidate stands in a shard: single words by counting them, phrases by the shard's automaton."""
-    back = hot.groupBy("shard").agg(F.collect_list("cells").alias("cells"))  # at most the counters that the shard sent
-    rows = shards.select("shard", "lang", "text").join(back, "shard")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lang, packed, cells in zip(batch["lang"], batch["text"], batch["cells"], strict=True):
-                text = zlib.decompress(packed).decode()
-                wanted = np.unique(np.concatenate([_unpack(x)[0] for x in cells])).astype(np.uint64)
-                single, n, phrases = _candidates(lang, text[1:-1].split(" "), wanted, longest)
-                yield pd.DataFrame({"lang": lang, "phrase": single, "n": n})
-                if phrases:
-                    automaton = ahocorasick.Automaton()
-                    for i, phrase in enumerate(phrases):
-                        automaton.add_word(f" {phrase} ", i)
-                    automaton.make_automaton()
-                    n, found = np.zeros(len(phrases), np.int64), map(itemgetter(1), automaton.iter(text))
-                    while len(some := np.fromiter(islice(found, 1 << 20), np.int64)):
-                        n += np.bincount(some, minlength=len(phrases))
-                    yield pd.DataFrame({"lang": lang, "phrase": phrases, "n": n})
-
-    return rows.mapInPandas(run, "lang string, phrase string, n bigint")
+    """lang, phrase and n: how often each candidate stands in the shards where it is one: single words by counting them, phrases by each shard's automaton."""
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        back: dict[int, dict[int, bytes]] = {}
+        for shard, at, bits in zip(*(right[x].to_pylist() for x in ("shard", "range", "hot")), strict=True):
+            back.setdefault(shard, {})[at] = bits
+        phrases, part, n = [], [], []
+        for shard, lang, packed, ranges in zip(*(left[x] for x in ("shard", "lang", "text", "ranges")), strict=True):
+            shard, lang, ranges = shard.as_py(), lang.as_py(), ranges.as_py()
+            if shard not in back:
+                continue
+            text = _restored(packed.as_py()).decode()
+            ids, names = _numbered(text[1:-1].split(" "))
+            cells = list(_cells(lang, ids, names, longest))
+            every = np.unique(np.concatenate([x for _, x in cells]))
+            flags = np.zeros(len(every), bool)
+            for at, a, b in _ranged(every, ranges):
+                if at in back[shard]:
+                    flags[a:b] = np.unpackbits(np.frombuffer(back[shard][at], np.uint8), count=b - a)
+            single, times, longer, counters = _candidates(cells, ids, names, every[flags])
+            phrases.append(pa.array(single + longer, pa.string()))
+            part.append(((counters * np.uint64(max(1, ranges // PART))) >> np.uint64(BITS)).astype(np.int64))
+            n.append(np.concatenate([times, _counted(text, longer)]))
+        if not phrases:
+            return kinds.empty_table()
+        table = _added(phrases, part, n).sort_by("part")
+        part, n = table["part"].to_numpy(), table["n_sum"].to_numpy()
+        edges = [*np.flatnonzero(np.diff(part, prepend=-1)), len(part)]
+        rows = [{"lang": lang, "part": part[a], "phrases": _squeezed("\n".join(table["phrase"][a:b].to_pylist()).encode()), "n": _squeezed(_planes(n[a:b], 8))} for a, b in pairwise(edges)]
+        return pa.Table.from_pylist(rows, kinds)
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        phrases = [pa.array(_restored(x.as_py()).decode().split("\n"), pa.string()) for x in table["phrases"]]
+        n = [_of_planes(_restored(x.as_py()), len(p), 8, 0) for p, x in zip(phrases, table["n"], strict=True)]
+        sums = _added(phrases, [np.zeros(len(x), np.int64) for x in n], n)
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(sums), pa.string()), "phrase": sums["phrase"], "n": sums["n_sum"]}).combine_chunks()
+
+    kinds = pa.schema([("lang", pa.string()), ("part", pa.int64()), ("phrases", pa.binary()), ("n", pa.binary())])
+    texts = shards.select("unit", "shard", "lang", "text", "ranges")
+    packed = texts.groupBy("unit").cogroup(hot.groupBy("unit")).applyInArrow(count, "lang string, part bigint, phrases binary, n binary")
+    return packed.groupBy("lang", "part").applyInArrow(add, "lang string, phrase string, n bigint")
 
 
 def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -200,7 +286,7 @@ def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3) -> tuple[D
     characters = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
     shards = stored(sharded(docs, longest, max(1, characters // RANGE)), "shards")
     found = matches(shards, frequent(shards, least), longest)
-    counts = found.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    counts = found.filter(F.col("n") >= least).select("lang", "phrase", F.col("n").alias("a"))
     return stored(counts, "phrase-counts"), shards.groupBy("lang").agg(F.sum("words").alias("n"))
 
 
@@ -223,16 +309,18 @@ def scored(counts: DataFrame, longest: int = 3, share: int = 50) -> DataFrame:
     dropped or not, holds it and stands share % as often or more.
     """
     c = F.col
-    rows = counts.withColumn("words", F.split("phrase", " ")).filter(F.size("words") > 1)
-    inside = rows.select("lang", F.explode(_slices(c("words"), 2, longest - 1)).alias("phrase"), c("a").alias("longer")) if longest > 2 else None
-    if inside is not None:
+    words = F.split("phrase", " ")
+    rows = counts.filter(F.size(words) > 1)
+    if longest > 2:
+        inside = rows.select("lang", F.explode(_slices(words, 2, longest - 1)).alias("phrase"), c("a").alias("longer"))
         most = inside.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
         rows = rows.join(most, ["lang", "phrase"], "left").filter("longer IS NULL OR 100 * longer < " + f"{share} * a")
-    cuts = rows.select("lang", "phrase", "a", "words", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
-    part = lambda at, n: F.array_join(F.slice("words", at, n), " ")
-    cuts = cuts.select("lang", "phrase", "a", "k", part(F.lit(1), c("k")).alias("left"), part(c("k") + 1, F.size("words") - c("k")).alias("right"))
-    for side, name in (("left", "l"), ("right", "r")):
-        cuts = cuts.join(counts.select("lang", c("phrase").alias(side), c("a").alias(name)), ["lang", side])
+    # What can be told from the phrase is not shuffled with it.
+    cuts = rows.select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), F.size(words) - 1)).alias("k"))
+    cuts = cuts.withColumn("left", F.expr("substring_index(phrase, ' ', k)"))
+    part = lambda side, name: counts.select("lang", c("phrase").alias(side), c("a").alias(name))
+    cuts = cuts.join(part("left", "l"), ["lang", "left"])
+    cuts = cuts.select("lang", "phrase", "a", "k", "l", F.expr("substring(phrase, length(left) + 2)").alias("right")).join(part("right", "r"), ["lang", "right"])
     score = F.expr("CAST(1000000 * (CAST(a AS DECIMAL(16,0)) * CAST(a AS DECIMAL(16,0))) AS DECIMAL(38,0)) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))")
     best = cuts.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
     return best.select("lang", "phrase", "a", "best.l", "best.r", "best.score")

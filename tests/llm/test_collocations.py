@@ -62,6 +62,19 @@ def test_more_candidates_do_not_change_counts(spark):
     assert counts(every) == counts(cl.matches(shards, cl.frequent(shards, 10), 3))
 
 
+def test_counters_are_sent_once_and_answered_by_bits(spark, monkeypatch):
+    """Counters are not stored beside the texts, an answer is a bit a counter, and the shards of a unit and all units send sums."""
+    monkeypatch.setattr(cl, "SHARD", 300)
+    shards = cl.sharded(spark.createDataFrame(rows(), SCHEMA).repartition(3), 3, 4).cache()
+    assert not {"asked", "cells"} & set(shards.columns)
+    assert shards.count() > 3 * shards.select("unit").distinct().count()
+    hot = cl.frequent(shards, 10).cache()
+    sent = cl.asked(shards).join(hot, ["unit", "shard", "range"]).collect()
+    assert len(sent) == hot.count() > 0
+    assert all(len(r.hot) == (len(cl._unpack(r.cells)[0]) + 7) // 8 for r in sent)
+    assert not cl.matches(shards, hot, 3).groupBy("lang", "phrase").count().filter("count > 1").head(1)
+
+
 def test_counters_survive_packing():
     import numpy as np
 
