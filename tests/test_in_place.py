@@ -1,6 +1,9 @@
 """What is looked up or counted in place gives the same rows as the shuffled form, and does not multiply rows."""
 
+import statistics
+
 import pytest
+from pyspark.sql import functions as F
 from tendersift import catalog
 from tendersift.operators import assemble, detectors, peers
 from tendersift.storage import stored
@@ -87,3 +90,23 @@ def test_values_of_the_training_rows_are_not_counted_again(matrix, monkeypatch):
     monkeypatch.setattr(detectors, "stored", keep)
     assert rows(detectors.tail_scores(matrix, matrix, FEATURES)) == want
     assert "tail-counts" not in tables
+
+
+def test_rank_correlation_shuffles_counted_pairs_alone(spark, monkeypatch):
+    """Each equal pair is one row, identities are not joined, and rho is that of the two runs."""
+    x, y = [3.0, 1.0, 1.0, 2.0, 5.0, 5.0, 4.0] * 6, [1.0, 1.0, 2.0, 2.0, 9.0, 9.0, 3.0] * 6
+    df = spark.createDataFrame([(str(i), "w", a, b) for i, (a, b) in enumerate(zip(x, y, strict=True))], "transaction_id string, award_id string, x double, y double")
+    rank = lambda v: [sum(w < k for w in v) + (sum(w == k for w in v) + 1) / 2 for k in v]
+    tables = {}
+
+    def keep(df, name):
+        tables[name] = df
+        return stored(df, name)
+
+    monkeypatch.setattr(detectors, "stored", keep)
+    found = detectors.rank_correlation(df, "x", "y").first().rho
+    assert found == pytest.approx(statistics.correlation(rank(x), rank(y)), abs=1e-12)
+    assert tables["rank-pairs"].count() == 6 and "transaction_id" not in tables["rank-pairs"].columns
+    run = lambda c: df.withColumnRenamed(c, "mid")
+    assert detectors.spearman(run("x"), run("y")).first().rho == pytest.approx(found, abs=1e-12)
+    assert detectors.rank_correlation(df.withColumn("y", F.lit(0.1)), "x", "y").first().rho is None
