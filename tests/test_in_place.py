@@ -5,7 +5,8 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 from tendersift import catalog
-from tendersift.operators import assemble, detectors, peers
+from tendersift.functions import robust
+from tendersift.operators import assemble, award_change, detectors, peers
 from tendersift.storage import stored
 
 FEATURES = ["a", "b"]
@@ -110,3 +111,13 @@ def test_rank_correlation_shuffles_counted_pairs_alone(spark, monkeypatch):
     run = lambda c: df.withColumnRenamed(c, "mid")
     assert detectors.spearman(run("x"), run("y")).first().rho == pytest.approx(found, abs=1e-12)
     assert detectors.rank_correlation(df.withColumn("y", F.lit(0.1)), "x", "y").first().rho is None
+
+
+def test_award_change_markets_are_the_same_in_tasks_and_by_counts(spark, monkeypatch):
+    query = catalog.queries()["award_change_features"]
+    want = rows(query(spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(award_change._compared, "__defaults__", (40,))
+    tables = []
+    monkeypatch.setattr(award_change, "compare", lambda *x, **y: tables.append(x) or robust.compare(*x, **y))
+    assert rows(query(spark, "/root/testdata/sf0.001")) == want
+    assert len(tables) == 1

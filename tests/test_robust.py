@@ -81,3 +81,21 @@ def test_column_quantiles_use_no_whole_column_buffer(spark, monkeypatch):
     assert got["c"] is None
     fitted = preprocessing.fit(df, preprocessing.robust_rules(["a"]))[0]
     assert same(fitted.fill, quantile(x, 0.5)) and same(fitted.center, fitted.fill)
+
+
+def test_groups_in_tasks_equal_brute_force(spark):
+    """Several values of a group at once, nulls among them, with and without one member left out, in one shuffle."""
+    rnd = random.Random(3)
+    some = lambda: rnd.choice([None, float(rnd.randrange(-3, 4)), rnd.random()])
+    members = [(g, some(), some()) for g, size in enumerate([1, 2, 3, 4, 5, 8, 9, 30, 61]) for _ in range(size)]
+    targets = [(f"in{i}", *m, True) for i, m in enumerate(members)] + [(f"out{i}", rnd.randrange(9), some(), some(), False) for i in range(80)] + [("alone", 77, 1.0, None, False)]
+    found = robust.compared_in_groups(spark.createDataFrame(targets, "id string, group bigint, a double, b double, left_out boolean"), spark.createDataFrame(members, "group bigint, a double, b double"), "id", ["a", "b"], 4 * robust.TASK_ROWS)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    rows = {r.id: r for r in found.collect()}
+    assert len(rows) == len(targets)
+    for name, g, a, b, out in targets:
+        for k, v in enumerate((a, b)):
+            want = (None, None, None)
+            if v is not None:
+                want = [brute([m[k + 1] for m in members if m[0] == g and m[k + 1] is not None], v, v if out else None)[NAMES.index(x)] for x in ("position", "z", "distance")]
+            assert all(same(rows[name][f"{'ab'[k]}_{x}"], w) for x, w in zip(("position", "z", "distance"), want, strict=True)), (name, k)
