@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from tendersift.operators import review
 from tendersift.plans import models
 from tendersift.plans.config import ReviewPlan
+from tendersift.storage import stored
 
 Score = Callable[[DataFrame], DataFrame]
 
@@ -32,8 +33,9 @@ def run_available(stream: DataFrame, score: Score, out: str, checkpoint: str) ->
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
-            score(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rows = stored(batch, "stream-batch")
+        if rows.head(1):
+            score(rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.option("basePath", out).parquet(out)
